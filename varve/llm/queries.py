@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from varve.llm import mixing
 from varve.llm.near_dedup import near_duplicates
+from varve.llm.toxicity import toxicity
 from varve.session import table
 
 
@@ -12,9 +15,22 @@ def op2_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix_plan(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return plan.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_superminhash": op2_superminhash,
+    "op9_source_mixing": op9_source_mixing,
+    "op10_compression_toxicity": op10_compression_toxicity,
 }
 
 #: DuckDB SQL where SQL can express the whole result.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_source_mixing": mixing.SQL,
+}
