@@ -15,9 +15,12 @@ From signatures to groups:
 3. in each bucket every member is compared with one hub, the member whose
    buckets are the largest (the original of a family of edited copies);
    confirmed links are joined to components;
-4. buckets that still hold more than one component give all pairs of members
-   from different components whose signatures agree closely enough (0.55; a
-   pair at 0.75 misses that by 6 standard deviations), all confirmed too.
+4. buckets that still hold more than one component give the pairs of members
+   from different components that share enough shingles with any node at all,
+   whose distances to the hub differ by 0.25 at most (the Jaccard distance
+   obeys the triangle inequality) and whose signatures agree closely enough
+   (0.6; a pair at 0.75 misses that with a probability below 1e-6), all
+   confirmed too.
 
 Links are confirmed on the full sets of 64-bit shingle hashes.
 """
@@ -39,7 +42,7 @@ from varve.llm.text import distinct_by_row, mix, shingles, word_hashes
 BANDS, ROWS = 48, 4
 SLOTS = BANDS * ROWS
 #: Agreement of signatures below which a pair of the last step isn't confirmed.
-LEAST_AGREEMENT = 0.55
+LEAST_AGREEMENT = 0.6
 
 _U = np.uint64
 _EMPTY = np.iinfo(np.uint64).max
@@ -92,13 +95,18 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), lists], names=["node", "members"])
 
 
-def _confirmed(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _compared(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes of intersection and union of their full sets."""
     left = members.select(F.col("node").alias("a"), F.col("members").alias("of_a"))
     right = members.select(F.col("node").alias("b"), F.col("members").alias("of_b"))
     shared = F.size(F.array_intersect("of_a", "of_b"))
-    union = F.size("of_a") + F.size("of_b") - shared
-    return pairs.join(left, "a").join(right, "b").where(100 * shared >= percent * union).select("a", "b")
+    both = F.size("of_a") + F.size("of_b")
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("shared"), both.alias("both"))
+    return found.select("a", "b", "shared", (F.col("both") - F.col("shared")).alias("joined"))
+
+
+def _links(compared: DataFrame, percent: int) -> DataFrame:
+    return compared.where(100 * F.col("shared") >= percent * F.col("joined")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 def _similar_sizes(a: str, b: str, percent: int) -> F.Column:
@@ -106,6 +114,20 @@ def _similar_sizes(a: str, b: str, percent: int) -> F.Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _with_reach(rest: DataFrame, members: DataFrame) -> DataFrame:
+    """Adds to (bucket, node, ...) what limits the pairs of the last step.
+
+    reach: how many shingles of the node any other node here has; no partner
+    can share more, so a heavily edited copy meets no one in vain (exact).
+    buckets: all its buckets here; a pair is made in the first it shares.
+    """
+    own = rest.groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))
+    shingle = members.join(own.select("node"), "node", "left_semi").select("node", F.explode("members").alias("shingle"))
+    shared = shingle.groupBy("shingle").agg(F.count("*").alias("nodes")).where("nodes > 1")
+    reach = shingle.join(shared, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("reach"))
+    return rest.join(own, "node").join(reach, "node")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of `docs`.
 
@@ -141,8 +163,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     wanted = bands.select(F.col("node").alias("doc_id")).distinct()
     members = written(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_members, "node long, members array<long>").dropDuplicates(["node"]), "members")
-    links = written(_confirmed(pairs, members, percent), "links")
-    label = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    to_hub = written(_compared(pairs, members), "compared")
+    links = _links(to_hub, percent)
+    label = connected_components(links)
 
     def component() -> F.Column:
         return F.coalesce("component", "node")
@@ -151,16 +174,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
     # a bucket of two has been decided by its hub
     mixed = mixed.where("low < high AND size > 2").select("bucket")
-    rest = written(labelled.join(mixed, "bucket", "left_semi").join(nodes.select("node", "signature"), "node"), "rest")
+    rest = labelled.join(mixed, "bucket", "left_semi")
+    distance = to_hub.select(F.col("a").alias("node"), F.col("b").alias("hub"), (1 - F.col("shared") / F.col("joined")).alias("far"))
+    own_hub = F.when(F.col("node") == F.col("hub"), 0.0).otherwise(F.col("far"))
+    rest = rest.join(hubs.select("bucket", F.col("hub.node").alias("hub")), "bucket").join(distance, ["node", "hub"], "left").withColumn("far", own_hub)
+    rest = _with_reach(rest, members).join(nodes.select("node", "signature"), "node")
+    rest = written(rest, "rest")
     agree = F.aggregate(F.zip_with("x.signature", "y.signature", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
     across = (
         rest.alias("x")
-        .join(rest.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & _similar_sizes("x.n", "y.n", percent) & (agree >= LEAST_AGREEMENT * SLOTS))
+        .join(
+            rest.alias("y"),
+            (F.col("x.bucket") == F.col("y.bucket"))
+            & (F.col("x.component") < F.col("y.component"))
+            & ((100 + percent) * F.least("x.reach", "y.reach") >= percent * (F.col("x.n") + F.col("y.n")))
+            & (F.coalesce(F.abs(F.col("x.far") - F.col("y.far")), F.lit(0.0)) <= 1 - percent / 100 + 1e-9)
+            & (F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("x.bucket"))
+            & (agree >= LEAST_AGREEMENT * SLOTS),
+        )
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .distinct()
     )
-    more = _confirmed(across, members, percent)
-    label = connected_components(links.unionByName(more).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    label = connected_components(links.unionByName(_links(_compared(across, members), percent)))
 
     placed = nodes.join(label, "node", "left").select("k1", "k2", component().alias("component_id"))
     empty = F.col("n_shingles") == 0
