@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from varve.llm import mixing
 from varve.llm.near_dedup import near_duplicates
+from varve.llm.packing import packed
+from varve.llm.secret_scan import secrets
 from varve.llm.toxicity import toxicity
 from varve.session import table
 
@@ -15,6 +17,14 @@ def op2_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
+def op8_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return plan.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -26,6 +36,8 @@ def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_superminhash": op2_superminhash,
+    "op4_secret_scan": op4_secret_scan,
+    "op8_swap_packing": op8_swap_packing,
     "op9_source_mixing": op9_source_mixing,
     "op10_compression_toxicity": op10_compression_toxicity,
 }
