@@ -28,7 +28,7 @@ Links are confirmed on the full sets of 64-bit shingle hashes.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,8 @@ LEAST_AGREEMENT = 0.6
 
 _U = np.uint64
 _EMPTY = np.iinfo(np.uint64).max
+#: (elements, row of each, rows, slots) -> rows x slots
+Signer = Callable[[np.ndarray, np.ndarray, int, int], np.ndarray]
 _SET = "doc_id long, n_shingles long, k1 long, k2 long, signature array<int>"
 
 
@@ -73,11 +75,11 @@ def superminhash(elements: np.ndarray, row: np.ndarray, rows: int, slots: int =
     return out
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], signer: Signer) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, most=1 << 18):
         values, at = distinct_by_row(*shingles(*word_hashes(batch.column("text"))))
         n = np.diff(at)
-        signature = superminhash(values, np.repeat(np.arange(len(n)), n), len(n))
+        signature = signer(values, np.repeat(np.arange(len(n)), n), len(n), SLOTS)
         short = mix(signature).astype(np.uint32).view(np.int32)
         digest = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(at[:-1], at[1:])]
         keys = np.frombuffer(b"".join(digest), dtype=np.int64).reshape(-1, 2)
@@ -128,7 +130,7 @@ def _with_reach(rest: DataFrame, members: DataFrame) -> DataFrame:
     return rest.join(own, "node").join(reach, "node")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, signer: Signer = superminhash) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of `docs`.
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of
@@ -142,7 +144,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     ship(docs.sparkSession)
     texts = with_text(docs, id_col, text_col)
-    sets = written(texts.mapInArrow(_sets, _SET), "sets")
+    sets = written(texts.mapInArrow(lambda batches: _sets(batches, signer), _SET), "sets")
     named = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = named.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     nodes = written(nodes, "nodes")

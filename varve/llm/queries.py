@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import mixing
+from varve.llm import mixing, warc
+from varve.llm.fingerprints import fingerprinted
 from varve.llm.near_dedup import near_duplicates
 from varve.llm.packing import packed
 from varve.llm.secret_scan import secrets
+from varve.llm.sharding import placed
 from varve.llm.toxicity import toxicity
 from varve.session import table
 
@@ -17,10 +19,23 @@ def op2_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(spark, table(spark, sf_dir, "pages"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprinted(table(spark, sf_dir, "documents"))
+
+
+def op7_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents over 64 shards, by id."""
+    return placed(table(spark, sf_dir, "documents"), "doc_id", [f"shard-{i:03d}" for i in range(64)])
+
+
 def op8_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
@@ -36,7 +51,10 @@ def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_superminhash": op2_superminhash,
+    "op3_warc_normaliser": op3_warc_normaliser,
     "op4_secret_scan": op4_secret_scan,
+    "op6_minhash_fingerprints": op6_minhash_fingerprints,
+    "op7_lookup_sharding": op7_lookup_sharding,
     "op8_swap_packing": op8_swap_packing,
     "op9_source_mixing": op9_source_mixing,
     "op10_compression_toxicity": op10_compression_toxicity,
@@ -44,5 +62,6 @@ QUERIES = {
 
 #: DuckDB SQL where SQL can express the whole result.
 ORACLES: dict[str, str] = {
+    "op3_warc_normaliser": warc.SQL,
     "op9_source_mixing": mixing.SQL,
 }
