@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from varve.llm import mixing, warc
 from varve.llm.fingerprints import fingerprinted
+from varve.llm.kneser_ney import held_out_scores
 from varve.llm.near_dedup import near_duplicates
 from varve.llm.packing import packed
 from varve.llm.secret_scan import secrets
@@ -27,6 +28,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprinted(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ QUERIES = {
     "op2_superminhash": op2_superminhash,
     "op3_warc_normaliser": op3_warc_normaliser,
     "op4_secret_scan": op4_secret_scan,
+    "op5_kneser_ney": op5_kneser_ney,
     "op6_minhash_fingerprints": op6_minhash_fingerprints,
     "op7_lookup_sharding": op7_lookup_sharding,
     "op8_swap_packing": op8_swap_packing,
