@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import mixing, warc
+from varve.llm import media, mixing, warc
 from varve.llm.fingerprints import fingerprinted
 from varve.llm.kneser_ney import held_out_scores
 from varve.llm.near_dedup import near_duplicates
@@ -16,6 +16,10 @@ from varve.llm.toxicity import toxicity
 from varve.session import table
 
 
+def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.described(media.stored(table(spark, sf_dir, "documents")))
+
+
 def op2_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_progressive_jpeg": op1_progressive_jpeg,
     "op2_superminhash": op2_superminhash,
     "op3_warc_normaliser": op3_warc_normaliser,
     "op4_secret_scan": op4_secret_scan,
