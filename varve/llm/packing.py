@@ -29,9 +29,10 @@ CAPACITY = 4096
 END_ID = 1
 GROUP_PIECES = 20_000
 #: Words whose ids a worker remembers.
-MEMO = 400_000
+MEMO = 800_000
 
-_odd_space = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    　﻿]")
+_odd_space = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u3000\ufeff]")
+_stops = re.compile("(?<=[A-Za-z\xe0-\xf6\xf8-\xff])([.,;:!?]+)(?=[ \n])")
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -46,6 +47,8 @@ class Encoder:
 
     The tokenizer drops white space and never joins over it, so each word is
     encoded once and remembered. Texts with unusual spaces go through whole.
+    Where all characters are Latin-1, letter case (which it drops) and the
+    stops after a word (always tokens of their own) don't make another word.
     """
 
     def __init__(self, path: str) -> None:
@@ -55,8 +58,18 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
 
+    @staticmethod
+    def cut(text: str) -> list[str] | None:
+        if _odd_space.search(text):
+            return None
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split()
+        return _stops.sub(r" \1", text.lower()).split()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if _odd_space.search(t) else t.split() for t in texts]
+        cut = [self.cut(t) for t in texts]
         new = {w for words in cut if words for w in words if w not in self.memo}
         if len(self.memo) + len(new) > MEMO:
             self.memo = {}
