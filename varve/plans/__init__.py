@@ -1 +1,3 @@
+"""Queries over the given tables; importing a module registers its queries."""
 
+from varve.plans import warehouse  # noqa: F401
