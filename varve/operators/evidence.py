@@ -125,35 +125,37 @@ def share_with_pairs(masses: DataFrame, pairs: DataFrame, ratio: float = 3.0) ->
     return kept.unionByName(pair)
 
 
-def fuse(masses: DataFrame, frame: DataFrame, pairs: DataFrame) -> DataFrame:
+def fuse(masses: DataFrame) -> DataFrame:
     """(item, focal, mass, conflict): all sources of each item combined.
 
-    Leaves and pairs that a source doesn't name have the commonality of its
-    THETA; so only named focal elements travel, with the product of all
-    THETAs of the item: q(A) = product over sources of (named part + THETA).
-    Total conflict gives the vacuous function and conflict 1. At least three
-    leaves are needed, else a pair would be everything.
+    Every source of an item has its THETA row, 0 where it has no ignorance.
+    With one shuffle by item: q(A) is the product of named part + THETA over
+    the sources that name A (or a pair around it), times the THETAs of the
+    others; masses follow as q(A) less the masses above A. Total conflict
+    gives the vacuous function and conflict 1. At least three leaves are
+    needed, else a pair would be everything.
     """
-    theta = masses.where(F.col("focal") == THETA).select("item", "source", F.col("mass").alias("theta"))
-    own = masses.where(F.col("focal") != THETA)
-    parts = F.broadcast(pairs.select(F.concat_ws("|", "a", "b").alias("pair"), F.explode(F.array("a", "b")).alias("leaf")))
-    up = own.select("item", "source", "focal", "mass").unionByName(own.join(parts, F.col("focal") == F.col("pair")).select("item", "source", F.col("leaf").alias("focal"), "mass"))
-    q = up.groupBy("item", "source", "focal").agg(F.sum("mass").alias("named")).join(theta, ["item", "source"], "left").withColumn("theta", F.coalesce("theta", F.lit(0.0)))
-    all_theta = theta.groupBy("item").agg(F.product("theta").alias("all"), F.count("*").alias("sources"))
-    sources = masses.groupBy("item").agg(F.countDistinct("source").alias("n"))
-    base = sources.join(all_theta, "item", "left").select("item", F.when(F.col("n") == F.col("sources"), F.col("all")).otherwise(0.0).alias("all"))
-    # sources that don't name the focal element contribute their THETA
-    zero = theta.select("item", "source", "theta")
-    focal = q.select("item", "focal").distinct()
-    dense = focal.join(masses.select("item", "source").distinct(), "item").join(zero, ["item", "source"], "left").join(q.select("item", "source", "focal", "named"), ["item", "source", "focal"], "left")
-    qa = dense.groupBy("item", "focal").agg(F.product(F.coalesce("named", F.lit(0.0)) + F.coalesce("theta", F.lit(0.0))).alias("q")).join(base, "item")
-    pair_mass = qa.where(F.col("focal").contains("|")).select("item", F.col("focal").alias("pair"), (F.col("q") - F.col("all")).alias("pm"))
-    over = pair_mass.join(parts, "pair").groupBy("item", F.col("leaf").alias("focal")).agg(F.sum("pm").alias("pm"))
-    raw = qa.join(over, ["item", "focal"], "left").select("item", "focal", (F.col("q") - F.col("all") - F.coalesce(F.when(~F.col("focal").contains("|"), F.col("pm")), F.lit(0.0))).alias("raw"))
-    raw = raw.unionByName(base.select("item", F.lit(THETA).alias("focal"), F.col("all").alias("raw"))).withColumn("raw", F.when(F.col("raw") < TINY, 0.0).otherwise(F.col("raw")))
-    total = F.sum("raw").over(Window.partitionBy("item"))
-    out = raw.withColumn("total", total).select("item", "focal", F.when(F.col("total") > 0, F.col("raw") / F.col("total")).otherwise(F.when(F.col("focal") == THETA, 1.0).otherwise(0.0)).alias("mass"), (1 - F.col("total")).alias("conflict"))
-    return out.where("mass > 0")
+    item, is_theta = Window.partitionBy("item"), F.col("focal") == THETA
+    rows = masses.repartition("item")
+    rows = rows.withColumn("theta", F.coalesce(F.max(F.when(is_theta, F.col("mass"))).over(Window.partitionBy("item", "source")), F.lit(0.0)))
+    rows = rows.withColumn("product", F.product(F.when(is_theta & (F.col("mass") > 0), F.col("mass"))).over(item)).withColumn("zeros", F.count_if(is_theta & (F.col("mass") <= 0)).over(item))
+    pair = F.col("focal").contains("|")
+    below = F.when(pair, F.concat(F.array("focal"), F.split("focal", r"\|"))).otherwise(F.array("focal"))
+    constants = [F.first(c).alias(c) for c in ("theta", "product", "zeros")]
+    named = rows.select("item", "source", F.explode(below).alias("focal"), "mass", "theta", "product", "zeros").groupBy("item", "source", "focal").agg(F.sum("mass").alias("named"), *constants)
+    q = named.withColumn("is_theta", is_theta).groupBy("item", "focal").agg(
+        F.product(F.col("named") + F.when(F.col("is_theta"), 0.0).otherwise(F.col("theta"))).alias("own"), F.product(F.when(F.col("theta") > 0, F.col("theta"))).alias("thetas"), F.count_if(F.col("theta") <= 0).alias("own_zeros"), *constants[1:]
+    )
+    rest = F.when(F.col("own_zeros") == F.col("zeros"), F.coalesce("product", F.lit(1.0)) / F.coalesce("thetas", F.lit(1.0))).otherwise(0.0)
+    everything = F.when(F.col("zeros") == 0, F.coalesce("product", F.lit(1.0))).otherwise(0.0)
+    excess = q.select("item", "focal", F.when(is_theta, everything).otherwise(F.col("own") * rest - everything).alias("v"))
+    # what a pair has is no longer its leaves'
+    part = lambda x: F.struct(x.alias("focal"), (-F.col("v")).alias("v"))
+    parts = F.when(pair, F.concat(F.array(F.struct("focal", "v")), F.transform(F.split("focal", r"\|"), part))).otherwise(F.array(F.struct("focal", "v")))
+    raw = excess.select("item", F.explode(parts).alias("p")).groupBy("item", F.col("p.focal").alias("focal")).agg(F.sum("p.v").alias("raw"))
+    raw = raw.withColumn("raw", F.when(F.col("raw") < TINY, 0.0).otherwise(F.col("raw"))).withColumn("total", F.sum("raw").over(item))
+    mass = F.when(F.col("total") > 0, F.col("raw") / F.col("total")).otherwise(F.when(is_theta, 1.0).otherwise(0.0))
+    return raw.select("item", "focal", mass.alias("mass"), (1 - F.col("total")).alias("conflict")).where("mass > 0")
 
 
 def intervals(fused: DataFrame, frame: DataFrame) -> DataFrame:

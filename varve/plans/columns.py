@@ -100,7 +100,7 @@ def descriptions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _TEXT = """concat_ws(' | ', replace(column_name, '_', ' '), array_to_string([v[1:80] FOR v IN sample[1:5]], ', '), 'cardinality=' || cardinality, CASE WHEN null_ratio > 0 THEN printf('null_ratio=%.2f', null_ratio) END,
-CASE WHEN entropy > 0 THEN printf('entropy=%.2f', entropy) END, CASE WHEN len(patterns) > 0 THEN 'patterns: ' || array_to_string(patterns, ', ') END, printf('avg_len=%.1f', avg_len), CASE WHEN numeric_ratio > 0 THEN printf('numeric=%.2f', numeric_ratio) END,
+CASE WHEN entropy > 0 THEN printf('entropy=%.2f', entropy) END, CASE WHEN len(patterns) > 0 THEN 'patterns: ' || array_to_string(patterns, ', ') END, printf('avg_len=%.1f', round(avg_len, 1)), CASE WHEN numeric_ratio > 0 THEN printf('numeric=%.2f', numeric_ratio) END,
 'siblings: ' || array_to_string(siblings, ', '), 'table=' || source_table, description)"""
 
 

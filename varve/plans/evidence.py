@@ -120,7 +120,7 @@ def masses(spark: SparkSession, sf: str, without: str = "") -> DataFrame:
 
 
 def fused(spark: SparkSession, sf: str, without: str = "") -> DataFrame:
-    return evidence.fuse(masses(spark, sf, without), frame(spark, sf), pairs(spark))
+    return evidence.fuse(masses(spark, sf, without))
 
 
 def _fuse_sql(sources: str) -> str:
@@ -128,7 +128,7 @@ def _fuse_sql(sources: str) -> str:
     return f"""named AS ({sources}), src AS (SELECT item, source, 1 - sum(mass) AS theta FROM named GROUP BY ALL),
 focals AS (SELECT code AS focal FROM cats UNION ALL SELECT a || '|' || b FROM pairs),
 up AS (SELECT item, source, focal, mass FROM named UNION ALL SELECT item, source, unnest(string_split(focal, '|')), mass FROM named WHERE contains(focal, '|')),
-q AS (SELECT s.item, f.focal, s.source, s.theta + coalesce(sum(u.mass), 0) AS q FROM src s CROSS JOIN focals f LEFT JOIN up u ON u.item = s.item AND u.source = s.source AND u.focal = f.focal GROUP BY ALL, s.theta),
+q AS (SELECT s.item, f.focal, s.source, s.theta + coalesce(sum(u.mass), 0) AS q FROM src s CROSS JOIN focals f LEFT JOIN up u ON u.item = s.item AND u.source = s.source AND u.focal = f.focal GROUP BY s.item, f.focal, s.source, s.theta),
 qa AS (SELECT item, focal, product(q) AS q FROM q GROUP BY ALL), th AS (SELECT item, product(theta) AS t FROM src GROUP BY 1),
 pm AS (SELECT item, unnest(string_split(focal, '|')) AS focal, q - t AS m FROM qa JOIN th USING (item) WHERE contains(focal, '|')),
 raw AS (SELECT qa.item, qa.focal, q - t - coalesce((SELECT sum(m) FROM pm WHERE pm.item = qa.item AND pm.focal = qa.focal), 0) AS m FROM qa JOIN th USING (item) UNION ALL SELECT item, '*', t FROM th),
