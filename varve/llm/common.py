@@ -23,8 +23,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 _shipped: set[str] = set()
 
 
+#: Rows and bytes of an Arrow batch, instead of Spark's defaults: texts are long.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once for each application."""
+    """Send this package to the executors once for each application.
+
+    Also bounds what a Python worker is handed at once, unless the session
+    already asks for less.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, "0")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

@@ -29,7 +29,7 @@ CAPACITY = 4096
 END_ID = 1
 GROUP_PIECES = 20_000
 #: Words whose ids a worker remembers.
-MEMO = 800_000
+MEMO = 300_000
 
 _odd_space = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _stops = re.compile("(?<=[A-Za-z\xe0-\xf6\xf8-\xff])([.,;:!?]+)(?=[ \n])")
