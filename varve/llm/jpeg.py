@@ -231,7 +231,7 @@ def _first_codes(band: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
             _before(code, length, row, k, AC_CODE[0xF0], AC_LENGTH[0xF0])
     ends = tail < width
     code[ends, width, 1], length[ends, width, 1] = AC_CODE[0], AC_LENGTH[0]
-    return code.reshape(n, -1), length.reshape(n, -1)
+    return code.reshape(n, 2 * (width + 1)), length.reshape(n, 2 * (width + 1))
 
 
 def _refine_codes(band: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
@@ -259,7 +259,7 @@ def _refine_codes(band: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
                 sign = int(band[row, k] > 0)
                 _before(code, length, row, begin, AC_CODE[gap << 4 | 1] << 1 | sign, AC_LENGTH[gap << 4 | 1] + 1)
                 begin, gap = k + 1, 0
-    return code.reshape(n, -1), length.reshape(n, -1)
+    return code.reshape(n, 2 * (width + 1)), length.reshape(n, 2 * (width + 1))
 
 
 def _before(code: np.ndarray, length: np.ndarray, row: int, k: int, value: int, bits: int) -> None:
