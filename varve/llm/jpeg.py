@@ -15,6 +15,7 @@ exactly. Blocks fill the luma plane first, then the two chroma planes.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 
@@ -163,7 +164,7 @@ def _encode_scan(coefficients: np.ndarray, mcus: np.ndarray, scan: tuple) -> lis
     per_frame = -(-counts // every)
     interval = np.repeat((np.cumsum(per_frame) - per_frame)[frame] + units // every, per_unit)
     if first == 0 and high == 0:
-        value = chosen[:, 0] >> low
+        value = chosen[:, 0].astype(np.int64) >> low
         component = np.tile([0, 0, 0, 0, 1, 2], len(blocks))
         difference = np.zeros_like(value)
         for c in range(3):
@@ -175,19 +176,19 @@ def _encode_scan(coefficients: np.ndarray, mcus: np.ndarray, scan: tuple) -> lis
         extra = np.where(difference < 0, difference + (1 << size) - 1, difference)
         return _stream(DC_CODE[size] << size | extra, DC_LENGTH[size] + size, interval, per_frame)
     if first == 0:
-        return _stream((chosen[:, 0] >> low) & 1, np.ones(len(chosen), np.int64), interval, per_frame)
+        return _stream((chosen[:, 0].astype(np.int64) >> low) & 1, np.ones(len(chosen), np.int64), interval, per_frame)
     band = chosen[:, first : last + 1]
     pieces = []
     if high == 0:
-        common = (band >> low != 0).all(axis=1) & (band + (1 << low) - 1 >> low != 0).all(axis=1)
+        common = (np.abs(band) >= 1 << low).all(axis=1)
         magnitude = np.arange(-128, 128)
         magnitude = np.where(magnitude < 0, -(-magnitude >> low), magnitude >> low)
         size = _sizes(magnitude)
         signed = np.where(magnitude < 0, magnitude + (1 << size) - 1, magnitude)
-        codes, lengths = AC_CODE[size] << size | signed, AC_LENGTH[size] + size
+        codes, lengths = (AC_CODE[size] << size | signed).astype(np.int32), (AC_LENGTH[size] + size).astype(np.int32)
         index = band[common] + 128
         pieces.append((np.flatnonzero(common), codes[index], lengths[index]))
-        pieces.append((np.flatnonzero(~common), *_first_codes(band[~common], low)))
+        pieces.append((np.flatnonzero(~common), *_first_codes(band[~common].astype(np.int64), low)))
     else:
         magnitude = np.abs(band) >> low
         common = (magnitude > 1).all(axis=1)
@@ -198,9 +199,9 @@ def _encode_scan(coefficients: np.ndarray, mcus: np.ndarray, scan: tuple) -> lis
         code = np.column_stack([np.full(len(halves), AC_CODE[0]), halves])
         length = np.tile([AC_LENGTH[0], max(0, n - 32), min(n, 32)], (len(halves), 1))
         pieces.append((np.flatnonzero(common), code, length))
-        pieces.append((np.flatnonzero(~common), *_refine_codes(band[~common], low)))
+        pieces.append((np.flatnonzero(~common), *_refine_codes(band[~common].astype(np.int64), low)))
     width = max(code.shape[1] for _, code, _ in pieces)
-    code, length = (np.zeros((len(band), width), np.int64) for _ in range(2))
+    code, length = np.zeros((len(band), width), np.int64 if high else np.int32), np.zeros((len(band), width), np.int32)
     for rows, some_code, some_length in pieces:
         code[rows, : some_code.shape[1]], length[rows, : some_code.shape[1]] = some_code, some_length
     used = length > 0
@@ -271,10 +272,10 @@ def encode(payloads: list[np.ndarray]) -> list[bytes]:
     """Payloads (bytes, a multiple of 64 each, FRAME_MCUS MCUs at most) as frames."""
     sizes = np.array([len(p) // 64 for p in payloads])
     mcus = -(-sizes // BLOCKS_PER_MCU)
-    planes = np.zeros((int(mcus.sum()) * BLOCKS_PER_MCU, 64), np.int64)
+    planes = np.zeros((int(mcus.sum()) * BLOCKS_PER_MCU, 64), np.int16)
     start = (np.cumsum(mcus) - mcus) * BLOCKS_PER_MCU
     for payload, size, count, at in zip(payloads, sizes, mcus, start):
-        planes[at + _order(count)[:size]] = payload.reshape(-1, 64).astype(np.int64) - 128
+        planes[at + _order(count)[:size]] = payload.reshape(-1, 64).astype(np.int16) - 128
     scans = [_encode_scan(planes, mcus, scan) for scan in SCANS]
     out = []
     for i, (payload, count) in enumerate(zip(payloads, mcus.tolist())):
@@ -316,7 +317,7 @@ class Frame:
     quantisers: list[int] = field(default_factory=list)
     names: list[int] = field(default_factory=list)
     scans: list[Scan] = field(default_factory=list)
-    quant: dict[int, np.ndarray] = field(default_factory=dict)
+    quant: dict[int, np.ndarray | None] = field(default_factory=dict)
     note: bytes = b""
     grid: list[tuple[int, int]] = field(default_factory=list)  # stored blocks: rows, columns
     base: list[int] = field(default_factory=list)  # first block of each component
@@ -333,6 +334,7 @@ class Frame:
         return -(-(-(-self.height * v // most_v)) // 8), -(-(-(-self.width * h // most_h)) // 8)
 
 
+@lru_cache(maxsize=32)
 def _lookup(body: bytes) -> np.ndarray:
     """16 bits ahead -> length << 8 | symbol."""
     table, code, at = np.zeros(1 << 16, np.int32), 0, 16
@@ -345,6 +347,38 @@ def _lookup(body: bytes) -> np.ndarray:
     return table
 
 
+def _tables_of(body: bytes) -> list[tuple[int, np.ndarray]]:
+    found = []
+    while body:
+        size = 17 + sum(body[1:17])
+        found.append((body[0], _lookup(body[1:size])))
+        body = body[size:]
+    return found
+
+
+def _quantisers(body: bytes) -> dict[int, np.ndarray | None]:
+    """Quantisers by number; None stands for ones."""
+    found = {}
+    while body:
+        width = 2 if body[0] >> 4 else 1
+        values = np.frombuffer(body[1 : 1 + 64 * width], f">u{width}").astype(np.int32)
+        found[body[0] & 15] = None if (values == 1).all() else values
+        body = body[1 + 64 * width :]
+    return found
+
+
+@lru_cache(maxsize=32)
+def _fast(table: bytes) -> np.ndarray:
+    """For first AC scans: value + 32768 << 16 | run << 8 | bits, 0 where 16 bits don't tell."""
+    entry = np.frombuffer(table, np.int32).astype(np.int64)
+    code, size, run = entry >> 8, entry & 15, entry >> 4 & 15
+    bits = code + size
+    fits = (size > 0) & (entry > 0) & (bits <= 16)
+    raw = np.arange(1 << 16) >> np.where(fits, 16 - bits, 0) & (1 << size) - 1
+    value = np.where(raw < (1 << np.maximum(size - 1, 0)), raw - (1 << size) + 1, raw)
+    return np.where(fits, (value + 32768) << 16 | run << 8 | bits, 0)
+
+
 class Decoder:
     """Decodes the frames in a buffer; one call works on all of them."""
 
@@ -352,7 +386,8 @@ class Decoder:
         self.data = np.frombuffer(data, np.uint8)
         self.raw = data
         self.lookups: list[np.ndarray] = []
-        self._known: dict[bytes, int] = {}
+        self._known: dict[bytes, dict[int, int]] = {}
+        self._quantisers: dict[bytes, dict[int, np.ndarray | None]] = {}
         self._layouts: dict[tuple, tuple[np.ndarray, np.ndarray, int]] = {}
         mark = np.flatnonzero(self.data[:-1] == 0xFF)
         after = self.data[mark + 1]
@@ -383,19 +418,16 @@ class Decoder:
             elif marker == DRI:
                 every = int.from_bytes(body, "big")
             elif marker == DQT:
-                while body:
-                    if body[0] >> 4:
-                        frame.quant[body[0] & 15], body = np.frombuffer(body[1:129], ">u2").astype(np.int64), body[129:]
-                    else:
-                        frame.quant[body[0] & 15], body = np.frombuffer(body[1:65], np.uint8).astype(np.int64), body[65:]
+                if body not in self._quantisers:
+                    self._quantisers[body] = _quantisers(body)
+                frame.quant.update(self._quantisers[body])
             elif marker == DHT:
-                while body:
-                    size = 17 + sum(body[1:17])
-                    if body[1:size] not in self._known:
-                        self._known[body[1:size]] = len(self.lookups)
-                        self.lookups.append(_lookup(body[1:size]))
-                    tables[body[0]] = self._known[body[1:size]]
-                    body = body[size:]
+                if body not in self._known:
+                    self._known[body] = {}
+                    for kind, table in _tables_of(body):
+                        self._known[body][kind] = len(self.lookups)
+                        self.lookups.append(table)
+                tables.update(self._known[body])
             elif marker == SOF2:
                 frame.height, frame.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
                 for k in range(body[5]):
@@ -520,22 +552,11 @@ class Decoder:
             self.coefficients[place[i], 0] = before[lane, component[i]] << low[lane]
             at[lane] = p + size
 
-    def _fast(self) -> np.ndarray:
-        """Tables of first AC scans: value + 32768 << 16 | run << 8 | bits, 0 where 16 bits don't tell."""
-        entry = self.tables.astype(np.int64)
-        ahead = np.arange(1 << 16)[None, :]
-        code, size, run = entry >> 8, entry & 15, entry >> 4 & 15
-        bits = code + size
-        fits = (size > 0) & (entry > 0) & (bits <= 16)
-        raw = ahead >> np.where(fits, 16 - bits, 0) & (1 << size) - 1
-        value = np.where(raw < (1 << np.maximum(size - 1, 0)), raw - (1 << size) + 1, raw)
-        return np.where(fits, (value + 32768) << 16 | run << 8 | bits, 0).ravel()
-
     def _ac_first(self, at: np.ndarray, start: np.ndarray, count: np.ndarray, place: np.ndarray, table: np.ndarray, first: np.ndarray, last: np.ndarray, low: np.ndarray) -> None:
         block, k = start.copy(), first.copy()
         end = start + count
         flat = self.coefficients.reshape(-1)
-        fast, row, spot = self._fast(), table << 16, place[start] * 64
+        fast, row, spot = np.concatenate([_fast(t.tobytes()) for t in self.tables]), table << 16, place[start] * 64
         while len(at):
             ahead = (self.window[at >> 3] >> (24 - (at & 7)).astype(np.uint64)).astype(np.int64) & 0xFFFF
             entry = fast[row + ahead]
@@ -648,7 +669,7 @@ class Decoder:
         quantiser = np.ones((len(self.coefficients), 1), np.int32)
         for f in self.frames:
             for c, (rows, columns) in enumerate(f.grid):
-                if (f.quant[f.quantisers[c]] != 1).any():
+                if f.quant[f.quantisers[c]] is not None:
                     if quantiser.shape[1] == 1:
                         quantiser = np.ones(self.coefficients.shape, np.int32)
                     quantiser[f.base[c] : f.base[c] + rows * columns] = f.quant[f.quantisers[c]]

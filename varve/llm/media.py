@@ -3,7 +3,7 @@
 `stored` turns whole texts into media (one or more JPEG frames, one after the
 other), `tensors` gives the full-resolution RGB of each frame, `described`
 reads the stored bytes back and computes digests and features. Work is by row
-in slices of about a megabyte; a longer text takes more frames, so memory
+in slices of about two megabytes; a longer text takes more frames, so memory
 doesn't depend on the number of rows.
 """
 
@@ -22,7 +22,7 @@ from varve.llm.common import ship, slices, with_text
 
 UNIT = 64
 FRAME_BYTES = jpeg.FRAME_MCUS * jpeg.BLOCKS_PER_MCU * UNIT
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 2 << 20
 #: Brightness classes of the histogram in a feature.
 CLASSES = 8
 
