@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,3 +42,20 @@ def shared_dir(spark: SparkSession) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="spark-ship-")) / "varve_package.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for path in sorted((root / "varve").rglob("*.py")):
+            archive.write(path, path.relative_to(root))
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
