@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 from urllib.parse import urlparse
 
 import pyarrow as pa
@@ -16,37 +13,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varve.session import shared_dir
+from varve.session import ship as send_package
 
 #: Words are runs of bytes outside these (space and 9 to 13), in every operator here.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_shipped: set[str] = set()
-
 
 #: Rows and bytes of an Arrow batch, instead of Spark's defaults: texts are long.
 BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once for each application.
+    """Send the package to the executors and bound what a Python worker is handed at once.
 
-    Also bounds what a Python worker is handed at once, unless the session
-    already asks for less.
+    A session that already asks for smaller batches keeps them.
     """
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = spark.conf.get(key)
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[2]
-    target = Path(tempfile.mkdtemp(prefix="spark-ship-")) / "varve_package.zip"
-    with zipfile.ZipFile(target, "w") as archive:
-        for path in sorted((root / "varve").rglob("*.py")):
-            archive.write(path, path.relative_to(root))
-    context.addPyFile(str(target))
-    _shipped.add(context.applicationId)
+    send_package(spark)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
