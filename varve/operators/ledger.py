@@ -24,6 +24,11 @@ def folded(log: DataFrame) -> DataFrame:
     return out.withColumn("outcome", F.when(F.col("last").isNotNull(), F.col("last.fix")).otherwise(F.col("outcome"))).drop("last", "is_correction")
 
 
+def digits(x: Column) -> Column:
+    """Four digits; ties aren't left to the last bit of a sum."""
+    return F.round(F.round(x, 10), 4)
+
+
 def squared_error() -> Column:
     return F.pow(F.col("p") - F.col("outcome").cast("int"), F.lit(2))
 
@@ -31,7 +36,7 @@ def squared_error() -> Column:
 def brier(observations: DataFrame, cell: list[str]) -> DataFrame:
     """n, resolved and Brier score (4 digits; null if none is resolved) of each cell."""
     resolved = F.count("outcome")
-    return observations.groupBy(*cell).agg(F.count("*").alias("n"), resolved.alias("resolved"), F.round(F.avg(squared_error()), 4).alias("brier"))
+    return observations.groupBy(*cell).agg(F.count("*").alias("n"), resolved.alias("resolved"), digits(F.avg(squared_error())).alias("brier"))
 
 
 def report(observations: DataFrame, axes: dict[str, list[str]]) -> DataFrame:
@@ -39,7 +44,7 @@ def report(observations: DataFrame, axes: dict[str, list[str]]) -> DataFrame:
     columns = sorted({c for cell in axes.values() for c in cell})
     sets = [[F.col(c) for c in cell] for cell in axes.values()]
     marks = F.grouping_id(*columns)
-    out = observations.groupingSets(sets, *columns).agg(F.count("*").alias("n"), F.count("outcome").alias("resolved"), F.round(F.avg(squared_error()), 4).alias("brier"), marks.alias("_set"))
+    out = observations.groupingSets(sets, *columns).agg(F.count("*").alias("n"), F.count("outcome").alias("resolved"), digits(F.avg(squared_error())).alias("brier"), marks.alias("_set"))
     axis = F.lit(None)
     for name, cell in axes.items():
         axis = F.when(F.col("_set") == sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in cell), name).otherwise(axis)
@@ -50,7 +55,7 @@ def trust(scores: DataFrame) -> DataFrame:
     """Adds alpha (the score shrunk to the prior) and risk to a Brier table."""
     n = F.col("resolved")
     alpha = F.when(F.col("brier").isNull(), PRIOR).otherwise(n / (n + PSEUDO) * (1 - F.col("brier")) + PSEUDO / (n + PSEUDO) * PRIOR)
-    return scores.withColumn("alpha", F.round(alpha, 4)).withColumn("risk", F.coalesce("brier", F.lit(UNKNOWN_RISK)))
+    return scores.withColumn("alpha", digits(alpha)).withColumn("risk", F.coalesce("brier", F.lit(UNKNOWN_RISK)))
 
 
 def resolve_open(observations: DataFrame, facts: DataFrame, window_us: int) -> DataFrame:
