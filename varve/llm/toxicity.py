@@ -3,7 +3,8 @@
 Training uses a bounded sample of labelled rows (at most `most_toxic` and
 `most_ordinary` documents, those with the smallest md5 of the id):
 
-* the ordinary dictionary is ordinary text;
+* the ordinary dictionary is ordinary text, and in two rounds those ordinary
+  windows that still look toxic;
 * the toxic dictionary is what toxic text repeats and ordinary text doesn't:
   runs of 5-character fragments that are far more frequent in toxic
   documents, the most widespread ones last, where matches are cheapest. Its
@@ -37,6 +38,8 @@ FRAGMENT = 5
 ORDINARY_BYTES = 60_000
 TOXIC_BYTES = 6_000
 THRESHOLDS = (2, 4, 6)
+#: Rounds in which ordinary windows with a gain join the ordinary dictionary, and how many.
+HARD_ROUNDS, HARD_WINDOWS = 2, 400
 FOLDS, HELD_OUT = 5, 0
 
 _gap = re.compile(r"[\x20\x09-\x0D]+")
@@ -98,6 +101,14 @@ def features(text: str, plain: zstandard.ZstdCompressor, toxic: zstandard.ZstdCo
     return [gain.mean(), min(gain.max(), 12), min(top.mean(), 12), *((gain >= t).mean() for t in THRESHOLDS), min(np.log1p((gain >= THRESHOLDS[1]).sum()), 3)]
 
 
+def _with_hard_windows(model: ToxicityModel, texts: list[str]) -> bytes:
+    """The ordinary dictionary with the ordinary windows that look most toxic at its end."""
+    plain, toxic = model.compressors()
+    gains = [(len(plain.compress(w)) - len(toxic.compress(w)), w) for t in texts for w in windows(t)]
+    hard = sorted((g for g in gains if g[0] >= THRESHOLDS[0]), key=lambda g: -g[0])[:HARD_WINDOWS]
+    return (model.ordinary + b"".join(w for _, w in hard)[-ORDINARY_BYTES // 3 :])[-ORDINARY_BYTES * 3 // 2 :]
+
+
 def train(texts: list[str], labels: np.ndarray) -> ToxicityModel:
     """Dictionaries and curve from a sample. With one class only, score is its share."""
     labels = np.asarray(labels)
@@ -117,6 +128,8 @@ def train(texts: list[str], labels: np.ndarray) -> ToxicityModel:
     plain = b" ".join(" ".join(words(t)).encode()[:each] for t in ordinary[:600])[-ORDINARY_BYTES:]
     special = b"".join(r.encode() for r, n in sorted(runs.items(), key=lambda x: (x[1], x[0])) if n >= 2)[-TOXIC_BYTES:]
     model = ToxicityModel(plain, special, np.zeros(1), np.zeros(0), np.ones(0))
+    for k in range(HARD_ROUNDS):
+        model.ordinary = _with_hard_windows(model, ordinary[600 * k : 600 * (k + 2)])
     compressors = model.compressors()
     x = np.array([features(t, *compressors) for t in texts] or [features("", *compressors)])
     model.centre, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
