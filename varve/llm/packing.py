@@ -28,8 +28,8 @@ from varve.llm.common import ship, slices, with_text, written
 CAPACITY = 4096
 END_ID = 1
 GROUP_PIECES = 20_000
-#: Words whose ids a worker remembers.
-MEMO = 300_000
+#: Words of one generation of those whose ids a worker remembers; two are kept.
+GENERATION = 300_000
 
 _odd_space = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _stops = re.compile("(?<=[A-Za-z\xe0-\xf6\xf8-\xff])([.,;:!?]+)(?=[ \n])")
@@ -57,6 +57,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def cut(text: str) -> list[str] | None:
@@ -70,11 +71,13 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut(t) for t in texts]
-        new = {w for words in cut if words for w in words if w not in self.memo}
-        if len(self.memo) + len(new) > MEMO:
-            self.memo = {}
-            new = {w for words in cut if words for w in words}
-        listed = list(new)
+        if len(self.memo) > GENERATION:
+            # words that come up again move over, so common ones are never lost
+            self.memo, self.older = {}, self.memo
+        new = {w for words in cut if words for w in words}.difference(self.memo)
+        again = new.intersection(self.older)
+        self.memo.update((w, self.older[w]) for w in again)
+        listed = list(new - again)
         for word, made in zip(listed, self.tokenizer.encode_batch_fast(listed, add_special_tokens=False)):
             self.memo[word] = np.array(made.ids, dtype="<u4").tobytes()
         memo, out = self.memo, []
