@@ -174,3 +174,23 @@ def late_rows(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").withColumn("epoch_hour", F.expr("unix_micros(cast(ts AS timestamp)) div 3600000000"))
     fine, late = landing.split_late(e, e.agg(F.min("epoch_hour")).first()[0] + 300)
     return fine.agg(F.count("*").alias("n")).select(F.lit("landed").alias("kind"), "n").unionByName(late.agg(F.count("*").alias("n")).select(F.lit("late").alias("kind"), "n"))
+
+
+@query("a03_benchmark_columns", """WITH p AS (SELECT p_brand || '_' || p_size AS t, p_partkey AS r, p_name, CASE WHEN p_partkey % 4 = 0 THEN ' ' ELSE p_type END AS p_type FROM part), big AS (SELECT t FROM p GROUP BY 1 HAVING count(*) >= 2)
+SELECT regexp_replace(t, '_[0-9]+$', '') AS source_table, 'p_type' AS column_name, coalesce(array_to_string((list(p_type ORDER BY r) FILTER (trim(p_type) <> ''))[1:5], ','), '') AS sample, 'p_name' AS siblings, CASE WHEN t LIKE 'Brand#1%' AND regexp_replace(t, '_[0-9]+$', '') = 'Brand#1' THEN 'c1' END AS code
+FROM p WHERE t IN (SELECT t FROM big) GROUP BY t""")
+def benchmark_columns(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part").select(F.concat_ws("_", "p_brand", "p_size").alias("table"), F.col("p_partkey").alias("row"), "p_name", F.when(F.col("p_partkey") % 4 == 0, " ").otherwise(F.col("p_type")).alias("p_type"))
+    cells = p.unpivot(["table", "row"], ["p_name", "p_type"], "header", "value").withColumn("ordinal", F.when(F.col("header") == "p_name", 0).otherwise(1))
+    targets = cells.where("ordinal = 1").select("table", "ordinal").distinct()
+    found = files.benchmark_columns(cells, targets, spark.createDataFrame([("Brand#1.p_type", "c1")], "key string, code string"))
+    return found.select("source_table", "column_name", F.array_join("sample_values", ",").alias("sample"), F.array_join("sibling_columns", ",").alias("siblings"), "code")
+
+
+@query("a14_run_report", """WITH d AS (SELECT o_orderpriority AS code, o_orderkey % 7 = 0 AS n, o_orderkey % 10 / 10.0 AS k FROM orders)
+SELECT count(*) AS columns, round(avg(n::INT), 4) AS clarify, round(avg(k), 4) AS mean_conflict, (SELECT '{' || string_agg('"' || code || '":' || c, ',' ORDER BY code) || '}' FROM (SELECT code, count(*) AS c FROM d GROUP BY 1)) AS codes FROM d""")
+def run_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as classified columns, written with a fixed schema and reported on."""
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("code"), (F.col("o_orderkey") % 7 == 0).alias("needs_clarification"), (F.col("o_orderkey") % 10 / 10.0).alias("conflict"), F.col("o_orderkey").alias("left_out"))
+    schema = {"code": "string", "confidence": "double", "conflict": "double", "needs_clarification": "boolean"}
+    return files.run_report(files.write_classified(o, _folder(spark), schema))

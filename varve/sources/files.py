@@ -192,3 +192,40 @@ class Catalog:
             df.createOrReplaceTempView(name)
             names.append(name)
         return names
+
+
+def benchmark_columns(cells: DataFrame, targets: DataFrame, truth: DataFrame, first: int = 5, suffix: str = r"_[0-9]+$") -> DataFrame:
+    """Column records of a benchmark's target columns, with their code where the truth has one.
+
+    `cells` has table, row, ordinal, header, value; `targets` table and
+    ordinal; `truth` key ("table.header", the table without its number) and
+    code. Tables of fewer than two rows are left out; sample_values are the
+    first non-blank ones by row.
+    """
+    big = cells.groupBy("table").agg(F.countDistinct("row").alias("rows")).where("rows >= 2").select("table")
+    heads = cells.groupBy("table").agg(F.array_sort(F.collect_set(F.struct("ordinal", "header"))).alias("heads"))
+    wanted = cells.join(targets, ["table", "ordinal"], "left_semi").join(big, "table", "left_semi")
+    place = F.row_number().over(Window.partitionBy("table", "ordinal", "header").orderBy("row"))
+    values = wanted.where(F.trim("value") != "").withColumn("_n", place).where(F.col("_n") <= first)
+    sample = values.groupBy("table", "ordinal", "header").agg(F.array_sort(F.collect_list(F.struct("row", "value"))).alias("s"))
+    columns = wanted.select("table", "ordinal", "header").distinct().join(sample, ["table", "ordinal", "header"], "left").join(heads, "table")
+    name = F.regexp_replace("table", suffix, "")
+    out = columns.select(
+        name.alias("source_table"), F.col("header").alias("column_name"), F.coalesce(F.col("s.value"), F.array().cast("array<string>")).alias("sample_values"),
+        F.filter(F.col("heads.header"), lambda h: h != F.col("header")).alias("sibling_columns"), F.concat(name, F.lit("."), "header").alias("key"),
+    )
+    return out.join(truth, "key", "left")
+
+
+def write_classified(df: DataFrame, path: str, schema: dict[str, str]) -> DataFrame:
+    """Write the columns of a fixed schema, cast to its types; missing ones are null."""
+    have = set(df.columns)
+    df.select(*((F.col(c) if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in schema.items())).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def run_report(classified: DataFrame) -> DataFrame:
+    """One row: columns, share to clarify, mean conflict, and the distribution of codes as JSON."""
+    codes = classified.groupBy("code").agg(F.count("*").alias("n")).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "n"))))).alias("codes"))
+    figures = classified.agg(F.count("*").alias("columns"), F.round(F.avg(F.col("needs_clarification").cast("int")), 4).alias("clarify"), F.round(F.avg("conflict"), 4).alias("mean_conflict"))
+    return figures.join(codes)
