@@ -194,3 +194,17 @@ def run_report(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("code"), (F.col("o_orderkey") % 7 == 0).alias("needs_clarification"), (F.col("o_orderkey") % 10 / 10.0).alias("conflict"), F.col("o_orderkey").alias("left_out"))
     schema = {"code": "string", "confidence": "double", "conflict": "double", "needs_clarification": "boolean"}
     return files.run_report(files.write_classified(o, _folder(spark), schema))
+
+
+@query("g3_stream_liveness", """WITH l AS (SELECT user_id, max(event_id) AS heartbeat, arg_max(event_type, event_id) AS last FROM events GROUP BY 1), n AS (SELECT max(event_id) AS now FROM events)
+SELECT user_id, CASE WHEN last = 'error' THEN 'released' WHEN now >= heartbeat + 1000000 OR now - heartbeat >= 20 THEN 'lapsed' ELSE 'alive' END AS state FROM l, n""")
+def stream_liveness(spark: SparkSession, sf: str) -> DataFrame:
+    """Heartbeats through a stream; each micro-batch keeps the last of a lease, liveness is read off at a given time."""
+    from varve.operators import claims
+
+    stream, folder = _event_stream(spark, sf)
+    landing.land(stream.where("seq = 0"), f"{folder}/out", f"{folder}/state", transform=lambda b: tiers.latest(b, ["user_id"], ["event_id"]))
+    last = landing.landed(spark, f"{folder}/out", ["user_id"], ["event_id"])
+    now = last.agg(F.max("event_id")).first()[0]
+    leases = last.select("user_id", F.col("event_id").alias("heartbeat"), (F.col("event_type") == "error").alias("released"), (F.col("event_id") + 1_000_000).alias("horizon"), F.lit(20).alias("ttl"))
+    return claims.lease_state(leases, now).select("user_id", "state")
