@@ -9,7 +9,7 @@ from urllib.parse import urlparse
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varve.session import shared_dir
@@ -76,6 +76,12 @@ def with_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def below(cuts: Column, value: Column, count: int) -> Column:
+    """How many of `count` sorted cuts are less than the value, by bisection; count is 2 ** k - 1."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(count.bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.element_at(cuts, at + step) < value, step).otherwise(0))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each has about `most` bytes of text.
 

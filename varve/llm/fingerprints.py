@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varve.llm.common import ship, slices, with_text
+from varve.llm.common import below, ship, slices, with_text
 from varve.llm.near_dedup import near_duplicates
 from varve.llm.text import mix, shingles, word_hashes
 
@@ -62,7 +62,8 @@ def _neighbours(docs: DataFrame, parts: int) -> DataFrame:
     rows = docs.withColumn("tie", F.xxhash64("text"))
     number = F.col("doc_id").cast("double")
     cuts = sorted(set(rows.select(number.alias("n")).approxQuantile("n", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
-    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < number)) if cuts else F.lit(0)
+    count = (1 << len(cuts).bit_length()) - 1
+    place = below(F.array(*map(F.lit, cuts + [float("inf")] * (count - len(cuts)))), number, count) if cuts else F.lit(0)
     rows = rows.withColumn("part", F.coalesce(place, F.lit(0)) if cuts else place).withColumn("part", F.when(number.isNull(), -1).otherwise(F.col("part")))
     firsts = rows.groupBy("part").agg(F.min_by(F.struct("doc_id", "tie", "text"), F.struct("doc_id", "tie")).alias("first"))
     found = sorted(r.part for r in rows.select("part").distinct().collect())  # one number for each range

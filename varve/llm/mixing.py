@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varve.llm.common import WORD
+from varve.llm.common import WORD, below
 
 #: Weights by place of the source in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -67,7 +67,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     )
     cuts = [i / RANGES for i in range(1, RANGES)]
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.percentile_approx("key", cuts, 5_000).alias("cuts"))
-    place = F.size(F.filter("cuts", lambda c: c < F.col("key")))
+    place = below(F.col("cuts"), F.col("key"), RANGES - 1)
     salts = 16
     hint = F.broadcast if totals.select("source").count() <= BROADCAST_SOURCES else lambda df: df
     salt = F.pmod(F.xxhash64("tie"), F.lit(salts))
