@@ -64,7 +64,7 @@ def profile(sampled: DataFrame) -> DataFrame:
     rows = sampled.withColumn("len", F.length("value"))
     lengths = rows.groupBy(*KEY, "len").agg(F.count("*").alias("k"))
     total = F.sum("k").over(Window.partitionBy(*KEY))
-    entropy = lengths.withColumn("p", F.col("k") / total).groupBy(*KEY).agg(F.round(-F.sum(F.col("p") * F.log2("p")), 4).alias("entropy"))
+    entropy = lengths.withColumn("p", F.col("k") / total).groupBy(*KEY).agg(F.round(0.0 - F.sum(F.col("p") * F.log2("p")), 4).alias("entropy"))
     in_order = Window.partitionBy(*KEY).orderBy("place")
     rows = rows.withColumn("num", names.number("value")).withColumn("step", F.col("num") - F.lag("num").over(in_order))
     hits = [F.count_if(names.trimmed("value").rlike(p)).alias(f"_{name}") for name, p in names.PATTERNS.items()]

@@ -36,7 +36,7 @@ S = f"WITH {_CELLS}, {_COUNTS}, {_SAMPLE}"
 _HITS = ", ".join(f"count(*) FILTER (regexp_matches(trim(value), '{p}')) AS h_{n}" for n, p in names.PATTERNS.items())
 _STATS = f"""rows AS (SELECT *, length(value) AS len, CASE WHEN regexp_matches(trim(value), '{names.NUMBER}') THEN replace(trim(value), ',', '')::DOUBLE END AS num FROM sampled),
 steps AS (SELECT *, num - lag(num) OVER (PARTITION BY source_table, column_name ORDER BY place) AS step FROM rows),
-ent AS (SELECT source_table, column_name, round(-sum(p * log2(p)), 4) AS entropy FROM (SELECT source_table, column_name, len, count(*) / sum(count(*)) OVER (PARTITION BY source_table, column_name) AS p FROM rows GROUP BY source_table, column_name, len) GROUP BY ALL),
+ent AS (SELECT source_table, column_name, round(0.0 - sum(p * log2(p)), 4) AS entropy FROM (SELECT source_table, column_name, len, count(*) / sum(count(*)) OVER (PARTITION BY source_table, column_name) AS p FROM rows GROUP BY source_table, column_name, len) GROUP BY ALL),
 stats AS (SELECT source_table, column_name, count(*) AS "values", count(DISTINCT value) AS cardinality, round(avg(len), 2) AS avg_len, round(count(num) / count(*), 4) AS numeric_ratio,
   bool_or(contains(value, '.')) AS point, bool_and(coalesce(num = floor(num), false)) AS whole, max(step) - min(step) AS spread, list(value ORDER BY place) AS sample, {_HITS} FROM steps GROUP BY ALL),
 pat AS (SELECT *, list_filter([{", ".join(f"CASE WHEN h_{n} >= greatest(1, \"values\" // 3) THEN '{n}' END" for n in names.PATTERNS)}], lambda x: x IS NOT NULL) AS patterns FROM stats JOIN ent USING (source_table, column_name)),

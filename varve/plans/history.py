@@ -157,20 +157,20 @@ def corrections(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.folded(fx.ledger(spark, sf)).select("id", "outcome")
 
 
-@query("d24_brier", FOLD + "SELECT observer, state, engine_rev, count(*) AS n, count(outcome) AS resolved, round(round(avg((p - outcome::INT) * (p - outcome::INT)), 10), 4) AS brier FROM folded GROUP BY ALL")
+@query("d24_brier", FOLD + "SELECT observer, state, engine_rev, count(*) AS n, count(outcome) AS resolved, round(avg((p - outcome::INT) * (p - outcome::INT))::DECIMAL(18, 10), 4)::DOUBLE AS brier FROM folded GROUP BY ALL")
 def brier(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.brier(ledger.folded(fx.ledger(spark, sf)), ["observer", "state", "engine_rev"])
 
 
 @query("d25_report", FOLD + """SELECT CASE grouping_id(engine_rev, observer, state) WHEN 0 THEN 'both' WHEN 1 THEN 'method' ELSE 'implicit' END AS axis, engine_rev, observer, state,
-count(*) AS n, count(outcome) AS resolved, round(round(avg((p - outcome::INT) * (p - outcome::INT)), 10), 4) AS brier FROM folded GROUP BY GROUPING SETS ((engine_rev, observer), (engine_rev, state), (engine_rev, observer, state))""")
+count(*) AS n, count(outcome) AS resolved, round(avg((p - outcome::INT) * (p - outcome::INT))::DECIMAL(18, 10), 4)::DOUBLE AS brier FROM folded GROUP BY GROUPING SETS ((engine_rev, observer), (engine_rev, state), (engine_rev, observer, state))""")
 def report(spark: SparkSession, sf: str) -> DataFrame:
     axes = {"method": ["engine_rev", "observer"], "implicit": ["engine_rev", "state"], "both": ["engine_rev", "observer", "state"]}
     return ledger.report(ledger.folded(fx.ledger(spark, sf)), axes)
 
 
-@query("d26_trust", FOLD + """, b AS (SELECT observer, state, count(*) AS n, count(outcome) AS resolved, round(round(avg((p - outcome::INT) * (p - outcome::INT)), 10), 4) AS brier FROM folded GROUP BY ALL)
-SELECT *, round(round(CASE WHEN brier IS NULL THEN 0.5 ELSE resolved / (resolved + 2.0) * (1 - brier) + 2.0 / (resolved + 2.0) * 0.5 END, 10), 4) AS alpha, coalesce(brier, 0.5) AS risk FROM b""")
+@query("d26_trust", FOLD + """, b AS (SELECT observer, state, count(*) AS n, count(outcome) AS resolved, round(avg((p - outcome::INT) * (p - outcome::INT))::DECIMAL(18, 10), 4)::DOUBLE AS brier FROM folded GROUP BY ALL)
+SELECT *, round((CASE WHEN brier IS NULL THEN 0.5 ELSE resolved / (resolved + 2.0) * (1 - brier) + 2.0 / (resolved + 2.0) * 0.5 END)::DECIMAL(18, 10), 4)::DOUBLE AS alpha, coalesce(brier, 0.5) AS risk FROM b""")
 def trust(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.trust(ledger.brier(ledger.folded(fx.ledger(spark, sf)), ["observer", "state"]))
 

@@ -118,8 +118,8 @@ def contributions(spark: SparkSession, sf: str) -> DataFrame:
     return labels.top_contributions(e, [f"g{i // 8}" for i in range(64)], 3).withColumn("value", F.round("value", 5))
 
 
-@query("d38_cells", FOLD + """, b AS (SELECT observer, proposition % 5 AS site, CASE WHEN p < 0.3 THEN 'low' WHEN p < 0.7 THEN 'mid' ELSE 'high' END AS momentum, engine_rev, count(*) AS n, count(outcome) AS resolved, round(round(avg((p - outcome::INT) * (p - outcome::INT)), 10), 4) AS brier FROM folded GROUP BY ALL)
-SELECT *, round(round(CASE WHEN brier IS NULL THEN 0.5 ELSE resolved / (resolved + 2.0) * (1 - brier) + 1.0 / (resolved + 2.0) END, 10), 4) AS alpha, coalesce(brier, 0.5) AS risk FROM b""")
+@query("d38_cells", FOLD + """, b AS (SELECT observer, proposition % 5 AS site, CASE WHEN p < 0.3 THEN 'low' WHEN p < 0.7 THEN 'mid' ELSE 'high' END AS momentum, engine_rev, count(*) AS n, count(outcome) AS resolved, round(avg((p - outcome::INT) * (p - outcome::INT))::DECIMAL(18, 10), 4)::DOUBLE AS brier FROM folded GROUP BY ALL)
+SELECT *, round((CASE WHEN brier IS NULL THEN 0.5 ELSE resolved / (resolved + 2.0) * (1 - brier) + 1.0 / (resolved + 2.0) END)::DECIMAL(18, 10), 4)::DOUBLE AS alpha, coalesce(brier, 0.5) AS risk FROM b""")
 def cells(spark: SparkSession, sf: str) -> DataFrame:
     bucket = F.when(F.col("p") < 0.3, "low").when(F.col("p") < 0.7, "mid").otherwise("high")
     obs = ledger.folded(fx.ledger(spark, sf)).withColumn("site", F.col("proposition") % 5).withColumn("momentum", bucket)
