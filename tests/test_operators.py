@@ -163,3 +163,14 @@ def test_lifecycle(spark):
     row = tiers.consistency(left, cold, "event_id", "part").first()
     assert (row.hot_rows, row.settled_rows, row.shared, row.repeated, row.passed) == (800, 200, 0, 0, True)
     assert reduce(lambda n, r: n + (r.v == "new"), hot.collect(), 0) == 80
+
+
+def test_propagation_in_blocks_uses_every_source(spark, monkeypatch):
+    from varve.operators import labels
+
+    places = [-70, 0, 10, 900, 901, 50_000, None]
+    unit = [[float(i == k) for i in range(len(places))] for k in range(len(places))]
+    sources = spark.createDataFrame([(p, v, f"c{k}", 1.0) for k, (p, v) in enumerate(zip(places, unit))], "place long, vector array<double>, code string, confidence double")
+    targets = spark.createDataFrame([(k, v, None, None) for k, v in enumerate(unit)], "item long, vector array<double>, guess string, guess_confidence double")
+    monkeypatch.setattr(labels, "BROADCAST_SOURCES", 2)
+    assert {r.item: r.code for r in labels.propagate(targets, sources).collect()} == {k: f"c{k}" for k in range(len(places))}

@@ -38,13 +38,15 @@ def propagate(targets: DataFrame, sources: DataFrame, floor: float = 0.5, simila
     targets: item, vector (unit length), guess, guess_confidence; sources:
     place, vector, code, confidence. A target whose own guess disagrees with
     more than `floor` refuses that source. Sources are labels given directly,
-    not passed on; up to BROADCAST_SOURCES are broadcast, more go in blocks.
+    not passed on; up to BROADCAST_SOURCES are broadcast, more go in blocks by
+    a hash, so each source is in one block whatever its place.
     """
     n = sources.count()
     dot = F.aggregate(F.zip_with("vector", "of", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
     out = None
-    for block in range(0, max(n, 1), BROADCAST_SOURCES):
-        part = sources if n <= BROADCAST_SOURCES else sources.where((F.col("place") >= block) & (F.col("place") < block + BROADCAST_SOURCES))
+    blocks = max(1, -(-n // BROADCAST_SOURCES))
+    for block in range(blocks):
+        part = sources if blocks == 1 else sources.where(F.pmod(F.xxhash64("place", "code", "vector"), F.lit(blocks)) == block)
         both = targets.join(F.broadcast(part.select("place", F.col("vector").alias("of"), "code", "confidence")))
         both = both.withColumn("sim", dot).where((F.col("sim") >= similarity) & ~F.coalesce((F.col("guess") != F.col("code")) & (F.col("guess_confidence") > floor), F.lit(False)))
         best = both.groupBy("item").agg(F.min(F.struct("place", "code", (F.col("sim") * F.col("confidence")).alias("confidence"))).alias("best"))
