@@ -282,6 +282,19 @@ def test_model_is_a_distribution_and_odd_rows(odd, none):
     assert nothing.tokens == 0 and kneser_ney.scored(odd, nothing).count() == 10
 
 
+def test_a_frequent_context_is_dealt_out(spark, monkeypatch):
+    rows = [(i, " ".join(f"the x{i}y{k}" for k in range(400))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    whole = {r.doc_id: r for r in kneser_ney.held_out_scores(docs).collect()}
+    monkeypatch.setattr(kneser_ney, "PART_BYTES", 8_000)
+    monkeypatch.setattr(kneser_ney, "TASK_PAIRS", 3_000)
+    model = kneser_ney.fit(docs.select("text"))
+    sizes = [len(found[0]) if (found := model.arrays()[1].part(i)) else 0 for i in range(model.parts)]
+    assert model.parts == 64 and sum(sizes) == model.pairs and max(sizes) <= 4 * sum(sizes) / model.parts
+    for r in kneser_ney.held_out_scores(docs).collect():
+        assert r[:5] == whole[r.doc_id][:5] and r.score == pytest.approx(whole[r.doc_id].score)
+
+
 # --- op6
 
 

@@ -2,11 +2,12 @@
 
 Counting: tasks turn whole texts into (context, token) hash pairs, sum equal
 pairs and deal them out by the top bits of the context's hash, one row of
-packed arrays for each part. A part is merged in one group; since a part is a
-range of hashes and their number grows with the text, its size is bounded. A
-part knows all successors of its contexts: counts, totals and how many
-successors occur once, twice or more often. How many contexts a token follows
-is dealt out again by the token's hash.
+packed arrays for each part. A context with a part's worth of tokens or more
+is found beforehand and dealt out in pieces by a salt from the pair's hash, so
+no part holds much more than its share, however skewed the text is. A part
+sums its pairs; what it knows of a context (total, how many successors occur
+once, twice or more often) and how many contexts a token follows are partial
+sums that are dealt out again by the word's hash and added up.
 
 The model lies in the shared folder as sorted arrays of 64-bit hashes beside
 arrays of values. Workers map the files and look up the sorted distinct
@@ -65,10 +66,38 @@ def _part(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
 
 
-def pair_key(context: np.ndarray, token: np.ndarray, bits: int) -> np.ndarray:
-    """64 bits for a pair; the top bits are the context's, so keys sort by part."""
+@dataclass(frozen=True)
+class Hot:
+    """Sorted hashes of frequent contexts; each is dealt out in masks + 1 pieces, a power of two."""
+
+    words: np.ndarray
+    masks: np.ndarray
+
+    def mask(self, context: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(context), np.uint64)
+        at = np.minimum(np.searchsorted(self.words, context), len(self.words) - 1)
+        return np.where(self.words[at] == context, self.masks[at], _U(0))
+
+
+COLD = Hot(np.empty(0, np.uint64), np.empty(0, np.uint64))
+
+
+def _spans(words: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(part, from, to) of sorted hashes."""
+    part = _part(words, bits)
+    cut = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)]
+    return [(int(part[a]), a, b) for a, b in zip(cut[:-1], cut[1:])]
+
+
+def pair_key(context: np.ndarray, token: np.ndarray, bits: int, hot: Hot = COLD) -> np.ndarray:
+    """64 bits for a pair; the top bits are the part: the context's, or for a hot one those of a piece."""
     key = mix(context * _U(0x9E3779B97F4A7C15) + token)
-    return (context >> _U(64 - bits) << _U(64 - bits)) | (key >> _U(bits)) if bits else key
+    if not bits:
+        return key
+    mask = hot.mask(context)
+    top = np.where(mask > 0, mix(context + (key & mask)), context) if len(hot.words) else context
+    return (top >> _U(64 - bits) << _U(64 - bits)) | (key >> _U(bits))
 
 
 def _summed(context: np.ndarray, token: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,16 +122,63 @@ def _save(path: str, values: np.ndarray) -> None:
     publish(path, out.getvalue())
 
 
-def _count(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+def _frequent(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """(word, n) of contexts with half a part's share of a block's tokens or more; for null, all tokens."""
+    held: list[np.ndarray] = []
+    size = 0
+
+    def rows() -> pa.RecordBatch:
+        context = np.concatenate(held)
+        least = len(context) / (2 * parts)
+        bucket = (context >> _U(48)).astype(np.int64)
+        full = np.bincount(bucket, minlength=1 << 16) >= least
+        word, n = np.unique(context[full[bucket]], return_counts=True)
+        word, n = word[n >= least], n[n >= least]
+        return pa.RecordBatch.from_arrays([pa.array([None, *word.view(np.int64).tolist()], pa.int64()), pa.array([len(context), *n.tolist()], pa.int64())], names=["word", "n"])
+
+    for batch in slices(batches, most=SLICE_BYTES):
+        held.append(token_pairs(batch.column("text"))[0])
+        size += len(held[-1])
+        if size >= TASK_PAIRS:
+            yield rows()
+            held, size = [], 0
+    if size:
+        yield rows()
+
+
+def _hot(texts: DataFrame, bits: int) -> Hot:
+    """All contexts with a part's share of the tokens or more.
+
+    A block leaves out less than half a part's share of its tokens for each
+    word, so such a context keeps half a share in the sum; no more than twice
+    as many words as there are parts can have that.
+    """
+    if not bits:
+        return COLD
+    parts = 1 << bits
+    counts = texts.select("text").mapInArrow(lambda batches: _frequent(batches, parts), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = counts.orderBy(F.desc("n"), "word").limit(2 * parts + 1).collect()
+    total = next((r.n for r in found if r.word is None), 0)
+    share = {r.word: r.n * 2 * parts / total for r in found if r.word is not None and r.n * 2 * parts >= total}
+    words = np.array(sorted(share), np.int64)
+    masks = np.array([(1 << math.ceil(math.log2(share[w])) + 1) - 1 for w in words.tolist()], np.uint64)
+    order = np.argsort(words.view(np.uint64))
+    return Hot(words.view(np.uint64)[order], masks[order])
+
+
+def _count(batches: Iterator[pa.RecordBatch], bits: int, hot: Hot) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
     def rows() -> pa.RecordBatch:
         context, token = (np.concatenate(x) for x in zip(*held))
         context, token, n = _summed(context, token, np.ones(len(context), np.int64))
-        first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+        part = _part(pair_key(context, token, bits, hot), bits)
+        order = np.argsort(part.astype(np.uint16 if bits <= 16 else np.uint32), kind="stable")
+        context, token, n, part = context[order], token[order], n[order], part[order]
+        first = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (part[1:] != part[:-1])])
         run = np.diff(np.r_[first, len(context)])
-        part = _part(context[first], bits)
+        part = part[first]
         cut = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)]
         pair_cut = np.r_[first, len(context)][cut]
         spans = list(zip(cut[:-1], cut[1:], pair_cut[:-1], pair_cut[1:]))
@@ -128,21 +204,21 @@ def _count(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBa
         yield rows()
 
 
-def _merge_pairs(group: pa.Table, place: str, bits: int) -> pa.Table:
+def _merge_pairs(group: pa.Table, place: str, bits: int, hot: Hot) -> pa.Table:
     part = group["part"][0].as_py()
     context = np.repeat(_unpack(group["word"], "<u8"), _unpack(group["run"], "<u4"))
     context, token, n = _summed(context, _unpack(group["next"], "<u8"), _unpack(group["n"], "<u4").astype(np.int64))
-    key = pair_key(context, token, bits)
+    key = pair_key(context, token, bits, hot)
     order = np.argsort(key)
     _save(f"{place}/pairs-{part}.key.npy", key[order])
     _save(f"{place}/pairs-{part}.n.npy", n[order].astype("<u4"))
     first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-    own = {k: np.add.reduceat(x, first) for k, x in (("total", n), ("once", n == 1), ("twice", n == 2), ("more", n > 2))} if len(first) else {}
+    own = {k: np.add.reduceat(x, first, dtype=np.int64) for k, x in (("total", n), ("once", n == 1), ("twice", n == 2), ("more", n > 2))}
+    word = context[first]
+    rows = [{"part": part, **{f"c{i}": int((n == i).sum()) for i in range(1, 5)}}]
+    rows += [{"part": i, "word": _pack(word[a:b], "<u8"), "total": _pack(own["total"][a:b], "<i8"), **{k: _pack(own[k][a:b], "<u4") for k in ("once", "twice", "more")}} for i, a, b in _spans(word, bits)]
     follows, contexts = np.unique(token, return_counts=True)
-    target = _part(follows, bits)
-    cut = np.r_[np.flatnonzero(np.r_[True, target[1:] != target[:-1]]), len(target)]
-    rows = [{"part": part, "word": _pack(context[first], "<u8"), "total": _pack(own["total"], "<i8"), **{k: _pack(own[k], "<u4") for k in ("once", "twice", "more")}, **{f"c{i}": int((n == i).sum()) for i in range(1, 5)}}]
-    rows += [{"part": int(target[a]), "next": _pack(follows[a:b], "<u8"), "contexts": _pack(contexts[a:b], "<u4")} for a, b in zip(cut[:-1], cut[1:])]
+    rows += [{"part": i, "next": _pack(follows[a:b], "<u8"), "contexts": _pack(contexts[a:b], "<u4")} for i, a, b in _spans(follows, bits)]
     return pa.Table.from_pylist(rows, schema=_arrow(_MERGED))
 
 
@@ -152,14 +228,14 @@ def _merge_words(group: pa.Table, place: str) -> pa.Table:
     key = np.unique(np.concatenate([word, follows]))
     value = np.zeros(len(key), dtype=_WORD)
     at = np.searchsorted(key, word)
-    value["total"][at] = _unpack(group["total"], "<i8")
+    np.add.at(value["total"], at, _unpack(group["total"], "<i8"))
     for name in ("once", "twice", "more"):
-        value[name][at] = _unpack(group[name], "<u4")
+        np.add.at(value[name], at, _unpack(group[name], "<u4"))
     np.add.at(value["contexts"], np.searchsorted(key, follows), _unpack(group["contexts"], "<u4"))
     _save(f"{place}/words-{part}.key.npy", key)
     _save(f"{place}/words-{part}.value.npy", value)
     # START stands for END among contexts: it occurs once in each text as well
-    sums = {"tokens": int(value["total"].sum()), "words": len(word), "pairs": int(value["contexts"].sum())}
+    sums = {"tokens": int(value["total"].sum()), "words": int((value["total"] > 0).sum()), "pairs": int(value["contexts"].sum())}
     sums |= {f"c{i}": sum(x or 0 for x in group[f"c{i}"].to_pylist()) for i in range(1, 5)}
     sums |= {f"u{i}": int((value["contexts"] == i).sum()) for i in range(1, 5)}
     return pa.Table.from_pylist([sums], schema=_arrow(_SUMS))
@@ -222,6 +298,7 @@ class KneserNey:
     pair_discounts: tuple[float, float, float]
     word_discounts: tuple[float, float, float]
     word_rest: float
+    hot: Hot
 
     def score(self, texts: pa.Array, arrays: tuple[Arrays, Arrays]) -> tuple[np.ndarray, ...]:
         """(n_tokens, n_known, base, model) of each text, log10."""
@@ -241,7 +318,7 @@ class KneserNey:
         d = self.pair_discounts
         rest = np.where(entry["total"] > 0, (d[0] * entry["once"] + d[1] * entry["twice"] + d[2] * entry["more"]) / np.maximum(entry["total"], 1), 1.0)
         token_at, context_at = where[: len(token)], where[len(token) :]
-        keys, pair_at = np.unique(pair_key(context, token, arrays[1].bits), return_inverse=True)
+        keys, pair_at = np.unique(pair_key(context, token, arrays[1].bits, self.hot), return_inverse=True)
         n = arrays[1].find(keys, np.dtype("<u4"))[pair_at].astype(np.int64)
         higher = np.maximum(n - np.array([0, *d])[np.minimum(n, 3)], 0) / np.maximum(entry["total"][context_at], 1)
         model = np.log10(higher + rest[context_at] * lower[token_at])
@@ -259,14 +336,15 @@ def fit(texts: DataFrame) -> KneserNey:
     place = mounted(shared_folder(spark, "ngrams"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(24, max(0, math.ceil(math.log2(max(1, size / PART_BYTES)))))
-    pairs = texts.select("text").mapInArrow(lambda batches: _count(batches, bits), _PACKED)
-    merged = pairs.groupBy("part").applyInArrow(lambda group: _merge_pairs(group, place, bits), _MERGED)
+    hot = _hot(texts, bits)
+    pairs = texts.select("text").mapInArrow(lambda batches: _count(batches, bits, hot), _PACKED)
+    merged = pairs.groupBy("part").applyInArrow(lambda group: _merge_pairs(group, place, bits, hot), _MERGED)
     sums = merged.groupBy("part").applyInArrow(lambda group: _merge_words(group, place), _SUMS)
     total = sums.agg(*(F.coalesce(F.sum(f.name), F.lit(0)).alias(f.name) for f in sums.schema)).first()
     pair_discounts, word_discounts = (discounts(*(total[f"{k}{i}"] for i in range(1, 5))) for k in "cu")
     more = total["words"] - total["u1"] - total["u2"]
     rest = (word_discounts[0] * total["u1"] + word_discounts[1] * total["u2"] + word_discounts[2] * more) / total["pairs"] if total["pairs"] else 1.0
-    return KneserNey(place, 1 << bits, total["tokens"], total["words"], total["pairs"], pair_discounts, word_discounts, rest)
+    return KneserNey(place, 1 << bits, total["tokens"], total["words"], total["pairs"], pair_discounts, word_discounts, rest, hot)
 
 
 def scored(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
