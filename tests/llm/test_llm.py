@@ -235,6 +235,18 @@ def test_literals_reach_sensitive_names(text, found):
     assert [text[a:b] for a, b in secret_scan.literals(text)] == found
 
 
+def test_long_chains_and_names_reach_sensitive_names():
+    parts = [f"Zx{i}kQ" for i in range(12)]
+    for text in (f"a = {' + '.join(map(repr, parts))}\npassword = a", "\n".join([f"a = '{parts[0]}'", *(f"a = a + '{p}'" for p in parts[1:]), "password = a"])):
+        assert [text[a:b] for a, b in secret_scan.literals(text)] == parts
+        assert not any(p in secret_scan.redact(text) for p in parts)
+    for name in ("n" * 300, "$" + "ab_9." * 60 + "z"):
+        text = f"{name} = 'Zx81kfQp9'\npassword = {name}"
+        assert [text[a:b] for a, b in secret_scan.literals(text)] == ["Zx81kfQp9"]
+    text = "a = 'Zx81kfQp9'\n" + "a = a + a\n" * 3000 + "password = a\n" + "x" * 300_000 + " a1-" * 50_000
+    assert [text[a:b] for a, b in secret_scan.literals(text)] == ["Zx81kfQp9"]
+
+
 def test_secrets_of_odd_rows(odd, none):
     rows = secret_scan.secrets(odd).collect()
     assert len(rows) == 10 and rows[0].base_sha256 == hashlib.sha256(b"").hexdigest()

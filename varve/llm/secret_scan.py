@@ -41,10 +41,15 @@ PLACEHOLDERS = re.compile(r"(?i)^(?:your|my|example|change|insert|todo|none|null
 LEAST_SCORE, LEAST_LENGTH = 0.6, 8
 
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-_STATEMENT = re.compile(
-    r"""(?P<name>[A-Za-z_$][A-Za-z0-9_$.\-]{0,79}|"[^"\n]{1,80}"|'[^'\n]{1,80}')\x20*(?::=|=>|=(?![=~])|:(?![:/]))\x20*(?P<value>"""
+_WORD_NAME = r"[0-9.\-]*+(?P<name>[A-Za-z_$][A-Za-z0-9_$.\-]*+)"
+_ASSIGNED = (
+    r"""\x20*(?::=|=>|=(?![=~])|:(?![:/]))\x20*(?P<value>"""
     r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[^\s"',;+]+)(?:\x20*\+\x20*(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z_][A-Za-z0-9_.]*))*)"""
 )
+#: A name without quotes starts with its run of characters, so a long run is gone through once.
+_STATEMENT = re.compile(rf"""(?:(?<![A-Za-z0-9_$.\-]){_WORD_NAME}|(?P<quoted>"[^"\n]++"|'[^'\n]++')){_ASSIGNED}""")
+#: The same where the last statement ended within a run.
+_REST = re.compile(_WORD_NAME + _ASSIGNED)
 _TERM = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([^\s"',;+]+)""")
 _NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.]*\Z")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -57,36 +62,96 @@ def sensitivity(name: str) -> float:
     return max(best, 0.9 if any(pair in SENSITIVE_PAIRS for pair in zip(parts, parts[1:])) else 0.0)
 
 
-def randomness(literal: str) -> float:
+def randomness(counts: dict[str, float]) -> float:
     """0 to 1 from the entropy of characters and the kinds of characters mixed."""
-    n = len(literal)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
-    kinds = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    n, characters = sum(counts.values()), "".join(counts)
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values() if c)
+    kinds = sum(bool(re.search(p, characters)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     return min(1.0, entropy / 4) * min(1.0, (1 + kinds) / 3)
 
 
+def _statements(text: str) -> Iterator[tuple[str, tuple[int, int]]]:
+    """(name, span of the value) of each assignment."""
+    at = 0
+    while found := _STATEMENT.search(text, at):
+        while found:
+            yield found["name"] or found["quoted"].strip("\"'"), found.span("value")
+            at = found.end()
+            found = _REST.match(text, at)
+
+
+class Values:
+    """Concatenated values of names: each is a list of spans and of earlier values, which are shared.
+
+    What is asked of a value is worked out once, from its pieces, so chains of
+    any length and values that double themselves take no more than their text.
+    """
+
+    #: Characters that decide whether a value is a placeholder; counts beyond the square of HEAVY are divided by it.
+    START, HEAVY = 16, 1e100
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.pieces: list[list[tuple[int, int] | int]] = []
+        self.known: dict[int, tuple[str, dict[str, float]]] = {}
+        self.reported: set[int] = set()
+
+    def add(self, pieces: list[tuple[int, int] | int]) -> int:
+        self.pieces.append(pieces)
+        return len(self.pieces) - 1
+
+    def summary(self, value: int) -> tuple[str, dict[str, float]]:
+        """The first characters, and how often each character occurs."""
+        todo = [value]
+        while todo:
+            if (of := todo[-1]) in self.known:
+                todo.pop()
+            elif missing := [p for p in self.pieces[of] if isinstance(p, int) and p not in self.known]:
+                todo += missing
+            else:
+                start, counts = "", {}
+                for piece in self.pieces[of]:
+                    first, more = self.known[piece] if isinstance(piece, int) else (self.text[piece[0] : min(piece[1], piece[0] + self.START)], Counter(self.text[piece[0] : piece[1]]))
+                    start = (start + first)[: self.START] if len(start) < self.START else start
+                    for c, n in more.items():
+                        counts[c] = counts.get(c, 0) + n
+                if sum(counts.values()) > self.HEAVY**2:
+                    counts = {c: n / self.HEAVY for c, n in counts.items()}
+                self.known[of] = start, counts
+        return self.known[value]
+
+    def report(self, value: int) -> Iterator[tuple[int, int]]:
+        """All spans of a value that no earlier call gave."""
+        todo = [value]
+        while todo:
+            if (of := todo.pop()) not in self.reported:
+                self.reported.add(of)
+                todo += [p for p in self.pieces[of] if isinstance(p, int)]
+                yield from (p for p in self.pieces[of] if not isinstance(p, int) and p[0] < p[1])
+
+
 def literals(text: str) -> list[tuple[int, int]]:
     """Spans of the literals that reach a sensitive name with a good score."""
     if "=" not in text and ":" not in text:
         return []
-    known: dict[str, tuple[tuple[int, int], ...]] = {}
+    values = Values(text)
+    known: dict[str, int] = {}
     found: set[tuple[int, int]] = set()
-    for statement in _STATEMENT.finditer(text):
-        name, spans = statement["name"].strip("\"'"), []
-        for term in _TERM.finditer(text, *statement.span("value")):
+    for name, span in _statements(text):
+        pieces: list[tuple[int, int] | int] = []
+        for term in _TERM.finditer(text, *span):
             if term[3] is None:
-                spans.append(term.span(1) if term[1] is not None else term.span(2))
+                pieces.append(term.span(1) if term[1] is not None else term.span(2))
             elif _NAME.match(term[3]) and term[3] in known:
-                spans.extend(known[term[3]])
+                pieces.append(known[term[3]])
             elif len(term[3]) >= LEAST_LENGTH and re.search(r"[0-9]", term[3]):
-                spans.append(term.span(3))  # configuration without quotes
-        known[name] = tuple(spans[-8:])
-        weight = sensitivity(name)
-        if not spans or not weight:
+                pieces.append(term.span(3))  # configuration without quotes
+        known[name] = value = values.add(pieces)
+        if not (weight := sensitivity(name)):
             continue
-        value = "".join(text[a:b] for a, b in spans)
-        if len(value) >= LEAST_LENGTH and not PLACEHOLDERS.match(value) and not re.search(r"\s", value) and weight * (0.4 + 0.6 * randomness(value)) >= LEAST_SCORE:
-            found.update(s for s in spans if s[0] < s[1])
+        start, counts = values.summary(value)
+        if sum(counts.values()) >= LEAST_LENGTH and not PLACEHOLDERS.match(start) and not re.search(r"\s", "".join(counts)) and weight * (0.4 + 0.6 * randomness(counts)) >= LEAST_SCORE:
+            found.update(values.report(value))
     return sorted(found)
 
 
