@@ -479,6 +479,18 @@ def test_toxicity_on_planted_words(spark):
     assert all(0 <= x.score <= 1 for x in got.values())
 
 
+def test_ordinary_dictionary_sees_the_whole_sample(monkeypatch):
+    r = random.Random(4)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(10)) for _ in range(700)]
+    model = toxicity.train(texts + ["vile zorgon text"] * 5, np.array([0] * 700 + [1] * 5))
+    assert all(f" {w} ".encode() in model.ordinary for w in (texts[0].split()[-1], texts[-1].split()[0], texts[-1].split()[-1]))
+    runs = ["zorgon", "vexquil", "brathmul", "krungvok", "plimtaz", "dwerrop"]
+    found = [f" {' '.join(runs[:k])} {''.join(r.choice('abcdefgh') for _ in range(60))} ".encode() for k in (1, 2, 3, 4, 5, 6)]
+    monkeypatch.setattr(toxicity, "ORDINARY_BYTES", 3 * len(found[-1]))
+    model = toxicity.ToxicityModel(b"ordinary text of the sample ", " ".join(runs).encode(), np.zeros(1), np.zeros(0), np.ones(0))
+    assert toxicity._with_hard_windows(model, found) == model.ordinary + found[-1]
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     marks = spark.createDataFrame([(3, 0), (4, 1), (None, 1), (7, None)], "doc_id long, toxic int")
     assert toxicity.toxicity(odd, marks).count() == 10

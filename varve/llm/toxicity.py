@@ -3,8 +3,9 @@
 Training uses a bounded sample of labelled rows (at most `most_toxic` and
 `most_ordinary` documents, those with the smallest md5 of the id):
 
-* the ordinary dictionary is ordinary text, and in two rounds those ordinary
-  windows that still look toxic;
+* the ordinary dictionary is trained by zstandard on all windows of the
+  ordinary sample (the windows themselves if they fit), and in two rounds
+  over the whole sample those ordinary windows that still look most toxic join;
 * the toxic dictionary is what toxic text repeats and ordinary text doesn't:
   runs of 5-character fragments that are far more frequent in toxic
   documents, the most widespread ones last, where matches are cheapest. Its
@@ -12,7 +13,7 @@ Training uses a bounded sample of labelled rows (at most `most_toxic` and
   what is toxic.
 
 A window of 16 words is compressed with both; the gain is the difference of
-the two lengths. A document's gains (mean, largest, share above calibrated
+the two lengths. A document's gains (mean, largest, share above fixed
 thresholds) go through a logistic curve fitted on the training sample.
 Scoring takes all windows of the whole text.
 """
@@ -40,6 +41,8 @@ TOXIC_BYTES = 6_000
 THRESHOLDS = (2, 4, 6)
 #: Rounds in which ordinary windows with a gain join the ordinary dictionary, and how many.
 HARD_ROUNDS, HARD_WINDOWS = 2, 400
+#: Length of the segments that dictionary training chooses.
+DICTIONARY_K = 64
 FOLDS, HELD_OUT = 5, 0
 
 _gap = re.compile(r"[\x20\x09-\x0D]+")
@@ -101,12 +104,21 @@ def features(text: str, plain: zstandard.ZstdCompressor, toxic: zstandard.ZstdCo
     return [gain.mean(), min(gain.max(), 12), min(top.mean(), 12), *((gain >= t).mean() for t in THRESHOLDS), min(np.log1p((gain >= THRESHOLDS[1]).sum()), 3)]
 
 
-def _with_hard_windows(model: ToxicityModel, texts: list[str]) -> bytes:
-    """The ordinary dictionary with the ordinary windows that look most toxic at its end."""
+def _with_hard_windows(model: ToxicityModel, found: list[bytes]) -> bytes:
+    """The ordinary dictionary with the ordinary windows that look most toxic at its end, the hardest last."""
     plain, toxic = model.compressors()
-    gains = [(len(plain.compress(w)) - len(toxic.compress(w)), w) for t in texts for w in windows(t)]
+    gains = [(len(plain.compress(w)) - len(toxic.compress(w)), w) for w in found]
     hard = sorted((g for g in gains if g[0] >= THRESHOLDS[0]), key=lambda g: -g[0])[:HARD_WINDOWS]
-    return (model.ordinary + b"".join(w for _, w in hard)[-ORDINARY_BYTES // 3 :])[-ORDINARY_BYTES * 3 // 2 :]
+    sizes = np.cumsum([len(w) for _, w in hard] or [0])
+    kept = [w for (_, w), size in zip(hard, sizes) if size <= ORDINARY_BYTES // 3]
+    return model.ordinary + b"".join(reversed(kept))
+
+
+def _dictionary(found: list[bytes]) -> bytes:
+    """ORDINARY_BYTES trained on all windows; fewer bytes than that are the dictionary themselves."""
+    if sum(map(len, found)) <= ORDINARY_BYTES:
+        return b"".join(found)
+    return zstandard.train_dictionary(ORDINARY_BYTES, found, k=DICTIONARY_K, d=8).as_bytes()
 
 
 def train(texts: list[str], labels: np.ndarray) -> ToxicityModel:
@@ -115,21 +127,21 @@ def train(texts: list[str], labels: np.ndarray) -> ToxicityModel:
     toxic, ordinary = [t for t, y in zip(texts, labels) if y], [t for t, y in zip(texts, labels) if not y]
     vocabulary = [set(words(t)) for t in toxic]
     in_toxic, in_ordinary = Counter(), Counter()
-    for found in vocabulary:
-        in_toxic.update({f for w in found for f in _fragments(w)})
+    for some in vocabulary:
+        in_toxic.update({f for w in some for f in _fragments(w)})
     for text in ordinary:
         in_ordinary.update({f for w in set(words(text)) for f in _fragments(w)})
     rate = len(toxic) / max(1, len(ordinary))
     wanted = {f for f, n in in_toxic.items() if n >= 3 and n >= 8 * rate * (in_ordinary[f] + 0.5)}
     runs: Counter[str] = Counter()
-    for found in vocabulary:
-        runs.update({r for w in found for r in _runs(w, wanted)})
-    each = ORDINARY_BYTES // max(1, min(len(ordinary), 600)) + 1
-    plain = b" ".join(" ".join(words(t)).encode()[:each] for t in ordinary[:600])[-ORDINARY_BYTES:]
+    for some in vocabulary:
+        runs.update({r for w in some for r in _runs(w, wanted)})
+    found = [w for t in ordinary for w in windows(t)]
+    plain = _dictionary(found)
     special = b"".join(r.encode() for r, n in sorted(runs.items(), key=lambda x: (x[1], x[0])) if n >= 2)[-TOXIC_BYTES:]
     model = ToxicityModel(plain, special, np.zeros(1), np.zeros(0), np.ones(0))
-    for k in range(HARD_ROUNDS):
-        model.ordinary = _with_hard_windows(model, ordinary[600 * k : 600 * (k + 2)])
+    for _ in range(HARD_ROUNDS):
+        model.ordinary = _with_hard_windows(model, found)
     compressors = model.compressors()
     x = np.array([features(t, *compressors) for t in texts] or [features("", *compressors)])
     model.centre, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
