@@ -174,3 +174,11 @@ def test_propagation_in_blocks_uses_every_source(spark, monkeypatch):
     targets = spark.createDataFrame([(k, v, None, None) for k, v in enumerate(unit)], "item long, vector array<double>, guess string, guess_confidence double")
     monkeypatch.setattr(labels, "BROADCAST_SOURCES", 2)
     assert {r.item: r.code for r in labels.propagate(targets, sources).collect()} == {k: f"c{k}" for k in range(len(places))}
+
+
+@pytest.mark.parametrize(("name", "source", "key", "folds"), [("m1_lexical", "documents", "doc_id", 10), ("m2_forest", "embeddings", "vec_id", 5)])
+def test_models_return_a_row_for_every_item(spark, sf, name, source, key, folds):
+    from varve import registry
+
+    found = sorted((r[0], r.held_out) for r in registry.queries()[name](spark, sf).collect())
+    assert found == sorted((r[0], r[0] % folds == 0) for r in spark.read.parquet(f"{sf}/{source}.parquet").select(key).collect())

@@ -128,12 +128,12 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("m1_lexical")
 def lexical(spark: SparkSession, sf: str) -> DataFrame:
-    """The language of documents from their text, trained on nine tenths of the ids."""
-    d = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "lang", "text")
-    model = models.lexical(d.where("doc_id % 10 <> 0"), "lang")
-    scored = model.transform(d.where("doc_id % 10 = 0").withColumn("_weight", F.lit(1.0)))
+    """The language of each document from its text (null: empty), trained on nine tenths of the ids; the others are held out."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    model = models.lexical(d.where("text IS NOT NULL AND doc_id % 10 <> 0"), "lang")
+    scored = model.transform(d.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_weight", F.lit(1.0)))
     names = model.stages[0].labels
-    return scored.select("doc_id", "lang", F.element_at(F.array(*map(F.lit, names)), (F.col("prediction") + 1).cast("int")).alias("code"))
+    return scored.select("doc_id", "lang", F.element_at(F.array(*map(F.lit, names)), (F.col("prediction") + 1).cast("int")).alias("code"), F.expr("coalesce(doc_id % 10 = 0, true)").alias("held_out"))
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,8 +145,8 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
 def forest(spark: SparkSession, sf: str) -> DataFrame:
     f = _features(spark, sf).select("item", "features", "code")
     model = models.forest(f.where("item % 5 <> 0"), "code")
-    truth = f.select("item", F.col("code").alias("truth"))
-    return models._predict(model, f.where("item % 5 = 0")).select("item", "code", F.round("confidence", 6).alias("confidence")).join(truth, "item")
+    scored = models._predict(model, f.withColumn("truth", F.col("code")))
+    return scored.select("item", "code", F.round("confidence", 6).alias("confidence"), "truth", F.expr("coalesce(item % 5 = 0, true)").alias("held_out"))
 
 
 @query("m3_folds", "SELECT doc_id, quality, (row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id::VARCHAR)) - 1) % 5 AS fold FROM labels")
