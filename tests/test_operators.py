@@ -130,6 +130,78 @@ def test_fusion_equals_brute_force(spark, sources):
     assert sum(found.values()) == pytest.approx(1)
 
 
+def test_many_sources_are_no_total_conflict(spark):
+    sources = [{"a": 0.95, "*": 0.05} if n % 2 else {"b": 0.95, "*": 0.05} for n in range(24)] + [{"a|c": 0.4, "*": 0.6}]
+    rows = [("i", f"s{n}", f, float(m)) for n, masses in enumerate(sources) for f, m in masses.items()]
+    got = evidence.fuse(spark.createDataFrame(rows, "item string, source string, focal string, mass double")).collect()
+    # brute force with every step made relative to what is left
+    everything, total, left = frozenset("abcd"), {frozenset("abcd"): 1.0}, 1.0
+    for masses in sources:
+        out = {}
+        for (a, x), (f, y) in product(total.items(), masses.items()):
+            both = a & (everything if f == evidence.THETA else frozenset(f.split("|")))
+            out[both] = out.get(both, 0.0) + x * y
+        out.pop(frozenset(), None)
+        good = sum(out.values())
+        left, total = left * good, {s: m / good for s, m in out.items()}
+    found = {everything if r.focal == "*" else frozenset(r.focal.split("|")): r.mass for r in got}
+    assert {s: m for s, m in found.items() if m > 1e-9} == pytest.approx({s: m for s, m in total.items() if m > 1e-9}, rel=1e-6)
+    assert got[0].conflict == pytest.approx(1 - left, abs=1e-9) and got[0].conflict < 1
+
+
+def test_fusion_with_inner_nodes_equals_brute_force(spark):
+    tree = [("a", "x"), ("b", "x"), ("c", "x"), ("d", "y"), ("e", "y"), ("f", "z"), ("x", "w"), ("y", "w"), ("z", "r"), ("w", "r"), ("r", None)]
+    frame = evidence.Frame.of(spark.createDataFrame(tree, "code string, parent string"), [("a", "b"), ("c", "d")])
+    sets = {"x": "abc", "d|e": "de", "w": "abcde", "*": "abcdef", "f": "f"}
+    as_set = lambda f: frozenset(sets.get(f, f.replace("|", "")))
+    assert (frame.named["y"], frame.named["z"], frame.named["r"], frame.nodes["w"]) == ("d|e", "f", "*", frozenset("abcde"))
+    sources = [{"x": 0.5, "a": 0.2, "*": 0.3}, {"w": 0.4, "a|b": 0.3, "f": 0.1, "*": 0.2}, {"d|e": 0.2, "c|d": 0.2, "b": 0.2, "*": 0.4}, {"w": 0.9, "*": 0.1}]
+    rows = [("i", f"s{n}", f, float(m)) for n, masses in enumerate(sources) for f, m in masses.items()]
+    fused = evidence.fuse(spark.createDataFrame(rows, "item string, source string, focal string, mass double"), frame)
+    total = {frozenset("abcdef"): 1.0}
+    for masses in sources:
+        out = {}
+        for (a, x), (f, y) in product(total.items(), masses.items()):
+            out[a & as_set(f)] = out.get(a & as_set(f), 0.0) + x * y
+        total = out
+    conflict = total.pop(frozenset(), 0.0)
+    expected = {s: m / (1 - conflict) for s, m in total.items()}
+    assert {as_set(r.focal): r.mass for r in fused.collect()} == pytest.approx(expected, abs=1e-12)
+    found = {r.code: (r.bel, r.pl, r.betp) for r in evidence.intervals(fused, frame).collect()}
+    assert found.keys() == set("abcdef") | set("xyzwr")
+    for code, (bel, pl, betp) in found.items():
+        of = frozenset({"x": "abc", "y": "de", "z": "f", "w": "abcde", "r": "abcdef"}.get(code, code))
+        assert bel == pytest.approx(sum(m for s, m in expected.items() if s <= of))
+        assert pl == pytest.approx(sum(m for s, m in expected.items() if s & of))
+        assert betp == pytest.approx(sum(m / len(s) for s, m in expected.items() if code in s) if code in "abcdef" else 0)
+    assert evidence.decide(evidence.intervals(fused, frame)).first().code in "abcdef"
+
+
+def test_intervals_hold_every_leaf(spark):
+    rows = [("i", "a", 1.0, 0.0), ("j", "*", 1.0, 0.0)]
+    frame = spark.createDataFrame([(c,) for c in "abcd"], "code string")
+    found = {(r.item, r.code): (r.bel, r.pl, r.betp) for r in evidence.intervals(spark.createDataFrame(rows, "item string, focal string, mass double, conflict double"), frame).collect()}
+    assert len(found) == 8 and found["i", "b"] == (0, 0, 0) and found["j", "b"] == (0, 1, 0.25) and found["i", "a"] == (1, 1, 1)
+
+
+def test_closure_of_a_deep_tree_and_a_cycle(spark):
+    tree = spark.createDataFrame([(f"n{k}", f"n{k - 1}" if k else None) for k in range(40)] + [("p", "q"), ("q", "p")], "code string, parent string")
+    found = {tuple(r) for r in evidence.closure(tree).collect()}
+    assert found == {(f"n{a}", f"n{b}") for a in range(40) for b in range(a + 1)} | {("p", "q"), ("q", "p"), ("p", "p"), ("q", "q")}
+
+
+def test_open_windows_and_repeated_ids(spark):
+    rows = [("a", 0, 0, "accepted"), ("b", None, None, "accepted"), ("c", 5, 0, "accepted"), ("d", 11, 0, "accepted"), ("e", 0, 10, "accepted"), ("f", 0, 11, "accepted"), ("g", 0, 0, "new")]
+    live = claims.live(spark.createDataFrame(rows, "queue string, valid_from long, valid_until long, state string"), 10)
+    assert {r.queue for r in live.collect()} == {"a", "b", "c", "f"}
+    log = [(1, 1, "x", None, False), (1, 3, "y", None, False), (1, 2, None, True, True), (2, 1, "z", None, False)]
+    found = {r.id: (r.what, r.outcome) for r in ledger.folded(spark.createDataFrame(log, "id long, seq long, what string, outcome boolean, is_correction boolean")).collect()}
+    assert found == {1: ("y", None), 2: ("z", None)}
+    requests = [("p", 1, 1, ["k"], None), ("p", 1, 5, ["m"], None), ("p", 2, 2, ["k"], None)]
+    found = {r.id: (r.at, r.retired) for r in claims.superseded(spark.createDataFrame(requests, "peer string, id long, at long, keys array<string>, supersedes long")).collect()}
+    assert found == {1: (5, False), 2: (2, False)}
+
+
 def test_intervals_are_ordered(spark):
     rows = [("i", "s", "a|b", 0.4), ("i", "s", "a", 0.3), ("i", "s", "*", 0.3), ("i", "t", "c", 0.5), ("i", "t", "*", 0.5)]
     frame = spark.createDataFrame([(c,) for c in "abcd"], "code string")
@@ -149,6 +221,11 @@ def test_exposition(spark):
     assert sorted((r.name, dict(r.labels), r.value) for r in telemetry.exposition(lines).collect()) == [("plain", {}, 7.0), ("up", {"a": "1", "b": "x y"}, 2.5)]
 
 
+def test_exposition_with_repeated_and_escaped_labels(spark):
+    lines = spark.createDataFrame([('up{a="1",a="2",b="say \\"x\\", y"} 1',)], "value string")
+    assert [dict(r.labels) for r in telemetry.exposition(lines).collect()] == [{"a": "2", "b": 'say "x", y'}]
+
+
 def test_as_of_tie_takes_the_label(spark):
     left = spark.createDataFrame([(1, 10), (1, 5), (2, 9)], "k long, t long")
     right = spark.createDataFrame([(1, 10, "new"), (1, 6, "old")], "k long, u long, label string")

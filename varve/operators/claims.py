@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 
 def live(requests: DataFrame, now: int) -> DataFrame:
-    return requests.where((F.col("valid_from") <= now) & (F.col("valid_until") > now) & (F.col("state") == "accepted"))
+    """Accepted requests whose window holds `now`; a bound of 0 or null is open."""
+    begun, ends = F.coalesce("valid_from", F.lit(0)), F.coalesce("valid_until", F.lit(0))
+    return requests.where((begun <= now) & ((ends == 0) | (ends > now)) & (F.col("state") == "accepted"))
 
 
 def floors(requests: DataFrame) -> DataFrame:
@@ -46,9 +48,11 @@ def lease_state(leases: DataFrame, now: int) -> DataFrame:
 def superseded(requests: DataFrame) -> DataFrame:
     """Adds retired: a later request of the same peer shares a key, or names this one.
 
-    `requests` has peer, id, at, keys (array) and supersedes. Repeated ids count once.
+    `requests` has peer, id, at, keys (array) and supersedes. Of a repeated id
+    the latest row counts, of equal times the largest one.
     """
-    once = requests.dropDuplicates(["id"])
+    columns = ["at", *(c for c in requests.columns if c not in ("id", "at"))]
+    once = requests.groupBy("id").agg(F.max(F.struct(*columns)).alias("_last")).select("id", "_last.*").select(*requests.columns)
     key = once.select("peer", "id", "at", F.explode("keys").alias("key"))
     newer = F.lead("id").over(Window.partitionBy("peer", "key").orderBy("at", "id"))
     shared = key.withColumn("newer", newer).groupBy("id").agg(F.max(F.col("newer").isNotNull()).alias("shared"))

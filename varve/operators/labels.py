@@ -72,7 +72,7 @@ def truth_from_headers(tables: DataFrame, codes: DataFrame, suffix: str = r"_(\d
     cells = tables.select("source_table", F.posexplode("headers").alias("place", "header"))
     code = F.regexp_extract("header", suffix, 1)
     rows = cells.withColumn("code", code).withColumn("column_name", F.lag("header").over(Window.partitionBy("source_table").orderBy("place")))
-    return rows.where("code <> '' AND column_name IS NOT NULL").join(F.broadcast(codes.select("code")), "code", "left_semi").select("source_table", "column_name", "code")
+    return rows.where("code <> '' AND column_name IS NOT NULL").join(codes.select("code"), "code", "left_semi").select("source_table", "column_name", "code")
 
 
 def paths(closure: DataFrame, depth: DataFrame) -> DataFrame:
@@ -136,12 +136,12 @@ def governance_name(prefix: str, code: Column, label: Column) -> Column:
 
 
 def sensitivity(df: DataFrame, levels: DataFrame, default: str = "internal") -> DataFrame:
-    return df.join(F.broadcast(levels), "code", "left").withColumn("level", F.coalesce("level", F.lit(default)))
+    return df.join(levels, "code", "left").withColumn("level", F.coalesce("level", F.lit(default)))
 
 
 def metric_names(samples: DataFrame, fields: DataFrame) -> DataFrame:
     """Metric, unit and kind of exported fields; unknown ones are lower-cased gauges of unit 1; labels get gpu. names."""
-    out = samples.join(F.broadcast(fields), "name", "left")
+    out = samples.join(fields, "name", "left")
     labels = F.transform_keys("labels", lambda k, _: F.concat(F.lit("gpu."), F.lower(k)))
     return out.select(F.coalesce("metric", F.lower("name")).alias("metric"), F.coalesce("unit", F.lit("1")).alias("unit"), F.coalesce("kind", F.lit("gauge")).alias("kind"), labels.alias("labels"), "value")
 

@@ -14,10 +14,12 @@ DEFAULT_P = {"satisfied": 0.9, "unverified": 0.5, "ill_posed": 0.5}
 def folded(log: DataFrame) -> DataFrame:
     """Observations with their last correction; `log` has id, seq, outcome, is_correction.
 
-    A correction counts only after its observation; the last one wins. Plain
-    aggregation, since maxima by sequence are all that is needed.
+    Of a repeated observation the last one counts, and a correction only after
+    it; the last one wins. Plain aggregation, since maxima by sequence are all
+    that is needed.
     """
-    seen = log.where("NOT is_correction").dropDuplicates(["id"])
+    columns = ["seq", *(c for c in log.columns if c not in ("id", "seq"))]
+    seen = log.where("NOT is_correction").groupBy("id").agg(F.max(F.struct(*columns)).alias("_last")).select("id", "_last.*").select(*log.columns)
     fixes = log.where("is_correction").select("id", F.col("seq").alias("fix_seq"), F.col("outcome").alias("fix"))
     last = fixes.join(seen.select("id", "seq"), "id").where("fix_seq > seq").groupBy("id").agg(F.max(F.struct("fix_seq", "fix")).alias("last"))
     out = seen.join(last, "id", "left")
@@ -77,7 +79,7 @@ def claims(df: DataFrame, allowed: DataFrame) -> DataFrame:
     """
     named = allowed.select("observer").distinct().withColumn("_named", F.lit(True))
     pairs = allowed.select("observer", "state").distinct().withColumn("_allowed", F.lit(True))
-    joined = df.join(F.broadcast(named), "observer", "left").join(F.broadcast(pairs), ["observer", "state"], "left")
+    joined = df.join(named, "observer", "left").join(pairs, ["observer", "state"], "left")
     ill = F.col("_named").isNotNull() & F.col("_allowed").isNull()
     verdict = F.when(ill, "ill_posed").when(F.col("truth"), "satisfied").otherwise("unverified")
     default = F.create_map(*(F.lit(x) for pair in DEFAULT_P.items() for x in pair))

@@ -28,7 +28,7 @@ def vectors(df: DataFrame, column: str = "text") -> DataFrame:
 def lexical(train: DataFrame, label: str, column: str = "text") -> PipelineModel:
     """Balanced linear SVM, one against the rest, over text vectors."""
     n = train.groupBy(label).agg(F.count("*").alias("_n"))
-    weighted = train.join(F.broadcast(n), label).withColumn("_weight", 1.0 / F.col("_n") * train.count() / n.count())
+    weighted = train.join(n, label).withColumn("_weight", 1.0 / F.col("_n") * train.count() / n.count())
     index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep")
     svm = OneVsRest(classifier=LinearSVC(maxIter=15), featuresCol="vector", labelCol="_label", weightCol="_weight", predictionCol="prediction")
     return Pipeline(stages=[index, *text_stages(column), svm]).fit(weighted)

@@ -44,6 +44,7 @@ def interval_join(points: DataFrame, spans: DataFrame, time: str) -> DataFrame:
     return points.join(spans, "epoch_hour").where((F.col(time) >= F.col("from_ns")) & (F.col(time) <= F.col("to_ns")))
 
 
+LABEL = r'([a-zA-Z_]\w*)="((?:[^"\\]|\\.)*)"'
 SAMPLE = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(?:\{(.*)\})?\s+(\S+)"
 
 
@@ -51,10 +52,13 @@ def exposition(lines: DataFrame, column: str = "value") -> DataFrame:
     """(name, labels, value) of exposition text; comments and bad lines are left out."""
     line = F.regexp_replace(column, r"^\s+|\s+$", "")
     rows = lines.where(~line.startswith("#")).select(line.alias("line")).where(F.col("line").rlike(SAMPLE))
-    names = F.regexp_extract_all(F.regexp_extract("line", SAMPLE, 2), F.lit(r'([a-zA-Z_]\w*)="([^"]*)"'), F.lit(1))
-    values = F.regexp_extract_all(F.regexp_extract("line", SAMPLE, 2), F.lit(r'([a-zA-Z_]\w*)="([^"]*)"'), F.lit(2))
+    found = lambda group: F.regexp_extract_all(F.regexp_extract("line", SAMPLE, 2), F.lit(LABEL), F.lit(group))
+    pairs = F.zip_with(found(1), found(2), lambda k, v: F.struct(k.alias("key"), F.replace(v, F.lit('\\"'), F.lit('"')).alias("value")))
+    # of a name that occurs again the last value counts
+    last = F.filter(F.col("pairs"), lambda p, i: ~F.exists(F.slice("pairs", i + 2, F.size("pairs")), lambda q: q["key"] == p["key"]))
     number = F.expr(f"try_cast(regexp_extract(line, r'{SAMPLE}', 3) AS double)")
-    return rows.select(F.regexp_extract("line", SAMPLE, 1).alias("name"), F.map_from_arrays(names, values).alias("labels"), number.alias("value")).where("value IS NOT NULL")
+    rows = rows.withColumn("pairs", pairs)
+    return rows.select(F.regexp_extract("line", SAMPLE, 1).alias("name"), F.map_from_entries(last).alias("labels"), number.alias("value")).where("value IS NOT NULL")
 
 
 def otlp(samples: DataFrame, service: str, now_ns: int) -> DataFrame:

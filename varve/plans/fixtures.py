@@ -22,7 +22,7 @@ def series(spark: SparkSession, sf: str) -> DataFrame:
 def readings(spark: SparkSession, sf: str) -> DataFrame:
     """events as telemetry: hour, nanoseconds, series, device, routed value."""
     e = table(spark, sf, "events").withColumn("us", keys.micros("ts"))
-    e = e.join(F.broadcast(series(spark, sf)), F.col("event_type") == F.col("name"))
+    e = e.join(series(spark, sf), F.col("event_type") == F.col("name"))
     return e.select(
         "event_id", F.expr(f"us div {keys.US_PER_HOUR}").alias("epoch_hour"), (F.col("us") * 1000).alias("ts_ns"), "series_id", "vtype",
         (F.col("user_id") % 6).cast("int").alias("gpu"), F.lit(-1).alias("inst"), "user_id", "event_type", "value",

@@ -22,7 +22,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Tiered view, hourly totals by series and device, names from the dimension."""
     view = tiers.union_view(fx.hot(spark, sf), fx.settled(spark, sf))
     hourly = view.groupBy("epoch_hour", "series_id", "gpu").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("value") * 100).cast("long")).alias("cents"))
-    return hourly.join(F.broadcast(fx.series(spark, sf)), "series_id").select("epoch_hour", "name", "gpu", "n", "cents")
+    return hourly.join(fx.series(spark, sf), "series_id").select("epoch_hour", "name", "gpu", "n", "cents")
 
 
 @query("b01_hours", W + """SELECT event_id, epoch_hour, epoch_hour - epoch_hour % 168 AS week_start, epoch_hour - epoch_hour % 24 AS day_start,
@@ -109,7 +109,7 @@ def tier_mask(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("c02_series_names", W + "SELECT s.name, s.vtype, count(*) AS n, count(DISTINCT gpu) AS gpus FROM readings r JOIN series s USING (series_id) GROUP BY ALL")
 def series_names(spark: SparkSession, sf: str) -> DataFrame:
-    r = fx.readings(spark, sf).drop("vtype").join(F.broadcast(fx.series(spark, sf)), "series_id")
+    r = fx.readings(spark, sf).drop("vtype").join(fx.series(spark, sf), "series_id")
     return r.groupBy("name", "vtype").agg(F.count("*").alias("n"), F.countDistinct("gpu").alias("gpus"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -27,18 +28,27 @@ def session(cpus: int | str = "*", app: str = "varve", partitions: int = 8) -> S
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: spark.checkpoint.dir.
 
-    Only where the cluster names none (tests on one machine) a temporary
-    folder takes its place.
+    Only on one machine (tests) a temporary folder may take its place; a
+    cluster that names none is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(Path(tempfile.mkdtemp(prefix="spark-varve-")).as_uri())
     return context.getCheckpointDir().rstrip("/")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write to the shared folder and read back, so a lost executor takes nothing along."""
+    path = f"{shared_dir(df.sparkSession)}/varve-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
