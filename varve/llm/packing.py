@@ -24,15 +24,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varve.llm.common import ship, slices, with_text, written
+from varve.llm.text import buffers, word_blocks
 
 CAPACITY = 4096
 END_ID = 1
 GROUP_PIECES = 20_000
 #: Words of one generation of those whose ids a worker remembers; two are kept.
 GENERATION = 300_000
+#: Words that go through the tokenizer together.
+TOGETHER = 200
+
+#: Bytes of text whose words are looked up at once.
+BLOCK = 4 << 20
 
 _odd_space = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u3000\ufeff]")
-_stops = re.compile("(?<=[A-Za-z\xe0-\xf6\xf8-\xff])([.,;:!?]+)(?=[ \n])")
+_letters = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
+_stop = np.zeros(256, dtype=bool)
+_stop[list(b".,;:!?")] = True
+_lower = np.arange(256, dtype=np.uint8)
+_lower[65:91] += 32
+_small = np.zeros(256, dtype=bool)
+_small[97:123] = True
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -42,13 +54,42 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _cut(block: np.ndarray, inside: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a block: their bytes one after the other, n + 1 offsets, and their first bytes' places.
+
+    In words of Latin-1 letters and ASCII, letter case goes and the stops after
+    a letter at the end become a word of their own: the tokenizer drops case,
+    and never joins letters and stops.
+    """
+    start = np.flatnonzero(first)
+    here = np.arange(len(block))
+    # inside a text there is a separator, between texts there needn't be one
+    stop = np.minimum(np.append(start[1:], len(block)), np.minimum.accumulate(np.where(inside, len(block), here)[::-1])[::-1][start])
+    low, second = _lower[block], np.zeros(len(block), dtype=bool)
+    second[1:] = block[:-1] == 0xC3
+    low[second & (block <= 0x9E) & (block != 0x97)] += 32
+    wide = np.zeros(len(start), dtype=bool)
+    if (block >= 0xC4).any():
+        count = np.concatenate([[0], np.cumsum(block >= 0xC4)])
+        wide = count[stop] > count[start]
+        word = np.cumsum(first) - 1
+        low = np.where(inside & wide[np.maximum(word, 0)], block, low)
+    letter = _small[low] | second & (low >= 0xA0) & (low != 0xB7) | second & (low == 0x9F)
+    last = np.maximum.accumulate(np.where(_stop[block], -1, here))[stop - 1]
+    split = ~wide & (last >= start) & (last < stop - 1) & letter[last]
+    start = np.sort(np.concatenate([start, last[split] + 1]))
+    ends = np.sort(np.concatenate([stop, last[split] + 1]))
+    return low[inside], np.concatenate([[0], np.cumsum(ends - start)]), start
+
+
 class Encoder:
-    """Ids of whole texts as little-endian bytes.
+    """Ids of whole texts.
 
     The tokenizer drops white space and never joins over it, so each word is
-    encoded once and remembered. Texts with unusual spaces go through whole.
-    Where all characters are Latin-1, letter case (which it drops) and the
-    stops after a word (always tokens of their own) don't make another word.
+    encoded once and remembered; words of a block are told apart by Arrow.
+    New words of letters only go through the tokenizer together, since each
+    ends with the one token that has the mark of a word's end. Texts with
+    unusual spaces go through whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,36 +97,73 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    @staticmethod
-    def cut(text: str) -> list[str] | None:
-        if _odd_space.search(text):
-            return None
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text.split()
-        return _stops.sub(r" \1", text.lower()).split()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(t) for t in texts]
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(made.ids, dtype="<u4") for made in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if _letters.fullmatch(w)]
+        other = [w for w in words if not _letters.fullmatch(w)]
+        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        for group, ids in zip(groups, self._whole([" ".join(g) for g in groups])):
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(group):
+                other += group
+                continue
+            data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+            self.memo.update(zip(group, (data[a:b] for a, b in zip(at, at[1:]))))
+        self.memo.update(zip(other, (ids.tobytes() for ids in self._whole(other))))
+
+    def _known(self, words: list[str]) -> list[bytes]:
         if len(self.memo) > GENERATION:
             # words that come up again move over, so common ones are never lost
             self.memo, self.older = {}, self.memo
-        new = {w for words in cut if words for w in words}.difference(self.memo)
-        again = new.intersection(self.older)
-        self.memo.update((w, self.older[w]) for w in again)
-        listed = list(new - again)
-        for word, made in zip(listed, self.tokenizer.encode_batch_fast(listed, add_special_tokens=False)):
-            self.memo[word] = np.array(made.ids, dtype="<u4").tobytes()
-        memo, out = self.memo, []
-        for text, words in zip(texts, cut):
-            if words is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
-            else:
-                out.append(b"".join([memo[w] for w in words]))
+        found = list(map(self.memo.get, words))
+        if missing := [w for w, ids in zip(words, found) if ids is None]:
+            again = list(map(self.older.get, missing))
+            self.memo.update((w, ids) for w, ids in zip(missing, again) if ids is not None)
+            self._learn([w for w, ids in zip(missing, again) if ids is None])
+            found = list(map(self.memo.get, words))
+        return found
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each text, little-endian."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        listed = texts.to_pylist()
+        odd = [i for i, t in enumerate(listed) if _odd_space.search(t)]
+        whole = self._whole([listed[i] for i in odd])
+        for i in odd:
+            listed[i] = ""
+        raw, ends = buffers(pa.array(listed, pa.string()) if odd else texts)
+        ids, places, counts = [], [], []
+        for start, stop, inside, first in word_blocks(raw, ends, BLOCK):
+            if not first.any():
+                continue
+            data, at, place = _cut(raw[start:stop], inside, first)
+            words = pa.StringArray.from_buffers(len(place), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+            known = self._known(words.dictionary.to_pylist())
+            which = words.indices.to_numpy()
+            size = np.array([len(x) // 4 for x in known], dtype=np.int64)
+            begin = (np.cumsum(size) - size)[which]
+            count = size[which]
+            shift = np.repeat(begin - (np.cumsum(count) - count), count)
+            ids.append(np.frombuffer(b"".join(known), dtype="<u4")[shift + np.arange(len(shift))])
+            places.append(place + start)
+            counts.append(count)
+        if not ids:
+            out = [b""] * len(listed)
+        else:
+            total = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+            cut = total[np.searchsorted(np.concatenate(places), ends, "left")]
+            flat = np.concatenate(ids)
+            out = [flat[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
+        for i, own in zip(odd, whole):
+            out[i] = own.tobytes()
         return out
 
 
@@ -107,8 +185,8 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id"
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            made = encoder(path).encode(batch.column("text").to_pylist())
+        for batch in slices(batches, most=BLOCK):
+            made = encoder(path).encode(batch.column("text"))
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, data in enumerate(made):
                 data += end

@@ -6,6 +6,8 @@ ASCII bytes never occur inside a multi-byte UTF-8 character, so the separators
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -49,6 +51,25 @@ def _power(n: int) -> np.ndarray:
     return _powers
 
 
+def word_blocks(raw: np.ndarray, ends: np.ndarray, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(start, stop, bytes inside words, first bytes of words) of blocks of about `most` bytes, cut between words."""
+    starts_at = np.zeros(len(raw) + 1, dtype=bool)
+    starts_at[ends] = True  # a new text starts a new word
+    start, size = 0, len(raw)
+    while start < size:
+        stop = min(size, start + most)
+        step = most
+        while stop < size and not (gap := np.flatnonzero(_separator[raw[max(start, stop - step) : stop]])).size:
+            stop, step = min(size, stop + most), step + most
+        if stop < size:
+            stop = max(start, stop - step) + int(gap[-1]) + 1
+        inside = ~_separator[raw[start:stop]]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1] | starts_at[start + 1 : stop]
+        yield start, stop, inside, first
+        start = stop
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (A-Z lower-cased), and n + 1 word offsets by row.
 
@@ -57,20 +78,9 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     makes a longer one.
     """
     raw, ends = buffers(texts)
-    hashes, places, start, size = [], [], 0, len(raw)
-    starts_at = np.zeros(size + 1, dtype=bool)
-    starts_at[ends] = True  # a new text starts a new word
-    while start < size:
-        stop = min(size, start + _BLOCK)
-        step = _BLOCK
-        while stop < size and not (gap := np.flatnonzero(_separator[raw[max(start, stop - step) : stop]])).size:
-            stop, step = min(size, stop + _BLOCK), step + _BLOCK
-        if stop < size:
-            stop = max(start, stop - step) + int(gap[-1]) + 1
+    hashes, places = [], []
+    for start, stop, inside, first in word_blocks(raw, ends, _BLOCK):
         block = raw[start:stop]
-        inside = ~_separator[block]
-        first = inside.copy()
-        first[1:] &= ~inside[:-1] | starts_at[start + 1 : stop]
         at = np.flatnonzero(first)
         if at.size:
             index = np.arange(len(block)) - at[np.maximum(np.cumsum(first) - 1, 0)]
@@ -81,7 +91,6 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             length = np.add.reduceat(inside, at, dtype=np.uint64)
             hashes.append(mix(np.add.reduceat(value, at) + length * _U(0xD1B54A32D192ED03)))
             places.append(at + start)
-        start = stop
     if not hashes:
         return np.empty(0, np.uint64), np.zeros(len(ends), np.int64)
     return np.concatenate(hashes), np.searchsorted(np.concatenate(places), ends, "left")
