@@ -263,7 +263,8 @@ class Bins:
         best: tuple[int, int, tuple, tuple] | None = None
         for item in reversed(self.items[a]):
             b = self.best(item[0], but=a)
-            if b is not None:
+            # the fullest bin with room: if the squared fill doesn't grow there, it grows nowhere
+            if b is not None and self.free[b] - item[0] < self.free[a]:
                 self.take(a, item)
                 self.put(b, item)
                 return True
@@ -301,24 +302,27 @@ class Bins:
         return True
 
 
-def pack(lengths: np.ndarray, capacity: int = CAPACITY, tries: int = 24, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of each length; at most `tries` bins are tried to be emptied, with `steps` steps each."""
+def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) of each length.
+
+    Underfull bins are tried to be emptied, the emptiest first, until a pass
+    over all of them empties none or no fewer bins are possible. Each step
+    makes the sum of squared fills grow, so every try ends.
+    """
     bins = Bins(capacity)
     for i in np.argsort(-lengths, kind="stable"):
         bins.add((int(lengths[i]), int(i)))
     least = -(-int(lengths.sum()) // capacity)
-    used, given_up = len(bins.items), set()
-    while used > least and len(given_up) < tries:
-        a = max((b for b in range(len(bins.items)) if bins.items[b] and b not in given_up), key=lambda b: bins.free[b], default=None)
-        if a is None or not bins.free[a]:
-            break
-        for _ in range(steps):
-            if not bins.items[a] or not bins.step(a):
-                break
-        if bins.items[a]:
-            given_up.add(a)
-        else:
-            used -= 1
+    used, emptied = len(bins.items), True
+    while used > least and emptied:
+        emptied = False
+        for a in sorted((b for b, own in enumerate(bins.items) if own and bins.free[b]), key=lambda b: -bins.free[b]):
+            while bins.items[a] and bins.step(a):
+                pass
+            if not bins.items[a]:
+                used, emptied = used - 1, True
+                if used == least:
+                    break
     where, offset, number = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0
     for own in bins.items:
         at = 0
