@@ -1,21 +1,20 @@
 """Toxicity by compression distance: two zstandard dictionaries, one classifier.
 
-Training uses a bounded sample of labelled rows (at most `most_toxic` and
-`most_ordinary` documents, those with the smallest md5 of the id):
+Training uses a bounded sample of labelled rows (see `fit`):
 
 * the ordinary dictionary is trained by zstandard on all windows of the
   ordinary sample (the windows themselves if they fit), and in two rounds
   over the whole sample those ordinary windows that still look most toxic join;
-* the toxic dictionary is what toxic text repeats and ordinary text doesn't:
-  runs of 5-character fragments that are far more frequent in toxic
-  documents, the most widespread ones last, where matches are cheapest. Its
-  compressor also has the ordinary dictionary, so lengths differ only by
-  what is toxic.
+* the toxic dictionary is trained by zstandard on the toxic sample, each
+  document reduced to its novel words: those with a 5-character fragment that
+  at most one ordinary document has. Its compressor also has the ordinary
+  dictionary behind it, so lengths differ only by what is toxic.
 
 A window of 16 words is compressed with both; the gain is the difference of
-the two lengths. A document's gains (mean, largest, share above fixed
-thresholds) go through a logistic curve fitted on the training sample.
-Scoring takes all windows of the whole text.
+the two lengths. Thresholds of gains are quantiles of the sample: of all
+ordinary windows, and of the largest gains of toxic documents. A document's
+gains (mean, largest, share above the thresholds) go through a logistic curve
+fitted on the sample. Scoring takes all windows of the whole text.
 """
 
 from __future__ import annotations
@@ -27,22 +26,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varve.llm.common import ship, with_text
+from varve.llm.common import ship, with_text, written
 
 WINDOW = 16
 LEVEL = 12
 FRAGMENT = 5
 ORDINARY_BYTES = 60_000
-TOXIC_BYTES = 6_000
-THRESHOLDS = (2, 4, 6)
-#: Rounds in which ordinary windows with a gain join the ordinary dictionary, and how many.
-HARD_ROUNDS, HARD_WINDOWS = 2, 400
-#: Length of the segments that dictionary training chooses.
-DICTIONARY_K = 64
+TOXIC_BYTES = 2_000
+#: Quantiles that make the thresholds: of gains of ordinary windows, of largest gains of toxic documents.
+ORDINARY_QUANTILES, TOXIC_QUANTILES = (0.98, 0.995, 0.999), (0.25, 0.5)
+#: Rounds in which ordinary windows with a gain join the ordinary dictionary, and from which gain.
+HARD_ROUNDS, HARD_GAIN = 2, 2
+#: Lengths of the segments that dictionary training chooses, and of the runs that it counts.
+ORDINARY_K, ORDINARY_D, TOXIC_K, TOXIC_D = 64, 8, 16, 6
 FOLDS, HELD_OUT = 5, 0
 
 _gap = re.compile(r"[\x20\x09-\x0D]+")
@@ -62,17 +63,9 @@ def _fragments(word: str) -> list[str]:
     return [padded[i : i + FRAGMENT] for i in range(len(padded) - FRAGMENT + 1)]
 
 
-def _runs(word: str, wanted: set[str]) -> list[str]:
-    """The stretches of a word that wanted fragments cover."""
-    padded, found, end = f" {word} ", [], -1
-    for i, piece in enumerate(_fragments(word)):
-        if piece in wanted:
-            if i <= end:
-                found[-1] = (found[-1][0], i + FRAGMENT)
-            else:
-                found.append((i, i + FRAGMENT))
-            end = i + FRAGMENT
-    return [padded[a:b] for a, b in found]
+def _novel(text: str, common: set[str]) -> list[str]:
+    """The words that have a fragment which isn't common."""
+    return [w for w in words(text) if not common.issuperset(_fragments(w))]
 
 
 @dataclass
@@ -84,6 +77,7 @@ class ToxicityModel:
     weights: np.ndarray
     centre: np.ndarray
     scale: np.ndarray
+    thresholds: tuple[float, ...] = (0.0,) * (len(ORDINARY_QUANTILES) + len(TOXIC_QUANTILES))
 
     def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
         def one(data: bytes) -> zstandard.ZstdCompressor:
@@ -97,58 +91,70 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[1:] + self.weights[0], -30, 30)))
 
 
-def features(text: str, plain: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor) -> list[float]:
-    """Of the gains of all windows; an empty text has none and gets zeros."""
-    gain = np.array([len(plain.compress(w)) - len(toxic.compress(w)) for w in windows(text)] or [0])
+def gains(text: str, plain: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor) -> np.ndarray:
+    """How many bytes the toxic dictionary saves in each window; an empty text has one window without gain."""
+    return np.array([len(plain.compress(w)) - len(toxic.compress(w)) for w in windows(text)] or [0])
+
+
+def features(gain: np.ndarray, thresholds: tuple[float, ...]) -> list[float]:
     top = np.sort(gain)[-3:]
-    return [gain.mean(), min(gain.max(), 12), min(top.mean(), 12), *((gain >= t).mean() for t in THRESHOLDS), min(np.log1p((gain >= THRESHOLDS[1]).sum()), 3)]
+    return [gain.mean(), min(gain.max(), 12), min(top.mean(), 12), *((gain > t).mean() for t in thresholds), *(min(np.log1p((gain > t).sum()), 3) for t in thresholds)]
 
 
 def _with_hard_windows(model: ToxicityModel, found: list[bytes]) -> bytes:
     """The ordinary dictionary with the ordinary windows that look most toxic at its end, the hardest last."""
     plain, toxic = model.compressors()
-    gains = [(len(plain.compress(w)) - len(toxic.compress(w)), w) for w in found]
-    hard = sorted((g for g in gains if g[0] >= THRESHOLDS[0]), key=lambda g: -g[0])[:HARD_WINDOWS]
+    measured = [(len(plain.compress(w)) - len(toxic.compress(w)), w) for w in found]
+    hard = sorted((g for g in measured if g[0] >= HARD_GAIN), key=lambda g: -g[0])
     sizes = np.cumsum([len(w) for _, w in hard] or [0])
     kept = [w for (_, w), size in zip(hard, sizes) if size <= ORDINARY_BYTES // 3]
     return model.ordinary + b"".join(reversed(kept))
 
 
-def _dictionary(found: list[bytes]) -> bytes:
-    """ORDINARY_BYTES trained on all windows; fewer bytes than that are the dictionary themselves."""
-    if sum(map(len, found)) <= ORDINARY_BYTES:
+def _dictionary(found: list[bytes], size: int, k: int, d: int) -> bytes:
+    """`size` bytes trained by zstandard; fewer bytes than that are the dictionary themselves."""
+    if sum(map(len, found)) <= size:
         return b"".join(found)
-    return zstandard.train_dictionary(ORDINARY_BYTES, found, k=DICTIONARY_K, d=8).as_bytes()
+    try:
+        return zstandard.train_dictionary(size, found, k=k, d=d).as_bytes()
+    except zstandard.ZstdError:  # too few samples to train on: the most frequent ones, the first of them last
+        return b"".join(w for w, _ in reversed(Counter(found).most_common()))[-size:]
 
 
-def train(texts: list[str], labels: np.ndarray) -> ToxicityModel:
-    """Dictionaries and curve from a sample. With one class only, score is its share."""
-    labels = np.asarray(labels)
+def dictionaries(texts: list[str], labels: np.ndarray) -> ToxicityModel:
+    """Both dictionaries from a sample; the curve is still to be fitted."""
     toxic, ordinary = [t for t, y in zip(texts, labels) if y], [t for t, y in zip(texts, labels) if not y]
-    vocabulary = [set(words(t)) for t in toxic]
-    in_toxic, in_ordinary = Counter(), Counter()
-    for some in vocabulary:
-        in_toxic.update({f for w in some for f in _fragments(w)})
+    known: Counter[str] = Counter()
     for text in ordinary:
-        in_ordinary.update({f for w in set(words(text)) for f in _fragments(w)})
-    rate = len(toxic) / max(1, len(ordinary))
-    wanted = {f for f, n in in_toxic.items() if n >= 3 and n >= 8 * rate * (in_ordinary[f] + 0.5)}
-    runs: Counter[str] = Counter()
-    for some in vocabulary:
-        runs.update({r for w in some for r in _runs(w, wanted)})
+        known.update({f for w in set(words(text)) for f in _fragments(w)})
+    common = {f for f, n in known.items() if n > 1}
     found = [w for t in ordinary for w in windows(t)]
-    plain = _dictionary(found)
-    special = b"".join(r.encode() for r, n in sorted(runs.items(), key=lambda x: (x[1], x[0])) if n >= 2)[-TOXIC_BYTES:]
-    model = ToxicityModel(plain, special, np.zeros(1), np.zeros(0), np.ones(0))
+    samples = [f" {' '.join(new)} ".encode() for t in toxic if (new := _novel(t, common))]
+    model = ToxicityModel(_dictionary(found, ORDINARY_BYTES, ORDINARY_K, ORDINARY_D), _dictionary(samples, TOXIC_BYTES, TOXIC_K, TOXIC_D), np.zeros(1), np.zeros(0), np.ones(0))
     for _ in range(HARD_ROUNDS):
         model.ordinary = _with_hard_windows(model, found)
-    compressors = model.compressors()
-    x = np.array([features(t, *compressors) for t in texts] or [features("", *compressors)])
+    return model
+
+
+def calibrate(model: ToxicityModel, measured: list[np.ndarray], labels: np.ndarray) -> ToxicityModel:
+    """Thresholds and curve from the gains of the sample. With one class only, score is its share."""
+    ordinary = np.concatenate([g for g, y in zip(measured, labels) if not y] or [np.zeros(1)])
+    largest = [g.max() for g, y in zip(measured, labels) if y] or [0.0]
+    model.thresholds = (*np.quantile(ordinary, ORDINARY_QUANTILES).tolist(), *np.quantile(largest, TOXIC_QUANTILES).tolist())
+    x = np.array([features(g, model.thresholds) for g in measured] or [features(np.zeros(1), model.thresholds)])
     model.centre, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     model.weights = _logistic((x - model.centre) / model.scale, labels if len(labels) else np.zeros(1))
     return model
 
 
+def train(texts: list[str], labels: np.ndarray) -> ToxicityModel:
+    """Dictionaries and curve from a sample in memory."""
+    labels = np.asarray(labels)
+    model = dictionaries(texts, labels)
+    compressors = model.compressors()
+    return calibrate(model, [gains(t, *compressors) for t in texts], labels)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
     """Ridge-regularised logistic regression by Newton's method."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -169,11 +175,17 @@ def fold(id_col: str = "doc_id") -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 1_500, most_ordinary: int = 4_500) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 1_500, most_ordinary: int = 4_500, most_bytes: int = 16 << 20) -> ToxicityModel:
     """Train on labelled rows outside the held-out fold.
 
-    Labels with null ids or classes are left out; a document labelled twice
-    counts as toxic if any of its labels says so.
+    The sample: of each class the rows with the smallest md5 of the id, at
+    most `most_toxic` and `most_ordinary` of them, and of each class
+    `most_bytes` of text in that order (a document of more than a quarter of
+    that isn't sampled). One task trains the dictionaries on it, others
+    measure gains; the driver gets the dictionaries (some 100 kB) and the
+    gains, a number for each window. Labels with null ids or classes are left
+    out; a document labelled twice counts as toxic if any of its labels says
+    so, and of several texts under one id the smallest is sampled.
     """
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("mark"))
     marks = marks.where(fold() != HELD_OUT).withColumn("order", F.md5(F.col("doc_id").cast("string")))
@@ -181,9 +193,33 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 1_500, most_ordina
     for mark, most in ((1, most_toxic), (0, most_ordinary)):
         part = marks.where(F.col("mark") == mark).orderBy("order", "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
-    sample = with_text(docs).join(F.broadcast(chosen), "doc_id").select("order", "doc_id", "text", "mark").limit(2 * (most_toxic + most_ordinary))
-    rows = sample.toPandas().sort_values(["order", "doc_id", "text"])
-    return train(rows["text"].tolist(), rows["mark"].to_numpy())
+    size = F.octet_length("text").cast("long")
+    rows = with_text(docs).join(F.broadcast(chosen), "doc_id").where(size <= most_bytes // 4).groupBy("order", "doc_id", "mark").agg(F.min("text").alias("text"))
+    so_far = F.sum(size).over(Window.partitionBy("mark").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = written(rows.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).drop("so_far"), "sample")
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frame = pa.Table.from_batches([b for b in batches if b.num_rows] or [pa.RecordBatch.from_pydict({"order": [], "doc_id": [], "mark": [], "text": []})]).to_pandas().sort_values(["order", "doc_id"])
+        model = dictionaries(frame["text"].tolist(), frame["mark"].to_numpy(dtype=int))
+        yield pa.RecordBatch.from_pydict({"ordinary": pa.array([model.ordinary], pa.binary()), "toxic": pa.array([model.toxic], pa.binary())})
+
+    made = rows.repartition(1).mapInArrow(trained, "ordinary binary, toxic binary").collect()
+    model = ToxicityModel(bytes(made[0].ordinary), bytes(made[0].toxic), np.zeros(1), np.zeros(0), np.ones(0)) if made else dictionaries([], np.zeros(0))
+    each = rows.select("order", "mark", _gains(F.col("text"), model).alias("gains")).collect()
+    each.sort(key=lambda r: r.order)
+    return calibrate(model, [np.frombuffer(r.gains, dtype="<i2") for r in each], np.array([r.mark for r in each], dtype=int))
+
+
+def _gains(text: F.Column, model: ToxicityModel) -> F.Column:
+    """The gains of a text as 16-bit numbers."""
+
+    @F.pandas_udf("binary")
+    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        compressors = model.compressors()
+        for texts in batches:
+            yield pd.Series([np.clip(gains(t, *compressors), -32768, 32767).astype("<i2").tobytes() for t in texts], dtype=object)
+
+    return measured(text)
 
 
 def scored(docs: DataFrame, model: ToxicityModel) -> F.Column:
@@ -193,7 +229,7 @@ def scored(docs: DataFrame, model: ToxicityModel) -> F.Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         compressors = model.compressors()
         for texts in batches:
-            rows = np.array([features(t or "", *compressors) for t in texts]).reshape(len(texts), -1)
+            rows = np.array([features(gains(t or "", *compressors), model.thresholds) for t in texts]).reshape(len(texts), -1)
             yield pd.Series(model.score(rows) if len(rows) else [], dtype=float)
 
     return score(F.coalesce(F.col("text"), F.lit("")))
