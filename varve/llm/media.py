@@ -81,9 +81,8 @@ def tensors(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "media").mapInArrow(decode, f"doc_id {kind}, frame int, height int, width int, rgb binary")
 
 
-def _features(decoder: jpeg.Decoder, row: np.ndarray, rows: int) -> list[str]:
+def _features(images: list[np.ndarray], row: np.ndarray, rows: int) -> list[str]:
     """Size, mean colour (hundredths) and brightness histogram of each row's RGB."""
-    images = decoder.pixels()
     flat = np.concatenate([x.reshape(-1, 3) for x in images])
     first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     pixels = np.array([x.shape[0] * x.shape[1] for x in images])
@@ -99,14 +98,24 @@ def _features(decoder: jpeg.Decoder, row: np.ndarray, rows: int) -> list[str]:
 
 
 def described(media: DataFrame) -> DataFrame:
-    """Digests and features of (doc_id, n_bytes, media), all from the stored bytes."""
+    """Digests, features and RGB tensors of (doc_id, n_bytes, media), all from the stored bytes.
+
+    rgb holds height x width x 3 bytes, the frames of a long text below each
+    other. Repeated rows and null ids are read like others, each row for
+    itself; an empty table gives an empty result. A row is decoded whole.
+    """
     ship(media.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media", SLICE_BYTES):
             media = batch.column("media").to_pylist()
             decoder, row = _decoded(media)
-            data = [b""] * len(media)
+            data, images = [b""] * len(media), [np.broadcast_to(x, (*x.shape[:2], 3)) for x in decoder.pixels()]
+            height, width, tensor = [0] * len(media), [0] * len(media), [b""] * len(media)
+            for i, image in zip(row, images):
+                height[i] += image.shape[0]
+                width[i] = image.shape[1]
+                tensor[i] += image.tobytes()
             for i, frame in zip(row, decoder.frames):
                 blocks = decoder.blocks(frame)[: int.from_bytes(frame.note, "big") // UNIT]
                 data[i] += (blocks + 128).astype(np.uint8).tobytes()
@@ -119,10 +128,13 @@ def described(media: DataFrame) -> DataFrame:
                     pa.array([zlib.crc32(x[-UNIT:]) for x in data], pa.int64()),
                     pa.array([len(m) for m in media], pa.int64()),
                     pa.array([hashlib.sha256(m).hexdigest() for m in media]),
-                    pa.array(_features(decoder, row, len(media))),
+                    pa.array(_features(images, row, len(media))),
+                    pa.array(height, pa.int32()),
+                    pa.array(width, pa.int32()),
+                    pa.array(tensor, pa.binary()),
                 ],
-                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "height", "width", "rgb"],
             )
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.mapInArrow(read, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(read, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int, width int, rgb binary")
