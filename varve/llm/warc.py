@@ -42,16 +42,23 @@ def roles(pages: DataFrame) -> DataFrame:
     the response, the others revisit it. A null html is an empty payload; a
     null page_id can't be referred to: its row is a revisit if another has
     the payload, else a response. Rows that repeat the smallest page_id are
-    all responses.
+    all responses. An empty table gives an empty result. A record is held
+    whole in memory by the task that writes or reads it.
     """
     html = F.coalesce("html", F.lit(""))
     keyed = pages.select("page_id", "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("payload_digest"), F.octet_length(html).alias("n"))
-    copies = keyed.where(F.col("n") >= LEAST_REVISIT).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("rows"))
-    copies = copies.where("rows > 1 AND first IS NOT NULL").drop("rows")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return keyed.join(copies, "payload_digest", "left").select(
+    long = keyed.where(F.col("n") >= LEAST_REVISIT).select("page_id", "payload_digest")
+    copies = long.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("rows"))
+    # a table of its own, so that Spark can split what a frequent payload is joined with
+    copies = written(copies.where("rows > 1 AND first IS NOT NULL").drop("rows"), "copies")
+    found = long.join(copies, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
+    revisits = found.select(F.col("page_id").alias("id"), F.col("payload_digest").alias("digest"), "first").distinct()
+    # pages are dealt by their id, not by their payload
+    same = F.col("page_id").eqNullSafe(F.col("id")) & (F.col("payload_digest") == F.col("digest"))
+    revisit = F.col("first").isNotNull()
+    return keyed.join(revisits, same, "left").select(
         "page_id", "url", "html", "payload_digest",
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"),
+        F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.col("first").alias("refers_to"),
     )
 
 
