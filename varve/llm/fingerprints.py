@@ -16,12 +16,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from varve.llm.common import below, ship, slices, with_text
 from varve.llm.near_dedup import near_duplicates
 from varve.llm.text import mix, shingles, word_hashes
 
 SLOTS = 128
+#: Input for a task, and ranges of ids that one task gets, so that hashing their numbers evens out.
+TASK_BYTES, RANGES_A_TASK = 64 << 20, 6
+#: Spark's estimate for what isn't read from files is beyond that.
+UNKNOWN_BYTES = 1 << 52
 _U = np.uint64
 _EMPTY = np.iinfo(np.uint64).max
 
@@ -64,7 +69,9 @@ def _neighbours(docs: DataFrame, parts: int) -> DataFrame:
     cuts = sorted(set(rows.select(number.alias("n")).approxQuantile("n", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
     count = (1 << len(cuts).bit_length()) - 1
     place = below(F.array(*map(F.lit, cuts + [float("inf")] * (count - len(cuts)))), number, count) if cuts else F.lit(0)
-    rows = rows.withColumn("part", F.coalesce(place, F.lit(0)) if cuts else place).withColumn("part", F.when(number.isNull(), -1).otherwise(F.col("part")))
+    # null ids come first in order of the hash, so equal stretches of it are ranges too
+    nulls = F.floor((F.col("tie").cast("double") / float(1 << 64) + 0.5) * parts).cast("int") - 2 * parts
+    rows = rows.withColumn("part", F.when(number.isNull(), nulls).otherwise(F.coalesce(place, F.lit(0)) if cuts else place))
     firsts = rows.groupBy("part").agg(F.min_by(F.struct("doc_id", "tie", "text"), F.struct("doc_id", "tie")).alias("first"))
     found = sorted(r.part for r in rows.select("part").distinct().collect())  # one number for each range
     if not found:
@@ -83,12 +90,17 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     (after the last: the first). Rows that share an id follow each other by a
     hash of the text; null ids come first; a single row is its own next one.
     Null texts count as empty; texts without words have all slots empty and
-    are alike. An empty table gives an empty result.
+    are alike. An empty table gives an empty result; ids that aren't numbers
+    are an error.
     """
     spark = docs.sparkSession
     ship(spark)
     texts = with_text(docs, id_col, text_col)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not isinstance(texts.schema["doc_id"].dataType, NumericType):
+        raise TypeError(f"{id_col}: ids have to be numbers, which are cut into ranges")
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES) if size < UNKNOWN_BYTES else 1)
+    parts = RANGES_A_TASK * tasks
     kind = texts.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -118,5 +130,5 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )
 
-    dealt = _neighbours(texts, parts).repartition(parts, "part").sortWithinPartitions("part", "last", "doc_id", "tie")
+    dealt = _neighbours(texts, parts).repartition(tasks, "part").sortWithinPartitions("part", "last", "doc_id", "tie")
     return dealt.mapInArrow(rows, schema)
