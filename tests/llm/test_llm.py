@@ -1,6 +1,7 @@
 """Each operator against a brute-force version or an exact round trip, and on odd tables."""
 
 import hashlib
+import itertools
 import importlib
 import math
 import random
@@ -157,6 +158,47 @@ def test_families_of_edited_copies(spark, signer):
     assert {x.doc_id: x.component_id for x in got.collect()} == components({i: shingle_set(t) for i, t in rows})
 
 
+def edited(words, r, n, fresh):
+    out = list(words)
+    for at in r.sample(range(len(out)), n):
+        out[at] = fresh()
+    return out
+
+
+@pytest.mark.parametrize("limit", [4, 0])
+def test_mixed_families_lose_no_link(spark, monkeypatch, limit):
+    """Stragglers beside a hub, parts of it, a shared insertion, edits of edits; with and without further hubs."""
+    monkeypatch.setattr(near_dedup, "PAIRS_A_ROW", limit)
+    r, number = random.Random(9), itertools.count()
+    fresh = lambda: f"f{next(number)}"
+    base = [fresh() for _ in range(150)]
+    rows = [base] + [edited(base, r, r.randint(1, 9), fresh) for _ in range(60)]
+    inserted = [fresh() for _ in range(60)]
+    rows += [edited(base[:70] + inserted + base[70:], r, r.randint(0, 6), fresh) for _ in range(40)]
+    rows += [base[: r.randint(80, 149)] for _ in range(15)] + [base[r.randint(1, 70) :] for _ in range(15)]
+    rows += [edited(x, r, r.randint(1, 3), fresh) for x in r.sample(rows, 40)]
+    rows += [edited(base, r, 6, lambda: f"few{r.randint(0, 3)}") for _ in range(40)]
+    texts = [(7 * i % 997, " ".join(x)) for i, x in enumerate(rows)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert {x.doc_id: x.component_id for x in got.collect()} == components({i: shingle_set(t) for i, t in texts})
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "uno dos tres cuatro cinco seis")
+    rows = [(5, a), (5, b), (3, b), (9, a), (9, a), (4, c), (1, c), (4, "quatre cinq six sept huit neuf")]
+    got = sorted((x.doc_id, x.component_id, x.kept) for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(5, 5, True), (5, 3, False), (3, 3, True), (9, 5, False), (9, 5, False), (4, 1, False), (1, 1, True), (4, 4, True)])
+
+
+def test_components_of_a_hub(spark, monkeypatch):
+    from varve.llm import components as stars
+
+    monkeypatch.setattr(stars, "LEAST_HOT", 4)
+    edges = [(100, k) for k in range(200, 300)] + [(k, k + 1000) for k in range(200, 230)] + [(7, 1205), (50, 51)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert {v for k, v in got.items() if k not in (50, 51)} == {7} and got[51] == 50 and len(got) == 134
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_dedup.near_duplicates(odd).collect()}
     assert got[(0, 0)] == (0, True) and got[(1, 0)] == (1, True) and got[(2, 0)] == (2, True)
@@ -411,6 +453,38 @@ def test_a_step_of_the_local_search(bins, after):
     assert moved == (after != bins) and (not moved or sum((11 - f) ** 2 for f in found.free) > squares)
 
 
+def test_a_move_into_an_emptier_bin_is_none():
+    found = packing.Bins(12)
+    for b, lengths in enumerate([[4, 5], [1]]):
+        found.items.append([])
+        found.free.append(12)
+        found.by_free[12].add(b)
+        found.mask |= 1 << 12
+        for i, length in enumerate(lengths):
+            found.put(b, (length, 10 * b + i))
+    assert not found.step(0) and found.step(1) and sorted(map(len, found.items)) == [0, 3]
+
+
+def test_packing_against_the_fewest_bins():
+    """Small inputs against an exhaustive search."""
+
+    def fewest(lengths, bins=()):
+        if not lengths:
+            return len(bins)
+        first, rest = lengths[0], lengths[1:]
+        fits = {b for b in bins if b >= first}
+        tried = [fewest(rest, tuple(sorted((*(bins[: bins.index(b)] + bins[bins.index(b) + 1 :]), b - first)))) for b in fits]
+        return min([*tried, fewest(rest, tuple(sorted((*bins, 20 - first))))])
+
+    r = random.Random(5)
+    more = 0
+    for _ in range(40):
+        lengths = sorted((r.randint(2, 14) for _ in range(8)), reverse=True)
+        where, _ = packing.pack(np.array(lengths), 20)
+        more += int(where.max() + 1 - fewest(lengths))
+    assert more <= 1
+
+
 def test_packed_rows(docs, texts, odd, none):
     got = packing.packed(docs, group_pieces=40).collect()
     tokens = packing.Encoder(packing.default_tokenizer())
@@ -505,6 +579,28 @@ def test_ten_queries():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
 
 
+def test_pipeline_of_odd_rows(spark, sf, odd, none):
+    import corpus_pipeline as pipeline
+
+    docs = odd.withColumn("lang", F.lit("en")).withColumn("n_chars", F.length("text"))
+    for some, least in ((docs, 5), (docs.where("false"), 0)):
+        for _, stage in pipeline.STAGES:
+            some = stage(spark, some, sf)
+            if _ == "near_dedup":
+                kept = [(r.doc_id, r.text) for r in some.collect()]
+                assert len(kept) == len(set(kept)) and len([k for k in kept if k[0] == 3]) == min(1, least)
+        assert some.count() >= least
+
+
+def test_near_dedup_stage_keeps_other_texts_of_an_id(spark, sf):
+    import corpus_pipeline as pipeline
+
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "uno dos tres cuatro cinco seis")
+    rows = [(5, a, "x"), (5, b, "x"), (9, a, "y"), (4, c, "x"), (4, c, "x"), (4, c, "w"), (None, a, "x"), (6, "", "x"), (6, None, "x")]
+    kept = pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), sf)
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in spark.createDataFrame([(5, a, "x"), (5, b, "x"), (4, c, "w"), (None, a, "x"), (6, "", "x"), (6, None, "x")], kept.schema).collect())
+
+
 def test_pipeline(spark, sf):
     pipeline = importlib.import_module("corpus_pipeline")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
