@@ -22,18 +22,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays.
+    """Of each group of near-duplicates one text of the document with the smallest id stays.
 
-    Documents without words are no duplicates and stay. Of rows that repeat
-    an id, the one with the smallest text stays.
+    Documents without words, and rows without an id, are no duplicates and
+    stay. Texts that share an id are judged one by one; of rows equal in id
+    and text one stays.
     """
-    found = near_dedup.near_duplicates(docs)
-    gone = found.where("NOT kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    columns = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
-    one = left.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.coalesce("text", F.lit(""))).alias("rest"))
-    whole = one.select("doc_id", "rest.*").select(*(F.col(f"`{c}`") for c in docs.columns))
-    return whole.unionByName(left.where("doc_id IS NULL"))
+    found = near_dedup.groups(docs)
+    alone = found.where("doc_id IS NULL OR n_shingles = 0").groupBy("doc_id", "md5").agg(F.lit(1).cast("long").alias("rows"))
+    first = found.where("n_shingles > 0 AND doc_id = component_id").groupBy("family", "doc_id", "k1", "k2", "md5").agg(F.count("*").alias("rows"))
+    one = first.groupBy("family").agg(F.min(F.struct("k1", "k2", "md5", "doc_id", "rows")).alias("one")).select("one.doc_id", "one.md5", "one.rows")
+    stay = written(one.unionByName(alone), "stay").select(F.col("doc_id").alias("_id"), F.col("md5").alias("_md5"), F.col("rows").alias("_rows"))
+    md5 = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    # a null id isn't a key that all its rows would meet under
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
+    same = (key == F.coalesce(F.col("_id").cast("string"), F.lit("-"))) & (md5 == F.col("_md5"))
+    once = docs.join(stay.where("_rows = 1"), same, "left_semi")
+    repeated = docs.join(stay.where("_rows > 1"), same, "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    least = repeated.groupBy("doc_id", md5.alias("_md5")).agg(F.min(F.struct(*columns)).alias("_one")).select("_one.*")
+    return once.unionByName(least)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
