@@ -259,3 +259,95 @@ def test_models_return_a_row_for_every_item(spark, sf, name, source, key, folds)
 
     found = sorted((r[0], r.held_out) for r in registry.queries()[name](spark, sf).collect())
     assert found == sorted((r[0], r[0] % folds == 0) for r in spark.read.parquet(f"{sf}/{source}.parquet").select(key).collect())
+
+
+def _embeddings(spark, sf):
+    import numpy as np
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    return np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float), np.array([r.label for r in rows])
+
+
+def test_importance_against_numpy(spark, sf):
+    import numpy as np
+
+    from varve import registry
+
+    _, v, _ = _embeddings(spark, sf)
+    a, b, n = v[:, 0], v[:, 1], len(v)
+    truth = (a > 0).astype(int)
+
+    def loss(a, b):
+        p = 1 / (1 + np.exp(-(3 * a - 0.01 * b)))
+        return -np.log(np.where(truth == 1, p, 1 - p) + 1e-12)
+
+    other = [(np.arange(n) + k * 7919) % n for k in range(1, 9)]
+    gains = {"a": [np.mean(loss(a[o], b) - loss(a, b)) for o in other], "b": [np.mean(loss(a, b[o]) - loss(a, b)) for o in other]}
+    found = {r.feature: (r.mean, r.std) for r in registry.queries()["d22_importance"](spark, sf).collect()}
+    assert found == {f: pytest.approx((np.mean(g), np.std(g)), abs=1e-9) for f, g in gains.items()}
+
+
+def test_vectors_have_unit_length_and_tell_texts_apart(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from varve.operators import models
+
+    df = spark.createDataFrame([(0, "alpha beta gamma"), (1, "alpha beta gamma"), (2, "alpha beta delta"), (3, "uno dos tres")], "id long, text string")
+    v = {r.id: r.v for r in models.vectors(df).select("id", vector_to_array("vector").alias("v")).collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    assert dot(v[0], v[0]) == pytest.approx(1) and v[0] == v[1] and dot(v[0], v[2]) > dot(v[0], v[3])
+
+
+def test_out_of_fold_and_self_training(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    from varve.operators import models
+
+    rows = [(i, [float(i % 3 == k) + 0.01 * (i % 7) for k in range(3)], f"c{i % 3}") for i in range(240)]
+    df = spark.createDataFrame(rows, "item long, x array<double>, code string").select("item", array_to_vector("x").alias("features"), "code")
+    found = models.out_of_fold(df.where("item % 20 <> 0"), df.where("item % 20 = 0"), 3).collect()
+    assert sorted(r.item for r in found) == [i for i in range(240) if i % 20] and all(r.code == r.truth for r in found)
+    assert {r.fold for r in found} == {0, 1, 2}
+    sure = models.self_train(df.where("item % 4 = 0"), df.where("item % 4 <> 0").drop("code")).collect()
+    assert {r.item: r.code for r in sure} == {i: f"c{i % 3}" for i in range(240) if i % 4}
+
+
+def test_calibrated_probabilities_after_reading_the_model_back(spark):
+    from varve.operators import models
+
+    rows = [(i, " ".join(["der die das und", "the and of to", "le la les et"][i % 3].split()[k % 4] for k in range(i % 5 + 3)), ["de", "en", "fr"][i % 3]) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = models.saved(models.calibrated(models.lexical(df.where("doc_id % 5 > 1"), "lang"), df.where("doc_id % 5 = 1")), spark)
+    found = models.probabilities(model, df).collect()
+    assert len(found) == 90 and all(sum(r.probabilities) == pytest.approx(1, abs=1e-3) and len(r.probabilities) == 3 for r in found)
+    assert sum(r.code == r.lang for r in found) > 85
+
+
+def test_as_of_across_buckets(spark):
+    import random
+
+    r = random.Random(3)
+    left = [(i, r.randint(0, 2), r.randint(0, 300)) for i in range(300)]
+    right = [(r.randint(0, 2), t, f"v{t}" if r.random() > 0.2 else None) for t in r.sample(range(300), 60)]
+    a = spark.createDataFrame(left, "i long, k long, t long")
+    b = spark.createDataFrame(right, "k long, u long, label string")
+    expected = {i: max(((u, v) for key, u, v in right if key == k and u <= t and v), default=(0, None))[1] for i, k, t in left}
+    for width in (1, 7, 50, 1 << 30):
+        assert {x.i: x.label for x in telemetry.as_of(a, b, ["k"], "t", "u", "label", width).collect()} == expected
+
+
+def test_lifecycle_on_written_tiers(spark, tmp_path):
+    rows = spark.range(2400).select((F.col("id") % 60).alias("epoch_hour"), F.col("id").alias("ts_ns"), F.lit(1).alias("series_id"))
+    hot, settled, state, stamps = (str(tmp_path / x) for x in ("hot", "settled", "state", "stamps"))
+    tiers.write_hours(rows, hot, ["ts_ns"])
+    report = tiers.apply_lifecycle(spark, hot, settled, state, stamps, 50, 1, ["ts_ns"]).collect()
+    steps = {}
+    for r in report:
+        steps.setdefault((r.step, r.problem), set()).add(r.epoch_hour)
+    assert steps == {("settled", None): set(range(50)), ("removed", None): set(range(48)), ("leftover", "day not over"): {48, 49}}
+    assert {r[0] for r in spark.read.parquet(hot).select("epoch_hour").distinct().collect()} == set(range(48, 60))
+    # a late row opens its hour again, others are left alone
+    late = spark.createDataFrame([(49, 9999, 1)], "epoch_hour long, ts_ns long, series_id int")
+    second = tiers.settle_hours(spark, spark.read.parquet(hot).unionByName(late), settled, 50, ["ts_ns"], state_path=state, run=2).collect()
+    assert [(r.epoch_hour, r.rows, r.verified) for r in second] == [(49, 41, True)]
+    assert tiers.state_of(spark, state).where("run = 1").count() == 49 and spark.read.parquet(settled).count() == 2001

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varve.operators.tiers import latest
 from varve.session import shared_dir
 
 
@@ -42,8 +43,25 @@ def apply_changes(events: DataFrame, key: str, seq: str) -> DataFrame:
 
     A rename is a delete of the old key and an upsert of the new one.
     """
-    by = Window.partitionBy(key).orderBy(F.col(seq).desc())
-    return events.withColumn("_place", F.row_number().over(by)).where("_place = 1 AND op <> 'delete'").drop("_place", "op")
+    return latest(events, [key], [seq]).where("op <> 'delete'").drop("op")
+
+
+def members(pairs: DataFrame, by: str, of: str, name: str) -> DataFrame:
+    """(by, n, name): the members of each side of a membership table, in order, joined by commas."""
+    ordered = F.array_sort(F.collect_list(of)).cast("array<string>")
+    return pairs.groupBy(by).agg(F.count("*").alias("n"), F.array_join(ordered, ",").alias(name))
+
+
+def both_sides(edges: DataFrame) -> DataFrame:
+    """(node, other, side): each edge with its source and with its target, so either end finds it."""
+    side = lambda a, b, s: F.struct(F.col(a).alias("node"), F.col(b).alias("other"), F.lit(s).alias("side"))
+    return edges.select(F.explode(F.array(side("src", "dst", "out"), side("dst", "src", "in"))).alias("e")).select("e.*")
+
+
+def apply_tags(events: DataFrame, seq: str) -> tuple[DataFrame, DataFrame]:
+    """(tags that hold, audit) of events (resource, tag, op: assign or remove): the last of each pair counts, the audit has all."""
+    held = latest(events, ["resource", "tag"], [seq]).where("op = 'assign'").select("resource", "tag")
+    return held, events.select("resource", "tag", "op", F.col(seq).alias("at"))
 
 
 def renames(events: DataFrame, old: str, new: str) -> DataFrame:

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import HashingTF, IDF, NGram, Normalizer, RegexTokenizer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varve.session import shared_dir, written
+
 
-def text_stages(column: str = "text", size: int = 1 << 12) -> list:
-    """Hashed words, word pairs and 3-grams of characters, weighted by rarity, of unit length."""
+def text_stages(column: str = "text", size: int = 1 << 12, grams: tuple[int, ...] = (3, 4, 5, 6), gram_size: int = 1 << 15) -> list:
+    """Hashed words, word pairs and character runs of 3 to 6, weighted by rarity, of unit length."""
+    runs = [f"_grams{n}" for n in grams]
     return [
         RegexTokenizer(inputCol=column, outputCol="_words", pattern=r"\s+"), NGram(n=2, inputCol="_words", outputCol="_pairs"),
-        RegexTokenizer(inputCol=column, outputCol="_chars", pattern="", minTokenLength=1), NGram(n=3, inputCol="_chars", outputCol="_grams"),
-        *(HashingTF(inputCol=i, outputCol=f"{i}_tf", numFeatures=size) for i in ("_words", "_pairs", "_grams")),
-        VectorAssembler(inputCols=["_words_tf", "_pairs_tf", "_grams_tf"], outputCol="_tf"), IDF(inputCol="_tf", outputCol="_idf", minDocFreq=2), Normalizer(inputCol="_idf", outputCol="vector"),
+        RegexTokenizer(inputCol=column, outputCol="_chars", pattern="", minTokenLength=1), *(NGram(n=n, inputCol="_chars", outputCol=c) for n, c in zip(grams, runs)),
+        *(HashingTF(inputCol=i, outputCol=f"{i}_tf", numFeatures=size) for i in ("_words", "_pairs")), *(HashingTF(inputCol=c, outputCol=f"{c}_tf", numFeatures=gram_size) for c in runs),
+        VectorAssembler(inputCols=["_words_tf", "_pairs_tf", *(f"{c}_tf" for c in runs)], outputCol="_tf"), IDF(inputCol="_tf", outputCol="_idf", minDocFreq=2), Normalizer(inputCol="_idf", outputCol="vector"),
     ]
 
 
@@ -34,10 +39,43 @@ def lexical(train: DataFrame, label: str, column: str = "text") -> PipelineModel
     return Pipeline(stages=[index, *text_stages(column), svm]).fit(weighted)
 
 
-def calibrated(model: PipelineModel, df: DataFrame) -> LogisticRegression:
-    """Probabilities from margins, fitted on held-back rows."""
-    scored = model.transform(df).withColumnRenamed("prediction", "_svm")
-    return LogisticRegression(featuresCol="rawPrediction", labelCol="_label", maxIter=20, predictionCol="prediction", rawPredictionCol="_raw").fit(scored)
+def calibrated(model: PipelineModel, held_back: DataFrame) -> PipelineModel:
+    """The model with a logistic curve from its margins to probabilities, fitted on rows it wasn't trained on."""
+    scored = model.transform(held_back.withColumn("_weight", F.lit(1.0))).where(F.col("_label") < len(model.stages[0].labels))
+    curve = LogisticRegression(featuresCol="rawPrediction", labelCol="_label", maxIter=20, predictionCol="_code", rawPredictionCol="_raw", probabilityCol="probability").fit(scored)
+    return PipelineModel([*model.stages, curve])
+
+
+def saved(model: PipelineModel, spark: SparkSession) -> PipelineModel:
+    """Written to the shared folder and read back."""
+    path = f"{shared_dir(spark)}/varve-model-{uuid.uuid4().hex}"
+    model.write().save(path)
+    return PipelineModel.load(path)
+
+
+def probabilities(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """Adds code, confidence and probabilities (in order of the label) by a calibrated model."""
+    names = F.array(*map(F.lit, model.stages[0].labels))
+    scored = model.transform(rows.withColumn("_weight", F.lit(1.0)))
+    every = F.slice(vector_to_array("probability"), 1, len(model.stages[0].labels))
+    scored = scored.withColumn("probabilities", every).withColumn("confidence", F.array_max("probabilities"))
+    return scored.withColumn("code", F.element_at(names, F.array_position("probabilities", F.col("confidence")).cast("int")))
+
+
+def out_of_fold(rows: DataFrame, reference: DataFrame, k: int) -> DataFrame:
+    """(item, fold, code, confidence, truth): rows (item, features, code) predicted by a model that hasn't seen their fold.
+
+    Folds go by code and md5 of the item (labels.folds). The reference rows
+    are in the training set of every fold.
+    """
+    from varve.operators.labels import folds
+
+    dealt, out = written(folds(rows, "code", "item", k), "folds"), None
+    for fold in range(k):
+        train = dealt.where(F.col("fold") != fold).select("item", "features", "code").unionByName(reference.select("item", "features", "code"))
+        found = _predict(forest(train, "code"), dealt.where(F.col("fold") == fold).withColumn("truth", F.col("code"))).select("item", "fold", "code", "confidence", "truth")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def forest(train: DataFrame, label: str, vector: str = "features", trees: int = 20) -> PipelineModel:
@@ -58,19 +96,16 @@ def scaled(df: DataFrame, arrays: list[str], out: str = "features") -> DataFrame
     return Pipeline(stages=stages).fit(vectors).transform(vectors)
 
 
-def self_train(labelled: DataFrame, rest: DataFrame, rounds: int, sure: float = 0.80) -> DataFrame:
-    """(item, code, round): rows of `rest` that got a sure label, by round; each round trains on all so far."""
-    from varve.session import shared_dir
-    import uuid
+def self_train(labelled: DataFrame, rest: DataFrame, rounds: int = 10, sure: float = 0.80) -> DataFrame:
+    """(item, code, round): rows of `rest` that got a sure label, by round; each round trains on all so far.
 
-    spark, train, out = labelled.sparkSession, labelled.select("item", "features", "code"), None
+    It ends with the first round that is sure of nothing new, or after `rounds`.
+    """
+    train, out = labelled.select("item", "features", "code"), None
     for k in range(rounds):
-        model = forest(train, "code")
         left = rest if out is None else rest.join(out.select("item"), "item", "left_anti")
-        found = _predict(model, left)
-        path = f"{shared_dir(spark)}/varve-selftrain-{uuid.uuid4().hex}"
-        found.where(F.col("confidence") >= sure).select("item", "features", "code", F.lit(k).alias("round")).write.parquet(path)
-        sure_rows = spark.read.parquet(path)
+        found = _predict(forest(train, "code"), left)
+        sure_rows = written(found.where(F.col("confidence") >= sure).select("item", "features", "code", F.lit(k).alias("round")), "selftrain")
         if sure_rows.isEmpty():
             break
         out = sure_rows if out is None else out.unionByName(sure_rows)

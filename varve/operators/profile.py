@@ -15,17 +15,17 @@ KEY = ["source_table", "column_name"]
 
 # --- fixed values: indicator words of data elements (name, domain, words)
 ELEMENTS = (
-    ("PaymentCard", "finance", "card_number pan cvv expiry cardholder card_type payment_card card_brand"),
-    ("PostalAddress", "contact", "street city state zip postal_code country address_line zip_code province"),
-    ("PersonName", "identity", "first_name last_name full_name middle_name given_name surname family_name name_prefix"),
-    ("ContactInfo", "contact", "email phone mobile fax telephone phone_number email_address contact_number"),
-    ("BankAccount", "finance", "account_number routing_number iban swift bank_code sort_code bic account_type"),
-    ("GovernmentID", "identity", "ssn social_security tax_id passport driver_license national_id tin ein"),
-    ("BiospecimenCollection", "healthcare", "sample_location specimen_type collection_date anatomical_site instrument biopsy tissue sample_id specimen_id pathology"),
-    ("PatientDemographics", "healthcare", "date_of_birth gender sex ethnicity race marital_status blood_type patient_id mrn"),
-    ("GeoLocation", "spatial", "latitude longitude lat lng lon geo_location coordinates altitude geohash"),
-    ("DeviceIdentity", "technology", "device_id mac_address ip_address imei serial_number hostname uuid hardware_id"),
-    ("Credential", "security", "password pin secret token api_key passphrase auth_token access_key"),
+    ("PaymentCard", "finance", ("card_number", "pan", "cvv", "expiry", "cardholder", "card_type", "payment_card", "card_brand")),
+    ("PostalAddress", "contact", ("street", "city", "state", "zip", "postal_code", "country", "address_line", "zip_code", "province")),
+    ("PersonName", "identity", ("first_name", "last_name", "full_name", "middle_name", "given_name", "surname", "family_name", "name_prefix")),
+    ("ContactInfo", "contact", ("email", "phone", "mobile", "fax", "telephone", "phone_number", "email_address", "contact_number")),
+    ("BankAccount", "finance", ("account_number", "routing_number", "iban", "swift", "bank_code", "sort_code", "bic", "account_type")),
+    ("GovernmentID", "identity", ("ssn", "social_security", "tax_id", "passport", "driver_license", "national_id", "tin", "ein")),
+    ("BiospecimenCollection", "healthcare", ("sample_location", "specimen_type", "collection_date", "anatomical_site", "instrument", "biopsy", "tissue", "sample_id", "specimen_id", "pathology")),
+    ("PatientDemographics", "healthcare", ("date_of_birth", "gender", "sex", "ethnicity", "race", "marital_status", "blood_type", "patient_id", "mrn")),
+    ("GeoLocation", "spatial", ("latitude", "longitude", "lat", "lng", "lon", "geo_location", "coordinates", "altitude", "geohash")),
+    ("DeviceIdentity", "technology", ("device_id", "mac_address", "ip_address", "imei", "serial_number", "hostname", "uuid", "hardware_id")),
+    ("Credential", "security", ("password", "pin", "secret", "token", "api_key", "passphrase", "auth_token", "access_key")),
 )
 ELEMENT_LEAST = 2
 #: Descriptions of a column's values.
@@ -158,11 +158,16 @@ def foreign_keys(columns: DataFrame) -> DataFrame:
 def elements(columns: DataFrame, least: int = ELEMENT_LEAST) -> DataFrame:
     """(element, source_table, column_name, role): tables with enough columns named like an element's indicators."""
     spark = columns.sparkSession
-    words = [(e, w) for e, _, text in ELEMENTS for w in text.split()]
-    indicators = F.broadcast(spark.createDataFrame(words, "element string, word string"))
+    words = [(e, w) for e, _, all_words in ELEMENTS for w in all_words]
+    indicators = spark.createDataFrame(words, "element string, word string")
     n = F.col("n")
     overlap = F.col("word").contains("_") & (F.size(F.array_except(F.split("word", "_"), F.split(n, "_"))) == 0)
     hit = n.contains(F.col("word")) | F.col("word").contains(n) | overlap
-    found = columns.withColumn("n", names.snake("column_name")).join(indicators, hit).select(*KEY, "element").distinct()
+    found = columns.withColumn("n", names.snake("column_name")).join(F.broadcast(indicators), hit).select(*KEY, "element").distinct()
     enough = found.groupBy("source_table", "element").agg(F.count("*").alias("k")).where(F.col("k") >= least)
     return found.join(enough, ["source_table", "element"], "left_semi").withColumn("role", names.role("column_name"))
+
+
+def lookup(found: DataFrame, by: str, **columns: str) -> DataFrame:
+    """What `elements` found, read by element, table or column: the distinct values of other columns, joined by commas."""
+    return found.groupBy(by).agg(*(F.array_join(F.array_sort(F.collect_set(c)), ",").alias(name) for name, c in columns.items()))

@@ -7,10 +7,12 @@ Spark where they are small and shuffled where they aren't.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varve.functions.keys import HOURS_PER_WEEK
+from varve.session import written
 
 HOUR = "epoch_hour"
 
@@ -81,9 +83,9 @@ def upkeep_plan(spark: SparkSession, tables: DataFrame, now_hour: int) -> DataFr
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key by `order` (UPSERT: last write wins)."""
-    by = Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in order))
-    return df.withColumn("_place", F.row_number().over(by)).where("_place = 1").drop("_place")
+    """The last row of each key by `order` (UPSERT: last write wins), with partial aggregation."""
+    last = F.max_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), F.struct(*order)).alias("_last")
+    return df.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(last).select("_last.*")
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -102,13 +104,96 @@ def write_hours(df: DataFrame, path: str, sort: list[str], hour: str = HOUR) ->
     dealt.sortWithinPartitions(hour, *sort).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(hour).parquet(path)
 
 
-def settle_hours(spark: SparkSession, hot: DataFrame, path: str, now_hour: int, sort: list[str], hour: str = HOUR) -> DataFrame:
-    """Write all closed hours at once, read them back, and report exact verification."""
-    done = closed(hot, now_hour, hour)
-    write_hours(done, path, sort, hour)
-    written = hour_counts(spark.read.parquet(path), hour).withColumnRenamed("n", "written")
-    checked = hour_counts(done, hour).join(written, hour, "left")
-    return checked.select(hour, F.col("n").alias("rows"), F.coalesce("written", F.lit(0)).alias("written"), F.coalesce(F.col("n") == F.col("written"), F.lit(False)).alias("verified"))
+def upsert_hours(spark: SparkSession, path: str, changes: DataFrame, keys: list[str], order: list[str], hour: str = HOUR) -> None:
+    """Land changes in a written tier, whose keys never change their hour: only touched hours are read and rewritten."""
+    touched = changes.select(hour).distinct()
+    changed = upsert(spark.read.parquet(path).join(touched, hour, "left_semi"), changes, keys, order)
+    # what is read isn't overwritten before it is whole elsewhere
+    write_hours(written(changed, "touched"), path, keys, hour)
+
+
+_STATE = "{0} long, rows long, written long, verified boolean, run long"
+
+
+def state_of(spark: SparkSession, path: str, hour: str = HOUR) -> DataFrame:
+    """The newest state of each hour that was ever settled; none where nothing was written yet."""
+    rows = _read(spark, path, _STATE.format(hour))
+    return latest(rows, [hour], ["run"])
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def settle_hours(spark: SparkSession, hot: DataFrame, path: str, now_hour: int, sort: list[str], hour: str = HOUR, state_path: str | None = None, run: int = 0) -> DataFrame:
+    """Write all closed hours at once, read them back, and report exact verification.
+
+    With a state table, hours verified before with the same number of rows are
+    left alone, and the report is added to it; late rows change the number, so
+    their hour settles again. Only hours just written are read to verify.
+    """
+    counts = hour_counts(closed(hot, now_hour, hour), hour).withColumnRenamed("n", "rows")
+    if state_path is not None:
+        fine = state_of(spark, state_path, hour).where("verified").select(hour, "rows")
+        counts = counts.join(fine, [hour, "rows"], "left_anti")
+    due = written(counts, "due")
+    write_hours(hot.join(due.select(hour), hour, "left_semi"), path, sort, hour)
+    there = hour_counts(spark.read.schema(hot.schema).parquet(path).join(due.select(hour), hour, "left_semi"), hour).withColumnRenamed("n", "written")
+    checked = due.join(there, hour, "left").select(F.col(hour).cast("long").alias(hour), "rows", F.coalesce("written", F.lit(0)).alias("written"))
+    report = checked.withColumn("verified", F.col("rows") == F.col("written"))
+    if state_path is None:
+        return report
+    report = report.withColumn("run", F.lit(run).cast("long"))
+    report.write.mode("append").parquet(state_path)
+    return spark.read.schema(_STATE.format(hour)).parquet(state_path).where(F.col("run") == run)
+
+
+def backfill(spark: SparkSession, hot: DataFrame, path: str, first: int, last: int, sort: list[str], hour: str = HOUR, state_path: str | None = None, run: int = 0) -> DataFrame:
+    """Settle the hours from `first` to `last` (both included): one job, not a loop over hours."""
+    return settle_hours(spark, hot.where(F.col(hour).between(first, last)), path, last + 1, sort, hour, state_path, run)
+
+
+def remove_days(spark: SparkSession, hot_path: str, state_path: str, stamp_path: str, at: int, hour: str = HOUR) -> DataFrame:
+    """Take the droppable days of a written hot tier away, hour by hour, and stamp them.
+
+    A day goes only if every hour it has is verified with exactly the rows it
+    has now. Gives (day, hour, rows, at) of what went. Hours are few: their
+    numbers go through the driver, which deletes their folders; nothing else
+    does. A second run finds them gone and stamps nothing.
+    """
+    hot = spark.read.parquet(hot_path)
+    verified = state_of(spark, state_path, hour).where("verified").select(hour, "rows")
+    days = settle_state(hot, verified, hour).where("droppable").select("day")
+    gone = hour_counts(hot, hour).withColumn("day", F.expr(f"{hour} div 24")).join(days, "day", "left_semi")
+    gone = written(gone.select("day", F.col(hour).cast("long").alias(hour), F.col("n").alias("rows"), F.lit(at).cast("long").alias("at")), "gone")
+    root = spark._jvm.org.apache.hadoop.fs.Path(hot_path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in gone.select(hour).toLocalIterator():
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{hot_path}/{hour}={row[0]}"), True)
+    gone.write.mode("append").parquet(stamp_path)
+    return gone
+
+
+def apply_lifecycle(spark: SparkSession, hot_path: str, settled_path: str, state_path: str, stamp_path: str, now_hour: int, run: int, sort: list[str], hour: str = HOUR) -> DataFrame:
+    """Settle what is closed, remove days that are verified, and look for leftovers.
+
+    Gives (step, hour, rows, problem): settled and removed hours, and as
+    leftover every closed hour still hot, with what keeps it there.
+    """
+    settled = settle_hours(spark, spark.read.parquet(hot_path), settled_path, now_hour, sort, hour, state_path, run)
+    removed = remove_days(spark, hot_path, state_path, stamp_path, run, hour)
+    state = state_of(spark, state_path, hour).where("verified").select(hour, F.col("rows").alias("verified_rows"))
+    left = hour_counts(closed(spark.read.schema(spark.read.parquet(settled_path).schema).parquet(hot_path), now_hour, hour), hour).join(state, hour, "left")
+    why = F.when(F.col("verified_rows").isNull(), "not verified").when(F.col("verified_rows") != F.col("n"), "rows came late").otherwise("day not over")
+    nothing = F.lit(None).cast("string")
+    out = settled.select(F.lit("settled").alias("step"), hour, "rows", F.when(~F.col("verified"), "not verified").alias("problem"))
+    out = out.unionByName(removed.select(F.lit("removed").alias("step"), hour, "rows", nothing.alias("problem")))
+    return out.unionByName(left.select(F.lit("leftover").alias("step"), F.col(hour).cast("long").alias(hour), F.col("n").alias("rows"), why.alias("problem")))
 
 
 def drop_days(hot: DataFrame, verified: DataFrame, hour: str = HOUR) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varve.functions import names
@@ -12,24 +12,37 @@ from varve.operators import profile
 from varve.registry import query
 from varve.session import table
 
-#: Columns that both engines print alike.
 COLUMNS = {
     "nation": ["n_nationkey", "n_name", "n_regionkey"],
-    "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
-    "supplier": ["s_suppkey", "s_name", "s_nationkey"],
-    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"],
-    "events": ["event_id", "user_id", "event_type", "props"],
-    "documents": ["doc_id", "lang", "source", "n_chars"],
-    "pages": ["page_id", "url"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
+    "events": ["event_id", "user_id", "event_type", "props", "ts", "value"],
+    "documents": ["doc_id", "lang", "source", "n_chars", "text"],
+    "pages": ["page_id", "url", "html"],
 }
+#: Prices have two digits, values four, and times are whole days or seconds, printed alike by both engines.
+MONEY, VALUES, DAYS, TIMES = ("c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "l_quantity", "l_extendedprice", "l_discount", "l_tax"), ("value",), ("o_orderdate", "l_shipdate"), ("ts",)
 SAMPLE = 12
 
 
 def cells(spark: SparkSession, sf: str) -> DataFrame:
-    return reduce(DataFrame.unionByName, (profile.cells(table(spark, sf, t).select(*c), t) for t, c in COLUMNS.items()))
+    return reduce(DataFrame.unionByName, (profile.cells(table(spark, sf, t).select(*map(_printed, c)), t) for t, c in COLUMNS.items()))
 
 
-_CELLS = "cells AS (" + " UNION ALL ".join(f"SELECT '{t}' AS source_table, '{c}' AS column_name, {c}::VARCHAR AS value FROM {t}" for t, cs in COLUMNS.items() for c in cs) + ")"
+def _printed(c: str) -> Column:
+    kind = "decimal(18, 2)" if c in MONEY else "decimal(18, 4)" if c in VALUES else "date" if c in DAYS else None
+    return F.col(c).cast(kind).alias(c) if kind else F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c in TIMES else F.col(c)
+
+
+def _printed_sql(c: str) -> str:
+    kind = "DECIMAL(18, 2)" if c in MONEY else "DECIMAL(18, 4)" if c in VALUES else "DATE" if c in DAYS else "VARCHAR"
+    return f"strftime({c}, '%Y-%m-%d %H:%M:%S')" if c in TIMES else f"{c}::{kind}::VARCHAR"
+
+
+_CELLS = "cells AS (" + " UNION ALL ".join(f"SELECT '{t}' AS source_table, '{c}' AS column_name, {_printed_sql(c)} AS value FROM {t}" for t, cs in COLUMNS.items() for c in cs) + ")"
 _COUNTS = "counts AS (SELECT source_table, column_name, value, count(*) AS n FROM cells WHERE value <> '' GROUP BY ALL)"
 _SAMPLE = f"sampled AS (SELECT *, row_number() OVER (PARTITION BY source_table, column_name ORDER BY n DESC, value) AS place FROM counts QUALIFY place <= {SAMPLE})"
 S = f"WITH {_CELLS}, {_COUNTS}, {_SAMPLE}"
@@ -99,8 +112,8 @@ def descriptions(spark: SparkSession, sf: str) -> DataFrame:
     return _profile(spark, sf).select(*profile.KEY, "description")
 
 
-_TEXT = """concat_ws(' | ', replace(column_name, '_', ' '), array_to_string([v[1:80] FOR v IN sample[1:5]], ', '), 'cardinality=' || cardinality, CASE WHEN null_ratio > 0 THEN printf('null_ratio=%.2f', null_ratio) END,
-CASE WHEN entropy > 0 THEN printf('entropy=%.2f', entropy) END, CASE WHEN len(patterns) > 0 THEN 'patterns: ' || array_to_string(patterns, ', ') END, printf('avg_len=%.1f', round(avg_len, 1)), CASE WHEN numeric_ratio > 0 THEN printf('numeric=%.2f', numeric_ratio) END,
+_TEXT = """concat_ws(' | ', replace(column_name, '_', ' '), array_to_string([v[1:80] FOR v IN sample[1:5]], ', '), 'cardinality=' || cardinality, CASE WHEN null_ratio > 0 THEN 'null_ratio=' || round(null_ratio::DECIMAL(18, 4), 2)::DECIMAL(18, 2) END,
+CASE WHEN entropy > 0 THEN 'entropy=' || round(entropy::DECIMAL(18, 4), 2)::DECIMAL(18, 2) END, CASE WHEN len(patterns) > 0 THEN 'patterns: ' || array_to_string(patterns, ', ') END, printf('avg_len=%.1f', round(avg_len, 1)), CASE WHEN numeric_ratio > 0 THEN 'numeric=' || round(numeric_ratio::DECIMAL(18, 4), 2)::DECIMAL(18, 2) END,
 'siblings: ' || array_to_string(siblings, ', '), 'table=' || source_table, description)"""
 
 
@@ -120,10 +133,10 @@ def short_text(spark: SparkSession, sf: str) -> DataFrame:
     return _profile(spark, sf).select(*profile.KEY, F.concat_ws(" | ", "column_name", values).alias("text"))
 
 
-@query("b15_discrete_vector", P + f", {_NULLS} SELECT source_table, column_name, round((cardinality + null_ratio + entropy + len(patterns)) * sqrt(64 / 11.0), 4) AS total FROM described JOIN nulls USING (source_table, column_name)")
+@query("b15_discrete_vector", P + f""", {_NULLS} SELECT source_table, column_name, i, round(x * sqrt(64 / 11.0), 4) AS x FROM (SELECT source_table, column_name, unnest([cardinality::DOUBLE, null_ratio, entropy, {", ".join(f"list_contains(patterns, '{n}')::INT" for n in names.PATTERNS)}]) AS x, unnest(range(0, {3 + len(names.PATTERNS)})) AS i FROM described JOIN nulls USING (source_table, column_name))""")
 def discrete_vector(spark: SparkSession, sf: str) -> DataFrame:
     v = _described(spark, sf).withColumn("v", profile.discrete_vector(64))
-    return v.select(*profile.KEY, F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+    return v.select(*profile.KEY, F.posexplode("v").alias("i", "x")).withColumn("x", F.round("x", 4))
 
 
 @query("c09_siblings", f"WITH {_CELLS}, {_SIBLINGS} SELECT source_table, column_name, array_to_string(siblings, ',') AS siblings FROM sib")
@@ -142,7 +155,7 @@ def name_functions(spark: SparkSession, sf: str) -> DataFrame:
 def _schema(spark: SparkSession, sf: str) -> DataFrame:
     """Made-up tables, one for each part brand and size, whose columns are elements' words and <table>_id."""
     p = table(spark, sf, "part")
-    words = [w for _, _, text in profile.ELEMENTS for w in text.split()]
+    words = [w for _, _, some in profile.ELEMENTS for w in some]
     word = F.element_at(F.array(*map(F.lit, words)), (F.col("p_partkey") % len(words) + 1).cast("int"))
     a = p.select(F.concat(F.lit("t"), F.col("p_size")).alias("source_table"), word.alias("column_name"))
     b = p.select(F.concat(F.lit("t"), F.col("p_size")).alias("source_table"), F.concat(F.lit("t"), F.expr("p_partkey % 60"), F.lit("_id")).alias("column_name"))
@@ -150,7 +163,7 @@ def _schema(spark: SparkSession, sf: str) -> DataFrame:
     return a.unionByName(b).unionByName(c).distinct()
 
 
-_WORDS = [w for _, _, text in profile.ELEMENTS for w in text.split()]
+_WORDS = [w for _, _, some in profile.ELEMENTS for w in some]
 _SCHEMA = f"""cols AS (SELECT DISTINCT * FROM (SELECT 't' || p_size AS source_table, ([{", ".join(f"'{w}'" for w in _WORDS)}])[p_partkey % {len(_WORDS)} + 1] AS column_name FROM part
 UNION ALL SELECT 't' || p_size, 't' || (p_partkey % 60) || '_id' FROM part UNION ALL SELECT 'T' || (p_size + 30) || 's', 'value' FROM part))"""
 
@@ -161,7 +174,7 @@ def foreign_keys(spark: SparkSession, sf: str) -> DataFrame:
     return profile.foreign_keys(_schema(spark, sf))
 
 
-_INDICATORS = "ind(element, word) AS (VALUES " + ", ".join(f"('{e}', '{w}')" for e, _, text in profile.ELEMENTS for w in text.split()) + ")"
+_INDICATORS = "ind(element, word) AS (VALUES " + ", ".join(f"('{e}', '{w}')" for e, _, some in profile.ELEMENTS for w in some) + ")"
 
 
 @query("c11_elements", f"""WITH {_SCHEMA}, {_INDICATORS}, found AS (SELECT DISTINCT source_table, column_name, element FROM cols JOIN ind ON contains(column_name, word) OR contains(word, column_name) OR (contains(word, '_') AND list_has_all(string_split(column_name, '_'), string_split(word, '_'))))
@@ -171,11 +184,26 @@ def elements(spark: SparkSession, sf: str) -> DataFrame:
     return profile.elements(_schema(spark, sf))
 
 
-@query("c13_element_lookup", f"""WITH {_SCHEMA}, {_INDICATORS}, found AS (SELECT DISTINCT source_table, column_name, element FROM cols JOIN ind ON contains(column_name, word) OR contains(word, column_name) OR (contains(word, '_') AND list_has_all(string_split(column_name, '_'), string_split(word, '_'))))
-SELECT element, count(DISTINCT source_table) AS tables, count(*) AS members FROM found WHERE (source_table, element) IN (SELECT (source_table, element) FROM found GROUP BY source_table, element HAVING count(*) >= 2) GROUP BY 1""")
+_C13 = f"""WITH {_SCHEMA}, {_INDICATORS}, found AS (SELECT DISTINCT source_table, column_name, element FROM cols JOIN ind ON contains(column_name, word) OR contains(word, column_name) OR (contains(word, '_') AND list_has_all(string_split(column_name, '_'), string_split(word, '_'))))"""
+
+
+@query("c13_element_lookup", _C13 + """ SELECT element, string_agg(DISTINCT source_table, ',' ORDER BY source_table) AS tables, string_agg(DISTINCT column_name, ',' ORDER BY column_name) AS members FROM found WHERE (source_table, element) IN (SELECT (source_table, element) FROM found GROUP BY source_table, element HAVING count(*) >= 2) GROUP BY 1""")
 def element_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Elements of the same name merged across tables."""
-    return profile.elements(_schema(spark, sf)).groupBy("element").agg(F.countDistinct("source_table").alias("tables"), F.count("*").alias("members"))
+    return profile.lookup(profile.elements(_schema(spark, sf)), "element", tables="source_table", members="column_name")
+
+
+_FOUND = "(SELECT * FROM found WHERE (source_table, element) IN (SELECT (source_table, element) FROM found GROUP BY source_table, element HAVING count(*) >= 2))"
+
+
+@query("c13_by_table", _C13 + f" SELECT source_table, string_agg(DISTINCT element, ',' ORDER BY element) AS elements FROM {_FOUND} GROUP BY 1")
+def elements_by_table(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.lookup(profile.elements(_schema(spark, sf)), "source_table", elements="element")
+
+
+@query("c13_by_column", _C13 + f" SELECT column_name, string_agg(DISTINCT element, ',' ORDER BY element) AS elements FROM {_FOUND} GROUP BY 1")
+def elements_by_column(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.lookup(profile.elements(_schema(spark, sf)), "column_name", elements="element")
 
 
 @query("b19_resolve", """WITH v AS (SELECT min(p_partkey) AS id, p_type AS name FROM part GROUP BY p_type), w AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN x WHEN 1 THEN lower(x) ELSE 'none' || x END AS label FROM (SELECT o_orderkey, (SELECT list(name ORDER BY name) FROM v)[o_orderkey % (SELECT count(*) FROM v) + 1] AS x FROM orders))

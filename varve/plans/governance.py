@@ -39,13 +39,46 @@ def hop_rows(spark: SparkSession, sf: str) -> DataFrame:
     return graph.hop_rows(e, graph.frontier(e, spark.createDataFrame([("r1",)], "node string"), 3))
 
 
-@query("c20_tags", "SELECT p_brand AS tag, count(*) AS resources, count(DISTINCT p_type) AS types FROM part GROUP BY 1 UNION ALL SELECT p_type, count(*), count(DISTINCT p_brand) FROM part GROUP BY 1")
-def tags(spark: SparkSession, sf: str) -> DataFrame:
-    """One membership table read both ways: by tag and by resource."""
+def _memberships(spark: SparkSession, sf: str) -> DataFrame:
+    """(resource, tag): a part has the tags of its brand and its type."""
     p = table(spark, sf, "part")
-    by_brand = p.groupBy(F.col("p_brand").alias("tag")).agg(F.count("*").alias("resources"), F.countDistinct("p_type").alias("types"))
-    by_type = p.groupBy(F.col("p_type").alias("tag")).agg(F.count("*").alias("resources"), F.countDistinct("p_brand").alias("types"))
-    return by_brand.unionByName(by_type)
+    return p.select(F.col("p_partkey").alias("resource"), F.explode(F.array("p_brand", "p_type")).alias("tag"))
+
+
+_MEMBERS = "WITH m AS (SELECT p_partkey AS resource, unnest([p_brand, p_type]) AS tag FROM part) "
+
+
+@query("c20_tags", _MEMBERS + "SELECT tag, count(*) AS n, string_agg(resource::VARCHAR, ',' ORDER BY resource) AS resources FROM m GROUP BY 1")
+def tags(spark: SparkSession, sf: str) -> DataFrame:
+    """One membership table read by tag."""
+    return graph.members(_memberships(spark, sf), "tag", "resource", "resources")
+
+
+@query("c20_resources", _MEMBERS + "SELECT resource, count(*) AS n, string_agg(tag, ',' ORDER BY tag) AS tags FROM m GROUP BY 1")
+def resources(spark: SparkSession, sf: str) -> DataFrame:
+    """The same table read by resource."""
+    return graph.members(_memberships(spark, sf), "resource", "tag", "tags")
+
+
+@query("c20_policies", "SELECT p_partkey AS resource, min(policy) AS policy FROM (SELECT p_partkey, unnest([p_brand, p_type]) AS tag FROM part) JOIN (VALUES ('ECONOMY', 'p2'), ('Brand#11', 'p1'), ('Brand#23', 'p3')) t(tag, policy) USING (tag) GROUP BY 1")
+def policies(spark: SparkSession, sf: str) -> DataFrame:
+    """The first policy of each resource by its tags."""
+    index = spark.createDataFrame([("ECONOMY", "p2"), ("Brand#11", "p1"), ("Brand#23", "p3")], "tag string, policy string")
+    return _memberships(spark, sf).join(index, "tag").groupBy("resource").agg(F.min("policy").alias("policy"))
+
+
+@query("t7_edges", "SELECT 'n' || n_nationkey AS node, 'r' || n_regionkey AS other, 'out' AS side FROM nation UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, 'in' FROM nation")
+def edges_both_sides(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"))
+    return graph.both_sides(n)
+
+
+@query("t7_tags", """WITH e AS (SELECT o_custkey AS resource, o_orderpriority AS tag, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status, count(*) AS events FROM orders GROUP BY ALL) SELECT resource, tag, events FROM e WHERE status <> 'F'""")
+def tag_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders assign their priority to the customer as a tag, finished ones remove it; the audit keeps every event."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("resource"), F.col("o_orderpriority").alias("tag"), F.struct("o_orderdate", "o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") == "F", "remove").otherwise("assign").alias("op"))
+    held, audit = graph.apply_tags(o, "seq")
+    return held.join(audit.groupBy("resource", "tag").agg(F.count("*").alias("events")), ["resource", "tag"])
 
 
 @query("t7_projection", "SELECT o_custkey AS key, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1 HAVING arg_max(o_orderstatus, (o_orderdate, o_orderkey)) <> 'F'")
@@ -55,9 +88,9 @@ def projection(spark: SparkSession, sf: str) -> DataFrame:
     return graph.apply_changes(o, "key", "seq").select("key", "o_orderkey")
 
 
-@query("t7_rename", "SELECT l_orderkey AS seq, k AS key, op FROM (SELECT l_orderkey, unnest(['p' || l_partkey, 's' || l_suppkey]) AS k, unnest(['delete', 'upsert']) AS op FROM lineitem WHERE l_linenumber = 1)")
+@query("t7_rename", "SELECT l_orderkey * 10 + l_linenumber AS seq, k AS key, op FROM (SELECT l_orderkey, l_linenumber, unnest(['p' || l_partkey, 's' || l_suppkey]) AS k, unnest(['delete', 'upsert']) AS op FROM lineitem)")
 def rename(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("seq"), F.concat(F.lit("p"), "l_partkey").alias("old"), F.concat(F.lit("s"), "l_suppkey").alias("new"))
+    e = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.concat(F.lit("p"), "l_partkey").alias("old"), F.concat(F.lit("s"), "l_suppkey").alias("new"))
     return graph.renames(e, "old", "new")
 
 
@@ -99,13 +132,13 @@ def violations(spark: SparkSession, sf: str) -> DataFrame:
     return claims.over_budget(b, b.select("node", F.lit(30).cast("long").alias("max")))
 
 
-@query("c23_over_commit", """WITH held AS (SELECT s_nationkey AS leaf, sum(s_suppkey % 4) AS held FROM supplier WHERE s_suppkey % 3 = 0 GROUP BY 1), wanted AS (SELECT s_nationkey AS leaf, sum(s_suppkey % 5) AS wanted FROM supplier WHERE s_suppkey % 3 = 1 GROUP BY 1),
+@query("c23_over_commit", """WITH held AS (SELECT s_nationkey AS leaf, sum(s_suppkey % 4) AS held FROM supplier WHERE s_suppkey % 3 = 0 GROUP BY 1), wanted AS (SELECT s_nationkey AS leaf, sum(s_suppkey % 5) AS wanted FROM supplier WHERE s_suppkey % 3 <> 0 GROUP BY 1),
 lim AS (SELECT n_nationkey AS leaf, 4 + n_nationkey % 5 AS max FROM nation WHERE n_nationkey % 6 <> 0)
 SELECT leaf, coalesce(held, 0)::BIGINT AS held, wanted::BIGINT AS wanted, max, CASE WHEN max IS NULL THEN 'unknown' WHEN coalesce(held, 0) + wanted > max THEN 'refused' ELSE 'fine' END AS verdict FROM wanted LEFT JOIN held USING (leaf) LEFT JOIN lim USING (leaf)""")
 def over_commit(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "supplier").withColumn("leaf", F.col("s_nationkey"))
     lim = table(spark, sf, "nation").where("n_nationkey % 6 <> 0").select(F.col("n_nationkey").alias("leaf"), F.expr("4 + n_nationkey % 5").alias("max"))
-    return claims.over_commit(s.where("s_suppkey % 3 = 0").withColumn("n", F.col("s_suppkey") % 4), s.where("s_suppkey % 3 = 1").withColumn("n", F.col("s_suppkey") % 5), lim)
+    return claims.over_commit(s.where("s_suppkey % 3 = 0").withColumn("n", F.col("s_suppkey") % 4), s.where("s_suppkey % 3 <> 0").withColumn("n", F.col("s_suppkey") % 5), lim)
 
 
 @query("g3_lease_state", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'released' WHEN 1000 >= o_orderkey % 2000 OR 1000 - o_orderkey % 1500 >= 100 THEN 'lapsed' ELSE 'alive' END AS state FROM orders")

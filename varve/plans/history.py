@@ -129,6 +129,20 @@ def interval_join(spark: SparkSession, sf: str) -> DataFrame:
     return telemetry.interval_join(r, spans, "ts_ns").groupBy("tx_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
+_PLACED = "ran AS (SELECT user_id AS tx_id, CASE WHEN user_id % 5 > 0 THEN gpu END AS gpu, CASE WHEN user_id % 5 > 0 THEN inst END AS inst, min(ts_ns) AS from_ns, min(ts_ns) + 7200000000000 AS to_ns FROM readings GROUP BY ALL)"
+
+
+@query("c07_device_samples", f"WITH {fx.SQL}, {_PLACED} SELECT tx_id, event_id FROM readings r JOIN ran s ON r.gpu = s.gpu AND r.inst = s.inst AND r.ts_ns BETWEEN from_ns AND to_ns")
+def device_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples of the device an operation ran on; a fifth of the operations ran on none."""
+    r = fx.readings(spark, sf)
+    there = F.col("user_id") % 5 > 0
+    ran = r.groupBy(F.col("user_id").alias("tx_id"), F.when(there, F.col("gpu")).alias("gpu"), F.when(there, F.col("inst")).alias("inst")).agg(F.min("ts_ns").alias("a"))
+    marks = ran.select("tx_id", "gpu", "inst", F.explode(F.array("a", F.col("a") + 2 * keys.NS_PER_HOUR)).alias("ts_ns"))
+    spans = telemetry.windows_of(marks, "tx_id", "ts_ns", keys.NS_PER_HOUR, ["gpu", "inst"])
+    return telemetry.interval_join(r, spans, "ts_ns", ["gpu", "inst"]).select("tx_id", "event_id")
+
+
 @query("a10_exposition", "SELECT 'EVENT_' || upper(event_type) AS name, user_id::VARCHAR AS gpu, event_type AS kind, event_id::DOUBLE AS value FROM events WHERE event_id % 10 > 1")
 def exposition(spark: SparkSession, sf: str) -> DataFrame:
     """events as scrape lines, with comments and broken lines between them."""
@@ -138,11 +152,18 @@ def exposition(spark: SparkSession, sf: str) -> DataFrame:
     return telemetry.exposition(lines).select("name", F.col("labels")["gpu"].alias("gpu"), F.col("labels")["kind"].alias("kind"), "value")
 
 
-@query("d36_otlp", "SELECT event_type AS name, CASE WHEN event_type IN ('click', 'view', 'signup') THEN 'counter' ELSE 'gauge' END AS kind, count(*)::INT AS points FROM events GROUP BY ALL")
+@query("d36_otlp", "SELECT event_type AS name, CASE WHEN event_type IN ('click', 'view', 'signup') THEN 'counter' ELSE 'gauge' END AS kind, count(*) AS points, sum(round(value * 100))::BIGINT AS cents, CASE WHEN event_type IN ('click', 'view', 'signup') THEN 'true/2' ELSE '/' END AS sums FROM events GROUP BY ALL")
 def otlp(spark: SparkSession, sf: str) -> DataFrame:
     r = fx.readings(spark, sf)
     samples = r.select(F.col("event_type").alias("name"), F.lit("1").alias("unit"), F.when(F.col("vtype") == 0, "counter").otherwise("gauge").alias("kind"), F.to_json(F.create_map(F.lit("gpu"), F.col("gpu"))).alias("labels"), "value")
-    return telemetry.otlp(samples, "varve", 0).select("name", "kind", "points")
+    shape = "struct<dataPoints:array<struct<attributes:string,timeUnixNano:long,asDouble:double>>>"
+    body = F.from_json("metric", f"name string, unit string, gauge {shape}, sum struct<dataPoints:array<struct<attributes:string,timeUnixNano:long,asDouble:double>>,isMonotonic:boolean,aggregationTemporality:int>")
+    metrics = telemetry.otlp(samples, "varve", 0).withColumn("m", body)
+    points = F.coalesce("m.sum.dataPoints", "m.gauge.dataPoints")
+    cents = F.aggregate(points, F.lit(0).cast("long"), lambda s, p: s + F.round(p["asDouble"] * 100).cast("long"))
+    sums = F.concat(F.coalesce(F.col("m.sum.isMonotonic").cast("string"), F.lit("")), F.lit("/"), F.coalesce(F.col("m.sum.aggregationTemporality").cast("string"), F.lit("")))
+    documents = metrics.select(F.col("m.name").alias("name"), "kind", F.size(points).alias("points"), cents.alias("cents"), sums.alias("sums"))
+    return documents.groupBy("name", "kind", "sums").agg(F.sum("points").alias("points"), F.sum("cents").alias("cents"))
 
 
 # --- ledger
@@ -190,9 +211,9 @@ def ill_posed(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.claims(obs, allowed).select("id", "verdict", "outcome", "p")
 
 
-@query("d30_worst_state", "SELECT user_id, arg_min(CASE WHEN event_type IN ('error', 'purchase', 'view', 'signup') THEN event_type ELSE 'unknown' END, CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 WHEN 'view' THEN 3 WHEN 'signup' THEN 4 ELSE 2 END) AS state FROM events WHERE event_id % 3 = 0 GROUP BY 1")
+@query("d30_worst_state", "SELECT user_id, arg_min(CASE WHEN event_type IN ('error', 'purchase', 'view', 'signup') THEN event_type ELSE 'unknown' END, CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 WHEN 'view' THEN 3 WHEN 'signup' THEN 4 ELSE 2 END) AS state FROM events GROUP BY 1")
 def worst_state(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").where("event_id % 3 = 0").select("user_id", F.upper("event_type").alias("state"))
+    e = table(spark, sf, "events").select("user_id", F.upper("event_type").alias("state"))
     return ledger.worst_state(e, "user_id", ["error", "purchase", "unknown", "view", "signup"])
 
 

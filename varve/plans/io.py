@@ -19,8 +19,9 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/varve-io-{uuid.uuid4().hex}"
 
 
-@query("a01_csv_columns", """SELECT 'nation' AS source_table, c AS column_name, 5 AS "values", 'n_nationkey,geo.n_name,n_regionkey' AS headers FROM (VALUES ('n_nationkey'), ('n_name'), ('n_regionkey')) t(c)
-UNION ALL SELECT 'supplier', c, CASE WHEN c = 's_acctbal' THEN 0 ELSE 5 END, 's_suppkey,s_name,s_acctbal' FROM (VALUES ('s_suppkey'), ('s_name'), ('s_acctbal')) t(c)""")
+@query("a01_csv_columns", """WITH n AS (SELECT * FROM (SELECT *, row_number() OVER () AS r FROM nation) WHERE r <= 5), p AS (SELECT * FROM (SELECT *, row_number() OVER () AS r FROM supplier) WHERE r <= 5)
+SELECT 'nation' AS source_table, c AS column_name, string_agg(v, ',' ORDER BY r) AS "values", 'n_nationkey,geo.n_name,n_regionkey' AS headers FROM (SELECT r, unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS c, unnest([n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR]) AS v FROM n) GROUP BY c
+UNION ALL SELECT 'supplier', c, coalesce(string_agg(v, ',' ORDER BY r), ''), 's_suppkey,s_name,s_acctbal' FROM (SELECT r, unnest(['s_suppkey', 's_name', 's_acctbal']) AS c, unnest([s_suppkey::VARCHAR, s_name, NULL]) AS v FROM p) GROUP BY c""")
 def csv_columns(spark: SparkSession, sf: str) -> DataFrame:
     folder = _folder(spark)
     n = table(spark, sf, "nation").withColumnRenamed("n_name", "geo.n_name").select("n_nationkey", "`geo.n_name`", "n_regionkey")
@@ -28,15 +29,15 @@ def csv_columns(spark: SparkSession, sf: str) -> DataFrame:
     for name, df in (("nation.csv", n), ("supplier.csv", s), ("metadata.csv", n)):
         df.coalesce(1).write.csv(f"{folder}/{name}", header=True)
     found = files.csv_columns(spark, folder)
-    return found.select("source_table", "column_name", F.size("sample_values").alias("values"), F.array_join("headers", ",").alias("headers"))
+    return found.select("source_table", "column_name", F.array_join("sample_values", ",").alias("values"), F.array_join("headers", ",").alias("headers"))
 
 
-@query("a02_column_records", "SELECT p_brand AS source_table, p_type AS column_name, count(*)::INT AS \"values\", p_type || ',other' AS headers FROM part GROUP BY ALL")
+@query("a02_column_records", "SELECT p_brand AS source_table, p_type AS column_name, string_agg(p_name, ',' ORDER BY p_name) AS \"values\", p_type || ',other' AS headers FROM part GROUP BY ALL")
 def column_records(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part").groupBy(F.col("p_brand").alias("source_table"), F.col("p_type").alias("column_name")).agg(F.to_json(F.collect_list("p_name")).alias("sample_values"))
     p = p.withColumn("column_type", F.lit("STRING")).withColumn("sibling_columns", F.to_json(F.array(F.col("column_name"), F.lit("other"))))
     found = files.column_records(p)
-    return found.select("source_table", "column_name", F.size("sample_values").alias("values"), F.array_join("headers", ",").alias("headers"))
+    return found.select("source_table", "column_name", F.array_join(F.array_sort("sample_values"), ",").alias("values"), F.array_join("headers", ",").alias("headers"))
 
 
 @query("a04_csv_landing", "SELECT s_suppkey::VARCHAR AS supp_key, s_name AS col_2name, s_nationkey::VARCHAR AS nation FROM supplier")

@@ -30,14 +30,14 @@ def sensitivity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _CODES = ["0070", "0073", "0075", "0085", "0084", "0071", "0026", "0001"]
-_CODED = f"coded AS (SELECT p_brand AS source_table, p_name AS column_name, ([{', '.join(repr(c) for c in _CODES)}])[p_partkey % 23 % 8 + 1] AS code FROM part WHERE p_partkey % 3 = 0)"
+_CODED = f"coded AS (SELECT p_brand AS source_table, p_name AS column_name, ([{', '.join(repr(c) for c in _CODES)}])[p_partkey % 23 % 8 + 1] AS code FROM part)"
 
 
 @query("c12_refine_elements", f"""WITH {_CODED}, aff(element, code) AS (VALUES {", ".join(f"('{e}', '{c}')" for e, cs in labels.AFFINITIES.items() for c in cs)}), h AS (SELECT * FROM coded JOIN aff USING (code) WHERE element <> 'PaymentCard'),
 f AS (SELECT element, min(source_table) AS source_table FROM (SELECT element, source_table FROM h GROUP BY ALL HAVING count(DISTINCT code) >= 2) GROUP BY 1) SELECT element, source_table, column_name FROM h JOIN f USING (element, source_table)""")
 def refine_elements(spark: SparkSession, sf: str) -> DataFrame:
     code = F.element_at(F.array(*map(F.lit, _CODES)), (F.col("p_partkey") % 23 % 8 + 1).cast("int"))
-    coded = table(spark, sf, "part").where("p_partkey % 3 = 0").select(F.col("p_brand").alias("source_table"), F.col("p_name").alias("column_name"), code.alias("code"))
+    coded = table(spark, sf, "part").select(F.col("p_brand").alias("source_table"), F.col("p_name").alias("column_name"), code.alias("code"))
     return labels.refine_elements(coded, spark.createDataFrame([("PaymentCard",)], "element string"))
 
 
@@ -154,17 +154,39 @@ def folds(spark: SparkSession, sf: str) -> DataFrame:
     return labels.folds(table(spark, sf, "labels").select("doc_id", "quality"), "quality", "doc_id", 5)
 
 
-@query("m4_scaled", "SELECT 64 + 8 AS width, count(*) AS n FROM embeddings")
+@query("m3_out_of_fold")
+def out_of_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """Each item predicted by the forest of the other folds; the reference items are in every training set and in no fold."""
+    f = _features(spark, sf).select("item", "features", "code")
+    return models.out_of_fold(f.where("item % 20 <> 0"), f.where("item % 20 = 0"), 3).select("item", "fold", "code", F.round("confidence", 6).alias("confidence"), "truth")
+
+
+@query("m1_probabilities")
+def probabilities(spark: SparkSession, sf: str) -> DataFrame:
+    """Calibrated probabilities of the language; the model is written and read back before it scores."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    train = d.where("text IS NOT NULL AND doc_id % 10 <> 0")
+    fitted = models.lexical(train.where("doc_id % 10 > 2"), "lang")
+    model = models.saved(models.calibrated(fitted, train.where("doc_id % 10 <= 2")), spark)
+    scored = models.probabilities(model, d.withColumn("text", F.coalesce("text", F.lit(""))))
+    return scored.select("doc_id", "lang", "code", F.round("confidence", 6).alias("confidence"), "probabilities", F.expr("coalesce(doc_id % 10 = 0, true)").alias("held_out"))
+
+
+@query("m4_scaled", """WITH e AS (SELECT vec_id AS item, unnest(embedding::DOUBLE[] || embedding[1:8]::DOUBLE[]) AS x, unnest(range(0, 72)) AS i FROM embeddings)
+SELECT item, i, round((x - avg(x) OVER (PARTITION BY i)) / stddev_samp(x) OVER (PARTITION BY i), 4) + 0.0 AS x FROM e""")
 def scaled(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
-    return _features(spark, sf).agg(F.max(F.size(vector_to_array("features"))).alias("width"), F.count("*").alias("n"))
+    return _features(spark, sf).select("item", F.posexplode(vector_to_array("features")).alias("i", "x")).withColumn("x", F.round("x", 4) + 0.0)
 
 
 @query("m5_self_training")
 def self_training(spark: SparkSession, sf: str) -> DataFrame:
+    """Every unlabelled item with the code it got and the round; null where no round was sure."""
     f = _features(spark, sf).select("item", "features", "code")
-    return models.self_train(f.where("item % 4 = 0"), f.where("item % 4 <> 0").drop("code"), 2, 0.3)
+    rest = f.where("item % 4 <> 0").drop("code")
+    sure = models.self_train(f.where("item % 4 = 0"), rest)
+    return rest.select("item").join(sure, "item", "left")
 
 
 @query("m6_synthetic_columns", """WITH c AS (SELECT DISTINCT p_brand AS code, p_brand || ' Name' AS label FROM part), b AS (SELECT code, label, unnest(range(0, 6)) AS variant FROM c), s AS (SELECT *, md5(code || '/' || variant) AS seed, lower(regexp_replace(label, '[^A-Za-z0-9]+', '_', 'g')) AS word FROM b),

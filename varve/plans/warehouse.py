@@ -209,7 +209,6 @@ def _settle(spark: SparkSession, sf: str, df: DataFrame, now: int) -> DataFrame:
 
 @query("t2_settle_hours", W + "SELECT epoch_hour, count(*) AS rows, count(*) AS written, true AS verified FROM hot, h0 WHERE epoch_hour < h + 600 GROUP BY 1")
 def settle_hours(spark: SparkSession, sf: str) -> DataFrame:
-    """Also the backfill of a range of hours: one job, not a loop (t6)."""
     return _settle(spark, sf, fx.hot(spark, sf), fx.first_hour(spark, sf) + 600)
 
 
@@ -221,6 +220,65 @@ def drop_days(spark: SparkSession, sf: str) -> DataFrame:
     return tiers.drop_days(h, verified).select("event_id", "epoch_hour")
 
 
+def _folder(spark: SparkSession) -> str:
+    import uuid
+
+    from varve.session import shared_dir
+
+    return f"{shared_dir(spark)}/varve-lifecycle-{uuid.uuid4().hex}"
+
+
+_SORT = ["series_id", "ts_ns"]
+_ONCE = "WITH runs AS (SELECT epoch_hour, count(*) AS n, count(*) FILTER (event_id % 50 <> 7) AS early FROM hot, h0 WHERE epoch_hour < h + 600 GROUP BY 1)"
+
+
+@query("t2_settle_state", W + _ONCE.replace("WITH runs", ", runs") + " SELECT epoch_hour, n AS rows, n AS written, true AS verified, CASE WHEN early = n THEN 1 ELSE 2 END::BIGINT AS run FROM runs")
+def settle_twice(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs, the second with rows that came late: only their hours settle again."""
+    h, folder, now = fx.hot(spark, sf).drop("vtype"), _folder(spark), fx.first_hour(spark, sf) + 600
+    tiers.settle_hours(spark, h.where("event_id % 50 <> 7"), f"{folder}/settled", now, _SORT, state_path=f"{folder}/state", run=1)
+    tiers.settle_hours(spark, h, f"{folder}/settled", now, _SORT, state_path=f"{folder}/state", run=2)
+    return tiers.state_of(spark, f"{folder}/state")
+
+
+@query("t3_remove_days", W + """, c AS (SELECT epoch_hour, epoch_hour // 24 AS day, count(*) AS rows, count(*) FILTER (event_id % 150 = 7) AS late FROM hot GROUP BY 1),
+d AS (SELECT day FROM c, h0 GROUP BY 1 HAVING bool_and(late = 0 AND epoch_hour < h + 600)) SELECT day, epoch_hour, rows, 5::BIGINT AS "at" FROM c WHERE day IN (SELECT day FROM d)""")
+def remove_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Of a written hot tier, days whose hours are all verified as they are now go; the stamps tell which."""
+    h, folder = fx.hot(spark, sf).drop("vtype"), _folder(spark)
+    tiers.write_hours(h, f"{folder}/hot", _SORT)
+    tiers.settle_hours(spark, h.where("event_id % 150 <> 7"), f"{folder}/settled", fx.first_hour(spark, sf) + 600, _SORT, state_path=f"{folder}/state", run=1)
+    for at in (5, 6):  # the second finds them gone
+        tiers.remove_days(spark, f"{folder}/hot", f"{folder}/state", f"{folder}/stamps", at)
+    return spark.read.parquet(f"{folder}/stamps")
+
+
+@query("t4_apply", W + """, c AS (SELECT epoch_hour, epoch_hour // 24 AS day, count(*) AS rows FROM hot GROUP BY 1), closed AS (SELECT c.*, epoch_hour < h + 590 AS over FROM c, h0), d AS (SELECT day FROM closed GROUP BY 1 HAVING bool_and(over))
+SELECT 'settled' AS step, epoch_hour, rows, NULL::VARCHAR AS problem FROM closed WHERE over UNION ALL SELECT 'removed', epoch_hour, rows, NULL FROM closed WHERE day IN (SELECT day FROM d)
+UNION ALL SELECT 'leftover', epoch_hour, rows, 'day not over' FROM closed WHERE over AND day NOT IN (SELECT day FROM d)""")
+def apply_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
+    folder = _folder(spark)
+    tiers.write_hours(fx.hot(spark, sf).drop("vtype"), f"{folder}/hot", _SORT)
+    return tiers.apply_lifecycle(spark, f"{folder}/hot", f"{folder}/settled", f"{folder}/state", f"{folder}/stamps", fx.first_hour(spark, sf) + 590, 1, _SORT)
+
+
+@query("t6_backfill", W + "SELECT epoch_hour, count(*) AS rows, count(*) AS written, true AS verified FROM hot, h0 WHERE epoch_hour BETWEEN h + 440 AND h + 520 GROUP BY 1")
+def backfill(spark: SparkSession, sf: str) -> DataFrame:
+    first = fx.first_hour(spark, sf)
+    return tiers.backfill(spark, fx.hot(spark, sf).drop("vtype"), f"{_folder(spark)}/settled", first + 440, first + 520, _SORT)
+
+
+@query("a11_upsert_hours", W + "SELECT event_id, epoch_hour, CASE WHEN epoch_hour % 7 = 2 AND event_id % 3 = 0 THEN value + 1 ELSE value END AS value FROM readings")
+def upsert_hours(spark: SparkSession, sf: str) -> DataFrame:
+    """Changes land in a written tier; hours without changes keep their files."""
+    path = f"{_folder(spark)}/tier"
+    r = fx.readings(spark, sf).select("event_id", "epoch_hour", "ts_ns", "value").withColumn("seq", F.lit(0))
+    tiers.write_hours(r, path, ["event_id"])
+    changes = r.where("epoch_hour % 7 = 2 AND event_id % 3 = 0").withColumn("value", F.col("value") + 1).withColumn("seq", F.lit(1))
+    tiers.upsert_hours(spark, path, changes, ["event_id"], ["seq"])
+    return spark.read.parquet(path).select("event_id", F.col("epoch_hour").cast("long").alias("epoch_hour"), "value")
+
+
 @query("t5_consolidate", W + "SELECT CASE WHEN epoch_hour < h + 500 THEN 'settled' ELSE 'hot' END AS tier, count(*) AS n, count(DISTINCT epoch_hour) AS hours FROM hot, h0 GROUP BY ALL")
 def consolidate(spark: SparkSession, sf: str) -> DataFrame:
     """Cold hours move to the settled tier and leave the hot one."""
