@@ -13,7 +13,7 @@ from varve.session import session  # noqa: E402
 #: Tiers, facts, ledger, as-of and interval joins, profiles, fusion, graph, claims.
 HEADLINE = [
     "flagship", "c01_tier_mask", "c04_reconcile", "a11_upsert", "d02_project", "d24_brier", "d25_report", "c05_as_of", "c07_interval_join",
-    "d05_profile", "d12_fusion", "d14_decision", "c19_frontier", "d33_floors", "d34_budgets", "e07_supersession",
+    "d05_profile", "d12_fusion", "d12_inner_fusion", "d14_decision", "c19_frontier", "d33_floors", "d34_budgets", "e07_supersession", "t7_rename", "a11_upsert_hours", "t2_settle_state",
 ]
 
 

@@ -126,13 +126,13 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams; the same rows as a batch gives
 
 
-def _event_stream(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+def _event_stream(spark: SparkSession, sf: str, files: int = 2) -> tuple[DataFrame, str]:
     """events as files by day, some twice with a later value, and a stream over them."""
     folder = _folder(spark)
     e = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "user_id", "value", F.lit(0).alias("seq"))
     again = e.where("event_id % 5 = 0").withColumn("value", F.col("value") + 1).withColumn("seq", F.lit(1))
     e.unionByName(again).repartition(6, "event_id").write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
     return stream, folder
 
 
@@ -161,13 +161,35 @@ def stream_changes(spark: SparkSession, sf: str) -> DataFrame:
     return graph.apply_changes(rows, "user_id", "event_id").select("user_id", "event_id")
 
 
-@query("g5_stream_sketches", "SELECT event_type, count(*) AS n FROM events WHERE event_id % 5 <> 0 GROUP BY 1 UNION ALL SELECT 'hours', count(DISTINCT date_trunc('hour', ts)) FROM events WHERE event_id % 5 <> 0")
+@query("g5_stream_sketches", "SELECT event_type, sum(CASE WHEN event_id % 5 = 0 THEN 2 ELSE 1 END)::BIGINT AS n, count(DISTINCT date_trunc('hour', ts)) AS hours, true AS near FROM events GROUP BY 1")
 def stream_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly sketches of event ids, merged by type: repeated events count once, within 5 % of the exact number."""
     stream, folder = _event_stream(spark, sf)
-    sketches = landing.pattern_sketches(stream.where("event_id % 5 <> 0"), "event_type", "user_id", late="60 days")
+    sketches = landing.pattern_sketches(stream, "event_type", "event_id", late="60 days")
     landing.land(sketches, f"{folder}/out", f"{folder}/state", mode="update")
     last = landing.landed(spark, f"{folder}/out", ["hour", "event_type"], [])
-    return last.groupBy("event_type").agg(F.sum("n").alias("n")).unionByName(last.agg(F.countDistinct("hour").alias("n")).select(F.lit("hours").alias("event_type"), "n"))
+    merged = last.groupBy("event_type").agg(F.sum("n").alias("n"), F.countDistinct("hour").alias("hours"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
+    exact = table(spark, sf, "events").groupBy("event_type").agg(F.countDistinct("event_id").alias("exact"))
+    return merged.join(exact, "event_type").select("event_type", "n", "hours", (F.abs(F.col("estimate") - F.col("exact")) <= 0.05 * F.col("exact")).alias("near"))
+
+
+@query("g2_closed_hours", """WITH w AS (SELECT (epoch_us(max(ts)) // 1000 - 7200000) AS ms FROM events) SELECT epoch_us(date_trunc('hour', ts)) AS hour_us, event_type, sum(CASE WHEN event_id % 5 = 0 THEN 2 ELSE 1 END)::BIGINT AS n
+FROM events, w WHERE epoch_us(date_trunc('hour', ts)) // 1000 + 3600000 <= ms GROUP BY ALL""")
+def stream_closed_hours(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals of hours that the watermark (two hours) has closed, each given once."""
+    stream, folder = _event_stream(spark, sf, files=1_000)
+    landing.land(landing.hourly(stream, ["event_type"]), f"{folder}/out", f"{folder}/state")
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/out").select(F.unix_micros("hour").alias("hour_us"), "event_type", "n")
+
+
+@query("g3_stream_timers", """WITH l AS (SELECT user_id, max(epoch_us(ts)) // 1000 AS ms, arg_max(event_type, (epoch_us(ts) // 1000, event_type = 'error')) AS last FROM events GROUP BY 1), w AS (SELECT max(epoch_us(ts)) // 1000 - 7200000 AS ms FROM events)
+SELECT user_id, CASE WHEN last = 'error' THEN 'released' WHEN l.ms + 86400000 < w.ms THEN 'lapsed' ELSE 'alive' END AS state, l.ms AS heartbeat FROM l, w""")
+def stream_timers(spark: SparkSession, sf: str) -> DataFrame:
+    """Leases that lapse by a timer a day after their last heartbeat; an error releases."""
+    stream, folder = _event_stream(spark, sf, files=1_000)
+    beats = stream.select("user_id", "ts", (F.col("event_type") == "error").alias("released"))
+    landing.land(landing.liveness(beats, "user_id", "ts", 86_400_000), f"{folder}/out", f"{folder}/state", mode="update")
+    return landing.landed(spark, f"{folder}/out", ["user_id"], ["heartbeat"]).select("user_id", "state", "heartbeat")
 
 
 @query("g6_late_rows", "SELECT CASE WHEN epoch_us(ts) // 3600000000 >= (SELECT min(epoch_us(ts)) // 3600000000 + 300 FROM events) THEN 'landed' ELSE 'late' END AS kind, count(*) AS n FROM events GROUP BY 1")

@@ -7,13 +7,16 @@ itself; readers take the last row of each key. Compaction is a batch job
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from varve.operators import tiers
+from varve.session import ship
 
 
 def land(stream: DataFrame, path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None, mode: str = "append") -> StreamingQuery:
@@ -44,6 +47,38 @@ def without_repeats(stream: DataFrame, keys: list[str], time: str = "ts", late:
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
+def liveness(stream: DataFrame, key: str, time: str, ttl_ms: int, late: str = "2 hours") -> DataFrame:
+    """(key, state, heartbeat in ms) whenever a lease changes; stream: key (long), time, released.
+
+    A heartbeat keeps a lease alive, or releases it; a timer of event time
+    makes it lapse `ttl_ms` after the last one. Of heartbeats in one
+    millisecond a release counts. The state of a key is two numbers.
+    """
+    ship(stream.sparkSession)
+
+    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            beat, released = state.get
+            state.update((beat, released))
+            yield pd.DataFrame({key: [keys[0]], "state": ["lapsed"], "heartbeat": [beat]})
+            return
+        beat, released = state.get if state.exists else (-1, False)
+        for frame in frames:
+            for found in zip(frame["ms"], frame["released"]):
+                beat, released = max((beat, released), (int(found[0]), bool(found[1])))
+        state.update((beat, released))
+        now = "released" if released else "alive"
+        if not released:
+            if beat + ttl_ms > state.getCurrentWatermarkMs():
+                state.setTimeoutTimestamp(beat + ttl_ms)
+            else:
+                now = "lapsed"
+        yield pd.DataFrame({key: [keys[0]], "state": [now], "heartbeat": [beat]})
+
+    rows = stream.withWatermark(time, late).select(key, time, F.unix_millis(time).alias("ms"), "released")
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, state string, heartbeat long", "beat long, released boolean", "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def split_late(rows: DataFrame, settled_before: int, hour: str = tiers.HOUR) -> tuple[DataFrame, DataFrame]:
     """(rows to land, rows of hours that have settled): the second reopen their hour."""
     return rows.where(F.col(hour) >= settled_before), rows.where(F.col(hour) < settled_before)
