@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varve.llm import media, mixing, warc
-from varve.llm.fingerprints import fingerprinted
+from varve.llm.fingerprints import fingerprinted, linked
 from varve.llm.kneser_ney import held_out_scores
 from varve.llm.near_dedup import near_duplicates
 from varve.llm.packing import packed
@@ -40,6 +40,11 @@ def op6_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprinted(table(spark, sf_dir, "documents"))
 
 
+def minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicates by the bands of MinHash signatures, joined in Spark and verified by Jaccard."""
+    return linked(table(spark, sf_dir, "documents"))
+
+
 def op7_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents over 64 shards, by id."""
     return placed(table(spark, sf_dir, "documents"), "doc_id", [f"shard-{i:03d}" for i in range(64)])
@@ -65,6 +70,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_kneser_ney": op5_kneser_ney,
     "op6_minhash_fingerprints": op6_minhash_fingerprints,
+    "minhash_groups": minhash_groups,
     "op7_lookup_sharding": op7_lookup_sharding,
     "op8_swap_packing": op8_swap_packing,
     "op9_source_mixing": op9_source_mixing,

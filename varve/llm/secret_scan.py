@@ -191,7 +191,8 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Null and empty texts have no spans (the sha256 is that of nothing).
     Offsets count code points. Rows are independent: repeated rows repeat
-    their result, other columns are not looked at.
+    their result, other columns are not looked at, and an empty table gives an
+    empty result. A text is scanned whole, in time that grows with its length.
     """
     ship(docs.sparkSession)
 

@@ -47,8 +47,9 @@ def placed(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> Da
     """key, slot and shard for each row (null key: the empty string).
 
     Equal keys go to the same shard; a key is never split, so whoever shards
-    by a skewed key should add a second column to it. Other columns of `df`
-    are not looked at.
+    by a skewed key should add a second column to it. A repeated row repeats
+    its result, an empty table gives an empty one. Other columns of `df` are
+    not looked at.
     """
     spark = df.sparkSession
     owner = lookup_table(shards, slots)

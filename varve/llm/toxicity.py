@@ -240,7 +240,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null and empty texts have no gain and get the score of a text without
     toxic windows; repeated rows repeat their result; equal texts have equal
-    scores. Without any usable label the score is 0.5 or less for all.
+    scores. Without any usable label the score is 0.5 or less for all. An
+    empty table gives an empty result. A text is scored whole, window by
+    window, however long it is.
     """
     ship(docs.sparkSession)
     model = fit(docs, labels)
