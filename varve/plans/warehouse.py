@@ -241,13 +241,13 @@ def settle_twice(spark: SparkSession, sf: str) -> DataFrame:
     return tiers.state_of(spark, f"{folder}/state")
 
 
-@query("t3_remove_days", W + """, c AS (SELECT epoch_hour, epoch_hour // 24 AS day, count(*) AS rows, count(*) FILTER (event_id % 150 = 7) AS late FROM hot GROUP BY 1),
+@query("t3_remove_days", W + """, c AS (SELECT epoch_hour, epoch_hour // 24 AS day, count(*) AS rows, count(*) FILTER (event_id % 10 = 7 AND epoch_hour // 24 % 3 = 1) AS late FROM hot GROUP BY 1),
 d AS (SELECT day FROM c, h0 GROUP BY 1 HAVING bool_and(late = 0 AND epoch_hour < h + 600)) SELECT day, epoch_hour, rows, 5::BIGINT AS "at" FROM c WHERE day IN (SELECT day FROM d)""")
 def remove_days(spark: SparkSession, sf: str) -> DataFrame:
     """Of a written hot tier, days whose hours are all verified as they are now go; the stamps tell which."""
     h, folder = fx.hot(spark, sf).drop("vtype"), _folder(spark)
     tiers.write_hours(h, f"{folder}/hot", _SORT)
-    tiers.settle_hours(spark, h.where("event_id % 150 <> 7"), f"{folder}/settled", fx.first_hour(spark, sf) + 600, _SORT, state_path=f"{folder}/state", run=1)
+    tiers.settle_hours(spark, h.where("NOT (event_id % 10 = 7 AND epoch_hour div 24 % 3 = 1)"), f"{folder}/settled", fx.first_hour(spark, sf) + 600, _SORT, state_path=f"{folder}/state", run=1)
     for at in (5, 6):  # the second finds them gone
         tiers.remove_days(spark, f"{folder}/hot", f"{folder}/state", f"{folder}/stamps", at)
     return spark.read.parquet(f"{folder}/stamps")

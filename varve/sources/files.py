@@ -86,8 +86,8 @@ def ground_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_ground_truth(truth: DataFrame, path: str) -> None:
-    """Sorted by key, as one JSON object (a hand-checked list, so small)."""
-    body = truth.agg(F.to_json(F.struct(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "code")))).alias("mappings"))).alias("value"))
+    """Sorted by key, as one JSON object (a hand-checked list, so small); of a repeated key the largest code counts."""
+    body = truth.groupBy("key").agg(F.max("code").alias("code")).agg(F.to_json(F.struct(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "code")))).alias("mappings"))).alias("value"))
     body.coalesce(1).write.mode("overwrite").text(path)
 
 
