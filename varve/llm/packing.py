@@ -35,7 +35,7 @@ GENERATION = 300_000
 TOGETHER = 200
 
 #: Bytes of text whose words are looked up at once.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 _odd_space = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _letters = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
@@ -62,20 +62,20 @@ def _cut(block: np.ndarray, inside: np.ndarray, first: np.ndarray) -> tuple[np.n
     and never joins letters and stops.
     """
     start = np.flatnonzero(first)
-    here = np.arange(len(block))
+    here = np.arange(len(block), dtype=np.int32 if len(block) < 1 << 31 else np.int64)
     # inside a text there is a separator, between texts there needn't be one
-    stop = np.minimum(np.append(start[1:], len(block)), np.minimum.accumulate(np.where(inside, len(block), here)[::-1])[::-1][start])
+    stop = np.minimum(np.append(start[1:], len(block)), np.minimum.accumulate(np.where(inside, here.dtype.type(len(block)), here)[::-1])[::-1][start])
     low, second = _lower[block], np.zeros(len(block), dtype=bool)
     second[1:] = block[:-1] == 0xC3
     low[second & (block <= 0x9E) & (block != 0x97)] += 32
     wide = np.zeros(len(start), dtype=bool)
     if (block >= 0xC4).any():
-        count = np.concatenate([[0], np.cumsum(block >= 0xC4)])
+        count = np.concatenate([[0], np.cumsum(block >= 0xC4, dtype=here.dtype)])
         wide = count[stop] > count[start]
-        word = np.cumsum(first) - 1
+        word = np.cumsum(first, dtype=here.dtype) - 1
         low = np.where(inside & wide[np.maximum(word, 0)], block, low)
     letter = _small[low] | second & (low >= 0xA0) & (low != 0xB7) | second & (low == 0x9F)
-    last = np.maximum.accumulate(np.where(_stop[block], -1, here))[stop - 1]
+    last = np.maximum.accumulate(np.where(_stop[block], here.dtype.type(-1), here))[stop - 1]
     split = ~wide & (last >= start) & (last < stop - 1) & letter[last]
     start = np.sort(np.concatenate([start, last[split] + 1]))
     ends = np.sort(np.concatenate([stop, last[split] + 1]))
