@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varve.llm.common import WORD, below
+from varve.llm.common import WORD, below, written
 
 #: Weights by place of the source in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -53,8 +53,8 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
 
     size is the number of words (null text: 0). Null is a source of its own,
     the last. A source without words has target 0 and gives no copies.
-    Repeated rows are sampled one by one. An empty table gives an empty
-    result. All columns of `docs` travel inside `row`, so their names can't
+    Repeated rows are sampled one by one, in an order that all carried columns
+    but maps decide, so reruns agree. An empty table gives an empty result. All columns of `docs` travel inside `row`, so their names can't
     clash with those added.
     """
     carry = docs.columns if carry is None else carry
@@ -63,8 +63,10 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     fraction = F.conv(F.substring(md5, 1, 5), 16, 10).cast("double") / _FRACTION
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), F.col(source_col).alias("source"), size.alias("size"),
-        (size + fraction).alias("key"), md5.alias("tie"), F.xxhash64(text_col).alias("tie2"),
+        (size + fraction).alias("key"), md5.alias("tie"), F.xxhash64(text_col, *(F.col(f"`{c}`") for c in carry if "map<" not in docs.schema[c].dataType.simpleString())).alias("tie2"),
     )
+    if text_col not in carry:
+        rows = written(rows, "sizes")  # else the words of every text would be counted in each of the passes below
     cuts = [i / RANGES for i in range(1, RANGES)]
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.percentile_approx("key", cuts, 5_000).alias("cuts"))
     place = below(F.col("cuts"), F.col("key"), RANGES - 1)
