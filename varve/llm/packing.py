@@ -35,7 +35,7 @@ GENERATION = 300_000
 TOGETHER = 200
 
 #: Bytes of text whose words are looked up at once.
-BLOCK = 2 << 20
+BLOCK = 4 << 20
 
 _odd_space = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _letters = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
@@ -107,8 +107,9 @@ class Encoder:
         return [np.array(made.ids, dtype="<u4") for made in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if _letters.fullmatch(w)]
-        other = [w for w in words if not _letters.fullmatch(w)]
+        plain, other = [], []
+        for w in words:
+            (plain if _letters.fullmatch(w) else other).append(w)
         groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
         for group, ids in zip(groups, self._whole([" ".join(g) for g in groups])):
             ends = np.flatnonzero(self.ends_word[ids]) + 1
