@@ -593,7 +593,7 @@ def test_toxicity_of_odd_rows(spark, odd, none):
 # --- registration
 
 
-def test_ten_queries():
+def test_queries_are_all_there():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))
 
 

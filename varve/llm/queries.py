@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import media, mixing, warc
+from varve.llm import hard_negatives, media, mixing, vantage, warc
 from varve.llm.fingerprints import fingerprinted, linked
 from varve.llm.kneser_ney import held_out_scores
 from varve.llm.near_dedup import near_duplicates
@@ -13,6 +13,7 @@ from varve.llm.packing import packed
 from varve.llm.secret_scan import secrets
 from varve.llm.sharding import placed
 from varve.llm.toxicity import toxicity
+from varve.llm.whitening import whitened
 from varve.session import table
 
 
@@ -63,6 +64,21 @@ def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_blockmatrix_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_threshold_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.integer_rows(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+    return hard_negatives.mined(rows, rows.where("vec_id % 100 = 0"))
+
+
+def op13_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vantage.searchable(table(spark, sf_dir, "embeddings"))
+    return vantage.nearest(rows, rows.where("vec_id % 20 = 0"))
+
+
 QUERIES = {
     "op1_progressive_jpeg": op1_progressive_jpeg,
     "op2_superminhash": op2_superminhash,
@@ -75,10 +91,14 @@ QUERIES = {
     "op8_swap_packing": op8_swap_packing,
     "op9_source_mixing": op9_source_mixing,
     "op10_compression_toxicity": op10_compression_toxicity,
+    "op11_blockmatrix_whitening": op11_blockmatrix_whitening,
+    "op12_threshold_negatives": op12_threshold_negatives,
+    "op13_vantage_trees": op13_vantage_trees,
 }
 
 #: DuckDB SQL where SQL can express the whole result.
 ORACLES: dict[str, str] = {
     "op3_warc_normaliser": warc.SQL,
     "op9_source_mixing": mixing.SQL,
+    "op12_threshold_negatives": hard_negatives.SQL,
 }
