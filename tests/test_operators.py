@@ -351,3 +351,131 @@ def test_lifecycle_on_written_tiers(spark, tmp_path):
     second = tiers.settle_hours(spark, spark.read.parquet(hot).unionByName(late), settled, 50, ["ts_ns"], state_path=state, run=2).collect()
     assert [(r.epoch_hour, r.rows, r.verified) for r in second] == [(49, 41, True)]
     assert tiers.state_of(spark, state).where("run = 1").count() == 49 and spark.read.parquet(settled).count() == 2001
+
+
+def _tier(spark, hours=60, each=40):
+    return spark.range(hours * each).select((F.col("id") % hours).alias("epoch_hour"), F.col("id").alias("ts_ns"), F.lit(1).alias("series_id"))
+
+
+def _late(spark, rows):
+    return spark.createDataFrame(rows, "epoch_hour long, ts_ns long, series_id int")
+
+
+def _counts(spark, path):
+    return {r[0]: r[1] for r in spark.read.parquet(path).groupBy("epoch_hour").count().collect()}
+
+
+@pytest.mark.parametrize("keys", [["ts_ns"], None])
+@pytest.mark.parametrize("late", [1, 40])
+def test_late_rows_after_removal_are_merged(spark, tmp_path, keys, late):
+    """The settled hour keeps its rows, even if as many come late as were removed."""
+    hot, settled, state, stamps = (str(tmp_path / x) for x in ("hot", "settled", "state", "stamps"))
+    tiers.write_hours(_tier(spark), hot, ["ts_ns"])
+    apply = lambda run: tiers.apply_lifecycle(spark, hot, settled, state, stamps, 50, run, ["ts_ns"], keys=keys).collect()
+    apply(1)
+    assert 5 not in _counts(spark, hot) and _counts(spark, settled)[5] == 40
+    extra = [(5, 10_000 + k, 1) for k in range(late)]
+    tiers.write_hours(_late(spark, extra), hot, ["ts_ns"])
+    steps = [(r.step, r.epoch_hour, r.rows, r.problem) for r in apply(2) if r.step != "leftover"]
+    assert steps == [("settled", 5, 40 + late, None), ("removed", 5, late, None)]
+    assert _counts(spark, settled) == {h: 40 + late * (h == 5) for h in range(50)} and 5 not in _counts(spark, hot)
+    assert [r for r in apply(3) if r.step != "leftover"] == []
+    tiers.write_hours(_late(spark, extra), hot, ["ts_ns"])  # the same again: nothing new, nothing lost
+    apply(4)
+    assert _counts(spark, settled)[5] == 40 + late and spark.read.parquet(stamps).where("epoch_hour = 5").count() == 3
+
+
+def test_settling_without_a_state_table_keeps_settled_rows(spark, tmp_path):
+    path = str(tmp_path / "settled")
+    tiers.settle_hours(spark, _tier(spark, 4), path, 4, ["ts_ns"])
+    tiers.settle_hours(spark, _late(spark, [(2, 999, 1), (2, 999, 1)]), path, 4, ["ts_ns"])
+    assert _counts(spark, path) == {0: 40, 1: 40, 2: 42, 3: 40}
+
+
+def test_a_settle_run_that_broke_off_is_finished(spark, tmp_path, monkeypatch):
+    hot, settled, state, stamps = (str(tmp_path / x) for x in ("hot", "settled", "state", "stamps"))
+    tiers.write_hours(_tier(spark), hot, ["ts_ns"])
+    tiers.apply_lifecycle(spark, hot, settled, state, stamps, 50, 1, ["ts_ns"])
+    late = _late(spark, [(5, 10_000, 1)])
+    whole = tiers.write_hours
+
+    def broken(df, path, *rest):
+        spark._jvm.org.apache.commons.io.FileUtils.deleteDirectory(spark._jvm.java.io.File(f"{path}/epoch_hour=5"))
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(tiers, "write_hours", broken)
+    with pytest.raises(RuntimeError, match="lost"):
+        tiers.settle_hours(spark, late, settled, 50, ["ts_ns"], state_path=state, run=2)
+    monkeypatch.setattr(tiers, "write_hours", whole)
+    assert 5 not in _counts(spark, settled)
+    tiers.settle_hours(spark, late, settled, 50, ["ts_ns"], state_path=state, run=3)
+    assert _counts(spark, settled) == {h: 40 + (h == 5) for h in range(50)}
+
+
+def test_rows_that_land_while_a_day_is_removed_stay(spark, tmp_path, monkeypatch):
+    """An hour that gets a file between the count and the move goes back."""
+    hot, settled, state, stamps = (str(tmp_path / x) for x in ("hot", "settled", "state", "stamps"))
+    tiers.write_hours(_tier(spark, 48), hot, ["ts_ns"])
+    tiers.settle_hours(spark, spark.read.parquet(hot), settled, 48, ["ts_ns"], state_path=state, run=1)
+    plain = tiers.settle_state
+
+    def landing(df, verified, hour):
+        found = tiers.written(plain(df, verified, hour), "early")
+        _late(spark, [(7, 77_777, 1)]).write.mode("append").partitionBy("epoch_hour").parquet(hot)
+        return found
+
+    monkeypatch.setattr(tiers, "settle_state", landing)
+    gone = {r.epoch_hour for r in tiers.remove_days(spark, hot, state, stamps, 9).collect()}
+    assert gone == set(range(48)) - {7} and _counts(spark, hot) == {7: 41}
+
+
+def test_only_touched_hours_are_read(spark, tmp_path):
+    path = str(tmp_path / "tier")
+    tiers.write_hours(_tier(spark), path, ["ts_ns"])
+    found = tiers.in_hours(spark.read.parquet(path), _late(spark, [(5, 1, 1), (7, 1, 1)]))
+    assert "PartitionFilters: [epoch_hour" in found._jdf.queryExecution().toString()
+    assert {int(r[0].split("epoch_hour=")[1].split("/")[0]) for r in found.select(F.input_file_name()).distinct().collect()} == {5, 7}
+    before = {f: (tmp_path / "tier" / f"epoch_hour={f}").stat().st_mtime_ns for f in range(60)}
+    tiers.upsert_hours(spark, path, _late(spark, [(5, 5, 2), (5, 4444, 2)]), ["ts_ns"], ["ts_ns"])
+    after = {f: (tmp_path / "tier" / f"epoch_hour={f}").stat().st_mtime_ns for f in range(60)}
+    assert {f for f in before if before[f] != after[f]} == {5} and _counts(spark, path)[5] == 41
+
+
+def test_keys_that_move_have_one_row(spark, tmp_path):
+    import random
+
+    from varve.operators.keyed import KeyedTier
+
+    r, schema = random.Random(4), "k long, epoch_hour long, seq int, v int"
+    tier = KeyedTier(spark, str(tmp_path / "keyed"), ["k"], ["seq"], spark.createDataFrame([], schema).schema, buckets=4)
+    expected = {}
+    for run in range(1, 4):
+        rows = [(r.randint(0, 60), r.randint(0, 9), r.randint(run - 1, run + 1), r.randint(0, 999)) for _ in range(50)] + [(None, run, run, run)]
+        newest = {}
+        for k, h, s, v in rows:
+            newest[k] = max(newest.get(k, (s, h, v)), (s, h, v))
+        changes = spark.createDataFrame([(k, h, s, v) for k, (s, h, v) in newest.items()], schema)
+        for k, (s, h, v) in newest.items():
+            if k not in expected or s >= expected[k][0]:
+                expected[k] = (s, h, v)
+        for _ in range(2):  # the same run again changes nothing
+            tier.land(changes, run)
+        got = lambda: {x.k: (x.seq, x.epoch_hour, x.v) for x in tier.rows().collect()}
+        assert tier.rows().count() == len(expected) and got() == expected
+        if run == 2:
+            tier.compact()
+            assert got() == expected and tier.stored() == len(expected) and tier.deletes().count() == 0
+
+
+def test_lexical_rounds_in_one_session(spark):
+    """Fit and apply again and again: plans stay short, and each gives the same."""
+    from varve.operators import models
+
+    rows = [(i, [None, "the and of to", "der die das und"][(i % 3 > 0) * (1 + i % 2)], ["en", "de"][i % 2]) for i in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = set()
+    for _ in range(6):
+        scored = models.applied(models.lexical(df.where("text IS NOT NULL"), "lang"), df)
+        assert len(scored._jdf.queryExecution().executedPlan().toString()) < 20_000
+        found.add(tuple(sorted((r.doc_id, r.prediction) for r in scored.collect())))
+    assert len(found) == 1 and len(next(iter(found))) == 24

@@ -3,46 +3,89 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import HashingTF, IDF, NGram, Normalizer, RegexTokenizer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, Normalizer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.session import shared_dir, written
+from varve.session import shared_dir, ship, written
 
 
-def text_stages(column: str = "text", size: int = 1 << 12, grams: tuple[int, ...] = (3, 4, 5, 6), gram_size: int = 1 << 15) -> list:
-    """Hashed words, word pairs and character runs of 3 to 6, weighted by rarity, of unit length."""
-    runs = [f"_grams{n}" for n in grams]
-    return [
-        RegexTokenizer(inputCol=column, outputCol="_words", pattern=r"\s+"), NGram(n=2, inputCol="_words", outputCol="_pairs"),
-        RegexTokenizer(inputCol=column, outputCol="_chars", pattern="", minTokenLength=1), *(NGram(n=n, inputCol="_chars", outputCol=c) for n, c in zip(grams, runs)),
-        *(HashingTF(inputCol=i, outputCol=f"{i}_tf", numFeatures=size) for i in ("_words", "_pairs")), *(HashingTF(inputCol=c, outputCol=f"{c}_tf", numFeatures=gram_size) for c in runs),
-        VectorAssembler(inputCols=["_words_tf", "_pairs_tf", *(f"{c}_tf" for c in runs)], outputCol="_tf"), IDF(inputCol="_tf", outputCol="_idf", minDocFreq=2), Normalizer(inputCol="_idf", outputCol="vector"),
-    ]
+#: Dimensions of hashed words, of word pairs, and of runs of each length.
+WORDS, RUNS, LENGTHS = 1 << 12, 12_500, (3, 4, 5, 6)
+
+
+def _codes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Dimensions and counts of the words, word pairs and character runs of a lower-cased text."""
+    words = text.lower().split()
+    found = [np.array([zlib.crc32(w.encode()) % WORDS for w in words], dtype=np.int64)]
+    found.append(np.array([zlib.crc32(f"{a} {b}".encode()) % WORDS + WORDS for a, b in zip(words, words[1:])], dtype=np.int64))
+    points = np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    for at, n in enumerate(LENGTHS):
+        if len(points) >= n:
+            code = np.zeros(len(points) - n + 1, dtype=np.uint64)
+            for k in range(n):
+                code = code * np.uint64(0x9E3779B97F4A7C15) + points[k : len(points) - n + 1 + k] + np.uint64(1)
+            found.append((code >> np.uint64(40)).astype(np.int64) % RUNS + 2 * WORDS + at * RUNS)
+    return np.unique(np.concatenate(found), return_counts=True)
+
+
+def coded(df: DataFrame, column: str = "text") -> DataFrame:
+    """A written table with `tf`, the hashed counts of each text (null: empty).
+
+    A text is cut into terms once, in Arrow batches, and no list of its terms
+    leaves the task, so whatever is fitted or applied afterwards has a short plan.
+    """
+    ship(df.sparkSession)
+    size = 2 * WORDS + len(LENGTHS) * RUNS
+
+    @F.pandas_udf(VectorUDT())
+    def counts(texts: pd.Series) -> pd.DataFrame:
+        found = [_codes(t) for t in texts]  # a sparse vector in the columns of its type
+        return pd.DataFrame({"type": np.zeros(len(found), np.int8), "size": np.int32(size), "indices": [i.astype(np.int32) for i, _ in found], "values": [n.astype(float) for _, n in found]})
+
+    return written(df.withColumn("tf", counts(F.coalesce(F.col(column), F.lit("")))), "coded")
+
+
+def text_stages() -> list:
+    """Counts weighted by rarity, of unit length."""
+    return [IDF(inputCol="tf", outputCol="_idf", minDocFreq=2), Normalizer(inputCol="_idf", outputCol="vector")]
 
 
 def vectors(df: DataFrame, column: str = "text") -> DataFrame:
     """Texts as vectors: the default encoder, to be replaced by any pandas UDF."""
-    return Pipeline(stages=text_stages(column)).fit(df).transform(df)
+    rows = coded(df, column)
+    return Pipeline(stages=text_stages()).fit(rows).transform(rows)
 
 
 def lexical(train: DataFrame, label: str, column: str = "text") -> PipelineModel:
-    """Balanced linear SVM, one against the rest, over text vectors."""
-    n = train.groupBy(label).agg(F.count("*").alias("_n"))
-    weighted = train.join(n, label).withColumn("_weight", 1.0 / F.col("_n") * train.count() / n.count())
-    index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep")
-    svm = OneVsRest(classifier=LinearSVC(maxIter=15), featuresCol="vector", labelCol="_label", weightCol="_weight", predictionCol="prediction")
-    return Pipeline(stages=[index, *text_stages(column), svm]).fit(weighted)
+    """Balanced linear SVM, one against the rest, over text vectors; see `applied`."""
+    rows = coded(train, column)
+    n = rows.groupBy(label).agg(F.count("*").alias("_n"))
+    weighted = rows.join(n, label).withColumn("_weight", 1.0 / F.col("_n") * rows.count() / n.count())
+    index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="skip").fit(weighted)
+    weigh = Pipeline(stages=text_stages()).fit(weighted)
+    ready = written(weigh.transform(index.transform(weighted)).select("vector", "_label", "_weight"), "vectors")
+    svm = OneVsRest(classifier=LinearSVC(maxIter=15), featuresCol="vector", labelCol="_label", weightCol="_weight", predictionCol="prediction", parallelism=8)
+    return PipelineModel([index.setHandleInvalid("keep"), *weigh.stages, svm.fit(ready)])
+
+
+def applied(model: PipelineModel, rows: DataFrame, column: str = "text") -> DataFrame:
+    """Rows scored by a lexical model."""
+    return model.transform(coded(rows, column).withColumn("_weight", F.lit(1.0)))
 
 
-def calibrated(model: PipelineModel, held_back: DataFrame) -> PipelineModel:
+def calibrated(model: PipelineModel, held_back: DataFrame, column: str = "text") -> PipelineModel:
     """The model with a logistic curve from its margins to probabilities, fitted on rows it wasn't trained on."""
-    scored = model.transform(held_back.withColumn("_weight", F.lit(1.0))).where(F.col("_label") < len(model.stages[0].labels))
-    curve = LogisticRegression(featuresCol="rawPrediction", labelCol="_label", maxIter=20, predictionCol="_code", rawPredictionCol="_raw", probabilityCol="probability").fit(scored)
+    scored = applied(model, held_back, column).where(F.col("_label") < len(model.stages[0].labels)).select("rawPrediction", "_label")
+    curve = LogisticRegression(featuresCol="rawPrediction", labelCol="_label", maxIter=20, predictionCol="_code", rawPredictionCol="_raw", probabilityCol="probability").fit(written(scored, "margins"))
     return PipelineModel([*model.stages, curve])
 
 
@@ -56,7 +99,7 @@ def saved(model: PipelineModel, spark: SparkSession) -> PipelineModel:
 def probabilities(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """Adds code, confidence and probabilities (in order of the label) by a calibrated model."""
     names = F.array(*map(F.lit, model.stages[0].labels))
-    scored = model.transform(rows.withColumn("_weight", F.lit(1.0)))
+    scored = applied(model, rows)
     every = F.slice(vector_to_array("probability"), 1, len(model.stages[0].labels))
     scored = scored.withColumn("probabilities", every).withColumn("confidence", F.array_max("probabilities"))
     return scored.withColumn("code", F.element_at(names, F.array_position("probabilities", F.col("confidence")).cast("int")))

@@ -131,7 +131,7 @@ def lexical(spark: SparkSession, sf: str) -> DataFrame:
     """The language of each document from its text (null: empty), trained on nine tenths of the ids; the others are held out."""
     d = table(spark, sf, "documents").select("doc_id", "lang", "text")
     model = models.lexical(d.where("text IS NOT NULL AND doc_id % 10 <> 0"), "lang")
-    scored = model.transform(d.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_weight", F.lit(1.0)))
+    scored = models.applied(model, d)
     names = model.stages[0].labels
     return scored.select("doc_id", "lang", F.element_at(F.array(*map(F.lit, names)), (F.col("prediction") + 1).cast("int")).alias("code"), F.expr("coalesce(doc_id % 10 = 0, true)").alias("held_out"))
 
@@ -168,7 +168,7 @@ def probabilities(spark: SparkSession, sf: str) -> DataFrame:
     train = d.where("text IS NOT NULL AND doc_id % 10 <> 0")
     fitted = models.lexical(train.where("doc_id % 10 > 2"), "lang")
     model = models.saved(models.calibrated(fitted, train.where("doc_id % 10 <= 2")), spark)
-    scored = models.probabilities(model, d.withColumn("text", F.coalesce("text", F.lit(""))))
+    scored = models.probabilities(model, d)
     return scored.select("doc_id", "lang", "code", F.round("confidence", 6).alias("confidence"), "probabilities", F.expr("coalesce(doc_id % 10 = 0, true)").alias("held_out"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varve.functions import keys
-from varve.operators import tiers
+from varve.operators import keyed, tiers
 from varve.plans import fixtures as fx
 from varve.registry import query
 from varve.session import table
@@ -238,7 +238,20 @@ def settle_twice(spark: SparkSession, sf: str) -> DataFrame:
     h, folder, now = fx.hot(spark, sf).drop("vtype"), _folder(spark), fx.first_hour(spark, sf) + 600
     tiers.settle_hours(spark, h.where("event_id % 50 <> 7"), f"{folder}/settled", now, _SORT, state_path=f"{folder}/state", run=1)
     tiers.settle_hours(spark, h, f"{folder}/settled", now, _SORT, state_path=f"{folder}/state", run=2)
-    return tiers.state_of(spark, f"{folder}/state")
+    return tiers.state_of(spark, f"{folder}/state").select("epoch_hour", "rows", "written", "verified", "run")
+
+
+@query("t2_late_after_removal", W + """, c AS (SELECT epoch_hour, count(*) AS n, count(*) FILTER (event_id % 50 = 7) AS late FROM hot, h0 WHERE epoch_hour < h + 600 GROUP BY 1 HAVING count(*) > count(*) FILTER (event_id % 50 = 7)),
+o AS (SELECT epoch_hour, count(*) AS n FROM hot, h0 WHERE epoch_hour < h + 600 GROUP BY 1 HAVING count(*) = count(*) FILTER (event_id % 50 = 7))
+SELECT epoch_hour, n AS rows, true AS verified, CASE WHEN late > 0 THEN 2 ELSE 1 END::BIGINT AS run FROM c UNION ALL SELECT epoch_hour, n, true, 2 FROM o""")
+def late_after_removal(spark: SparkSession, sf: str) -> DataFrame:
+    """Days leave the hot tier, late rows land in their hours, and what settles again has the old rows and the late ones."""
+    h, folder, now = fx.hot(spark, sf).drop("vtype"), _folder(spark), fx.first_hour(spark, sf) + 600
+    for run, rows in ((1, h.where("event_id % 50 <> 7")), (2, h.where("event_id % 50 = 7"))):
+        tiers.upsert_hours(spark, f"{folder}/hot", rows, ["event_id"], ["ts_ns"])
+        tiers.apply_lifecycle(spark, f"{folder}/hot", f"{folder}/settled", f"{folder}/state", f"{folder}/stamps", now, run, _SORT, keys=["event_id"])
+    there = tiers.hour_counts(spark.read.parquet(f"{folder}/settled")).select(F.col("epoch_hour").cast("long").alias("epoch_hour"), F.col("n").alias("rows"))
+    return there.join(tiers.state_of(spark, f"{folder}/state").select("epoch_hour", "rows", "verified", "run"), ["epoch_hour", "rows"])
 
 
 @query("t3_remove_days", W + """, c AS (SELECT epoch_hour, epoch_hour // 24 AS day, count(*) AS rows, count(*) FILTER (event_id % 10 = 7 AND epoch_hour // 24 % 3 = 1) AS late FROM hot GROUP BY 1),
@@ -279,6 +292,32 @@ def upsert_hours(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path).select("event_id", F.col("epoch_hour").cast("long").alias("epoch_hour"), "value")
 
 
+_MOVED = "SELECT event_id, CASE WHEN event_id % 7 = 3 THEN epoch_hour + 5 ELSE epoch_hour END AS epoch_hour, CASE WHEN event_id % 7 = 3 OR event_id % 11 = 4 THEN value + 1 ELSE value END AS value FROM readings"
+
+
+@query("a11_moved_keys", W + _MOVED)
+def moved_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Changes that give a key another hour, and others that don't; each key has one row afterwards."""
+    return _moved(spark, sf).rows().select("event_id", "epoch_hour", "value")
+
+
+@query("a11_compacted", W + _MOVED.replace("SELECT event_id", ", m AS (SELECT event_id", 1) + ") SELECT count(*) AS n, count(*) AS stored, 0::BIGINT AS deletes, round(sum(value), 2) AS value FROM m")
+def compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """The same tier once compacted: no row is stored twice and no delete is left."""
+    tier = _moved(spark, sf)
+    tier.compact()
+    return tier.rows().agg(F.count("*").alias("n"), F.lit(tier.stored()).cast("long").alias("stored"), F.lit(tier.deletes().count()).cast("long").alias("deletes"), F.round(F.sum("value"), 2).alias("value"))
+
+
+def _moved(spark: SparkSession, sf: str) -> keyed.KeyedTier:
+    r = fx.readings(spark, sf).select("event_id", "epoch_hour", "value").withColumn("seq", F.lit(0))
+    tier = keyed.KeyedTier(spark, f"{_folder(spark)}/keyed", ["event_id"], ["seq"], r.schema)
+    tier.land(r, 1)
+    moved = F.when(F.col("event_id") % 7 == 3, F.col("epoch_hour") + 5).otherwise(F.col("epoch_hour"))
+    tier.land(r.where("event_id % 7 = 3 OR event_id % 11 = 4").withColumn("epoch_hour", moved).withColumn("value", F.col("value") + 1).withColumn("seq", F.lit(1)), 2)
+    return tier
+
+
 @query("t5_consolidate", W + "SELECT CASE WHEN epoch_hour < h + 500 THEN 'settled' ELSE 'hot' END AS tier, count(*) AS n, count(DISTINCT epoch_hour) AS hours FROM hot, h0 GROUP BY ALL")
 def consolidate(spark: SparkSession, sf: str) -> DataFrame:
     """Cold hours move to the settled tier and leave the hot one."""
