@@ -594,7 +594,7 @@ def test_toxicity_of_odd_rows(spark, odd, none):
 
 
 def test_queries_are_all_there():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 14))
 
 
 def test_pipeline_of_odd_rows(spark, sf, odd, none):
