@@ -12,8 +12,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -164,8 +166,10 @@ def scan(text: str) -> list[tuple[int, str, int]]:
     if "AKIA" in text:
         found += [(m.start(), "access", m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
     found += [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
-    covered = [(a, b) for a, _, b in found]
-    found += [(a, "literal", b) for a, b in literals(text) if not any(x <= a and b <= y for x, y in covered)]
+    base = sorted((a, b) for a, _, b in found)
+    starts, reach = [a for a, _ in base], list(accumulate((b for _, b in base), max))
+    # some base span holds a literal if those that start before it reach its end
+    found += [(a, "literal", b) for a, b in literals(text) if not (k := bisect_right(starts, a)) or reach[k - 1] < b]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
 
