@@ -21,13 +21,14 @@ import io
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varve.llm.common import mounted, publish, shared_folder, ship, slices, with_text
+from varve.llm.common import mounted, publish, shared_folder, ship, slices, with_text, written
 from varve.llm.text import mix, word_hashes
 
 FOLDS, HELD_OUT = 10, 0
@@ -36,6 +37,8 @@ PART_BYTES = 16 << 20
 #: Pairs that a task sums up before it hands them on.
 TASK_PAIRS = 3_000_000
 SLICE_BYTES = 4 << 20
+#: Parts whose frequent contexts share a file: at most twice as many words, 2 MB.
+HOT_PARTS = 1 << 16
 
 _U = np.uint64
 START, END = mix(np.array([11, 13], dtype=np.uint64))
@@ -66,21 +69,41 @@ def _part(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
 
 
+@cache
+def _hot_file(path: str) -> tuple[np.ndarray, np.ndarray] | None:
+    try:
+        return tuple(np.load(f"{path}.{kind}.npy", mmap_mode="r") for kind in ("word", "mask"))
+    except FileNotFoundError:
+        return None
+
+
 @dataclass(frozen=True)
 class Hot:
-    """Sorted hashes of frequent contexts; each is dealt out in masks + 1 pieces, a power of two."""
+    """Frequent contexts; each is dealt out in mask + 1 pieces, a power of two.
+
+    Their sorted hashes lie in 2 ** bits files in the shared folder, by the
+    top bits, which workers map: the list grows with the parts, so it goes
+    neither through the driver nor with each task.
+    """
 
-    words: np.ndarray
-    masks: np.ndarray
+    place: str | None = None
+    bits: int = 0
 
     def mask(self, context: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(context), np.uint64)
-        at = np.minimum(np.searchsorted(self.words, context), len(self.words) - 1)
-        return np.where(self.words[at] == context, self.masks[at], _U(0))
+        out = np.zeros(len(context), np.uint64)
+        if self.place is None:
+            return out
+        file = _part(context, self.bits)
+        for i in np.unique(file) if self.bits else [0]:
+            if (found := _hot_file(f"{self.place}/hot-{i}")) is not None:
+                own = np.flatnonzero(file == i) if self.bits else slice(None)
+                words, masks = found
+                at = np.minimum(np.searchsorted(words, context[own]), len(words) - 1)
+                out[own] = np.where(words[at] == context[own], masks[at], _U(0))
+        return out
 
 
-COLD = Hot(np.empty(0, np.uint64), np.empty(0, np.uint64))
+COLD = Hot()
 
 
 def _spans(words: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
@@ -96,7 +119,7 @@ def pair_key(context: np.ndarray, token: np.ndarray, bits: int, hot: Hot = COLD)
     if not bits:
         return key
     mask = hot.mask(context)
-    top = np.where(mask > 0, mix(context + (key & mask)), context) if len(hot.words) else context
+    top = np.where(mask > 0, mix(context + (key & mask)), context)
     return (top >> _U(64 - bits) << _U(64 - bits)) | (key >> _U(bits))
 
 
@@ -146,8 +169,8 @@ def _frequent(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Reco
         yield rows()
 
 
-def _hot(texts: DataFrame, bits: int) -> Hot:
-    """All contexts with a part's share of the tokens or more.
+def _hot(texts: DataFrame, bits: int, place: str) -> Hot:
+    """All contexts with a part's share of the tokens or more, written to files of some HOT_PARTS parts each.
 
     A block leaves out less than half a part's share of its tokens for each
     word, so such a context keeps half a share in the sum; no more than twice
@@ -155,15 +178,24 @@ def _hot(texts: DataFrame, bits: int) -> Hot:
     """
     if not bits:
         return COLD
-    parts = 1 << bits
+    parts, file_bits = 1 << bits, max(0, bits - HOT_PARTS.bit_length() + 1)
     counts = texts.select("text").mapInArrow(lambda batches: _frequent(batches, parts), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = counts.orderBy(F.desc("n"), "word").limit(2 * parts + 1).collect()
-    total = next((r.n for r in found if r.word is None), 0)
-    share = {r.word: r.n * 2 * parts / total for r in found if r.word is not None and r.n * 2 * parts >= total}
-    words = np.array(sorted(share), np.int64)
-    masks = np.array([(1 << math.ceil(math.log2(share[w])) + 1) - 1 for w in words.tolist()], np.uint64)
-    order = np.argsort(words.view(np.uint64))
-    return Hot(words.view(np.uint64)[order], masks[order])
+    counts = written(counts, "contexts")
+    total = (counts.where("word IS NULL").first() or [0, 0])[1]
+
+    def save(group: pa.Table) -> pa.Table:
+        words, n = group["word"].to_numpy().view(np.uint64), group["n"].to_numpy()
+        order = np.argsort(words)
+        share = np.ceil(np.log2(n[order] * 2 * parts / total)).astype(np.uint64)
+        path = f"{place}/hot-{group['file'][0].as_py()}"
+        _save(f"{path}.mask.npy", (_U(2) << share) - _U(1))
+        _save(f"{path}.word.npy", words[order])
+        return pa.table({"words": pa.array([len(words)], pa.int64())})
+
+    hot = counts.where(F.col("word").isNotNull() & (F.col("n") * 2 * parts >= total))
+    file = F.shiftrightunsigned("word", 64 - file_bits).cast("int") if file_bits else F.lit(0)
+    hot.withColumn("file", file).groupBy("file").applyInArrow(save, "words long").agg(F.sum("words")).collect()
+    return Hot(place, file_bits)
 
 
 def _count(batches: Iterator[pa.RecordBatch], bits: int, hot: Hot) -> Iterator[pa.RecordBatch]:
@@ -336,7 +368,7 @@ def fit(texts: DataFrame) -> KneserNey:
     place = mounted(shared_folder(spark, "ngrams"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(24, max(0, math.ceil(math.log2(max(1, size / PART_BYTES)))))
-    hot = _hot(texts, bits)
+    hot = _hot(texts, bits, place)
     pairs = texts.select("text").mapInArrow(lambda batches: _count(batches, bits, hot), _PACKED)
     merged = pairs.groupBy("part").applyInArrow(lambda group: _merge_pairs(group, place, bits, hot), _MERGED)
     sums = merged.groupBy("part").applyInArrow(lambda group: _merge_words(group, place), _SUMS)
