@@ -290,6 +290,15 @@ def test_long_chains_and_names_reach_sensitive_names():
     assert [text[a:b] for a, b in secret_scan.literals(text)] == ["Zx81kfQp9"]
 
 
+def test_literals_inside_base_spans_by_plain_comparison():
+    """Many hex runs and literals: what some base span holds is found by bisection as by comparing all."""
+    r = random.Random(8)
+    text = " ".join(r.choice(["password = '{}'", "x{} = 1", "{}", "secret_key: '{} {}'"]).format(*("%032x" % r.getrandbits(128) for _ in range(2))) for _ in range(400))
+    base = [(a, b) for a, k, b in secret_scan.scan(text) if k != "literal"]
+    expected = [(a, b) for a, b in secret_scan.literals(text) if not any(x <= a and b <= y for x, y in base)]
+    assert sorted((a, b) for a, k, b in secret_scan.scan(text) if k == "literal") == expected and len(base) > 200
+
+
 def test_secrets_of_odd_rows(odd, none):
     rows = secret_scan.secrets(odd).collect()
     assert len(rows) == 10 and rows[0].base_sha256 == hashlib.sha256(b"").hexdigest()
@@ -345,6 +354,10 @@ def test_a_frequent_context_is_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(kneser_ney, "TASK_PAIRS", 3_000)
     model = kneser_ney.fit(docs.select("text"))
     sizes = [len(found[0]) if (found := model.arrays()[1].part(i)) else 0 for i in range(model.parts)]
+    assert model.hot.bits == 0 and len(repr(model.hot)) < 400
+    monkeypatch.setattr(kneser_ney, "HOT_PARTS", 16)  # the same list in four files
+    split = kneser_ney.fit(docs.select("text"))
+    assert split.hot.bits == 2 and [len(split.arrays()[1].part(i)[0]) for i in range(64)] == sizes
     assert model.parts == 64 and sum(sizes) == model.pairs and max(sizes) <= 4 * sum(sizes) / model.parts
     for r in kneser_ney.held_out_scores(docs).collect():
         assert r[:5] == whole[r.doc_id][:5] and r.score == pytest.approx(whole[r.doc_id].score)
@@ -394,6 +407,22 @@ def test_fingerprints_of_odd_rows(spark, odd, none):
 # --- op7
 
 
+def test_ranges_go_into_no_plan(spark, docs, texts, monkeypatch):
+    """More ranges give the same rows by a plan of the same length."""
+    few = fingerprints.fingerprinted(docs)
+    monkeypatch.setattr(fingerprints, "TASK_BYTES", 4_000)
+    many = fingerprints.fingerprinted(docs)
+    plans = [len(df._jdf.queryExecution().executedPlan().toString()) for df in (few, many)]
+    assert abs(plans[0] - plans[1]) < 200
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_fingerprints_of_a_frequent_id_and_null_ids(spark):
+    rows = [(i, f"a b c d e {t} f g") for i, t in [(7, "x")] * 60 + [(7, "y")] * 5 + [(None, "z")] * 30 + [(9, "w")]]
+    found = fingerprints.fingerprinted(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == 96 and sum(r.near_next == 1.0 for r in found) >= 92
+
+
 def test_lookup_table_by_turns():
     shards, m = ["a", "b", "c"], 13
     owner = sharding.lookup_table(shards, m)

@@ -14,17 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import NumericType, StructType
 
-from varve.llm.common import below, ship, slices, with_text
+from varve.llm.common import ship, slices, with_text, written
 from varve.llm.near_dedup import near_duplicates
 from varve.llm.text import mix, shingles, word_hashes
 
 SLOTS = 128
-#: Input for a task, and ranges of ids that one task gets, so that hashing their numbers evens out.
-TASK_BYTES, RANGES_A_TASK = 64 << 20, 6
+#: Input for a task.
+TASK_BYTES = 64 << 20
 #: Spark's estimate for what isn't read from files is beyond that.
 UNKNOWN_BYTES = 1 << 52
 _U = np.uint64
@@ -58,28 +59,21 @@ def linked(docs: DataFrame, percent: int = 75) -> DataFrame:
     return near_duplicates(docs, percent=percent, signer=minhash)
 
 
-def _neighbours(docs: DataFrame, parts: int) -> DataFrame:
-    """(part, last, doc_id, tie, text): rows cut into ranges of doc_id.
+_ROW = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
-    Each range also has, with last = true, the first row of the next range
-    (after the last range: of the first).
-    """
-    rows = docs.withColumn("tie", F.xxhash64("text"))
-    number = F.col("doc_id").cast("double")
-    cuts = sorted(set(rows.select(number.alias("n")).approxQuantile("n", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
-    count = (1 << len(cuts).bit_length()) - 1
-    place = below(F.array(*map(F.lit, cuts + [float("inf")] * (count - len(cuts)))), number, count) if cuts else F.lit(0)
-    # null ids come first in order of the hash, so equal stretches of it are ranges too
-    nulls = F.floor((F.col("tie").cast("double") / float(1 << 64) + 0.5) * parts).cast("int") - 2 * parts
-    rows = rows.withColumn("part", F.when(number.isNull(), nulls).otherwise(F.coalesce(place, F.lit(0)) if cuts else place))
-    firsts = rows.groupBy("part").agg(F.min_by(F.struct("doc_id", "tie", "text"), F.struct("doc_id", "tie")).alias("first"))
-    found = sorted(r.part for r in rows.select("part").distinct().collect())  # one number for each range
-    if not found:
-        return rows.select("part", F.lit(False).alias("last"), "doc_id", "tie", "text")
-    before = dict(zip(found, [found[-1], *found[:-1]]))
-    target = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))[F.col("part")]
-    guests = firsts.select(target.alias("part"), F.lit(True).alias("last"), "first.*")
-    return rows.select("part", F.lit(False).alias("last"), "doc_id", "tie", "text").unionByName(guests)
+
+def _compared(ids: pa.Array, texts: list[str], after: list[str], own: np.ndarray, following: np.ndarray) -> pa.RecordBatch:
+    """Results of texts, each with the text after it and both fingerprints."""
+    edited = [t[: len(t) - len(t) // 4] + n[: len(t) // 4] for t, n in zip(texts, after)]
+    new = fingerprints(pa.array(edited, pa.string()))
+    return pa.RecordBatch.from_arrays(
+        [
+            ids, pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
+            pa.array([x.tobytes().hex() for x in own], pa.string()), pa.array([x.tobytes().hex() for x in new], pa.string()),
+            pa.array((own == new).mean(axis=1)), pa.array((own == following).mean(axis=1)),
+        ],
+        names=["doc_id", *(c.split()[0] for c in _ROW.split(", "))],
+    )
 
 
 def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,6 +86,12 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null texts count as empty; texts without words have all slots empty and
     are alike. An empty table gives an empty result; ids that aren't numbers
     are an error.
+
+    Spark deals rows out by ranges of (id, hash, place), so a frequent id is
+    split too. A range gives the results of all its rows but the last one,
+    and its first and last row with their texts; the written table of both
+    is what the last rows find their next ones in. No number of ranges goes
+    into a plan.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -100,35 +100,47 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raise TypeError(f"{id_col}: ids have to be numbers, which are cut into ranges")
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES) if size < UNKNOWN_BYTES else 1)
-    parts = RANGES_A_TASK * tasks
     kind = texts.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = StructType.fromDDL(f"doc_id {kind}, {_ROW}, part int, edge string, text string")
+    arrow = to_arrow_schema(schema)
+
+    def padded(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(f.name) if f.name in batch.schema.names else pa.nulls(batch.num_rows, f.type) for f in arrow], schema=arrow)
+
+    def edge(row: pa.Table, name: str) -> pa.RecordBatch:
+        return padded(pa.RecordBatch.from_arrays([row["doc_id"].combine_chunks(), row["part"].combine_chunks(), pa.array([name]), row["text"].combine_chunks()], names=["doc_id", "part", "edge", "text"]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried: pa.Table | None = None
         for batch in slices(batches):
             here = pa.Table.from_batches([batch])
-            here = pa.concat_tables([carried, here]).combine_chunks() if carried is not None else here
-            carried = here.slice(here.num_rows - 1)
-            # a row that ends a range is a guest: no result of its own
-            at = np.flatnonzero(~here["last"].to_numpy()[:-1])
-            if not len(at):
-                continue
-            text = here["text"].to_pylist()
-            edited = [text[i][: len(text[i]) - len(text[i]) // 4] + text[i + 1][: len(text[i]) // 4] for i in at]
-            own, new = fingerprints(here["text"].combine_chunks()), fingerprints(pa.array(edited, pa.string()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    here["doc_id"].combine_chunks().take(pa.array(at)),
-                    pa.array([len(text[i]) for i in at], pa.int64()),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
-                    pa.array([own[i].tobytes().hex() for i in at]),
-                    pa.array([x.tobytes().hex() for x in new]),
-                    pa.array((own[at] == new).mean(axis=1)),
-                    pa.array((own[at] == own[at + 1]).mean(axis=1)),
-                ],
-                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-            )
-
-    dealt = _neighbours(texts, parts).repartition(tasks, "part").sortWithinPartitions("part", "last", "doc_id", "tie")
-    return dealt.mapInArrow(rows, schema)
+            if carried is None:
+                yield edge(here.slice(0, 1), "first")
+            else:
+                here = pa.concat_tables([carried, here]).combine_chunks()
+            n = here.num_rows - 1
+            carried = here.slice(n)
+            if n:
+                text, own = here["text"].to_pylist(), fingerprints(here["text"].combine_chunks())
+                yield padded(_compared(here["doc_id"].combine_chunks().slice(0, n), text[:n], text[1:], own[:n], own[1:]))
+        if carried is not None:
+            yield edge(carried, "last")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a pair at a time: texts may be long
+                one = batch.slice(i, 1)
+                text, after = one.column("text").to_pylist(), one.column("after").to_pylist()
+                yield _compared(one.column("doc_id"), text, after, fingerprints(one.column("text")), fingerprints(one.column("after")))
+
+    order = ["doc_id", "tie", "place"]
+    ranged = texts.withColumn("tie", F.xxhash64("text")).withColumn("place", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(tasks, *order)
+    dealt = ranged.sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("part"))
+    found = written(dealt.mapInArrow(rows, schema), "fingerprints")
+    first, last = (found.where(F.col("edge") == e) for e in ("first", "last"))
+    # ranges with rows, a number for each; the one after the last is the first
+    parts = first.select("part")
+    following = parts.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy(F.lit(0)))).alias("_next"))
+    met = last.select("part", "doc_id", "text").join(following, "part").join(first.select(F.col("part").alias("_next"), F.col("text").alias("after")), "_next")
+    columns = ["doc_id", *(c.split()[0] for c in _ROW.split(", "))]
+    return found.where("edge IS NULL").select(*columns).unionByName(met.select("doc_id", "text", "after").mapInArrow(pairs, f"doc_id {kind}, {_ROW}"))
