@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varve.functions import keys
-from varve.operators import graph, tiers
+from varve.operators import tiers
 from varve.registry import query
 from varve.session import shared_dir, table
 from varve.sources import files
@@ -127,7 +127,7 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _event_stream(spark: SparkSession, sf: str, files: int = 2) -> tuple[DataFrame, str]:
-    """events as files by day, some twice with a later value, and a stream over them."""
+    """events as files, some rows twice with a later value, and a stream over them."""
     folder = _folder(spark)
     e = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "user_id", "value", F.lit(0).alias("seq"))
     again = e.where("event_id % 5 = 0").withColumn("value", F.col("value") + 1).withColumn("seq", F.lit(1))
@@ -136,11 +136,25 @@ def _event_stream(spark: SparkSession, sf: str, files: int = 2) -> tuple[DataFra
     return stream, folder
 
 
-@query("g1_stream_landing", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN value + 1 ELSE value END AS value FROM events")
+_HOUR = "unix_micros(ts) div 3600000000"
+
+
+@query("g1_stream_landing", "SELECT event_id, epoch_us(ts) // 3600000000 AS epoch_hour, CASE WHEN event_id % 5 = 0 THEN value + 1 ELSE value END AS value FROM events")
 def stream_landing(spark: SparkSession, sf: str) -> DataFrame:
+    """Micro-batches merge into the hours they touch; the later value of a repeated event stays."""
     stream, folder = _event_stream(spark, sf)
-    landing.land(stream, f"{folder}/out", f"{folder}/state")
-    return landing.landed(spark, f"{folder}/out", ["event_id"], ["seq"]).select("event_id", "value")
+    landing.land_hours(stream.withColumn("epoch_hour", F.expr(_HOUR)), f"{folder}/out", f"{folder}/state", ["event_id"], ["seq"])
+    return spark.read.parquet(f"{folder}/out").select("event_id", F.col("epoch_hour").cast("long").alias("epoch_hour"), "value")
+
+
+@query("g1_rolling_bound", "WITH h AS (SELECT event_id, epoch_us(ts) // 3600000000 AS epoch_hour FROM events) SELECT event_id, CASE WHEN epoch_hour >= (SELECT min(epoch_hour) + 300 FROM h) THEN 'landed' ELSE 'late' END AS kind FROM h")
+def rolling_bound(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of hours before the bound go to a side table, and no row to both."""
+    stream, folder = _event_stream(spark, sf)
+    first = table(spark, sf, "events").agg(F.min(keys.micros("ts"))).first()[0] // keys.US_PER_HOUR
+    landing.land_hours(stream.where("seq = 0").withColumn("epoch_hour", F.expr(_HOUR)), f"{folder}/out", f"{folder}/state", ["event_id"], ["seq"], settled_before=lambda: first + 300, late_path=f"{folder}/late")
+    sides = [spark.read.parquet(f"{folder}/{side}").select("event_id", F.lit(kind).alias("kind")) for side, kind in (("out", "landed"), ("late", "late"))]
+    return sides[0].unionByName(sides[1])
 
 
 @query("g2_stream_hours", "SELECT epoch_us(date_trunc('hour', ts)) AS hour_us, event_type, sum(CASE WHEN event_id % 5 = 0 THEN 2 ELSE 1 END)::BIGINT AS n FROM events GROUP BY ALL")
@@ -153,12 +167,11 @@ def stream_hours(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("g4_stream_changes", "SELECT user_id, arg_max(event_id, event_id) AS event_id FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'error'")
 def stream_changes(spark: SparkSession, sf: str) -> DataFrame:
-    """Ordered changes by key through a stream: an error deletes."""
+    """Ordered changes by key, merged into the buckets they touch; an error deletes."""
     stream, folder = _event_stream(spark, sf)
     op = F.when(F.col("event_type") == "error", "delete").otherwise("upsert")
-    landing.land(stream.where("seq = 0").withColumn("op", op), f"{folder}/out", f"{folder}/state", transform=lambda b: tiers.latest(b, ["user_id"], ["event_id"]))
-    rows = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/out")
-    return graph.apply_changes(rows, "user_id", "event_id").select("user_id", "event_id")
+    landing.project(stream.where("seq = 0").withColumn("op", op), f"{folder}/out", f"{folder}/state", ["user_id"], ["event_id"])
+    return landing.projected(spark, f"{folder}/out").select("user_id", "event_id")
 
 
 @query("g5_stream_sketches", "SELECT event_type, sum(CASE WHEN event_id % 5 = 0 THEN 2 ELSE 1 END)::BIGINT AS n, count(DISTINCT date_trunc('hour', ts)) AS hours, true AS near FROM events GROUP BY 1")
@@ -192,11 +205,26 @@ def stream_timers(spark: SparkSession, sf: str) -> DataFrame:
     return landing.landed(spark, f"{folder}/out", ["user_id"], ["heartbeat"]).select("user_id", "state", "heartbeat")
 
 
-@query("g6_late_rows", "SELECT CASE WHEN epoch_us(ts) // 3600000000 >= (SELECT min(epoch_us(ts)) // 3600000000 + 300 FROM events) THEN 'landed' ELSE 'late' END AS kind, count(*) AS n FROM events GROUP BY 1")
+@query("g6_late_rows", """WITH w AS (SELECT max(epoch_us(ts)) // 1000 - 7200000 AS ms FROM events WHERE event_id % 4 <> 1)
+SELECT event_id, CASE WHEN event_id % 4 = 1 AND epoch_us(ts) // 1000 < w.ms THEN 'late' ELSE 'landed' END AS kind FROM events, w""")
 def late_rows(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").withColumn("epoch_hour", F.expr("unix_micros(cast(ts AS timestamp)) div 3600000000"))
-    fine, late = landing.split_late(e, e.agg(F.min("epoch_hour")).first()[0] + 300)
-    return fine.agg(F.count("*").alias("n")).select(F.lit("landed").alias("kind"), "n").unionByName(late.agg(F.count("*").alias("n")).select(F.lit("late").alias("kind"), "n"))
+    """A quarter of the events comes after the others: what the watermark has passed goes to the side table, the rest lands."""
+    folder = _folder(spark)
+    e = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    for part in ("event_id % 4 <> 1", "event_id % 4 = 1"):
+        e.where(part).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(e.schema).parquet(f"{folder}/in").withColumn("epoch_hour", F.expr(_HOUR))
+        landing.land_with_late(landing.with_lateness(stream, "event_id"), f"{folder}/out", f"{folder}/late", f"{folder}/state", ["event_id"], ["ts"])
+    sides = [spark.read.parquet(f"{folder}/{side}").select("event_id", F.lit(kind).alias("kind")) for side, kind in (("out", "landed"), ("late", "late"))]
+    return sides[0].unionByName(sides[1])
+
+
+@query("g6_without_repeats", "SELECT event_id FROM events")
+def without_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    """Of events that a stream repeats within the watermark one passes."""
+    stream, folder = _event_stream(spark, sf)
+    landing.land(landing.without_repeats(stream, ["event_id"], late="60 days"), f"{folder}/out", f"{folder}/state")
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/out").select("event_id")
 
 
 @query("a03_benchmark_columns", """WITH p AS (SELECT p_brand || '_' || p_size AS t, p_partkey AS r, p_name, CASE WHEN p_partkey % 4 = 0 THEN ' ' ELSE p_type END AS p_type FROM part), big AS (SELECT t FROM p GROUP BY 1 HAVING count(*) >= 2)

@@ -1,8 +1,9 @@
-"""Streams: landing with deduplication by key, hourly totals, late rows.
+"""Streams: landing by hour, incremental projections, hourly totals, timers, late rows.
 
-Every micro-batch writes a folder of its own, so a replayed batch replaces
-itself; readers take the last row of each key. Compaction is a batch job
-(tiers.upsert).
+Landing and projections merge each micro-batch into the hour folders or key
+buckets that it touches, by key, so a replayed batch changes nothing and the
+number of files follows the hours, not the batches. Results of streaming
+aggregates (`land`, `landed`) have a folder for each batch.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from varve.operators import tiers
 from varve.session import ship
@@ -37,6 +39,78 @@ def landed(spark: SparkSession, path: str, keys: list[str], order: list[str]) ->
     return tiers.latest(rows, keys, [*order, "_batch"]).drop("_batch")
 
 
+def land_hours(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str], hour: str = tiers.HOUR, settled_before: Callable[[], int] | None = None, late_path: str | None = None) -> StreamingQuery:
+    """Merge all available rows into the hours of a written tier.
+
+    Each micro-batch reads and rewrites the hours it touches, once each; the
+    last row of a key by `order` stays, in any order of batches. `settled_before`
+    is asked at every batch, so the bound rolls forward: rows of earlier hours,
+    and rows without an hour, go to `late_path`, in a folder of their batch.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        fine = batch
+        if settled_before is not None:
+            at_hand = F.coalesce(F.col(hour) >= settled_before(), F.lit(False))
+            batch.where(~at_hand).write.mode("overwrite").parquet(f"{late_path}/_batch={number}")
+            fine = batch.where(at_hand)
+        tiers.upsert_hours(batch.sparkSession, path, fine, keys, order, hour)
+        batch.unpersist()
+
+    query = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def project(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str], buckets: int = 64) -> StreamingQuery:
+    """Merge ordered changes into a table of the newest change of each key, cut into buckets of the key.
+
+    A micro-batch reads and rewrites only buckets that hold its keys. Deletes
+    stay as rows, so an older change that comes later can't undo them.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    return land_hours(stream.withColumn("_bucket", bucket), path, checkpoint, keys, order, "_bucket")
+
+
+def projected(spark: SparkSession, path: str, op: str = "op") -> DataFrame:
+    """What is left of the changes: keys whose newest one isn't a delete."""
+    return spark.read.parquet(path).where(F.col(op) != "delete").drop("_bucket", op)
+
+
+def with_lateness(stream: DataFrame, key: str, time: str = "ts", late: str = "2 hours", spread: int = 64) -> DataFrame:
+    """Adds `late`: whether a row's time lies before the watermark of its micro-batch, instead of dropping it.
+
+    A stateful stage without timers sees all rows and the watermark; rows are
+    spread by a hash of the key over groups that keep no state.
+    """
+    ship(stream.sparkSession)
+    names = [*stream.columns, "late"]
+
+    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs()
+        for frame in frames:
+            yield frame.assign(late=frame["_ms"] < mark)[names]
+
+    rows = stream.withWatermark(time, late).withColumn("_ms", F.unix_millis(time)).withColumn("_spread", F.pmod(F.xxhash64(key), F.lit(spread)))
+    schema = StructType([*stream.schema.fields, StructField("late", BooleanType())])
+    return rows.groupBy("_spread").applyInPandasWithState(step, schema, "none int", "append", GroupStateTimeout.NoTimeout)
+
+
+def land_with_late(stream: DataFrame, path: str, late_path: str, checkpoint: str, keys: list[str], order: list[str], hour: str = tiers.HOUR) -> StreamingQuery:
+    """Rows of `with_lateness`: those in time merge into their hours, late ones go to a side table."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        batch.where("late").drop("late").write.mode("overwrite").parquet(f"{late_path}/_batch={number}")
+        tiers.upsert_hours(batch.sparkSession, path, batch.where("NOT late").drop("late"), keys, order, hour)
+        batch.unpersist()
+
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
 def hourly(stream: DataFrame, by: list[str], time: str = "ts", late: str = "2 hours") -> DataFrame:
     """Counts by tumbling hour; in update mode the last row of a window is its total."""
     windows = stream.withWatermark(time, late).groupBy(F.window(time, "1 hour"), *by)
@@ -79,11 +153,6 @@ def liveness(stream: DataFrame, key: str, time: str, ttl_ms: int, late: str = "2
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, state string, heartbeat long", "beat long, released boolean", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def split_late(rows: DataFrame, settled_before: int, hour: str = tiers.HOUR) -> tuple[DataFrame, DataFrame]:
-    """(rows to land, rows of hours that have settled): the second reopen their hour."""
-    return rows.where(F.col(hour) >= settled_before), rows.where(F.col(hour) < settled_before)
-
-
 def pattern_sketches(stream: DataFrame, by: str, what: str, time: str = "ts", late: str = "2 hours") -> DataFrame:
     """Counts and mergeable distinct sketches by hour and pattern."""
     rows = stream.withWatermark(time, late).groupBy(F.window(time, "1 hour"), by)
