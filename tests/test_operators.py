@@ -73,12 +73,9 @@ def test_uncalibrated_trust(spark):
     assert (row.alpha, row.risk, row.brier) == (0.5, 0.5, None)
 
 
-SEVERITY = ["failing", "running", "resuming", "starting", "accepted", "new", "unknown", "completing", "rejected", "failed", "completed", "missing"]
-
-
 def test_fleet_reduction(spark):
     rows = [("a", s) for s in ("completing", "running", "completed")] + [("b", s) for s in ("completed", "missing")] + [("c", "odd")]
-    found = ledger.worst_state(spark.createDataFrame(rows, "fleet string, state string"), "fleet", SEVERITY)
+    found = ledger.worst_state(spark.createDataFrame(rows, "fleet string, state string"), "fleet", list(ledger.SEVERITY))
     assert {r.fleet: r.state for r in found.collect()} == {"a": "running", "b": "completed", "c": "unknown"}
 
 
@@ -249,8 +246,25 @@ def test_propagation_in_blocks_uses_every_source(spark, monkeypatch):
     unit = [[float(i == k) for i in range(len(places))] for k in range(len(places))]
     sources = spark.createDataFrame([(p, v, f"c{k}", 1.0) for k, (p, v) in enumerate(zip(places, unit))], "place long, vector array<double>, code string, confidence double")
     targets = spark.createDataFrame([(k, v, None, None) for k, v in enumerate(unit)], "item long, vector array<double>, guess string, guess_confidence double")
-    monkeypatch.setattr(labels, "BROADCAST_SOURCES", 2)
-    assert {r.item: r.code for r in labels.propagate(targets, sources).collect()} == {k: f"c{k}" for k in range(len(places))}
+    monkeypatch.setattr(labels, "CELL_ROWS", 2)
+    for pivots in (1, 3, 64):
+        assert {r.item: r.code for r in labels.propagate(targets, sources, pivots=pivots).collect()} == {k: f"c{k}" for k in range(len(places))}
+
+
+def test_pivots_rule_pairs_out_and_miss_none(spark):
+    """Clustered vectors: as many similar pairs as among all, from a small part of them."""
+    import numpy as np
+
+    from varve.operators import labels
+
+    r = np.random.default_rng(2)
+    v = r.normal(size=(20, 16))[r.integers(0, 20, 400)] + 0.05 * r.normal(size=(400, 16))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    targets = spark.createDataFrame([(i, v[i].tolist(), None, None) for i in range(300)], "item long, vector array<double>, guess string, guess_confidence double")
+    sources = spark.createDataFrame([(i, v[i].tolist(), f"c{i}", 1.0) for i in range(300, 400)], "place long, vector array<double>, code string, confidence double")
+    found = labels.candidates(targets, sources).collect()
+    assert {(x.item, x.place) for x in found if x.sim >= 0.85} == {(i, j) for i in range(300) for j in range(300, 400) if v[i] @ v[j] >= 0.85}
+    assert len(found) == len({(x.item, x.place) for x in found}) < 0.5 * 300 * 100
 
 
 @pytest.mark.parametrize(("name", "source", "key", "folds"), [("m1_lexical", "documents", "doc_id", 10), ("m2_forest", "embeddings", "vec_id", 5)])

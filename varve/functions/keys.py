@@ -85,3 +85,13 @@ def digest_key(*parts: str) -> Column:
 def iso_week(day: str) -> Column:
     """Like 2024-W03."""
     return F.expr(f"concat(cast(extract(YEAROFWEEK FROM {day}) AS string), '-W', lpad(cast(extract(WEEK FROM {day}) AS string), 2, '0'))")
+
+
+def day_windows(span: DataFrame, first: str, last: str, backwards: bool = False, keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """(*keep, place, day, week) of each UTC day of spans in either order of their ends, from the first day or from the last."""
+    low, high = F.least(first, last), F.greatest(first, last)
+    days = F.sequence(high, low, F.expr("INTERVAL -1 DAY")) if backwards else F.sequence(low, high)
+    # a span of one day has no direction
+    days = F.when(low == high, F.array(low)).otherwise(days)
+    out = span.select(*keep, F.posexplode(days).alias("place", "day"))
+    return out.select(*keep, "place", "day", iso_week("day").alias("week"))

@@ -101,3 +101,60 @@ def merge_hints(own: DataFrame, hints: DataFrame, key: str) -> DataFrame:
     """Peers' rows for keys that are missing; own rows never change, the first peer wins."""
     first = hints.join(own.select(key), key, "left_anti").withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("peer"))).where("_n = 1").drop("_n")
     return own.withColumn("peer", F.lit(None).cast("string")).unionByName(first)
+
+
+def capacity_gate(leaves: DataFrame, limits: DataFrame, capacity: int | None, sep: str = ".") -> DataFrame:
+    """One row with the reason why guarantees may not be applied, or null.
+
+    Parents whose children pass their limit come first, by name; then the sum
+    over all leaves against the capacity, unless that is unknown. leaves:
+    (queue, guaranteed, floor); limits: (node, max).
+    """
+    sums = budgets(leaves, sep)
+    parents = sums.join(leaves.select(F.col("queue").alias("node")), "node", "left_anti").join(limits, "node").where("guaranteed > max")
+    over = parents.agg(F.array_sort(F.collect_list(F.struct("node", F.format_string("%s: children guaranteed %d > max %d", "node", "guaranteed", "max").alias("text")))).alias("_over"))
+    own = F.greatest(F.coalesce("guaranteed", F.lit(0)), F.coalesce("floor", F.lit(0)))
+    total = leaves.agg(F.coalesce(F.sum(own), F.lit(0)).alias("total"))
+    most = F.lit(capacity).cast("long")
+    parts = F.concat(F.transform("_over", lambda x: x["text"]), F.when(F.col("total") > most, F.array(F.format_string("leaf guaranteed %d > capacity %d", "total", most))).otherwise(F.array().cast("array<string>")))
+    reason = F.array_join(parts, "; ")
+    return over.crossJoin(total).select("total", F.when(reason != "", reason).alias("reason"))
+
+
+def pruned(records: DataFrame, before: int, terminal: tuple[str, ...], state: str = "state", at: str = "at") -> DataFrame:
+    """What stays: terminal records from `before` on, and every record that isn't terminal, however old."""
+    return records.where(~F.coalesce(F.col(state).isin(*terminal) & (F.col(at) < before), F.lit(False)))
+
+
+#: How the predecessors of an entry may be read. Fixed values.
+AFTER_MODES = ("all", "any")
+
+
+def entry_rules(entries: DataFrame, limits: DataFrame) -> DataFrame:
+    """(id, state, problems) of entries (id, kind, cron, after, after_mode, claims (leaf, n), enabled), problems joined by '; ' in order of the rules.
+
+    What an entry says by itself is one pass of conditions; leaves and
+    predecessors are looked up by joins. Entries without an id are told apart
+    by their row.
+    """
+    text = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    rows = entries.withColumn("_row", F.monotonically_increasing_id())
+    many, mode = F.coalesce(F.size("after"), F.lit(0)) > 0, text("after_mode")
+    own = F.array(
+        F.when(text("id") == "", "01 id is required"),
+        F.when(text("kind") == "", "02 kind is required"),
+        F.when((mode != "") & ~mode.isin(*AFTER_MODES), F.concat(F.lit("06 unknown after_mode "), mode)),
+        F.when((mode != "") & ~many, "07 after_mode without after"),
+        F.when((text("cron") != "") & many & (mode == ""), "08 both cron and after without after_mode"),
+    )
+    claims = rows.select("_row", F.explode("claims").alias("c")).select("_row", text("c.leaf").alias("leaf"), F.coalesce("c.n", F.lit(0)).alias("n"))
+    plain = claims.select("_row", F.explode(F.array(F.when(F.col("leaf") == "", "03 claim without a leaf"), F.when((F.col("leaf") != "") & (F.col("n") < 0), F.concat(F.lit("03 claim "), "leaf", F.lit(": negative"))))).alias("problem"))
+    sums = claims.where("leaf <> ''").groupBy("_row", "leaf").agg(F.sum("n").alias("n")).join(limits, "leaf", "left")
+    over = sums.select("_row", F.when(F.col("max").isNull(), F.concat(F.lit("04 claim on unknown leaf "), "leaf")).when(F.col("n") > F.col("max"), F.format_string("04 claim %d on %s exceeds %d", "n", "leaf", "max")).alias("problem"))
+    known = rows.select(F.col("id").alias("before")).distinct()
+    missing = rows.select("_row", F.explode("after").alias("before")).join(known, "before", "left_anti").select("_row", F.concat(F.lit("05 no such predecessor "), "before").alias("problem"))
+    found = rows.select("_row", F.explode(own).alias("problem")).unionByName(plain).unionByName(over).unionByName(missing).where("problem IS NOT NULL")
+    each = found.groupBy("_row").agg(F.array_sort(F.collect_set("problem")).alias("_found"))
+    texts = F.array_join(F.transform("_found", lambda x: F.substring(x, 4, 1_000)), "; ")
+    state = F.when(F.col("_found").isNotNull(), "error").when(F.coalesce("enabled", F.lit(False)), "materialized").otherwise("paused")
+    return rows.join(each, "_row", "left").select("id", state.alias("state"), F.coalesce(texts, F.lit("")).alias("problems"))

@@ -340,3 +340,16 @@ def figures(judged: DataFrame, closure: DataFrame) -> DataFrame:
     micro = 2.0 * F.sum("tp") / (F.sum("got") + F.sum("n"))
     scores = each.agg(F.round(F.sum("tp") / F.sum("n"), 4).alias("accuracy"), F.round(micro, 4).alias("micro_f1"), F.round(F.avg(2.0 * F.col("tp") / (F.col("got") + F.col("n"))), 4).alias("macro_f1"), F.sum("n").alias("n"))
     return scores.crossJoin(line)
+
+
+def by_kind(judged: DataFrame) -> DataFrame:
+    """(kind, n, accuracy, assisted, dependent) by kind of column and for all, in one pass.
+
+    judged: kind, code, truth, boosted (what the trees said) and without (the
+    decision that leaves them out). assisted: right, and so were the trees;
+    dependent: and wrong without them.
+    """
+    right = F.col("code") == F.col("truth")
+    helped = right & (F.col("boosted") == F.col("truth"))
+    rows = judged.rollup("kind").agg(F.count("*").alias("n"), F.round(F.avg(right.cast("int")), 4).alias("accuracy"), F.count_if(helped).alias("assisted"), F.count_if(helped & (F.col("without") != F.col("truth"))).alias("dependent"))
+    return rows.withColumn("kind", F.coalesce("kind", F.lit("all")))

@@ -105,3 +105,16 @@ def integrity(specs: DataFrame, aspects: DataFrame, products: DataFrame) -> Data
 def operations(tx: DataFrame, *parts: DataFrame, key: str = "tx_id") -> DataFrame:
     """tx with each part joined by transaction; parts are left-joined."""
     return reduce(lambda left, right: left.join(right, key, "left"), parts, tx)
+
+
+def definition_facts(aspects: DataFrame, specs: DataFrame) -> DataFrame:
+    """(a, v): titles and intents of aspects (id, title, intent), and what each spec (id, requires) requires.
+
+    Rows without an id, and empty titles or intents, say nothing; of repeated ones the largest value counts.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    named = aspects.where(text("id") != "")
+    parts = [named.where(text(c) != "").select(F.concat(F.lit("def."), "id", F.lit(f".{c}")).alias("a"), F.col(c).alias("v")) for c in ("title", "intent")]
+    needs = specs.where(text("id") != "").select("id", F.explode("requires").alias("aspect"))
+    parts.append(needs.select(F.concat(F.lit("spec."), "id", F.lit(".requires."), "aspect").alias("a"), F.lit("true").alias("v")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("a").agg(F.max("v").alias("v"))

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varve.session import ship
+from varve.session import ship, written
 
 # --- fixed values: codes that suggest an element when two or more occur in a table
 AFFINITIES = {"PaymentCard": ("0070", "0073", "0075"), "CustomerIdentity": ("0085", "0084", "0073"), "FinancialAccount": ("0071", "0070", "0073"), "EmployeeRecord": ("0085", "0073", "0026")}
 #: From these figures a label is passed on, and contested.
 SIMILARITY, PAIR_LEAST, PAIR_BELOW, PAIR_FACTOR, CONTESTED = 0.85, 0.35, 0.50, 0.9, 0.2
 # --- end of fixed values
-#: Labelled vectors that go to all executors at once (about 2 kB each).
-BROADCAST_SOURCES = 20_000
+#: Vectors that cut sources into cells, and sources of a part of a cell.
+PIVOTS, CELL_ROWS = 64, 1_000
 
 
 def refine_elements(codes: DataFrame, known: DataFrame) -> DataFrame:
@@ -32,26 +33,51 @@ def refine_elements(codes: DataFrame, known: DataFrame) -> DataFrame:
     return hits.join(F.broadcast(first), ["element", "source_table"]).select("element", "source_table", "column_name")
 
 
-def propagate(targets: DataFrame, sources: DataFrame, floor: float = 0.5, similarity: float = SIMILARITY) -> DataFrame:
+def _dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def _angle(cosine: Column) -> Column:
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+
+
+def candidates(targets: DataFrame, sources: DataFrame, similarity: float = SIMILARITY, pivots: int = PIVOTS) -> DataFrame:
+    """(item, place, code, confidence, guess, guess_confidence, sim): pairs that the pivots can't rule out.
+
+    `pivots` sources cut the others into cells by their nearest one; a cell
+    knows its widest angle. A target meets a cell only if its angle to the
+    pivot is at most that and the angle of `similarity` together, as angles
+    keep the triangle inequality. So no similar pair is missed, and pairs meet
+    by an equal cell. Large cells are cut into parts by a hash of the place.
+    """
+    places = F.xxhash64("place", "code")
+    centres = sources.select("vector").distinct().withColumn("_hash", F.xxhash64("vector")).orderBy("_hash", "vector").limit(pivots)
+    centres = centres.agg(F.collect_list("vector").alias("_centres"))  # a bounded number of vectors
+    to_centres = F.transform("_centres", lambda c: F.aggregate(F.zip_with("vector", c, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v))
+    near = sources.crossJoin(F.broadcast(centres)).withColumn("_cos", to_centres).withColumn("_cell", F.array_position("_cos", F.array_max("_cos")).cast("int")).withColumn("_far", _angle(F.array_max("_cos"))).drop("_cos", "_centres")
+    near = written(near, "cells")
+    cells = written(near.groupBy("_cell").agg(F.max("_far").alias("_far"), F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("_parts")), "radii")
+    radii = cells.agg(F.map_from_entries(F.collect_list(F.struct("_cell", F.struct("_far", "_parts")))).alias("_radii"))  # no more than pivots
+    asked = targets.crossJoin(F.broadcast(centres)).crossJoin(F.broadcast(radii)).withColumn("_cos", to_centres)
+    reach = math.acos(similarity) + 1e-9
+    met = F.filter(F.map_entries("_radii"), lambda e: _angle(F.element_at("_cos", e["key"])) <= e["value"]["_far"] + reach)
+    asked = asked.select("item", "vector", "guess", "guess_confidence", F.explode(met).alias("_met")).select("item", F.col("vector").alias("_own"), "guess", "guess_confidence", F.col("_met.key").alias("_cell"), F.explode(F.sequence(F.lit(0), F.col("_met.value._parts") - 1)).alias("_part"))
+    dealt = near.join(cells.select("_cell", "_parts"), "_cell").withColumn("_part", F.pmod(places, F.col("_parts")).cast("int"))
+    return asked.join(dealt.select("_cell", "_part", "place", "vector", "code", "confidence"), ["_cell", "_part"]).withColumn("sim", _dot("_own", "vector"))
+
+
+def propagate(targets: DataFrame, sources: DataFrame, floor: float = 0.5, similarity: float = SIMILARITY, pivots: int = PIVOTS) -> DataFrame:
     """(item, code, confidence): unlabelled targets take the label of the first source that is similar.
 
     targets: item, vector (unit length), guess, guess_confidence; sources:
     place, vector, code, confidence. A target whose own guess disagrees with
     more than `floor` refuses that source. Sources are labels given directly,
-    not passed on; up to BROADCAST_SOURCES are broadcast, more go in blocks by
-    a hash, so each source is in one block whatever its place.
+    not passed on; pairs come from `candidates`.
     """
-    n = sources.count()
-    dot = F.aggregate(F.zip_with("vector", "of", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    out = None
-    blocks = max(1, -(-n // BROADCAST_SOURCES))
-    for block in range(blocks):
-        part = sources if blocks == 1 else sources.where(F.pmod(F.xxhash64("place", "code", "vector"), F.lit(blocks)) == block)
-        both = targets.join(F.broadcast(part.select("place", F.col("vector").alias("of"), "code", "confidence")))
-        both = both.withColumn("sim", dot).where((F.col("sim") >= similarity) & ~F.coalesce((F.col("guess") != F.col("code")) & (F.col("guess_confidence") > floor), F.lit(False)))
-        best = both.groupBy("item").agg(F.min(F.struct("place", "code", (F.col("sim") * F.col("confidence")).alias("confidence"))).alias("best"))
-        out = best if out is None else out.unionByName(best)
-    return out.groupBy("item").agg(F.min("best").alias("best")).select("item", "best.code", "best.confidence")
+    both = candidates(targets, sources, similarity, pivots)
+    both = both.where((F.col("sim") >= similarity) & ~F.coalesce((F.col("guess") != F.col("code")) & (F.col("guess_confidence") > floor), F.lit(False)))
+    best = both.groupBy("item").agg(F.min(F.struct("place", "code", (F.col("sim") * F.col("confidence")).alias("confidence"))).alias("best"))
+    return best.select("item", "best.code", "best.confidence")
 
 
 def paired(columns: DataFrame) -> DataFrame:
@@ -100,6 +126,11 @@ def bootstrap_figures(columns: DataFrame) -> DataFrame:
     return columns.agg(F.round(F.avg(F.col("label").isNotNull().cast("int")), 4).alias("coverage"), F.round(F.avg("conflict"), 4).alias("mean_conflict"), F.count_if(contested).alias("disagreements"), F.count_if(filled).alias("filled"))
 
 
+def converged(figures: DataFrame, coverage: float = 0.95, conflict: float = CONTESTED) -> DataFrame:
+    """Adds converged to figures (coverage, mean_conflict): enough columns have a label, and sources agree."""
+    return figures.withColumn("converged", (F.col("coverage") >= coverage) & (F.coalesce("mean_conflict", F.lit(0.0)) < conflict))
+
+
 def importance(samples: DataFrame, score: Callable[[pd.DataFrame], pd.Series], features: list[str], permutations: int) -> DataFrame:
     """(feature, mean, std): how much the loss grows when a feature is taken from another sample.
 

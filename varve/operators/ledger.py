@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Pseudo-count and prior of trust, and the risk of who has no score yet. Fixed values.
 PSEUDO, PRIOR, UNKNOWN_RISK = 2.0, 0.5, 0.5
 #: p of a claim that names none, by verdict. Fixed values.
 DEFAULT_P = {"satisfied": 0.9, "unverified": 0.5, "ill_posed": 0.5}
+#: States of a fleet's workloads, the most severe first. Fixed values.
+SEVERITY = ("failing", "running", "resuming", "starting", "accepted", "new", "unknown", "completing", "rejected", "failed", "completed", "missing")
+#: The channel that a missed slot of the backlog asks for, from that slot on. Fixed values.
+CHANNELS = {0: "none", 1: "log", 3: "agenda", 5: "reminder", 6: "briefing", 9: "discussion"}
 
 
 def folded(log: DataFrame) -> DataFrame:
@@ -97,8 +101,6 @@ def worst_state(states: DataFrame, group: str, severity: list[str]) -> DataFrame
 
 def illegal_transitions(events: DataFrame, legal: list[tuple[str, str]], key: str, order: list[str]) -> DataFrame:
     """Steps of each machine that aren't edges of its graph."""
-    from pyspark.sql import Window
-
     before = F.lag("state").over(Window.partitionBy(key).orderBy(*order))
     edges = events.sparkSession.createDataFrame(legal, "before string, state string")
     steps = events.withColumn("before", before).where("before IS NOT NULL AND before <> state")
@@ -109,3 +111,47 @@ def upkeep(runs: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """Verdict of each run: the checks that are off, nominal or not."""
     off = F.filter(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items())), lambda x: x.isNotNull())
     return runs.withColumn("off", off).withColumn("verdict", F.when(~F.col("is_upkeep"), "not_upkeep").when(F.size("off") > 0, "off_nominal").otherwise("nominal"))
+
+
+def dwells(events: DataFrame, key: str, time: str, order: list[str], holding: list[str], terminals: list[str]) -> DataFrame:
+    """(key, state, since, until, steps, kind, problem): each stay of a machine in one state, without a gap.
+
+    until is null for the stay a machine is in at the end. kind is holding,
+    terminal or passing; a terminal state that is left, and a holding one at
+    the end (which isn't done), are problems.
+    """
+    by = Window.partitionBy(key).orderBy(*order)
+    began = F.coalesce((F.col("state") != F.lag("state").over(by)).cast("int"), F.lit(1))
+    island = events.withColumn("_began", began).withColumn("_island", F.sum("_began").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    stays = island.groupBy(key, "_island").agg(F.first("state").alias("state"), F.min(time).alias("since"), F.count("*").alias("steps"))
+    after = Window.partitionBy(key).orderBy("_island")
+    out = stays.withColumn("until", F.lead("since").over(after)).withColumn("last", F.lead("_island").over(after).isNull())
+    kind = F.when(F.col("state").isin(holding), "holding").when(F.col("state").isin(terminals), "terminal").otherwise("passing")
+    problem = F.when((kind == "terminal") & ~F.col("last"), "left a terminal state").when((kind == "holding") & F.col("last"), "held, not done")
+    return out.select(key, "state", "since", "until", "steps", kind.alias("kind"), problem.alias("problem"))
+
+
+def backlog(entries: DataFrame) -> DataFrame:
+    """(item, slot, at, deepest, channel, open): of (item, slot, at, ok) the latest entry, and how deep the misses go.
+
+    A later ok resolves an item: only misses after its last ok count. Of
+    entries at one time the one of the larger slot is the later. The deepest
+    open miss selects the channel.
+    """
+    when = F.struct("at", "slot")
+    ok = F.coalesce("ok", F.lit(False))
+    each = entries.groupBy("item").agg(F.max_by("slot", when).alias("slot"), F.max("at").alias("at"), F.max(F.when(ok, when)).alias("_ok"))
+    missed = entries.where(~ok).join(each.select("item", "_ok"), "item").where(F.col("_ok").isNull() | (when > F.col("_ok")))
+    deep = missed.groupBy("item").agg(F.max("slot").alias("deepest"))
+    channel = F.lit("none")
+    for slot, name in CHANNELS.items():
+        channel = F.when(F.col("deepest") >= slot, name).otherwise(channel)
+    out = each.join(deep, "item", "left").withColumn("open", F.col("deepest").isNotNull())
+    return out.select("item", "slot", "at", "deepest", F.when(F.col("open"), channel).otherwise("none").alias("channel"), "open")
+
+
+def method_forecasts(observations: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(state, observer, n, resolved, brier, alpha, risk) of every observer in each state it may claim from; without a record it is uncalibrated."""
+    scores = brier(observations, ["observer", "state"])
+    both = allowed.select("observer", "state").distinct().join(scores, ["observer", "state"], "left").na.fill(0, ["n", "resolved"])
+    return trust(both).select("state", "observer", "n", "resolved", "brier", "alpha", "risk")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.feature import IDF, Normalizer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
@@ -126,6 +127,49 @@ def forest(train: DataFrame, label: str, vector: str = "features", trees: int =
     return Pipeline(stages=[index, RandomForestClassifier(featuresCol=vector, labelCol="_label", numTrees=trees, maxDepth=6, seed=7)]).fit(train)
 
 
+@dataclass(frozen=True)
+class Boosted:
+    """Members of an ensemble of boosted trees, one against the rest, and the codes of their classes."""
+
+    members: list[OneVsRestModel]
+    codes: list[str]
+
+
+def boosted(train: DataFrame, label: str = "code", vector: str = "features", members: int = 3, rounds: int = 5, depth: int = 3, share: float = 0.7) -> Boosted:
+    """Gradient boosting, one class against the rest; members see other samples of the rows (by seed), and so differ.
+
+    Classes are few (a model each); those of one member are fitted side by side.
+    """
+    index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="skip").fit(train)
+    ready = written(index.transform(train).select(F.col(vector).alias("features"), "_label"), "boosting")
+    trees = [GBTClassifier(maxIter=rounds, maxDepth=depth, subsamplingRate=share, stepSize=0.3, seed=7 + k) for k in range(members)]
+    return Boosted([OneVsRest(classifier=t, featuresCol="features", labelCol="_label", parallelism=8).fit(ready) for t in trees], list(index.labels))
+
+
+def boosted_probabilities(model: Boosted, rows: DataFrame, vector: str = "features") -> DataFrame:
+    """Adds probabilities (by code, adding up to 1), code, confidence and variance.
+
+    A member's probability of a class is the logistic of twice its margin,
+    divided by the sum over classes; the ensemble has the mean, and variance
+    is that of the members' probabilities of the winner.
+    """
+    keep = [F.col(f"`{c}`") for c in rows.columns]
+    scored, found = rows, []
+    for k, member in enumerate(model.members):
+        scored = member.copy().setFeaturesCol(vector).transform(scored)
+        odds = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
+        total = F.aggregate(odds, F.lit(0.0), lambda s, x: s + x)
+        scored = written(scored.withColumn(f"_m{k}", F.transform(odds, lambda x: x / total)).drop("prediction", "rawPrediction"), "member")
+        found.append(f"_m{k}")
+    n = len(found)
+    places = F.sequence(F.lit(1), F.lit(len(model.codes)))
+    mean = F.transform(places, lambda i: sum((F.element_at(m, i) for m in found[1:]), F.element_at(found[0], i)) / n)
+    scored = scored.withColumn("probabilities", mean).withColumn("confidence", F.array_max("probabilities"))
+    scored = scored.withColumn("_at", F.array_position("probabilities", F.col("confidence")).cast("int"))
+    spread = sum((F.pow(F.element_at(m, F.col("_at")) - F.col("confidence"), F.lit(2)) for m in found), F.lit(0.0)) / n
+    return scored.select(*keep, F.element_at(F.array(*map(F.lit, model.codes)), F.col("_at")).alias("code"), "confidence", spread.alias("variance"), "probabilities")
+
+
 def named(model: PipelineModel, scored: DataFrame) -> DataFrame:
     """Adds code and confidence of the most probable class."""
     labels = model.stages[0].labels

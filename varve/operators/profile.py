@@ -114,17 +114,18 @@ def siblings(columns: DataFrame, most: int = 5) -> DataFrame:
 
 
 #: The features of an embedding text, in order.
-FEATURES = ("column_name", "sample_values", "cardinality", "null_ratio", "value_entropy", "patterns", "avg_value_length", "numeric_ratio", "sibling_context", "source_table", "value_description")
+FEATURES = ("column_name", "column_type", "sample_values", "cardinality", "null_ratio", "value_entropy", "patterns", "avg_value_length", "numeric_ratio", "sibling_context", "source_table", "value_description")
 
 
-def embedding_text(disabled: tuple[str, ...] = ()) -> Column:
-    """Text of a profile (with null_ratio and siblings joined) from the enabled features."""
+def embedding_text(disabled: tuple[str, ...] = (), type_col: str | None = None) -> Column:
+    """Text of a profile (with null_ratio and siblings joined) from the enabled features; the type comes from a column, if it is named."""
     generic = names.is_generic("column_name")
     on = lambda name, cond, text: F.when(cond, text) if name not in disabled else F.lit(None)
     name = F.when(generic & (F.col("description") != ""), F.col("description")).otherwise(names.humanised("column_name"))
     return F.concat_ws(
         " | ",
         on("column_name", name != "", name),
+        F.lit(None) if type_col is None else on("column_type", F.col(type_col) != "", F.col(type_col)),
         on("sample_values", F.size("sample") > 0, F.array_join(F.transform(F.slice("sample", 1, 5), lambda v: F.substring(v, 1, 80)), ", ")),
         on("cardinality", F.col("cardinality").isNotNull(), F.format_string("cardinality=%d", "cardinality")),
         on("null_ratio", F.col("null_ratio") > 0, F.format_string("null_ratio=%.2f", "null_ratio")),
@@ -138,6 +139,13 @@ def embedding_text(disabled: tuple[str, ...] = ()) -> Column:
     )
 
 
+def short_text(name: str, kind: str, values: str) -> Column:
+    """name | type | first five values, each cut to 80: what the lexical model reads; text types say nothing and are left out."""
+    said = F.when(~F.upper(kind).isin("STRING", "VARCHAR", ""), F.lower(kind))
+    some = F.transform(F.slice(values, 1, 5), lambda v: F.substring(v, 1, 80))
+    return F.concat_ws(" | ", names.humanised(name), said, F.when(F.size(values) > 0, F.array_join(some, ", ")))
+
+
 def discrete_vector(emb_dim: int) -> Column:
     """Cardinality, null ratio, entropy and pattern flags, scaled to weigh like an embedding."""
     scale = (emb_dim / (3 + len(names.PATTERNS))) ** 0.5

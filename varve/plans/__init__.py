@@ -1,3 +1,3 @@
 """Queries over the given tables; importing a module registers its queries."""
 
-from varve.plans import columns, evidence, governance, history, io, learning, warehouse  # noqa: F401
+from varve.plans import columns, evidence, governance, history, io, learning, rules, warehouse  # noqa: F401

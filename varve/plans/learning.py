@@ -149,6 +149,15 @@ def forest(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("item", "code", F.round("confidence", 6).alias("confidence"), "truth", F.expr("coalesce(item % 5 = 0, true)").alias("held_out"))
 
 
+@query("m2_boosted")
+def boosted(spark: SparkSession, sf: str) -> DataFrame:
+    """Boosted trees, one class against the rest: code, probabilities and how far the members of the ensemble differ."""
+    f = _features(spark, sf).select("item", "features", "code")
+    model = models.boosted(f.where("item % 5 <> 0"))
+    scored = models.boosted_probabilities(model, f.select("item", "features", F.col("code").alias("truth")))
+    return scored.select("item", "code", F.round("confidence", 6).alias("confidence"), F.round("variance", 6).alias("variance"), "probabilities", "truth", F.expr("coalesce(item % 5 = 0, true)").alias("held_out"))
+
+
 @query("m3_folds", "SELECT doc_id, quality, (row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id::VARCHAR)) - 1) % 5 AS fold FROM labels")
 def folds(spark: SparkSession, sf: str) -> DataFrame:
     return labels.folds(table(spark, sf, "labels").select("doc_id", "quality"), "quality", "doc_id", 5)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 
@@ -139,15 +140,36 @@ class Package:
         return self.spark.read.schema(self.SCHEMA).json(max(versions, key=lambda p: int(p.rsplit("v", 1)[-1])))
 
     def ingest(self, df: DataFrame, service: str, name: str, source: str = "") -> None:
+        """Write a table and its entry; of writers that clash each takes the next version, so no entry is lost."""
         path = f"{self.folder}/{service}/{name}.parquet"
         df.write.mode("overwrite").parquet(path)
         entry = self.spark.read.parquet(path).agg(F.count("*").alias("rows")).select(
             F.lit(service).alias("service"), F.lit(name).alias("name"), F.lit(path).alias("path"), "rows", F.array(*map(F.lit, df.columns)).alias("columns"), F.lit(source).alias("source"), F.lit(FORMAT).alias("format"),
-        )
-        old = self.manifest().where(~((F.col("service") == service) & (F.col("name") == name)))
-        version = len(list_files(self.spark, f"{self.folder}/MANIFEST", "v*")) + 1
-        both = old.drop("version").unionByName(entry).withColumn("version", F.lit(version)).orderBy("service", "name")
-        both.coalesce(1).write.json(f"{self.folder}/MANIFEST/v{version}")
+        ).first().asDict()
+        while True:
+            version = self._version() + 1
+            old = [r.asDict() for r in self.manifest().where(~((F.col("service") == service) & (F.col("name") == name))).collect()]  # a row for each table
+            rows = sorted([*old, entry], key=lambda r: (r["service"], r["name"]))
+            if self._commit(version, rows):
+                return
+
+    def _version(self) -> int:
+        return max((int(p.rsplit("v", 1)[-1]) for p in list_files(self.spark, f"{self.folder}/MANIFEST", "v*")), default=0)
+
+    def _commit(self, version: int, rows: list[dict]) -> bool:
+        from varve.sources.commits import put_if_absent
+
+        return put_if_absent(self.spark, f"{self.folder}/MANIFEST/v{version}", "".join(json.dumps({**r, "version": version}) + "\n" for r in rows))
+
+    def init(self) -> None:
+        """An empty manifest, unless there is one."""
+        if not self._version():
+            self._commit(1, [])
+
+    def status(self) -> DataFrame:
+        """One row: version, formats, services and tables; version 0 where no package is."""
+        m = self.manifest()
+        return m.agg(F.lit(self._version()).cast("long").alias("version"), F.array_join(F.array_sort(F.collect_set("format")), ",").alias("formats"), F.countDistinct("service").alias("services"), F.count("*").alias("tables"))
 
     def ingest_file(self, path: str, service: str, delimiter: str = ",", header: bool = True) -> None:
         kind = path.rsplit(".", 1)[-1].lower()
