@@ -612,6 +612,28 @@ def test_ordinary_dictionary_sees_the_whole_sample(monkeypatch):
     assert toxicity._with_hard_windows(model, found) == model.ordinary + found[-1]
 
 
+def test_toxicity_against_a_model_in_memory(spark):
+    """The query's scores are those of the plain way: lengths of each window by zstandard itself, thresholds and curve from unseen parts."""
+    import zstandard
+
+    r = random.Random(11)
+    rows = []
+    for i in range(240):
+        w = ["".join(r.choice("abcdef") for _ in range(r.randint(2, 6))) for _ in range(r.randint(5, 60))]
+        rows.append((i, " ".join([*w, *(["Gribbox!", "zypquat"] * (i % 5 == 0))]), int(i % 5 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {x.doc_id: x.score for x in toxicity.toxicity(df.drop("toxic"), df.select("doc_id", "toxic")).collect()}
+    order = sorted((hashlib.md5(str(i).encode()).hexdigest(), i) for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5)
+    part = np.array([zlib.crc32(o.encode()) % 3 for o, _ in order])
+    model = toxicity.train([rows[i][1] for _, i in order], np.array([rows[i][2] for _, i in order]), part)
+    pack = lambda data, w: len(zstandard.ZstdCompressor(level=12, dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress(w))
+    for i, text, _ in rows[:40]:
+        found = [x for x in (w.strip(".,;:!?") for w in text.lower().split()) if x]
+        cut = [f" {' '.join(found[k : k + 16])} ".encode() for k in range(0, len(found), 16)]
+        gain = np.array([pack(model.ordinary, w) - pack(model.toxic + model.ordinary, w) for w in cut])
+        assert got[i] == pytest.approx(float(model.score(np.array([toxicity.features(gain, model.thresholds)]))[0]))
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     marks = spark.createDataFrame([(3, 0), (4, 1), (None, 1), (7, None)], "doc_id long, toxic int")
     assert toxicity.toxicity(odd, marks).count() == 10

@@ -11,10 +11,13 @@ Training uses a bounded sample of labelled rows (see `fit`):
   dictionary behind it, so lengths differ only by what is toxic.
 
 A window of 16 words is compressed with both; the gain is the difference of
-the two lengths. Thresholds of gains are quantiles of the sample: of all
-ordinary windows, and of the largest gains of toxic documents. A document's
-gains (mean, largest, share above the thresholds) go through a logistic curve
-fitted on the sample. Scoring takes all windows of the whole text.
+the two lengths. Thresholds of gains are quantiles: of all ordinary windows,
+and of the largest gains of toxic documents. A document's gains (mean,
+largest, share above the thresholds) go through a logistic curve. Thresholds
+and curve are fitted on gains by dictionaries that haven't seen the document:
+for each third of the sample another pair is trained on the other two; the
+pair that scores is trained on all of it. Scoring takes all windows of the
+whole text.
 """
 
 from __future__ import annotations
@@ -45,6 +48,8 @@ HARD_ROUNDS, HARD_GAIN = 2, 2
 #: Lengths of the segments that dictionary training chooses, and of the runs that it counts.
 ORDINARY_K, ORDINARY_D, TOXIC_K, TOXIC_D = 64, 8, 16, 6
 FOLDS, HELD_OUT = 5, 0
+#: Parts of the sample; each is measured by dictionaries of the others.
+PARTS = 3
 
 _gap = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -147,12 +152,17 @@ def calibrate(model: ToxicityModel, measured: list[np.ndarray], labels: np.ndarr
     return model
 
 
-def train(texts: list[str], labels: np.ndarray) -> ToxicityModel:
-    """Dictionaries and curve from a sample in memory."""
+def train(texts: list[str], labels: np.ndarray, part: np.ndarray | None = None) -> ToxicityModel:
+    """Dictionaries and curve from a sample in memory; `part` (by default in turn) tells which third a text is in."""
     labels = np.asarray(labels)
-    model = dictionaries(texts, labels)
-    compressors = model.compressors()
-    return calibrate(model, [gains(t, *compressors) for t in texts], labels)
+    part = np.arange(len(texts)) % PARTS if part is None else part
+    measured: list[np.ndarray] = [np.zeros(1)] * len(texts)
+    for k in range(PARTS):
+        seen = np.flatnonzero(part != k)
+        compressors = dictionaries([texts[i] for i in seen], labels[seen]).compressors()
+        for i in np.flatnonzero(part == k):
+            measured[i] = gains(texts[i], *compressors)
+    return calibrate(dictionaries(texts, labels), measured, labels)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -181,9 +191,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 1_500, most_ordina
     The sample: of each class the rows with the smallest md5 of the id, at
     most `most_toxic` and `most_ordinary` of them, and of each class
     `most_bytes` of text in that order (a document of more than a quarter of
-    that isn't sampled). One task trains the dictionaries on it, others
-    measure gains; the driver gets the dictionaries (some 100 kB) and the
-    gains, a number for each window. Labels with null ids or classes are left
+    that isn't sampled). A task for each of PARTS + 1 pairs of dictionaries
+    trains them, others measure gains; the driver gets the dictionaries (some
+    100 kB a pair) and the gains, a number for each window. Labels with null ids or classes are left
     out; a document labelled twice counts as toxic if any of its labels says
     so, and of several texts under one id the smallest is sampled.
     """
@@ -196,30 +206,35 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 1_500, most_ordina
     size = F.octet_length("text").cast("long")
     rows = with_text(docs).join(F.broadcast(chosen), "doc_id").where(size <= most_bytes // 4).groupBy("order", "doc_id", "mark").agg(F.min("text").alias("text"))
     so_far = F.sum(size).over(Window.partitionBy("mark").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    rows = written(rows.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).drop("so_far"), "sample")
+    sample = rows.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).drop("so_far")
+    sample = written(sample.withColumn("part", F.crc32(F.col("order").cast("binary")) % PARTS), "sample")
 
-    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frame = pa.Table.from_batches([b for b in batches if b.num_rows] or [pa.RecordBatch.from_pydict({"order": [], "doc_id": [], "mark": [], "text": []})]).to_pandas().sort_values(["order", "doc_id"])
+    def trained(group: pa.Table) -> pa.Table:
+        frame = group.to_pandas().sort_values(["order", "doc_id"])
         model = dictionaries(frame["text"].tolist(), frame["mark"].to_numpy(dtype=int))
-        yield pa.RecordBatch.from_pydict({"ordinary": pa.array([model.ordinary], pa.binary()), "toxic": pa.array([model.toxic], pa.binary())})
-
-    made = rows.repartition(1).mapInArrow(trained, "ordinary binary, toxic binary").collect()
-    model = ToxicityModel(bytes(made[0].ordinary), bytes(made[0].toxic), np.zeros(1), np.zeros(0), np.ones(0)) if made else dictionaries([], np.zeros(0))
-    each = rows.select("order", "mark", _gains(F.col("text"), model).alias("gains")).collect()
+        return pa.table({"pair": group["pair"][:1], "ordinary": pa.array([model.ordinary], pa.binary()), "toxic": pa.array([model.toxic], pa.binary())})
+
+    # pair k is trained on all parts but k, the last one on all
+    dealt = sample.withColumn("pair", F.explode(F.sequence(F.lit(0), F.lit(PARTS)))).where("pair <> part")
+    made = dealt.repartition(PARTS + 1, "pair").groupBy("pair").applyInArrow(trained, "pair int, ordinary binary, toxic binary").collect()
+    pairs = [dictionaries([], np.zeros(0)) for _ in range(PARTS + 1)]
+    for row in made:
+        pairs[row.pair] = ToxicityModel(bytes(row.ordinary), bytes(row.toxic), np.zeros(1), np.zeros(0), np.ones(0))
+    each = sample.select("order", "mark", _gains(F.col("text"), F.col("part"), pairs).alias("gains")).collect()
     each.sort(key=lambda r: r.order)
-    return calibrate(model, [np.frombuffer(r.gains, dtype="<i2") for r in each], np.array([r.mark for r in each], dtype=int))
+    return calibrate(pairs[PARTS], [np.frombuffer(r.gains, dtype="<i2") for r in each], np.array([r.mark for r in each], dtype=int))
 
 
-def _gains(text: F.Column, model: ToxicityModel) -> F.Column:
-    """The gains of a text as 16-bit numbers."""
+def _gains(text: F.Column, part: F.Column, pairs: list[ToxicityModel]) -> F.Column:
+    """The gains of a text as 16-bit numbers, by the dictionaries that haven't seen its part."""
 
     @F.pandas_udf("binary")
-    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        compressors = model.compressors()
-        for texts in batches:
-            yield pd.Series([np.clip(gains(t, *compressors), -32768, 32767).astype("<i2").tobytes() for t in texts], dtype=object)
+    def measured(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        compressors = [pair.compressors() for pair in pairs]
+        for texts, parts in batches:
+            yield pd.Series([np.clip(gains(t, *compressors[k]), -32768, 32767).astype("<i2").tobytes() for t, k in zip(texts, parts)], dtype=object)
 
-    return measured(text)
+    return measured(text, part)
 
 
 def scored(docs: DataFrame, model: ToxicityModel) -> F.Column:
