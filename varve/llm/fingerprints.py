@@ -59,7 +59,8 @@ def linked(docs: DataFrame, percent: int = 75) -> DataFrame:
     return near_duplicates(docs, percent=percent, signer=minhash)
 
 
-_ROW = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Digest and fingerprints as bytes; the result shows them as hex, twice as long.
+_ROW = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _compared(ids: pa.Array, texts: list[str], after: list[str], own: np.ndarray, following: np.ndarray) -> pa.RecordBatch:
@@ -68,8 +69,8 @@ def _compared(ids: pa.Array, texts: list[str], after: list[str], own: np.ndarray
     new = fingerprints(pa.array(edited, pa.string()))
     return pa.RecordBatch.from_arrays(
         [
-            ids, pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
-            pa.array([x.tobytes().hex() for x in own], pa.string()), pa.array([x.tobytes().hex() for x in new], pa.string()),
+            ids, pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).digest() for t in edited], pa.binary()),
+            pa.array([x.tobytes() for x in own], pa.binary()), pa.array([x.tobytes() for x in new], pa.binary()),
             pa.array((own == new).mean(axis=1)), pa.array((own == following).mean(axis=1)),
         ],
         names=["doc_id", *(c.split()[0] for c in _ROW.split(", "))],
@@ -143,4 +144,5 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     following = parts.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy(F.lit(0)))).alias("_next"))
     met = last.select("part", "doc_id", "text").join(following, "part").join(first.select(F.col("part").alias("_next"), F.col("text").alias("after")), "_next")
     columns = ["doc_id", *(c.split()[0] for c in _ROW.split(", "))]
-    return found.where("edge IS NULL").select(*columns).unionByName(met.select("doc_id", "text", "after").mapInArrow(pairs, f"doc_id {kind}, {_ROW}"))
+    both = found.where("edge IS NULL").select(*columns).unionByName(met.select("doc_id", "text", "after").mapInArrow(pairs, f"doc_id {kind}, {_ROW}"))
+    return both.select(*(F.lower(F.hex(c)).alias(c) if dict(both.dtypes)[c] == "binary" else c for c in columns))
