@@ -322,6 +322,9 @@ def test_out_of_fold_and_self_training(spark):
     found = models.out_of_fold(df.where("item % 20 <> 0"), df.where("item % 20 = 0"), 3).collect()
     assert sorted(r.item for r in found) == [i for i in range(240) if i % 20] and all(r.code == r.truth for r in found)
     assert {r.fold for r in found} == {0, 1, 2}
+    some = df.withColumn("code", F.when(F.col("item") % 2 == 0, F.col("code")))
+    full = models.full_fit(some.where("item % 20 <> 0"), some.where("item % 20 = 0"), 2).collect()
+    assert {r.item: r.code for r in full} == {i: f"c{i % 3}" for i in range(240) if i % 20} and all((r.fold is None) == (r.item % 2 == 1) == (r.truth is None) for r in full)
     sure = models.self_train(df.where("item % 4 = 0"), df.where("item % 4 <> 0").drop("code")).collect()
     assert {r.item: r.code for r in sure} == {i: f"c{i % 3}" for i in range(240) if i % 4}
 
@@ -493,3 +496,23 @@ def test_lexical_rounds_in_one_session(spark):
         assert len(scored._jdf.queryExecution().executedPlan().toString()) < 20_000
         found.add(tuple(sorted((r.doc_id, r.prediction) for r in scored.collect())))
     assert len(found) == 1 and len(next(iter(found))) == 24
+
+
+def test_folds_deal_each_class_in_turn(spark):
+    import hashlib
+
+    from varve.operators import labels
+
+    rows = [(i, "ab"[i % 3 == 0]) for i in range(500)] + [(1000 + i, None) for i in range(7)]
+    found = labels.folds(spark.createDataFrame(rows, "k long, c string"), "c", "k", 5).collect()
+    expected = {}
+    for c in ("a", "b", None):
+        for n, k in enumerate(sorted((k for k, x in rows if x == c), key=lambda k: hashlib.md5(str(k).encode()).hexdigest())):
+            expected[k] = n % 5
+    assert {r.k: r.fold for r in found} == expected and len(found) == 507
+
+
+def test_too_many_categories_are_an_error(spark):
+    v = spark.range(5_001).select(F.col("id").alias("code"), F.array(F.lit(1.0)).alias("vector"))
+    with pytest.raises(ValueError, match="5000"):
+        evidence.cosine(v.withColumnRenamed("code", "item"), v)

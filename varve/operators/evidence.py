@@ -102,16 +102,20 @@ def resolve_labels(df: DataFrame, vocabulary: DataFrame, label: str) -> DataFram
     return out.withColumn("id", F.coalesce("_exact", "_loose")).drop("_name", "_exact", "_lower", "_loose")
 
 
-def cosine(items: DataFrame, categories: DataFrame) -> DataFrame:
-    """(item, code, sim) of every vector with every category; zero vectors have 0.
+def few(categories: DataFrame) -> DataFrame:
+    """Categories that every item is compared with: at most MOST_CODES, or it is an error."""
+    if categories.limit(MOST_CODES + 1).count() > MOST_CODES:
+        raise ValueError(f"a taxonomy has at most {MOST_CODES} codes")
+    return F.broadcast(categories)
 
-    Categories are the leaves of a taxonomy, some hundreds at most.
-    """
+
+def cosine(items: DataFrame, categories: DataFrame) -> DataFrame:
+    """(item, code, sim) of every vector with every category; zero vectors have 0. See `few`."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot("vector", "vector"))
     a = items.select("item", F.col("vector").cast("array<double>").alias("vector")).withColumn("norm", norm)
     b = categories.select("code", F.col("vector").cast("array<double>").alias("vector")).withColumn("norm", norm).select("code", F.col("vector").alias("of"), F.col("norm").alias("of_norm"))
-    both = a.crossJoin(b)
+    both = a.crossJoin(few(b))
     size = F.col("norm") * F.col("of_norm")
     return both.select("item", "code", F.when(size > 0, dot("vector", "of") / size).otherwise(0.0).alias("sim"))
 
@@ -175,7 +179,7 @@ def from_names(items: DataFrame, categories: DataFrame, source: str = "name") ->
 
     words = F.trim(F.lower(F.replace(F.col("name"), F.lit("_"), F.lit(" "))))
     label = F.trim(F.regexp_replace(names.camel_words("label"), "[()]", ""))
-    both = items.withColumn("_w", words).crossJoin(categories.withColumn("_l", label))
+    both = items.withColumn("_w", words).crossJoin(few(categories.withColumn("_l", label)))
     several = F.size(F.split("_l", " ")) > 1
     mass = (
         F.when(F.col("_w") == F.col("_l"), EXACT)

@@ -178,6 +178,16 @@ def metric_names(samples: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def folds(df: DataFrame, label: str, key: str, k: int) -> DataFrame:
-    """Adds fold: rows of each class in order of md5, dealt in turn."""
-    order = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")))
-    return df.withColumn("fold", (F.row_number().over(order) - 1) % k)
+    """Adds fold: rows of each class in order of md5, dealt in turn.
+
+    Rows are numbered within stretches of the md5, a 4096th of a class each;
+    how many rows come before a stretch is summed over the counts alone.
+    """
+    md5 = F.md5(F.col(key).cast("string"))
+    rows = df.withColumn("_md5", md5).withColumn("_part", F.substring("_md5", 1, 3))
+    counts = rows.groupBy(label, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(label).orderBy(F.col("_part").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col(label).alias("_label"), F.col("_part").alias("_p"), before.alias("_before"))
+    met = F.col(label).eqNullSafe(F.col("_label")) & F.col("_part").eqNullSafe(F.col("_p"))
+    place = F.row_number().over(Window.partitionBy(label, "_part").orderBy("_md5")) - 1
+    return rows.withColumn("_place", place).join(starts, met).withColumn("fold", (F.col("_place") + F.col("_before")) % k).select(*df.columns, "fold")

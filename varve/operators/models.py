@@ -16,6 +16,7 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varve.operators import evidence
 from varve.session import shared_dir, ship, written
 
 
@@ -122,6 +123,26 @@ def out_of_fold(rows: DataFrame, reference: DataFrame, k: int) -> DataFrame:
     return out
 
 
+def full_fit(rows: DataFrame, reference: DataFrame, k: int) -> DataFrame:
+    """(item, fold, code, confidence, truth) of all rows: labelled ones out of fold, those without a code by a model of all labels.
+
+    fold is null where the model has seen every label.
+    """
+    labelled = rows.where("code IS NOT NULL")
+    every = labelled.select("item", "features", "code").unionByName(reference.select("item", "features", "code"))
+    rest = _predict(forest(written(every, "labels"), "code"), rows.where("code IS NULL"))
+    rest = rest.select("item", F.lit(None).cast("long").alias("fold"), "code", "confidence", F.lit(None).cast("string").alias("truth"))
+    known = out_of_fold(labelled, reference, k).withColumn("fold", F.col("fold").cast("long"))
+    return known.unionByName(rest)
+
+
+def category_cosines(items: DataFrame, categories: DataFrame) -> DataFrame:
+    """Items (item, vector) with `cosines`, their similarity to each category (code, vector), by code."""
+    sims = evidence.cosine(items.select("item", "vector"), categories)
+    by_code = F.transform(F.array_sort(F.collect_list(F.struct("code", "sim"))), lambda s: s["sim"])
+    return items.join(sims.groupBy("item").agg(by_code.alias("cosines")), "item")
+
+
 def forest(train: DataFrame, label: str, vector: str = "features", trees: int = 20) -> PipelineModel:
     index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep")
     return Pipeline(stages=[index, RandomForestClassifier(featuresCol=vector, labelCol="_label", numTrees=trees, maxDepth=6, seed=7)]).fit(train)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,11 +31,17 @@ def readings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def first_hour(spark: SparkSession, sf: str) -> int:
+@cache
+def _first_hour(spark: SparkSession, sf: str, application: str) -> int:
     us = table(spark, sf, "events").agg(F.min(keys.micros("ts"))).first()[0]
     return us // keys.US_PER_HOUR
 
 
+def first_hour(spark: SparkSession, sf: str) -> int:
+    """The first hour of a table, looked up once in an application: hot and settled rows are both told by it."""
+    return _first_hour(spark, sf, spark.sparkContext.applicationId)
+
+
 def hot(spark: SparkSession, sf: str) -> DataFrame:
     return readings(spark, sf).where(F.col("epoch_hour") >= first_hour(spark, sf) + HOT_FROM)
 

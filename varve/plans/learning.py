@@ -170,6 +170,27 @@ def out_of_fold(spark: SparkSession, sf: str) -> DataFrame:
     return models.out_of_fold(f.where("item % 20 <> 0"), f.where("item % 20 = 0"), 3).select("item", "fold", "code", F.round("confidence", 6).alias("confidence"), "truth")
 
 
+@query("m3_full_fit")
+def full_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """A third of the items has no label: they get the model of all labels, the others that of the other folds."""
+    f = _features(spark, sf).select("item", "features", F.expr("CASE WHEN item % 3 <> 1 THEN code END").alias("code"))
+    return models.full_fit(f.where("item % 20 <> 0"), f.where("item % 20 = 0 AND code IS NOT NULL"), 2).select("item", "fold", "code", F.round("confidence", 6).alias("confidence"), "truth")
+
+
+@query("m4_cosines", """WITH e AS (SELECT vec_id AS item, label, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(v) AS x, unnest(range(64)) AS i FROM e WHERE item % 5 <> 0) GROUP BY ALL),
+c AS (SELECT label, list(x ORDER BY i) AS w FROM m GROUP BY 1), s AS (SELECT item, row_number() OVER (PARTITION BY item ORDER BY c.label) - 1 AS i, list_cosine_similarity(v, w) AS x FROM e, c)
+SELECT item, i, round((x - avg(x) OVER (PARTITION BY i)) / stddev_samp(x) OVER (PARTITION BY i), 4) + 0.0 AS x FROM s""")
+def cosines(spark: SparkSession, sf: str) -> DataFrame:
+    """Similarity of each item to the mean of each label's training rows, scaled like the other features."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").cast("array<double>").alias("vector"), F.format_string("%02d", "label").alias("code"))
+    means = e.where("item % 5 <> 0").groupBy("code").agg(Summarizer.mean(models.array_to_vector("vector")).alias("mean")).select("code", vector_to_array("mean").alias("vector"))
+    parts = models.scaled(models.category_cosines(e, means).select("item", "cosines"), ["cosines"])
+    return parts.select("item", F.posexplode(vector_to_array("features")).alias("i", "x")).withColumn("x", F.round("x", 4) + 0.0)
+
+
 @query("m1_probabilities")
 def probabilities(spark: SparkSession, sf: str) -> DataFrame:
     """Calibrated probabilities of the language; the model is written and read back before it scores."""
