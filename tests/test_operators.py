@@ -516,3 +516,13 @@ def test_too_many_categories_are_an_error(spark):
     v = spark.range(5_001).select(F.col("id").alias("code"), F.array(F.lit(1.0)).alias("vector"))
     with pytest.raises(ValueError, match="5000"):
         evidence.cosine(v.withColumnRenamed("code", "item"), v)
+
+
+@pytest.mark.parametrize("named", [10_000, 1])
+def test_upserts_without_an_hour_lose_nothing(spark, tmp_path, monkeypatch, named):
+    monkeypatch.setattr(tiers, "HOURS_NAMED", named)
+    path = str(tmp_path / "tier")
+    for rows in ([(None, 1, 1), (3, 2, 1), (4, 3, 1), (9, 9, 1)], [(None, 5, 1), (4, 3, 2), (3, 7, 1)]):
+        tiers.upsert_hours(spark, path, _late(spark, rows), ["ts_ns"], ["series_id"])
+    found = {(r.epoch_hour, r.ts_ns, r.series_id) for r in spark.read.parquet(path).collect()}
+    assert found == {(None, 1, 1), (None, 5, 1), (3, 2, 1), (3, 7, 1), (4, 3, 2), (9, 9, 1)}

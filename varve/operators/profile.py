@@ -114,7 +114,7 @@ def siblings(columns: DataFrame, most: int = 5) -> DataFrame:
 
 
 #: The features of an embedding text, in order.
-FEATURES = ("column_name", "column_type", "sample_values", "cardinality", "null_ratio", "value_entropy", "patterns", "avg_value_length", "numeric_ratio", "sibling_context", "source_table", "value_description")
+FEATURES = ("column_name", "column_type", "sample_values", "cardinality", "null_ratio", "value_entropy", "pattern_signals", "avg_value_length", "numeric_ratio", "sibling_context", "source_table", "value_description")
 
 
 def embedding_text(disabled: tuple[str, ...] = (), type_col: str | None = None) -> Column:
@@ -130,7 +130,7 @@ def embedding_text(disabled: tuple[str, ...] = (), type_col: str | None = None)
         on("cardinality", F.col("cardinality").isNotNull(), F.format_string("cardinality=%d", "cardinality")),
         on("null_ratio", F.col("null_ratio") > 0, F.format_string("null_ratio=%.2f", "null_ratio")),
         on("value_entropy", F.col("entropy") > 0, F.format_string("entropy=%.2f", "entropy")),
-        on("patterns", F.size("patterns") > 0, F.concat(F.lit("patterns: "), F.array_join("patterns", ", "))),
+        on("pattern_signals", F.size("patterns") > 0, F.concat(F.lit("patterns: "), F.array_join("patterns", ", "))),
         on("avg_value_length", F.col("avg_len").isNotNull(), F.format_string("avg_len=%.1f", "avg_len")),
         on("numeric_ratio", F.col("numeric_ratio") > 0, F.format_string("numeric=%.2f", "numeric_ratio")),
         on("sibling_context", F.size("siblings") > 0, F.concat(F.lit("siblings: "), F.array_join("siblings", ", "))),

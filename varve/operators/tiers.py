@@ -107,11 +107,14 @@ def in_hours(df: DataFrame, hours: DataFrame, hour: str = HOUR) -> DataFrame:
     Hours are few (8,766 a year), so their numbers may go through the driver;
     where more than HOURS_NAMED are asked for, a range prunes and a join decides.
     """
-    named = [r[0] for r in hours.select(hour).distinct().limit(HOURS_NAMED + 1).collect()]
+    distinct = hours.select(hour).distinct()
+    named = [r[0] for r in distinct.limit(HOURS_NAMED + 1).collect()]
+    unnamed = F.col(hour).isNull() if None in named or len(named) > HOURS_NAMED else F.lit(False)
     if len(named) <= HOURS_NAMED:
-        return df.where(F.col(hour).isin(named))
+        return df.where(F.col(hour).isin([h for h in named if h is not None]) | unnamed)
     ends = hours.agg(F.min(hour).alias("a"), F.max(hour).alias("b")).first()
-    return df.where(F.col(hour).between(ends.a, ends.b)).join(hours.select(hour).distinct(), hour, "left_semi")
+    wanted = distinct.withColumnRenamed(hour, "_wanted")
+    return df.where(F.col(hour).between(ends.a, ends.b) | unnamed).join(wanted, F.col(hour).eqNullSafe(F.col("_wanted")), "left_semi")
 
 
 def write_hours(df: DataFrame, path: str, sort: list[str], hour: str = HOUR) -> None:

@@ -245,6 +245,39 @@ def landing_files(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+_GIVEN = {
+    "source_table": "'t' || o_custkey", "column_name": "'c' || o_orderkey", "tag_code": "o_orderpriority", "confidence": "o_orderkey % 10 / 10.0", "belief": "o_orderkey % 4 / 8.0", "plausibility": "0.5", "uncertainty_gap": "0.5 - o_orderkey % 4 / 8.0",
+    "conflict": "o_orderkey % 5 / 10.0", "needs_clarification": "o_orderkey % 3 = 0", "feat_cardinality": "(o_custkey % 7)::VARCHAR", "sage_null_ratio": "0.25", "sage_cardinality": "-0.5", "shap_top1_name": "'g' || (o_orderkey % 2)", "shap_top1_value": "o_orderkey % 6 / 2.0",
+    "shap_top3_name": "CASE WHEN o_orderkey % 2 = 0 THEN 'rest' ELSE '' END", "shap_top3_value": "CASE WHEN o_orderkey % 2 = 0 THEN 0.125 ELSE 0.0 END",
+}
+_DEFAULTS = {"string": "''", "double": "0.0", "boolean": "false"}
+_CLASSIFIED = ", ".join(f"({_GIVEN.get(c, _DEFAULTS[kind])}) AS {c}" for c, kind in files.classified_schema(profile.FEATURES).items())
+
+
+def _results(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    o = table(spark, sf, "orders").withColumn("source_table", F.concat(F.lit("t"), "o_custkey")).withColumn("column_name", F.concat(F.lit("c"), k))
+    rows = o.select(
+        "source_table", "column_name", F.col("o_orderpriority").alias("tag_code"), (k % 10 / 10.0).alias("confidence"), (k % 4 / 8.0).alias("belief"), F.lit(0.5).alias("plausibility"), (0.5 - k % 4 / 8.0).alias("uncertainty_gap"),
+        (k % 5 / 10.0).alias("conflict"), (k % 3 == 0).alias("needs_clarification"), (F.col("o_custkey") % 7).alias("feat_cardinality"),
+    )
+    first = o.select("source_table", "column_name", F.lit(1).alias("place"), F.concat(F.lit("g"), k % 2).alias("name"), (k % 6 / 2.0).alias("value"))
+    third = o.where(k % 2 == 0).select("source_table", "column_name", F.lit(3).alias("place"), F.lit("rest").alias("name"), F.lit(0.125).alias("value"))
+    sage = spark.createDataFrame([("null_ratio", 0.25), ("cardinality", -0.5)], "feature string, value double")
+    return files.write_results(rows, sage, first.unionByName(third), _folder(spark), profile.FEATURES)
+
+
+@query("a14_classified", f"SELECT {_CLASSIFIED} FROM orders")
+def classified(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as classified columns under the whole fixed schema, written and read again."""
+    return _results(spark, sf)
+
+
+@query("a14_uncertainty", f"WITH c AS (SELECT {_CLASSIFIED} FROM orders) SELECT round(avg(uncertainty_gap) FILTER (belief > 0), 4) AS avg_uncertainty_gap, round(avg(conflict) FILTER (belief > 0), 4) AS avg_conflict, count(*) FILTER (needs_clarification) AS clarification_count, count(*) FILTER (belief > 0) AS columns_evaluated FROM c")
+def uncertainty(spark: SparkSession, sf: str) -> DataFrame:
+    return files.uncertainty_summary(_results(spark, sf))
+
+
 @query("d19_by_kind", """WITH j AS (SELECT o_orderkey AS item, CASE o_orderkey % 3 WHEN 0 THEN 'annotation' ELSE 'data' END AS kind, o_custkey % 5 AS code, o_orderkey % 5 AS truth, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 5 ELSE o_custkey % 3 END AS boosted, o_custkey % 2 AS without FROM orders)
 SELECT coalesce(kind, 'all') AS kind, count(*) AS n, round(avg((code = truth)::INT), 4) AS accuracy, count(*) FILTER (code = truth AND boosted = truth) AS assisted, count(*) FILTER (code = truth AND boosted = truth AND without <> truth) AS dependent FROM j GROUP BY ROLLUP (kind)""")
 def by_kind(spark: SparkSession, sf: str) -> DataFrame:

@@ -246,6 +246,50 @@ def write_classified(df: DataFrame, path: str, schema: dict[str, str]) -> DataFr
     return df.sparkSession.read.parquet(path)
 
 
+# --- fixed values: columns of the classified table, in their order, and how many contributions it names
+CLASSIFIED = {
+    "embedding_text": "string", "source_table": "string", "column_name": "string", "sample_values": "string", "column_kind": "string", "tag_code": "string", "tag_label": "string", "tag_abbrev": "string",
+    "confidence": "double", "boost": "double", "gt_code": "string", "correct": "string", "ml_tag_code": "string", "ml_tag_label": "string", "ml_confidence": "double", "ml_correct": "string",
+    "belief": "double", "plausibility": "double", "uncertainty_gap": "double", "conflict": "double", "needs_clarification": "boolean", "evidence_sources": "string", "belief_path": "string",
+}
+TOP_CONTRIBUTIONS = 3
+# --- end of fixed values
+
+
+def classified_schema(features: tuple[str, ...]) -> dict[str, str]:
+    """The base columns, then what each feature was (feat_) and how much it matters (sage_), then the largest contributions (shap_)."""
+    out = CLASSIFIED | {f"feat_{f}": "string" for f in features} | {f"sage_{f}": "double" for f in features}
+    for k in range(1, TOP_CONTRIBUTIONS + 1):
+        out |= {f"shap_top{k}_name": "string", f"shap_top{k}_value": "double"}
+    return out
+
+
+def write_results(results: DataFrame, importance: DataFrame, contributions: DataFrame, path: str, features: tuple[str, ...]) -> DataFrame:
+    """Classified columns with their importance and contributions under the fixed schema.
+
+    importance: (feature, value), a row for each feature at most, the same for
+    all columns; contributions: (source_table, column_name, place, name,
+    value). What is missing is '', 0 or false.
+    """
+    key = ["source_table", "column_name"]
+    tops = contributions.where(F.col("place") <= TOP_CONTRIBUTIONS).groupBy(*key).pivot("place", list(range(1, TOP_CONTRIBUTIONS + 1))).agg(F.first("name").alias("name"), F.first("value").alias("value"))
+    for k in range(1, TOP_CONTRIBUTIONS + 1):
+        tops = tops.withColumnsRenamed({f"{k}_name": f"shap_top{k}_name", f"{k}_value": f"shap_top{k}_value"})
+    sage = importance.agg(*(F.max(F.when(F.col("feature") == f, F.col("value"))).alias(f"sage_{f}") for f in features))
+    schema = classified_schema(features)
+    whole = results.join(tops, key, "left").crossJoin(F.broadcast(sage))
+    empty = {"string": F.lit(""), "double": F.lit(0.0), "boolean": F.lit(False)}
+    have = set(whole.columns)
+    return write_classified(whole.select(*(F.coalesce(F.col(c).cast(kind), empty[kind]).alias(c) if c in have else empty[kind].alias(c) for c, kind in schema.items())), path, schema)
+
+
+def uncertainty_summary(classified: DataFrame) -> DataFrame:
+    """One row: mean gap and conflict of columns with any belief, how many of all need a question, and how many have a belief."""
+    some = F.col("belief") > 0
+    mean = lambda c: F.round(F.coalesce(F.avg(F.when(some, F.col(c))), F.lit(0.0)), 4)
+    return classified.agg(mean("uncertainty_gap").alias("avg_uncertainty_gap"), mean("conflict").alias("avg_conflict"), F.count_if("needs_clarification").alias("clarification_count"), F.count_if(some).alias("columns_evaluated"))
+
+
 def run_report(classified: DataFrame) -> DataFrame:
     """One row: columns, share to clarify, mean conflict, and the distribution of codes as JSON."""
     codes = classified.groupBy("code").agg(F.count("*").alias("n")).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "n"))))).alias("codes"))
