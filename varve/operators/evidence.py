@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varve.session import written
@@ -121,17 +121,28 @@ def cosine(items: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def _with_theta(masses: DataFrame, source: str) -> DataFrame:
-    """Adds what the masses of an item leave as THETA."""
-    rest = masses.groupBy("item").agg(F.greatest(F.lit(0.0), 1 - F.sum("mass")).alias("mass")).select("item", F.lit(THETA).alias("focal"), "mass")
-    return masses.select("item", "focal", "mass").unionByName(rest).withColumn("source", F.lit(source))
+    """Adds what the masses of an item leave as THETA; the masses are computed once."""
+    each = masses.groupBy("item").agg(F.collect_list(F.struct("focal", "mass")).alias("all"), F.sum("mass").alias("named"))
+    return _exploded(each, F.greatest(F.lit(0.0), 1 - F.col("named")), source)
+
+
+def _exploded(each: DataFrame, ignorance: Column, source: str) -> DataFrame:
+    """Rows of (item, all[focal, mass]) and the ignorance of each item."""
+    rest = F.array(F.struct(F.lit(THETA).alias("focal"), ignorance.alias("mass")))
+    return each.select("item", F.explode(F.concat("all", rest)).alias("m")).select("item", "m.focal", "m.mass").withColumn("source", F.lit(source))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
 
 
 def from_similarity(sims: DataFrame, discount: float = COSINE, source: str = "cosine") -> DataFrame:
-    """Softmax of the similarities of an item, discounted."""
-    item = Window.partitionBy("item")
-    e = sims.withColumn("e", F.exp(F.col("sim") - F.max("sim").over(item)))
-    masses = e.select("item", F.col("code").alias("focal"), ((1 - discount) * F.col("e") / F.sum("e").over(item)).alias("mass"))
-    return _with_theta(masses.where(F.col("mass") > TINY), source)
+    """Softmax of the similarities of an item, discounted; null similarities count for nothing."""
+    each = sims.where(F.col("sim").isNotNull()).groupBy("item").agg(F.collect_list(F.struct(F.col("code").alias("focal"), "sim")).alias("all"), F.max("sim").alias("top"))
+    each = each.withColumn("total", _total(F.transform("all", lambda x: F.exp(x["sim"] - F.col("top")))))
+    mass = lambda x: (1 - discount) * F.exp(x["sim"] - F.col("top")) / F.col("total")
+    each = each.withColumn("all", F.filter(F.transform("all", lambda x: F.struct(x["focal"].alias("focal"), mass(x).alias("mass"))), lambda x: x["mass"] > TINY))
+    return _exploded(each, F.greatest(F.lit(0.0), 1 - _total(F.transform("all", lambda x: x["mass"]))), source)
 
 
 def from_probabilities(proba: DataFrame, frame: DataFrame, discount: float | Column = LEXICAL, source: str = "lexical") -> DataFrame:
@@ -197,18 +208,18 @@ def share_with_pairs(masses: DataFrame, pairs: DataFrame, ratio: float = 3.0) ->
 
     `pairs` has a < b. Ties go to the smaller code.
     """
-    per = Window.partitionBy("item", "source")
     single = ~F.col("focal").contains("|") & (F.col("focal") != THETA)
-    ranked = masses.withColumn("rank", F.when(single, F.row_number().over(Window.partitionBy("item", "source", single).orderBy(F.col("mass").desc(), "focal"))))
-    at = lambda n, c: F.max(F.when(F.col("rank") == n, F.col(c))).over(per)
-    ranked = ranked.withColumn("f1", at(1, "focal")).withColumn("f2", at(2, "focal")).withColumn("m1", at(1, "mass")).withColumn("m2", at(2, "mass"))
+    order = F.when(single & F.col("mass").isNotNull(), F.struct((-F.col("mass")).alias("order"), "focal"))
+    each = masses.groupBy("item", "source").agg(F.collect_list(F.struct("focal", "mass")).alias("all"), F.array_sort(F.collect_list(order)).alias("best"))
+    first, second = F.get("best", F.lit(0)), F.get("best", F.lit(1))
+    each = each.select("item", "source", "all", first["focal"].alias("f1"), second["focal"].alias("f2"), (-first["order"]).alias("m1"), (-second["order"]).alias("m2"))
     known = pairs.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
     close = (F.least("f1", "f2") == F.col("_a")) & (F.greatest("f1", "f2") == F.col("_b")) & (F.col("m2") > TINY) & (F.col("m1") < ratio * F.col("m2"))
-    out = ranked.join(known, close, "left")
-    moved = F.col("_a").isNotNull() & (F.col("rank") == 2)
-    kept = out.select("item", "source", "focal", F.when(moved, F.col("mass") / 2).otherwise(F.col("mass")).alias("mass"))
-    pair = out.where(moved).select("item", "source", F.concat_ws("|", "_a", "_b").alias("focal"), (F.col("mass") / 2).alias("mass"))
-    return kept.unionByName(pair)
+    moved = F.col("_a").isNotNull()
+    kept = F.transform("all", lambda x: F.struct(x["focal"].alias("focal"), F.when(moved & (x["focal"] == F.col("f2")), x["mass"] / 2).otherwise(x["mass"]).alias("mass")))
+    pair = F.array(F.struct(F.concat_ws("|", "_a", "_b").alias("focal"), _total(F.transform(F.filter("all", lambda x: x["focal"] == F.col("f2")), lambda x: x["mass"] / 2)).alias("mass")))
+    out = each.join(known, close, "left").select("item", "source", F.explode(F.when(moved, F.concat(kept, pair)).otherwise(F.col("all"))).alias("m"))
+    return out.select("item", "source", "m.focal", "m.mass")
 
 
 def fuse(masses: DataFrame, frame: Frame | None = None) -> DataFrame:
@@ -222,40 +233,44 @@ def fuse(masses: DataFrame, frame: Frame | None = None) -> DataFrame:
     commonalities are zero the conflict is total: then the result is the
     vacuous function and conflict 1. At least three leaves are needed, else a
     pair would be everything. Inner nodes need their `frame`.
+
+    There is one shuffle, by item; what is gathered of an item has a row for
+    each focal element at most.
     """
-    item, is_theta = Window.partitionBy("item"), F.col("focal") == THETA
-    rows = masses.repartition("item")
-    rows = rows.withColumn("theta", F.coalesce(F.max(F.when(is_theta, F.col("mass"))).over(Window.partitionBy("item", "source")), F.lit(0.0)))
-    rows = rows.withColumn("ignorance", F.coalesce(F.sum(F.when(is_theta & (F.col("mass") > 0), F.ln("mass"))).over(item), F.lit(0.0))).withColumn("zeros", F.count_if(is_theta & (F.col("mass") <= 0)).over(item))
+    is_theta = F.col("focal") == THETA
     part = lambda name, weight: F.struct(name.alias("focal"), F.lit(weight).alias("weight"))
-    pair = F.col("focal").contains("|")
-    below = F.when(pair, F.concat(F.array(part(F.col("focal"), 1.0)), F.transform(F.split("focal", r"\|"), lambda x: part(x, -1.0)))).otherwise(F.array(part(F.col("focal"), 1.0)))
-    if frame is not None:
-        table = frame.table(masses).select("named", F.col("below").alias("_below"))
-        rows = rows.join(table, F.col("focal") == F.col("named"), "left").withColumn("below", F.coalesce("_below", below)).drop("named", "_below")
-    else:
-        rows = rows.withColumn("below", below)
-    constants = [F.first(c).alias(c) for c in ("theta", "ignorance", "zeros")]
-    named = rows.select("item", "source", F.explode("below.focal").alias("focal"), "mass", "theta", "ignorance", "zeros").groupBy("item", "source", "focal").agg(F.sum("mass").alias("named"), *constants)
-    own = F.col("named") + F.when(is_theta, 0.0).otherwise(F.col("theta"))
-    q = named.withColumn("own", own).groupBy("item", "focal").agg(
-        F.sum(F.when(F.col("own") > 0, F.ln("own"))).alias("log"), F.count_if(F.col("own") <= 0).alias("dead"), F.sum(F.when(F.col("theta") > 0, F.ln("theta"))).alias("thetas"), F.count_if(F.col("theta") <= 0).alias("own_zeros"), *constants[1:]
-    )
+    simple = F.when(F.col("focal").contains("|"), F.concat(F.array(part(F.col("focal"), 1.0)), F.transform(F.split("focal", r"\|"), lambda x: part(x, -1.0)))).otherwise(F.array(part(F.col("focal"), 1.0)))
+    table = None if frame is None else frame.table(masses).select("named", F.col("below").alias("_below"))
+
+    def with_below(rows: DataFrame) -> DataFrame:
+        """Adds the focal elements inside of each one, with their weights."""
+        if table is None:
+            return rows.withColumn("below", simple)
+        return rows.join(table, F.col("focal") == F.col("named"), "left").withColumn("below", F.coalesce("_below", simple))
+
     zero = F.lit(0.0)
-    everything = F.when(F.col("zeros") == 0, F.col("ignorance"))
-    log = F.when((F.col("dead") == 0) & (F.col("own_zeros") == F.col("zeros")), F.coalesce("log", zero) + F.col("ignorance") - F.coalesce("thetas", zero))
-    q = q.select("item", "focal", F.when(is_theta, everything).otherwise(log).alias("log"), everything.alias("least")).withColumn("scale", F.max("log").over(item))
+    sources = masses.repartition("item").groupBy("item", "source").agg(F.collect_list(F.when(~is_theta, F.struct("focal", "mass"))).alias("all"), F.coalesce(F.max(F.when(is_theta, F.col("mass"))), zero).alias("theta"))
+    theta_row = F.array(F.struct(F.lit(THETA).alias("focal"), zero.alias("mass")))
+    rows = with_below(sources.select("item", "source", "theta", F.explode(F.concat("all", theta_row)).alias("m")).select("item", "source", "theta", "m.focal", "m.mass"))
+    named = rows.select("item", "source", F.explode("below.focal").alias("focal"), "mass", "theta").groupBy("item", "source", "focal").agg((F.sum("mass") + F.first("theta")).alias("own"), F.first("theta").alias("theta"))
+    q = named.groupBy("item", "focal").agg(
+        F.coalesce(F.sum(F.when(F.col("own") > 0, F.ln("own"))), zero).alias("log"), F.count_if(F.col("own") <= 0).alias("dead"), F.coalesce(F.sum(F.when(F.col("theta") > 0, F.ln("theta"))), zero).alias("thetas"), F.count_if(F.col("theta") <= 0).alias("zeros")
+    )
+    # the row of THETA has the sum over all sources
+    whole = F.max(F.when(is_theta, F.struct("log", "dead"))).alias("whole")
+    each = q.groupBy("item").agg(F.collect_list(F.struct("focal", "log", "dead", "thetas", "zeros")).alias("all"), whole)
+    everything = F.when(F.col("whole.dead") == 0, F.col("whole.log"))
+    log = lambda x: F.when(x["focal"] == THETA, everything).when((x["dead"] == 0) & (x["zeros"] == F.col("whole.dead")), x["log"] + F.col("whole.log") - x["thetas"])
+    each = each.select("item", F.transform("all", lambda x: F.struct(x["focal"].alias("focal"), log(x).alias("log"))).alias("all"), everything.alias("least")).withColumn("scale", F.array_max("all.log"))
     at = lambda c: F.coalesce(F.exp(F.col(c) - F.col("scale")), zero)
-    excess = q.select("item", "focal", "scale", F.when(is_theta, at("log")).otherwise(at("log") - at("least")).alias("v"))
+    rows = each.select("item", "scale", "least", F.explode("all").alias("m")).select("item", "scale", "least", "m.focal", "m.log")
     # what a set has is no longer that of the sets within
-    if frame is not None:
-        excess = excess.join(table, F.col("focal") == F.col("named"), "left").withColumn("below", F.coalesce("_below", below))
-    else:
-        excess = excess.withColumn("below", below)
+    excess = with_below(rows.select("item", "focal", "scale", F.when(is_theta, at("log")).otherwise(at("log") - at("least")).alias("v")))
     raw = excess.select("item", "v", "scale", F.explode("below").alias("b")).groupBy("item", F.col("b.focal").alias("focal")).agg(F.sum(F.col("v") * F.col("b.weight")).alias("raw"), F.first("scale").alias("scale"))
-    raw = raw.withColumn("raw", F.when(F.col("raw") < TINY, 0.0).otherwise(F.col("raw"))).withColumn("total", F.sum("raw").over(item))
-    mass = F.when(F.col("total") > 0, F.col("raw") / F.col("total")).otherwise(F.when(F.col("focal") == THETA, 1.0).otherwise(0.0))
-    return raw.select("item", "focal", mass.alias("mass"), (1 - F.coalesce(F.col("total") * F.exp("scale"), zero)).alias("conflict")).where("mass > 0")
+    raw = raw.withColumn("raw", F.when(F.col("raw") < TINY, 0.0).otherwise(F.col("raw"))).groupBy("item").agg(F.collect_list(F.struct("focal", "raw")).alias("all"), F.sum("raw").alias("total"), F.first("scale").alias("scale"))
+    rows = raw.select("item", "total", "scale", F.explode("all").alias("m")).select("item", "total", "scale", "m.focal", "m.raw")
+    mass = F.when(F.col("total") > 0, F.col("raw") / F.col("total")).otherwise(F.when(is_theta, 1.0).otherwise(0.0))
+    return rows.select("item", "focal", mass.alias("mass"), (1 - F.coalesce(F.col("total") * F.exp("scale"), zero)).alias("conflict")).where("mass > 0")
 
 
 def intervals(fused: DataFrame, frame: DataFrame | Frame) -> DataFrame:
