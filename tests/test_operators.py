@@ -1,5 +1,6 @@
 """Small exact inputs, brute force and invariants."""
 
+import hashlib
 from functools import reduce
 from itertools import product
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from varve.functions import keys
-from varve.operators import claims, evidence, facts, graph, ledger, telemetry, tiers
+from varve.operators import claims, evidence, facts, graph, ledger, profile, telemetry, tiers
 
 
 def test_settle_plan(spark):
@@ -526,3 +527,32 @@ def test_upserts_without_an_hour_lose_nothing(spark, tmp_path, monkeypatch, name
         tiers.upsert_hours(spark, path, _late(spark, rows), ["ts_ns"], ["series_id"])
     found = {(r.epoch_hour, r.ts_ns, r.series_id) for r in spark.read.parquet(path).collect()}
     assert found == {(None, 1, 1), (None, 5, 1), (3, 2, 1), (3, 7, 1), (4, 3, 2), (9, 9, 1)}
+
+
+@pytest.mark.parametrize("how", ["head", "frequent", "random"])
+def test_sample_of_long_values_is_exact(spark, how):
+    same = "x" * 150  # longer than what is counted of a value, so these tie until they are read whole
+    values = [same + c for c in "dbbac"] + ["é" * 60 + c for c in "zay"] + ["short", "short", "", None, "y" * 100, "y" * 101, "y" * 101]
+    rows = [("t", "long", v) for v in values] + [("t", "few", v) for v in ("b", "a", "b", None)] + [("u", "none", None)]
+    counts = {}
+    for t, c, v in rows:
+        if v:
+            counts[t, c, v] = counts.get((t, c, v), 0) + 1
+    order = {"head": lambda v, n: v.encode(), "frequent": lambda v, n: (-n, v.encode()), "random": lambda v, n: hashlib.md5(("s" + v).encode()).hexdigest()}[how]
+    for most in (2, 5, 20):
+        expected = set()
+        for t, c in {(t, c) for t, c, _ in counts}:
+            own = sorted(((v, n) for (a, b, v), n in counts.items() if (a, b) == (t, c)), key=lambda x: order(*x))
+            expected |= {(t, c, v, n, i) for i, (v, n) in enumerate(own[:most], 1)}
+        got = profile.sample(spark.createDataFrame(rows, "source_table string, column_name string, value string"), most, how, "s" if how == "random" else "")
+        assert {(r.source_table, r.column_name, r.value, r.n, r.place) for r in got.collect()} == expected
+
+
+def test_pair_sharing_keeps_all_mass(spark):
+    rows = [(1, "s", "a", 0.4), (1, "s", "b", 0.15), (1, "s", "b", 0.15), (1, "s", "*", 0.3), (2, "s", "a", 0.9), (2, "s", "*", 0.1), (3, "s", "*", 1.0), (4, "s", "b", 0.3), (4, "s", "c", 0.3), (4, "s", "*", 0.4)]
+    known = spark.createDataFrame([("a", "b")], "a string, b string")
+    got = evidence.share_with_pairs(spark.createDataFrame(rows, "item long, source string, focal string, mass double"), known)
+    sums = {}
+    for r in got.collect():
+        sums[r.item, r.focal] = sums.get((r.item, r.focal), 0) + r.mass
+    assert sums == pytest.approx({(1, "a"): 0.4, (1, "b"): 0.15, (1, "a|b"): 0.15, (1, "*"): 0.3, (2, "a"): 0.9, (2, "*"): 0.1, (3, "*"): 1.0, (4, "b"): 0.3, (4, "c"): 0.3, (4, "*"): 0.4})

@@ -6,10 +6,13 @@ gathered for a column but its bounded sample.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varve.functions import names
+from varve.session import written
 
 KEY = ["source_table", "column_name"]
 
@@ -44,14 +47,40 @@ def cells(df: DataFrame, source_table: str) -> DataFrame:
     return wide.unpivot([], [F.col(f"`{c}`") for c in df.columns], "column_name", "value").withColumn("source_table", F.lit(source_table))
 
 
+#: Longer values (in bytes) are counted by their first characters and a digest; only chosen ones are read whole.
+WIDE, DIGEST = 100, 32
+
+
 def sample(cells: DataFrame, n: int, how: str = "frequent", seed: str = "") -> DataFrame:
     """The n values of each column (value, n, place): first, most frequent, or random.
 
     One distinct pass for all columns; ties go by value, random ones by md5.
+    Values beyond WIDE bytes take part in it by their first WIDE characters
+    and an md5, so long texts are neither shuffled nor sorted. Every value
+    whose place may be among the n (all ties of the first characters) is
+    written; only columns that have wide ones among these are read again, for
+    the whole values, which then decide exactly. Empty and null values don't
+    count.
     """
-    counts = cells.where("value IS NOT NULL AND value <> ''").groupBy(*KEY, "value").agg(F.count("*").alias("n"))
-    order = {"head": [F.col("value")], "frequent": [F.col("n").desc(), F.col("value")], "random": [F.md5(F.concat(F.lit(seed), "value"))]}[how]
-    return counts.withColumn("place", F.row_number().over(Window.partitionBy(*KEY).orderBy(*order))).where(F.col("place") <= n)
+    draw = F.md5(F.concat(F.lit(seed), "value"))
+    long = F.octet_length("value") > WIDE
+    key = F.when(long, F.concat(F.substring("value", 1, WIDE), draw)).otherwise(F.col("value"))
+    filled = cells.where("value IS NOT NULL AND value <> ''")
+    counts = filled.groupBy(*KEY, key.alias("key")).agg(F.count("*").alias("n")).withColumn("wide", F.octet_length("key") > WIDE)
+    head = F.when(F.col("wide"), F.expr(f"left(key, length(key) - {DIGEST})")).otherwise(F.col("key"))
+    drawn = F.when(F.col("wide"), F.right("key", F.lit(DIGEST))).otherwise(F.md5(F.concat(F.lit(seed), "key")))
+    order = {"head": [F.col("head")], "frequent": [F.col("n").desc(), F.col("head")], "random": [drawn]}[how]
+    column = Window.partitionBy(*KEY)
+    ranked = counts.withColumn("head", head).withColumn("place", F.rank().over(column.orderBy(*order)))
+    best = written(ranked.where(F.col("place") <= n).select(*KEY, "key", "n", "wide"), "sampled")
+    found = best.where(~F.col("wide")).select(*KEY, F.col("key").alias("value"), "n")
+    if wide := best.where("wide").select(*KEY).distinct().collect():
+        # columns are few; naming them leaves out all other tables
+        named = reduce(Column.__or__, ((F.col("source_table") == r.source_table) & (F.col("column_name") == r.column_name) for r in wide))
+        whole = filled.where(named).where(long).withColumn("key", key).join(best.where("wide"), [*KEY, "key"])
+        found = found.unionByName(whole.select(*KEY, "value", "n").distinct())
+    exact = {"head": [F.col("value")], "frequent": [F.col("n").desc(), F.col("value")], "random": [draw]}[how]
+    return found.withColumn("place", F.row_number().over(column.orderBy(*exact))).where(F.col("place") <= n)
 
 
 def null_ratio(cells: DataFrame) -> DataFrame:
