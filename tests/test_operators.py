@@ -556,3 +556,25 @@ def test_pair_sharing_keeps_all_mass(spark):
     for r in got.collect():
         sums[r.item, r.focal] = sums.get((r.item, r.focal), 0) + r.mass
     assert sums == pytest.approx({(1, "a"): 0.4, (1, "b"): 0.15, (1, "a|b"): 0.15, (1, "*"): 0.3, (2, "a"): 0.9, (2, "*"): 0.1, (3, "*"): 1.0, (4, "b"): 0.3, (4, "c"): 0.3, (4, "*"): 0.4})
+
+
+@pytest.mark.parametrize("nodes", [{}, {"left": "abc", "right": "def", "all": "abcdef", "one": "a", "two": "de"}])
+def test_decisions_from_masses_equal_those_from_intervals(spark, nodes):
+    frame = evidence.Frame("abcdef", nodes, [("a", "b")])
+    rows = [(1, "a", 0.4), (1, "b", 0.3), (1, "*", 0.3), (2, "*", 1.0), (3, "c", 0.25), (3, "b", 0.25), (3, "*", 0.5), (4, "a|b", 0.8), (4, "f", 0.1), (4, "*", 0.1), (5, "f", 1.0)]
+    if nodes:
+        rows += [(6, "left", 0.9), (6, "*", 0.1), (7, "right", 0.5), (7, "e", 0.2), (7, "a", 0.3)]
+    fused = spark.createDataFrame([(i, f, m, 0.25 if i == 3 else 0.1) for i, f, m in rows], "item long, focal string, mass double, conflict double")
+    expected = {r.item: r for r in evidence.decide(evidence.intervals(fused, frame)).collect()}
+    assert {r.item: r for r in evidence.decide_fused(fused, frame).collect()} == expected
+    assert len(expected) == (7 if nodes else 5)
+    assert expected[2].code == "a" and expected[3].code == "b" and expected[3].needs_clarification
+
+
+def test_decisions_in_small_frames(spark):
+    fused = spark.createDataFrame([(1, "*", 1.0, 0.0), (2, "a", 0.6, 0.0), (2, "*", 0.4, 0.0)], "item long, focal string, mass double, conflict double")
+    lone = evidence.Frame("a")
+    got = evidence.decide_fused(fused, lone)
+    assert {r.item: (r.code, r.confidence) for r in got.collect()} == {1: ("a", 1.0), 2: ("a", 1.0)}
+    assert sorted(got.collect()) == sorted(evidence.decide(evidence.intervals(fused, lone)).collect())
+    assert evidence.decide_fused(fused, evidence.Frame("")).count() == 0

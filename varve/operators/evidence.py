@@ -299,11 +299,40 @@ def decide(intervals: DataFrame) -> DataFrame:
     To ask: gap of the interval above 0.3 or conflict (4 digits) above 0.2.
     Inner nodes have no pignistic probability and are never chosen.
     """
-    best = intervals.groupBy("item").agg(F.min(F.struct((-F.col("betp")).alias("order"), "code", "betp", "bel", "pl", "conflict")).alias("best")).select("item", "best.*")
+    return _judged(intervals.groupBy("item").agg(F.min(F.struct((-F.col("betp")).alias("order"), "code", "betp", "bel", "pl", "conflict")).alias("best")).select("item", "best.*"))
+
+
+def _judged(best: DataFrame) -> DataFrame:
     gap = F.col("pl") - F.col("bel")
     return best.select("item", "code", F.round("betp", 3).alias("confidence"), F.round("bel", 4).alias("bel"), F.round("pl", 4).alias("pl"), F.round("conflict", 4).alias("conflict"), ((gap > 0.3) | (F.round("conflict", 4) > 0.2)).alias("needs_clarification"))
 
 
+def decide_fused(fused: DataFrame, frame: DataFrame | Frame) -> DataFrame:
+    """What `decide` says of all intervals, from the fused masses alone.
+
+    A leaf that no focal element but THETA holds has less pignistic
+    probability than any that one does, so only leaves that are named are
+    compared, not every item with every code. An item that names none goes to
+    the smallest code.
+    """
+    frame = Frame.of(frame.select("code")) if isinstance(frame, DataFrame) else frame
+    if not frame.leaves:
+        return _judged(fused.limit(0).select("item", F.lit("").alias("code"), *(F.lit(0.0).alias(c) for c in ("betp", "bel", "pl", "conflict"))))
+    half = lambda c: F.struct(c.alias("code"), F.lit(False).alias("inside"), F.lit(0.5).alias("share"))
+    pair = F.when(F.col("focal").contains("|"), F.transform(F.split("focal", r"\|"), half))
+    table = frame.table(fused).select("named", F.filter("targets", lambda t: t["share"] > 0).alias("leaves"))
+    rows = fused.join(table, F.col("focal") == F.col("named"), "left").select("item", "focal", "mass", "conflict", F.explode_outer(F.coalesce("leaves", pair)).alias("t"))
+    ignorance = F.sum(F.when(F.col("focal") == THETA, F.col("mass")).otherwise(0.0))
+    each = rows.groupBy("item", F.col("t.code").alias("code")).agg(
+        F.sum(F.col("mass") * F.col("t.share")).alias("betp"), F.sum(F.when(F.col("t.inside"), F.col("mass")).otherwise(0.0)).alias("bel"), F.sum("mass").alias("pl"), ignorance.alias("theta"), F.first("conflict").alias("conflict")
+    )
+    named = F.when(F.col("code").isNotNull(), F.struct((-F.col("betp")).alias("order"), "code", "betp", "bel", "pl"))
+    best = each.groupBy("item").agg(F.min(named).alias("best"), F.sum("theta").alias("theta"), F.first("conflict").alias("conflict"))
+    zero, n = F.lit(0.0), len(frame.leaves)
+    of = lambda c: F.coalesce(F.col(f"best.{c}"), zero)
+    return _judged(best.select("item", F.coalesce("best.code", F.lit(min(frame.leaves))).alias("code"), (of("betp") + F.col("theta") / n).alias("betp"), of("bel").alias("bel"), (of("pl") + F.col("theta")).alias("pl"), "conflict"))
+
+
 def with_evidence(decided: DataFrame, masses: DataFrame) -> DataFrame:
     """Adds evidence: the sources in order of name, each with its best singleton and that mass ("cosine=c1:0.42, ...")."""
     best = best_singletons(masses)

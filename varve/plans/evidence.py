@@ -231,12 +231,12 @@ def intervals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("d14_decision", f"{_BOTH}, {_INTERVALS}, {_DECIDE} SELECT item, code, round(betp, 3) AS confidence, round(bel, 4) AS bel, round(pl, 4) AS pl, round(conflict, 4) AS conflict, pl - bel > 0.3 OR round(conflict, 4) > 0.2 AS needs_clarification FROM best")
 def decision(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.decide(evidence.intervals(fused(spark, sf), frame(spark, sf)))
+    return evidence.decide_fused(fused(spark, sf), frame(spark, sf))
 
 
 def _judged(spark: SparkSession, sf: str, without: str = "") -> DataFrame:
     truth = table(spark, sf, "embeddings").where("vec_id % 11 <> 5").select(F.col("vec_id").alias("item"), F.concat(F.lit("c"), "label").alias("truth"))
-    return evidence.evaluate(evidence.decide(evidence.intervals(fused(spark, sf, without), frame(spark, sf))), truth)
+    return evidence.evaluate(evidence.decide_fused(fused(spark, sf, without), frame(spark, sf)), truth)
 
 
 _JUDGED = f"{_BOTH}, {_INTERVALS}, {_DECIDE}, judged AS (SELECT b.*, t.code AS truth, CASE WHEN t.code IS NULL THEN 'no_truth' WHEN t.code = b.code THEN 'correct' ELSE 'wrong' END AS status FROM best b LEFT JOIN (SELECT * FROM e WHERE item % 11 <> 5) t USING (item))"
