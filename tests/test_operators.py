@@ -499,6 +499,22 @@ def test_lexical_rounds_in_one_session(spark):
     assert len(found) == 1 and len(next(iter(found))) == 24
 
 
+def test_lexical_blocks_are_bounded_and_plans_hold_no_model(spark, monkeypatch):
+    """No row, batch or plan holds more than a block of terms, and scoring has no JVM function with the weights in it."""
+    import numpy as np
+
+    from varve.operators import models
+
+    monkeypatch.setattr(models, "BLOCK", 500)
+    rows = [(i, " ".join(f"w{i * 31 % 97 + k}" for k in range(40)), ["en", "de", None][i % 3]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    found = models.blocks(df, ["de", "en"], "lang", "text").collect()
+    sizes = [np.frombuffer(r.sizes, np.int32) for r in found]
+    assert sum(len(s) for s in sizes) == 40 and all(s[:-1].sum() < 500 for s in sizes)
+    scored = models.applied(models.lexical(df, "lang"), df)
+    assert "UDF(" not in scored._jdf.queryExecution().executedPlan().toString().replace("margins(", "") and scored.count() == 60
+
+
 def test_folds_deal_each_class_in_turn(spark):
     import hashlib
 

@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, OneVsRestModel, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.feature import IDF, Normalizer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from varve.operators import evidence
-from varve.session import shared_dir, ship, written
+from varve.session import ship, written
 
 
 #: Dimensions of hashed words, of word pairs, and of runs of each length.
@@ -36,7 +36,9 @@ def _codes(text: str) -> tuple[np.ndarray, np.ndarray]:
             for k in range(n):
                 code = code * np.uint64(0x9E3779B97F4A7C15) + points[k : len(points) - n + 1 + k] + np.uint64(1)
             found.append((code >> np.uint64(40)).astype(np.int64) % RUNS + 2 * WORDS + at * RUNS)
-    return np.unique(np.concatenate(found), return_counts=True)
+    n = np.bincount(np.concatenate(found), minlength=1)
+    at = np.flatnonzero(n)
+    return at, n[at]
 
 
 def coded(df: DataFrame, column: str = "text") -> DataFrame:
@@ -67,44 +69,194 @@ def vectors(df: DataFrame, column: str = "text") -> DataFrame:
     return Pipeline(stages=text_stages()).fit(rows).transform(rows)
 
 
-def lexical(train: DataFrame, label: str, column: str = "text") -> PipelineModel:
-    """Balanced linear SVM, one against the rest, over text vectors; see `applied`."""
-    rows = coded(train, column)
-    n = rows.groupBy(label).agg(F.count("*").alias("_n"))
-    weighted = rows.join(n, label).withColumn("_weight", 1.0 / F.col("_n") * rows.count() / n.count())
-    index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="skip").fit(weighted)
-    weigh = Pipeline(stages=text_stages()).fit(weighted)
-    ready = written(weigh.transform(index.transform(weighted)).select("vector", "_label", "_weight"), "vectors")
-    svm = OneVsRest(classifier=LinearSVC(maxIter=15), featuresCol="vector", labelCol="_label", weightCol="_weight", predictionCol="prediction", parallelism=8)
-    return PipelineModel([index.setHandleInvalid("keep"), *weigh.stages, svm.fit(ready)])
+#: Entries of a stored block of coded texts and of those added up at once, steps of the descent, and how many of the last ones it remembers.
+BLOCK, AT_ONCE, STEPS, MEMORY = 20_000, 300_000, 15, 8
+#: Parquet's writer and reader hold a row group, so these are small, too.
+GROUP = {"parquet.block.size": str(16 << 20), "compression": "zstd"}
 
 
-def applied(model: PipelineModel, rows: DataFrame, column: str = "text") -> DataFrame:
-    """Rows scored by a lexical model."""
-    return model.transform(coded(rows, column).withColumn("_weight", F.lit(1.0)))
+@dataclass(frozen=True)
+class Lexical:
+    """One linear SVM a label over weighted, normalised counts; `curve` (factors, offsets) turns margins into probabilities."""
+
+    labels: list[str]
+    idf: np.ndarray
+    weights: np.ndarray  # dimensions, then the intercept, by label
+    curve: tuple[np.ndarray, np.ndarray] | None = None
+
+    def margins(self, text: str) -> np.ndarray:
+        at, n = _codes(text)
+        x = n * self.idf[at]
+        return (x @ self.weights[at] / (np.sqrt(x @ x) or 1.0)) + self.weights[-1]
+
+
+def blocks(df: DataFrame, labels: list[str], label: str, column: str) -> DataFrame:
+    """A written table of blocks (labels, sizes, gaps between codes, counts): texts cut into terms once, a bounded number of terms a row."""
+    ship(df.sparkSession)
+    place = {name: i for i, name in enumerate(labels)}
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, entries = [], 0
+        for frame in frames:
+            for name, text in zip(frame["_label"], frame["_text"]):
+                block.append((place[name], *_codes(text)))
+                entries += len(block[-1][1])
+                if entries >= BLOCK:
+                    yield packed(block)
+                    block, entries = [], 0
+        if block:
+            yield packed(block)
+
+    def packed(block: list) -> pd.DataFrame:
+        names, codes, counts = zip(*block)
+        columns = {"labels": np.array(names, np.int32), "sizes": np.array([len(c) for c in codes], np.int32), "gaps": np.concatenate([np.diff(c, prepend=0) for c in codes]).astype(np.uint16), "counts": np.concatenate(counts).astype(np.int32)}
+        return pd.DataFrame({k: [v.tobytes()] for k, v in columns.items()})
+
+    rows = df.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("_label"), F.coalesce(F.col(column), F.lit("")).alias("_text"))
+    return written(rows.mapInPandas(cut, "labels binary, sizes binary, gaps binary, counts binary"), "blocks", **GROUP)
+
+
+def _opened(part: Iterator[Row]) -> Iterator[list[np.ndarray]]:
+    """Labels, sizes, codes and counts of some blocks at once."""
+    some, entries = [], 0
+    for row in part:
+        truth, sizes, gaps, counts = (np.frombuffer(x, kind) for x, kind in zip(row, (np.int32, np.int32, np.uint16, np.int32)))
+        past = np.cumsum(gaps, dtype=np.int64)
+        before = np.concatenate([[0], past])[np.cumsum(sizes) - sizes]
+        some.append([truth, sizes, past - np.repeat(before, sizes), counts])
+        entries += len(some[-1][2])
+        if entries >= AT_ONCE:
+            yield [np.concatenate(x) for x in zip(*some)]
+            some, entries = [], 0
+    if some:
+        yield [np.concatenate(x) for x in zip(*some)]
+
+
+def lexical(train: DataFrame, label: str, column: str = "text") -> Lexical:
+    """Balanced linear SVM (squared hinge), one against the rest, over text vectors; see `applied`.
+
+    Each step is one Spark pass over the blocks that adds up loss and slope
+    of all labels at once; only sums of the model's size reach the driver,
+    which takes the next step (L-BFGS).
+    """
+    spark, size = train.sparkSession, 2 * WORDS + len(LENGTHS) * RUNS
+    n = {r[0]: r[1] for r in train.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string")).count().collect()}  # a number a label
+    names, total = sorted(n), sum(n.values())
+    share = np.array([total / len(n) / n[name] for name in names])
+    # a sum for each core, not for each file, is sent; of many cores they are added up on the way
+    cores = spark.sparkContext.defaultParallelism
+    rows = blocks(train, names, label, column).rdd.coalesce(cores)
+    summed = lambda parts: parts.reduce(add) if cores <= 32 else parts.treeReduce(add)
+    add = lambda a, b: tuple(x + y for x, y in zip(a, b))
+
+    def seen(part: Iterator[Row]) -> Iterator[tuple]:
+        yield (sum((np.bincount(codes, minlength=size) for _, _, codes, _ in _opened(part)), np.zeros(size)),)
+
+    found = summed(rows.mapPartitions(seen))[0]
+    idf = np.where(found >= 2, np.log((total + 1) / (found + 1)), 0.0)
+
+    def loss(weights: np.ndarray) -> tuple[float, np.ndarray]:
+        now = spark.sparkContext.broadcast((idf, weights))
+
+        def slope(part: Iterator[Row]) -> Iterator[tuple]:
+            idf, weights = now.value
+            lost, out = 0.0, np.zeros_like(weights)
+            for truth, sizes, codes, counts in _opened(part):
+                at = np.repeat(np.arange(len(sizes)), sizes)
+                x = counts * idf[codes]
+                x /= np.sqrt(np.bincount(at, x * x, len(sizes)))[at] + 1e-300
+                for k in range(len(names)):
+                    sign = np.where(truth == k, 1.0, -1.0)
+                    short = np.maximum(0.0, 1 - sign * (np.bincount(at, x * weights[codes, k], len(sizes)) + weights[-1, k]))
+                    lost += share[truth] @ short**2
+                    push = -2 * share[truth] * sign * short
+                    some = short[at] > 0
+                    out[:-1, k] += np.bincount(codes[some], x[some] * push[at[some]], size)
+                    out[-1, k] += push.sum()
+            yield lost, out
+
+        lost, out = summed(rows.mapPartitions(slope))
+        now.unpersist()
+        return lost / total + 0.5 * float((weights**2).sum()) / total, out / total + weights / total
+
+    # noise of the order of sums must not decide between labels
+    return Lexical(names, idf, np.round(_descend(loss, np.zeros((size + 1, len(names)))), 9))
+
+
+def _descend(loss: Callable, at: np.ndarray) -> np.ndarray:
+    """The least of a smooth convex function by L-BFGS, in at most STEPS steps."""
+    value, slope = loss(at)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(STEPS):
+        way, kept = slope.copy(), []
+        for s, y in reversed(past):
+            kept.append((s * way).sum() / (s * y).sum())
+            way -= kept[-1] * y
+        way *= (past[-1][0] * past[-1][1]).sum() / (past[-1][1] ** 2).sum() if past else 1.0
+        for (s, y), k in zip(past, reversed(kept)):
+            way += (k - (y * way).sum() / (s * y).sum()) * s
+        step, down = 1.0, (slope * way).sum()
+        while True:
+            there = at - step * way
+            found, next_slope = loss(there)
+            if found <= value - 1e-4 * step * down or step < 1e-6:
+                break
+            step /= 4
+        done = found > value - 1e-4 * value
+        if found < value:
+            s, y = there - at, next_slope - slope
+            if (s * y).sum() > 0:
+                past = [*past[1 - MEMORY :], (s, y)]
+            at, value, slope = there, found, next_slope
+        if done:
+            break
+    return at
+
+
+def applied(model: Lexical, rows: DataFrame, column: str = "text") -> DataFrame:
+    """Rows with rawPrediction (margins by label), prediction (the place of the largest), by texts that never leave their batch."""
+    ship(rows.sparkSession)
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("array<double>")
+    def margins(texts: pd.Series) -> pd.Series:
+        return pd.Series([sent.value.margins(t) for t in texts])
+
+    scored = rows.withColumn("rawPrediction", margins(F.coalesce(F.col(column), F.lit(""))))
+    return scored.withColumn("prediction", (F.array_position("rawPrediction", F.array_max("rawPrediction")) - 1).cast("double"))
 
 
-def calibrated(model: PipelineModel, held_back: DataFrame, column: str = "text") -> PipelineModel:
+def calibrated(model: Lexical, held_back: DataFrame, column: str = "text", label: str = "lang") -> Lexical:
     """The model with a logistic curve from its margins to probabilities, fitted on rows it wasn't trained on."""
-    scored = applied(model, held_back, column).where(F.col("_label") < len(model.stages[0].labels)).select("rawPrediction", "_label")
-    curve = LogisticRegression(featuresCol="rawPrediction", labelCol="_label", maxIter=20, predictionCol="_code", rawPredictionCol="_raw", probabilityCol="probability").fit(written(scored, "margins"))
-    return PipelineModel([*model.stages, curve])
+    place = (F.array_position(F.array(*map(F.lit, model.labels)), F.col(label).cast("string")) - 1).cast("double")
+    scored = applied(model, held_back, column).withColumn("_label", place).where("_label >= 0").select("_label", "rawPrediction")
+    ready = written(scored, "margins").select("_label", array_to_vector("rawPrediction").alias("features"))
+    curve = LogisticRegression(labelCol="_label", family="multinomial", maxIter=20).fit(ready)
+    factors, offsets = np.zeros((len(model.labels),) * 2), np.full(len(model.labels), -np.inf)  # labels that weren't held back get 0
+    factors[: curve.numClasses], offsets[: curve.numClasses] = curve.coefficientMatrix.toArray(), curve.interceptVector.toArray()
+    return replace(model, curve=(factors, offsets))
 
 
-def saved(model: PipelineModel, spark: SparkSession) -> PipelineModel:
+def saved(model: Lexical, spark: SparkSession) -> Lexical:
     """Written to the shared folder and read back."""
-    path = f"{shared_dir(spark)}/varve-model-{uuid.uuid4().hex}"
-    model.write().save(path)
-    return PipelineModel.load(path)
+    factors, offsets = model.curve if model.curve is not None else (np.zeros((0, 0)), np.zeros(0))
+    weights = pd.DataFrame({"place": np.arange(len(model.weights)), "idf": [*model.idf, 0.0], "weights": model.weights.tolist()})
+    labels = pd.DataFrame({"labels": [model.labels], "factors": [factors.ravel().tolist()], "offsets": [offsets.tolist()]})
+    weights, labels = written(spark.createDataFrame(weights, "place long, idf double, weights array<double>"), "weights"), written(spark.createDataFrame(labels, "labels array<string>, factors array<double>, offsets array<double>"), "labels")
+    rows, one = weights.orderBy("place").toPandas(), labels.first()
+    curve = (np.array(one.factors).reshape(len(one.offsets), -1), np.array(one.offsets)) if one.offsets else None
+    return Lexical(list(one.labels), rows["idf"].to_numpy()[:-1], np.stack(rows["weights"]), curve)
 
 
-def probabilities(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def probabilities(model: Lexical, rows: DataFrame) -> DataFrame:
     """Adds code, confidence and probabilities (in order of the label) by a calibrated model."""
-    names = F.array(*map(F.lit, model.stages[0].labels))
-    scored = applied(model, rows)
-    every = F.slice(vector_to_array("probability"), 1, len(model.stages[0].labels))
+    factors, offsets = model.curve
+    odds = F.array(*(sum((F.lit(float(f)) * F.element_at("rawPrediction", i + 1) for i, f in enumerate(by)), F.lit(float(o))) for by, o in zip(factors, offsets)))
+    scored = applied(model, rows).withColumn("_odds", odds)
+    scored = scored.withColumn("_odds", F.transform("_odds", lambda x: F.exp(x - F.array_max("_odds"))))
+    every = F.transform("_odds", lambda x: x / F.aggregate("_odds", F.lit(0.0), lambda s, y: s + y))
     scored = scored.withColumn("probabilities", every).withColumn("confidence", F.array_max("probabilities"))
-    return scored.withColumn("code", F.element_at(names, F.array_position("probabilities", F.col("confidence")).cast("int")))
+    return scored.withColumn("code", F.element_at(F.array(*map(F.lit, model.labels)), F.array_position("probabilities", F.col("confidence")).cast("int"))).drop("_odds")
 
 
 def out_of_fold(rows: DataFrame, reference: DataFrame, k: int) -> DataFrame:

@@ -132,7 +132,7 @@ def lexical(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", "lang", "text")
     model = models.lexical(d.where("text IS NOT NULL AND doc_id % 10 <> 0"), "lang")
     scored = models.applied(model, d)
-    names = model.stages[0].labels
+    names = model.labels
     return scored.select("doc_id", "lang", F.element_at(F.array(*map(F.lit, names)), (F.col("prediction") + 1).cast("int")).alias("code"), F.expr("coalesce(doc_id % 10 = 0, true)").alias("held_out"))
 
 
