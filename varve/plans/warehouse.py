@@ -34,7 +34,7 @@ def hours(spark: SparkSession, sf: str) -> DataFrame:
 
 _MINT = """minted AS (
   SELECT event_id, ms, n, lpad(to_hex(ms + n // 4096), 12, '0') AS h, md5(event_id::VARCHAR) AS noise
-  FROM (SELECT event_id, epoch_ms(ts) // 60000 * 60000 AS ms, row_number() OVER (PARTITION BY epoch_ms(ts) // 60000 ORDER BY event_id) - 1 AS n FROM events)
+  FROM (SELECT event_id, epoch_us(ts) // 60000000 * 60000 AS ms, row_number() OVER (PARTITION BY epoch_us(ts) // 60000000 ORDER BY event_id) - 1 AS n FROM events)
 ), uuids AS (
   SELECT event_id, lower(h[1:8] || '-' || h[9:12] || '-7' || lpad(to_hex(n % 4096), 3, '0') || '-' || ('89ab')[(('0x' || noise[1:1])::INT % 4) + 1] || noise[2:4] || '-' || noise[5:16]) AS uuid, ms, n FROM minted
 )"""
