@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from varve import registry
 from varve.functions import keys, names
 from varve.operators import claims, generators, ledger, models
 from varve.sources import commits, files
@@ -110,3 +111,36 @@ def test_names_and_days(spark):
     assert [tuple(r) for r in df.select(names.kind("n"), names.engine_type("t")).collect()] == [("row_id", "INT"), ("annotation", "FLOAT"), ("data", "STRING"), ("data", "STRING")]
     span = spark.sql("SELECT DATE '2024-12-30' AS a, DATE '2024-12-28' AS b")
     assert [(str(r.day), r.week) for r in keys.day_windows(span, "a", "b", backwards=True).orderBy("place").collect()] == [("2024-12-30", "2025-W01"), ("2024-12-29", "2024-W52"), ("2024-12-28", "2024-W52")]
+
+
+def _with_table(sf, folder, name, rows):
+    """The given tables, one of them replaced by rows of DuckDB SQL."""
+    import os
+
+    import duckdb
+
+    for f in os.listdir(sf):
+        os.symlink(f"{sf}/{f}", folder / f)
+    os.remove(folder / f"{name}.parquet")
+    duckdb.sql(rows).write_parquet(str(folder / f"{name}.parquet"))
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["b02_uuid7_mint", "b03_uuid7_parts", "b04_uuid7_quarantine"])
+def test_minutes_end_after_their_last_microsecond(spark, sf, tmp_path, name):
+    from compare import assert_same
+
+    found = _with_table(sf, tmp_path, "events", f"SELECT * REPLACE (TIMESTAMP '2024-01-01 00:00:59.999400' + INTERVAL (event_id % 5 * 200) MICROSECONDS AS ts) FROM '{sf}/events.parquet' LIMIT 10")
+    assert_same(registry.queries()[name](spark, found), registry.oracles()[name], found)
+
+
+def test_activations_round_doubles(spark, sf, tmp_path):
+    import numpy as np
+    from compare import assert_same
+
+    x = np.arange(np.float32(0.1501), np.float32(0.3), np.float32(5e-6), dtype=np.float32)
+    x = x[np.floor(x * np.float32(10_000) + np.float32(0.5)) != np.floor(x.astype(float) * 10_000 + 0.5)]
+    assert len(x)
+    values = ", ".join(repr(float(v)) for v in [*x, *[0.15] * 64][:64])
+    found = _with_table(sf, tmp_path, "embeddings", f"SELECT vec_id, [{values}]::FLOAT[] AS embedding, label FROM '{sf}/embeddings.parquet' LIMIT 20")
+    assert_same(registry.queries()["c06_activations"](spark, found), registry.oracles()["c06_activations"], found)

@@ -111,8 +111,8 @@ def as_of(spark: SparkSession, sf: str) -> DataFrame:
     return telemetry.as_of(r.select("event_id", "gpu", "series_id", "ts_ns"), labels, ["gpu", "series_id"], "ts_ns", "valid_from_ns", "label").select("event_id", "label")
 
 
-@query("c06_activations", """WITH v AS (SELECT vec_id, label, unnest(range(1, 65)) AS feature, unnest(embedding) AS strength FROM embeddings WHERE vec_id % 9 <> 4)
-SELECT vec_id, label, feature - 1 AS feature, round(strength * 10000)::BIGINT AS strength FROM v WHERE strength > 0.15""")
+@query("c06_activations", """WITH v AS (SELECT vec_id, label, unnest(range(1, 65)) AS feature, unnest(embedding::DOUBLE[]) AS strength FROM embeddings WHERE vec_id % 9 <> 4)
+SELECT vec_id, label, feature - 1 AS feature, round(strength * 10000)::BIGINT AS strength FROM v WHERE strength > 0.15::DOUBLE""")
 def activations(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").withColumn("all", F.transform("embedding", lambda x, i: F.struct(i.alias("i"), x.alias("x")))).withColumn("some", F.filter("all", lambda p: p["x"] > F.lit(0.15).cast("double")))
     sparse = e.select("vec_id", "label", F.col("some.i").alias("feat_idx"), F.col("some.x").alias("feat_val"), (F.size("some") + F.when(F.col("vec_id") % 9 == 4, 1).otherwise(0)).alias("nnz"))
