@@ -64,3 +64,21 @@ def test_rows_without_an_hour_or_before_the_bound_go_aside(spark, tmp_path):
     landing.land_hours(stream, str(tmp_path / "out"), str(tmp_path / "state"), ["k"], ["seq"], settled_before=lambda: next(bound), late_path=str(tmp_path / "late"))
     assert sorted(x.k for x in spark.read.parquet(str(tmp_path / "out")).collect()) == [2, 5]
     assert sorted((x.k, x._batch) for x in spark.read.parquet(str(tmp_path / "late")).collect()) == [(1, 0), (3, 0), (4, 1)]
+
+
+def test_late_rows_by_the_marks_of_earlier_batches(spark, tmp_path):
+    """A row is late by what came in earlier batches, in a second run too; no batch has a stateful stage."""
+    import datetime
+
+    from varve.streaming import landing
+
+    at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    folder, queries = str(tmp_path), []
+    for rows in ([(1, 0), (2, 600), (3, 10)], [(4, 479), (5, 480), (6, None), (7, 900)], [(8, 779), (9, 780)]):
+        df = spark.createDataFrame([(i, None if m is None else at(m), 0) for i, m in rows], "event_id long, ts timestamp, epoch_hour long")
+        df.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{folder}/in")
+        queries.append(landing.land_with_late(stream, f"{folder}/out", f"{folder}/late", f"{folder}/state", ["event_id"], ["ts"]))
+    assert [r.event_id for r in spark.read.parquet(f"{folder}/late").orderBy("event_id").collect()] == [4, 8]
+    assert [r.event_id for r in spark.read.parquet(f"{folder}/out").orderBy("event_id").collect()] == [1, 2, 3, 5, 6, 7, 9]
+    assert all(not p.stateOperators for q in queries for p in q.recentProgress)

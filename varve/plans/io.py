@@ -214,7 +214,7 @@ def late_rows(spark: SparkSession, sf: str) -> DataFrame:
     for part in ("event_id % 4 <> 1", "event_id % 4 = 1"):
         e.where(part).write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(e.schema).parquet(f"{folder}/in").withColumn("epoch_hour", F.expr(_HOUR))
-        landing.land_with_late(landing.with_lateness(stream, "event_id"), f"{folder}/out", f"{folder}/late", f"{folder}/state", ["event_id"], ["ts"])
+        landing.land_with_late(stream, f"{folder}/out", f"{folder}/late", f"{folder}/state", ["event_id"], ["ts"])
     sides = [spark.read.parquet(f"{folder}/{side}").select("event_id", F.lit(kind).alias("kind")) for side, kind in (("out", "landed"), ("late", "late"))]
     return sides[0].unionByName(sides[1])
 

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import BooleanType, StructField, StructType
 
 from varve.operators import tiers
 from varve.session import ship
@@ -78,32 +77,24 @@ def projected(spark: SparkSession, path: str, op: str = "op") -> DataFrame:
     return spark.read.parquet(path).where(F.col(op) != "delete").drop("_bucket", op)
 
 
-def with_lateness(stream: DataFrame, key: str, time: str = "ts", late: str = "2 hours", spread: int = 64) -> DataFrame:
-    """Adds `late`: whether a row's time lies before the watermark of its micro-batch, instead of dropping it.
+def land_with_late(stream: DataFrame, path: str, late_path: str, checkpoint: str, keys: list[str], order: list[str], hour: str = tiers.HOUR, time: str = "ts", late_ms: int = 7_200_000) -> StreamingQuery:
+    """Rows in time merge into their hours; those before the watermark of their micro-batch go to a side table instead of being dropped.
 
-    A stateful stage without timers sees all rows and the watermark; rows are
-    spread by a hash of the key over groups that keep no state.
+    The watermark is `late_ms` before the latest time of all earlier batches.
+    Each batch leaves its own latest time in the checkpoint, which takes the
+    place of a stateful stage; a replayed batch finds the same earlier ones.
     """
-    ship(stream.sparkSession)
-    names = [*stream.columns, "late"]
-
-    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mark = state.getCurrentWatermarkMs()
-        for frame in frames:
-            yield frame.assign(late=frame["_ms"] < mark)[names]
-
-    rows = stream.withWatermark(time, late).withColumn("_ms", F.unix_millis(time)).withColumn("_spread", F.pmod(F.xxhash64(key), F.lit(spread)))
-    schema = StructType([*stream.schema.fields, StructField("late", BooleanType())])
-    return rows.groupBy("_spread").applyInPandasWithState(step, schema, "none int", "append", GroupStateTimeout.NoTimeout)
-
-
-def land_with_late(stream: DataFrame, path: str, late_path: str, checkpoint: str, keys: list[str], order: list[str], hour: str = tiers.HOUR) -> StreamingQuery:
-    """Rows of `with_lateness`: those in time merge into their hours, late ones go to a side table."""
+    marks = f"{checkpoint}/marks"
 
     def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         batch.persist()
-        batch.where("late").drop("late").write.mode("overwrite").parquet(f"{late_path}/_batch={number}")
-        tiers.upsert_hours(batch.sparkSession, path, batch.where("NOT late").drop("late"), keys, order, hour)
+        millis = F.unix_millis(F.col(time).cast("timestamp"))
+        before = tiers._read(spark, marks, "ms long, _batch int").where(F.col("_batch") < number).agg(F.max("ms")).first()[0]
+        late = F.lit(False) if before is None else F.coalesce(millis < before - late_ms, F.lit(False))
+        batch.agg(F.max(millis).alias("ms")).write.mode("overwrite").parquet(f"{marks}/_batch={number}")
+        batch.where(late).write.mode("overwrite").parquet(f"{late_path}/_batch={number}")
+        tiers.upsert_hours(spark, path, batch.where(~late), keys, order, hour)
         batch.unpersist()
 
     query = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
