@@ -268,6 +268,33 @@ def test_pivots_rule_pairs_out_and_miss_none(spark):
     assert len(found) == len({(x.item, x.place) for x in found}) < 0.5 * 300 * 100
 
 
+def test_propagation_pairs_only_targets_that_the_first_sources_leave(spark, monkeypatch):
+    """Targets that fit one of the first sources meet no others; the rest finds later ones; refusals hold in both."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    v = r.normal(size=(260, 16))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    guesses = ["c1", None, "c0"]
+    targets = spark.createDataFrame([(i, v[i].tolist() if i else None, guesses[i % 3], [0.9, 0.4][i % 2]) for i in range(160)], "item long, vector array<double>, guess string, guess_confidence double")
+    sources = spark.createDataFrame([(i, v[i].tolist(), f"c{i % 2}", 0.5) for i in range(160, 260)], "place long, vector array<double>, code string, confidence double")
+    expected = {}
+    for i in range(1, 160):
+        fit = [j for j in range(160, 260) if v[i] @ v[j] >= 0.5 and not (guesses[i % 3] not in (None, f"c{j % 2}") and i % 2 == 0)]
+        if fit:
+            expected[i] = (f"c{fit[0] % 2}", v[i] @ v[fit[0]] * 0.5)
+    from varve.operators import labels
+
+    plain, asked = labels.candidates, []
+    monkeypatch.setattr(labels, "candidates", lambda rest, *a: asked.append(rest.count()) or plain(rest, *a))
+    for first in (20, 1_000):
+        monkeypatch.setattr(labels, "FIRST", first)
+        found = {x.item: (x.code, x.confidence) for x in labels.propagate(targets, sources, similarity=0.5).collect()}
+        assert {k: c for k, (c, _) in found.items()} == {k: c for k, (c, _) in expected.items()}
+        assert all(found[k][1] == pytest.approx(expected[k][1]) for k in expected)
+    assert len(asked) == 1 and 0 < asked[0] < 150
+
+
 @pytest.mark.parametrize(("name", "source", "key", "folds"), [("m1_lexical", "documents", "doc_id", 10), ("m2_forest", "embeddings", "vec_id", 5)])
 def test_models_return_a_row_for_every_item(spark, sf, name, source, key, folds):
     from varve import registry

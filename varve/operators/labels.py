@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from varve.session import ship, written
 
@@ -18,6 +20,8 @@ SIMILARITY, PAIR_LEAST, PAIR_BELOW, PAIR_FACTOR, CONTESTED = 0.85, 0.35, 0.50, 0
 # --- end of fixed values
 #: Vectors that cut sources into cells, and sources of a part of a cell.
 PIVOTS, CELL_ROWS = 64, 1_000
+#: The first sources by place, which every target meets at once, and targets that meet them side by side.
+FIRST, SIDE = 1_000, 1_000
 
 
 def refine_elements(codes: DataFrame, known: DataFrame) -> DataFrame:
@@ -63,6 +67,9 @@ def candidates(targets: DataFrame, sources: DataFrame, similarity: float = SIMIL
     met = F.filter(F.map_entries("_radii"), lambda e: _angle(F.element_at("_cos", e["key"])) <= e["value"]["_far"] + reach)
     asked = asked.select("item", "vector", "guess", "guess_confidence", F.explode(met).alias("_met")).select("item", F.col("vector").alias("_own"), "guess", "guess_confidence", F.col("_met.key").alias("_cell"), F.explode(F.sequence(F.lit(0), F.col("_met.value._parts") - 1)).alias("_part"))
     dealt = near.join(cells.select("_cell", "_parts"), "_cell").withColumn("_part", F.pmod(places, F.col("_parts")).cast("int"))
+    # few bytes make many pairs, so their tasks aren't joined by size
+    tasks = 2 * targets.sparkSession.sparkContext.defaultParallelism
+    asked = asked.repartition(tasks, "_cell", "_part")
     return asked.join(dealt.select("_cell", "_part", "place", "vector", "code", "confidence"), ["_cell", "_part"]).withColumn("sim", _dot("_own", "vector"))
 
 
@@ -72,12 +79,59 @@ def propagate(targets: DataFrame, sources: DataFrame, floor: float = 0.5, simila
     targets: item, vector (unit length), guess, guess_confidence; sources:
     place, vector, code, confidence. A target whose own guess disagrees with
     more than `floor` refuses that source. Sources are labels given directly,
-    not passed on; pairs come from `candidates`.
+    not passed on. Every target meets the FIRST sources by place in one pass;
+    only those that none of these fits go on to the pairs of `candidates`, as
+    a later place can't come before.
     """
-    both = candidates(targets, sources, similarity, pivots)
-    both = both.where((F.col("sim") >= similarity) & ~F.coalesce((F.col("guess") != F.col("code")) & (F.col("guess_confidence") > floor), F.lit(False)))
-    best = both.groupBy("item").agg(F.min(F.struct("place", "code", (F.col("sim") * F.col("confidence")).alias("confidence"))).alias("best"))
-    return best.select("item", "best.code", "best.confidence")
+    spark, names = targets.sparkSession, ["item", "vector", "guess", "guess_confidence"]
+    first = sources.orderBy("place", "code").limit(FIRST).collect()  # a bounded number of rows
+    head = spark.createDataFrame([(i, *r) for i, r in enumerate(first)], StructType([StructField("_at", LongType()), *sources.schema.fields]))
+    met = written(targets.select(*names).withColumn("_at", _first_similar(spark, [r.vector for r in first], [r.code for r in first], floor, similarity)), "met")
+    sure = met.where("_at >= 0").join(F.broadcast(head.select("_at", F.col("vector").alias("_own"), "place", "code", "confidence")), "_at")
+    found = sure.select("item", F.struct("place", "code", (_dot("vector", "_own") * F.col("confidence")).alias("confidence")).alias("best"))
+    rest = met.where("_at < 0").drop("_at")
+    if len(first) == FIRST and not rest.isEmpty():
+        both = candidates(rest, sources, similarity, pivots)
+        both = both.where((F.col("sim") >= similarity) & ~F.coalesce((F.col("guess") != F.col("code")) & (F.col("guess_confidence") > floor), F.lit(False)))
+        found = found.unionByName(both.select("item", F.struct("place", "code", (F.col("sim") * F.col("confidence")).alias("confidence")).alias("best")))
+    return found.groupBy("item").agg(F.min("best").alias("best")).select("item", "best.code", "best.confidence")
+
+
+def _first_similar(spark: SparkSession, vectors: list, codes: list, floor: float, similarity: float) -> Column:
+    """The place in the list of the first vector that is similar to `vector` and not refused, else -1.
+
+    Products are taken for many targets at once; those next to the bound are
+    added up again in the order of the dimensions, so it is decided as `_dot` decides.
+    """
+    ship(spark)
+    whole = [v is not None and None not in v for v in vectors]
+    width = max((len(v) for v, w in zip(vectors, whole) if w), default=0)
+    fits = np.array([w and len(v) == width for v, w in zip(vectors, whole)], dtype=bool)
+    sent = spark.sparkContext.broadcast((np.array([v if f else [0.0] * width for v, f in zip(vectors, fits)], dtype=float).reshape(len(vectors), width), fits, np.array(codes, dtype=object)))
+
+    def met(own: list, guesses: list, sure: np.ndarray) -> np.ndarray:
+        wide, fits, codes = sent.value
+        here = np.array([v is not None and len(v) == wide.shape[1] for v in own], dtype=bool)
+        own = np.array([v if h else np.zeros(wide.shape[1]) for v, h in zip(own, here)], dtype=float).reshape(len(own), wide.shape[1])
+        sims = own @ wide.T
+        a, b = np.nonzero(~(np.abs(sims - similarity) > 1e-9))
+        again = np.zeros(len(a))
+        for x, y in zip(own[a].T, wide[b].T):
+            again += x * y
+        sims[a, b] = again
+        refused = np.array([[g is not None and g != c for c in codes] for g in set(guesses)], dtype=bool).reshape(-1, len(codes))
+        refused = refused[[list(set(guesses)).index(g) for g in guesses]] & (sure > floor)[:, None]
+        good = ~(sims < similarity) & here[:, None] & fits & ~refused
+        return np.where(good.any(axis=1), good.argmax(axis=1), -1) if len(codes) else np.full(len(own), -1)
+
+    @F.pandas_udf("long")
+    def place(own: pd.Series, guess: pd.Series, sure: pd.Series) -> pd.Series:
+        guess, sure = guess.astype(object).where(guess.notna(), None), sure.astype(float).to_numpy()
+        parts = [met(list(own[i : i + SIDE]), list(guess[i : i + SIDE]), sure[i : i + SIDE]) for i in range(0, len(own), SIDE)]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0, int))
+
+    own = F.col("vector").cast("array<double>")
+    return place(F.when(~F.exists(own, lambda x: x.isNull()), own), F.col("guess"), F.col("guess_confidence").cast("double"))
 
 
 def paired(columns: DataFrame) -> DataFrame:
