@@ -621,3 +621,13 @@ def test_decisions_in_small_frames(spark):
     assert {r.item: (r.code, r.confidence) for r in got.collect()} == {1: ("a", 1.0), 2: ("a", 1.0)}
     assert sorted(got.collect()) == sorted(evidence.decide(evidence.intervals(fused, lone)).collect())
     assert evidence.decide_fused(fused, evidence.Frame("")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["b13_typed_text", "b14_typed_text"])
+def test_typed_texts_ask_for_no_null_ratio(spark, sf, monkeypatch, name):
+    """Their texts don't have it, so all cells aren't read for it once more."""
+    from varve import registry
+    from varve.operators import profile
+
+    monkeypatch.setattr(profile, "null_ratio", None)
+    assert registry.queries()[name](spark, sf).count() == 49

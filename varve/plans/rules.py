@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from varve.functions import keys, names
 from varve.operators import claims, evidence, facts, generators, labels, ledger, profile
 from varve.plans import fixtures as fx
-from varve.plans.columns import P, _described
+from varve.plans.columns import P, _profile
 from varve.plans.governance import _BUDGET, _requests
 from varve.plans.history import FOLD
 from varve.registry import query
@@ -125,14 +125,14 @@ _TYPES = "t AS (SELECT source_table, column_name, CASE WHEN numeric_ratio > 0.8
 
 @query("b14_typed_text", P + f", {_TYPES} SELECT source_table, column_name, concat_ws(' | ', replace(column_name, '_', ' '), CASE WHEN type <> 'VARCHAR' THEN lower(type) END, CASE WHEN len(sample) > 0 THEN array_to_string([v[1:80] FOR v IN sample[1:5]], ', ') END) AS text FROM described JOIN t USING (source_table, column_name)")
 def typed_text(spark: SparkSession, sf: str) -> DataFrame:
-    d = _described(spark, sf).withColumn("type", F.when(F.col("numeric_ratio") > 0.8, "INT").otherwise("VARCHAR"))
+    d = _profile(spark, sf).withColumn("type", F.when(F.col("numeric_ratio") > 0.8, "INT").otherwise("VARCHAR"))
     return d.select(*profile.KEY, profile.short_text("column_name", "type", "sample").alias("text"))
 
 
 @query("b13_typed_text", P + f", {_TYPES} SELECT source_table, column_name, concat_ws(' | ', replace(column_name, '_', ' '), type, 'cardinality=' || cardinality) AS text FROM described JOIN t USING (source_table, column_name)")
 def typed_embedding_text(spark: SparkSession, sf: str) -> DataFrame:
     """Name, type and cardinality: the other features are switched off."""
-    d = _described(spark, sf).withColumn("type", F.when(F.col("numeric_ratio") > 0.8, "INT").otherwise("VARCHAR"))
+    d = _profile(spark, sf).withColumn("type", F.when(F.col("numeric_ratio") > 0.8, "INT").otherwise("VARCHAR"))
     off = tuple(f for f in profile.FEATURES if f not in ("column_name", "column_type", "cardinality"))
     return d.select(*profile.KEY, profile.embedding_text(off, "type").alias("text"))
 
