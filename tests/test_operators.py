@@ -631,3 +631,10 @@ def test_typed_texts_ask_for_no_null_ratio(spark, sf, monkeypatch, name):
 
     monkeypatch.setattr(profile, "null_ratio", None)
     assert registry.queries()[name](spark, sf).count() == 49
+
+
+def test_words_become_flags_of_their_item_before_a_shuffle(spark, sf):
+    from varve import registry
+
+    plan = registry.queries()["d09_pattern_mass"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("max(RLIKE(w") >= 5

@@ -83,9 +83,11 @@ _PATTERN_CODES = {"email_pattern": "c1", "phone_pattern": "c2", "ipv4_pattern":
 m AS (SELECT item, code AS focal, 0.9 / count(*) OVER (PARTITION BY item) AS mass FROM t WHERE code IS NOT NULL) SELECT item, focal, round(mass, 6) AS mass FROM m UNION ALL SELECT doc_id, '*', CASE WHEN doc_id IN (SELECT item FROM m) THEN 0.1 ELSE 1.0 END FROM documents""")
 def pattern_mass(spark: SparkSession, sf: str) -> DataFrame:
     w = table(spark, sf, "documents").select(F.col("doc_id").alias("item"), F.explode_outer(F.split("text", r"\s+")).alias("w"))
-    hit = F.explode_outer(F.filter(F.array(*(F.when(F.col("w").rlike(pc.names.PATTERNS[p]), p) for p in _PATTERN_CODES)), lambda x: x.isNotNull()))
+    # words are reduced to a flag a pattern before anything is shuffled or joined
+    hits = w.groupBy("item").agg(*(F.max(F.col("w").rlike(pc.names.PATTERNS[p])).alias(p) for p in _PATTERN_CODES))
+    found = F.explode_outer(F.filter(F.array(*(F.when(F.col(p), p) for p in _PATTERN_CODES)), lambda x: x.isNotNull()))
     mapping = spark.createDataFrame(list(_PATTERN_CODES.items()), "pattern string, code string")
-    return _shown(evidence.from_patterns(w.select("item", hit.alias("pattern")), mapping, frame(spark, sf)))
+    return _shown(evidence.from_patterns(hits.select("item", found.alias("pattern")), mapping, frame(spark, sf)))
 
 
 @query("d10_answer_mass", f"""WITH {_SIMS}, a AS (SELECT vec_id AS item, 'c' || (vec_id % 11) AS code, (vec_id % 10) / 10.0 AS confidence, 'c' || (vec_id % 7) AS c1, 'c' || (vec_id % 12) AS c2 FROM embeddings),
