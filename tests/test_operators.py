@@ -638,3 +638,20 @@ def test_words_become_flags_of_their_item_before_a_shuffle(spark, sf):
 
     plan = registry.queries()["d09_pattern_mass"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("max(RLIKE(w") >= 5
+
+
+def test_a_landed_hour_is_one_file(spark, tmp_path):
+    """Tasks times hours would be written otherwise."""
+    from varve.operators.keyed import KeyedTier
+
+    rows = spark.range(4_000).selectExpr("id AS k", "0 AS seq", "id % 10 AS epoch_hour")
+    tier = KeyedTier(spark, str(tmp_path / "keyed"), ["k"], ["seq"], rows.schema, buckets=4)
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.files.maxPartitionBytes")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        tier.land(rows, 1)
+    finally:
+        for c, value in kept.items():
+            spark.conf.set(c, value)
+    assert len(list((tmp_path / "keyed" / "rows").rglob("*.parquet"))) == 10 and tier.rows().count() == 4_000

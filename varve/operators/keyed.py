@@ -52,7 +52,7 @@ class KeyedTier:
         met = written(new.join(there, same, "left").where(F.col("_old").isNull() | (F.struct(*self.order) >= F.col("_old"))), "met")
         once = lambda df, kind, *by: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_run", *by).parquet(f"{self.path}/{kind}")
         replaced = met.where(F.col("_since") < run).select(*self.keys, F.col("_at").alias(self.hour), F.lit(run).cast("long").alias("_run"))
-        once(met.select(*self.schema.names).withColumn("_run", F.lit(run).cast("long")), "rows", self.hour)
+        once(met.select(*self.schema.names).withColumn("_run", F.lit(run).cast("long")).hint("rebalance", self.hour), "rows", self.hour)
         once(replaced, "deletes")
         fresh = met.select(*self.keys, *self.order, F.col(self.hour).cast("long").alias("_at"), F.lit(run).cast("long").alias("_since"), "_bucket")
         kept = index.join(fresh.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys))), same, "left_anti")
