@@ -104,7 +104,7 @@ def _sets(batches: Iterator[pa.RecordBatch], signer: Signer) -> Iterator[pa.Reco
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in slices(batches, most=1 << 19):
         values, at = distinct_by_row(*shingles(*word_hashes(batch.column("text"))))
         lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
         yield pa.RecordBatch.from_arrays([*keys_of(values, at), lists], names=["k1", "k2", "members"])

@@ -30,12 +30,12 @@ CAPACITY = 4096
 END_ID = 1
 GROUP_PIECES = 20_000
 #: Words of one generation of those whose ids a worker remembers; two are kept.
-GENERATION = 300_000
+GENERATION = 150_000
 #: Words that go through the tokenizer together.
 TOGETHER = 200
 
 #: Bytes of text whose words are looked up at once.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 _odd_space = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _letters = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
