@@ -5,6 +5,7 @@ from functools import reduce
 from itertools import product
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varve.functions import keys
@@ -591,6 +592,37 @@ def test_sample_of_long_values_is_exact(spark, how):
         assert {(r.source_table, r.column_name, r.value, r.n, r.place) for r in got.collect()} == expected
 
 
+@pytest.mark.parametrize("how", ["head", "frequent", "random"])
+def test_sample_of_tables_equals_that_of_cells(spark, monkeypatch, how):
+    """Values are counted in their own types; few rows give bounds, and no value within them is lost."""
+    from pyspark.sql.types import DecimalType
+
+    monkeypatch.setattr(profile, "BOUND_ROWS", 20)
+    made = spark.range(400).selectExpr(
+        "id * 7 % 400 - 50 AS k", "int(id % 3) AS few", "IF(id % 5 = 0, NULL, repeat(string(id * 13 % 100), 60)) AS wide", "IF(id % 2 = 0, '', string(id)) AS s", "IF(id % 4 = 0, -0.0D, id / 8) AS d",
+        "CAST(id / 8 AS decimal(18, 2)) AS m", "date_add(DATE'2020-02-27', int(id % 9)) AS day", "TIMESTAMP'2020-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id / 4) AS at", "CAST(NULL AS int) AS none", "id % 2 = 0 AS yes",
+    )
+    tables = {"t": made.repartition(3), "u": made.select("few", "s").where("few > 0"), "empty": made.where("false")}
+    cells = reduce(DataFrame.unionByName, (profile.cells(df, t) for t, df in tables.items()))
+    for most in (3, 12):
+        expected, got = (f(x, most, how, "s").select("source_table", "column_name", "value", "n", "place") for f, x in ((profile.sample, cells), (profile.sample_tables, tables)))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+    assert sorted(map(tuple, profile.null_ratio_tables(tables).select(*profile.KEY, "null_ratio").collect())) == sorted(map(tuple, profile.null_ratio(cells).collect()))
+    doubles = spark.sql("SELECT * FROM VALUES (1.5D), (NULL), (-0.0D), (2.25D) AS v(d)")
+    assert [r.null_ratio for r in profile.null_ratio_tables({"v": doubles}, {"d": DecimalType(18, 2)}).collect()] == [0.25]
+
+
+@pytest.mark.parametrize("name", ["f01_sample_random", "b13_embedding_text", "b14_short_text", "b15_discrete_vector"])
+def test_cells_are_not_printed_before_they_are_counted(spark, sf, monkeypatch, name):
+    from varve import registry
+
+    monkeypatch.setattr(profile, "cells", lambda df, t: pytest.fail("all cells as strings") if t == "lineitem" else cells_of(df, t))
+    assert registry.queries()[name](spark, sf).count() > 40
+
+
+cells_of = profile.cells
+
+
 def test_pair_sharing_keeps_all_mass(spark):
     rows = [(1, "s", "a", 0.4), (1, "s", "b", 0.15), (1, "s", "b", 0.15), (1, "s", "*", 0.3), (2, "s", "a", 0.9), (2, "s", "*", 0.1), (3, "s", "*", 1.0), (4, "s", "b", 0.3), (4, "s", "c", 0.3), (4, "s", "*", 0.4)]
     known = spark.createDataFrame([("a", "b")], "a string, b string")
