@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from varve.llm import fingerprints, jpeg, kneser_ney, media, mixing, near_dedup, packing, queries, secret_scan, sharding, toxicity, warc
 from varve.llm.components import connected_components
-from varve.llm.text import mix, shingles, word_hashes
+from varve.llm.text import distinct_by_row, mix, shingles, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -45,6 +45,21 @@ def texts():
 # --- text
 
 
+def test_sets_of_rows_without_an_order_of_all_rows(monkeypatch):
+    """Sets are sorted a row at a time, and slots are filled without a temporary for each step."""
+    monkeypatch.setattr(np, "lexsort", None)
+    some = random.Random(5)
+    for _ in range(50):
+        rows = [[some.randrange(4) << 62 | some.randrange(3) for _ in range(some.randrange(6))] for _ in range(some.randrange(1, 6))]
+        at = np.cumsum([0, *map(len, rows)])
+        values, found = distinct_by_row(np.array(sum(rows, []), dtype=np.uint64), at)
+        sets = [sorted(set(r)) for r in rows]
+        assert [values[a:b].tolist() for a, b in zip(found, found[1:])] == sets
+        slots = fingerprints.minhash(values, np.repeat(np.arange(len(sets)), np.diff(found)), len(sets), 8)
+        odd, shift = (x.tolist() for x in fingerprints.permutations(8))
+        assert slots.tolist() == [[min(((x * a + b) % (1 << 64) >> 32 for x in r), default=(1 << 64) - 1) for a, b in zip(odd, shift)] for r in sets]
+
+
 def test_word_hashes_across_blocks(monkeypatch):
     import pyarrow as pa
 

@@ -42,8 +42,13 @@ def minhash(elements: np.ndarray, row: np.ndarray, rows: int, slots: int = SLOTS
     out = np.full((rows, slots), _EMPTY, dtype=np.uint64)
     if len(elements):
         starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        hashed, least = np.empty_like(elements), np.empty((slots, len(starts)), dtype=np.uint64)
         for k, (a, b) in enumerate(zip(*permutations(slots))):
-            out[row[starts], k] = np.minimum.reduceat((elements * a + b) >> _U(32), starts)
+            np.multiply(elements, a, out=hashed)
+            np.add(hashed, b, out=hashed)
+            # the minimum of the whole has the least upper half too
+            np.minimum.reduceat(hashed, starts, out=least[k])
+        out[row[starts]] = (least >> _U(32)).T
     return out
 
 

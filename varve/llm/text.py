@@ -116,9 +116,11 @@ def shingles(words: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.
 
 def distinct_by_row(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct values of each row, and their offsets."""
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    order = np.lexsort((values, row))
-    values, row = values[order], row[order]
+    values = values.copy()
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        values[a:b].sort()  # rows are contiguous, so no order of all of them is needed
     keep = np.ones(len(values), dtype=bool)
-    keep[1:] = (values[1:] != values[:-1]) | (row[1:] != row[:-1])
-    return values[keep], np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(offsets) - 1))])
+    keep[1:] = values[1:] != values[:-1]
+    keep[offsets[:-1][np.diff(offsets) > 0]] = True
+    kept = np.concatenate([[0], np.cumsum(keep)])
+    return values[keep], kept[offsets]
