@@ -543,6 +543,60 @@ def test_lexical_blocks_are_bounded_and_plans_hold_no_model(spark, monkeypatch):
     assert "UDF(" not in scored._jdf.queryExecution().executedPlan().toString().replace("margins(", "") and scored.count() == 60
 
 
+def test_lexical_blocks_take_two_bytes_a_term_and_lose_none(spark):
+    """Wide gaps, counts beyond a byte and empty texts come back as they were; steps read no more than that."""
+    import random
+    from collections import Counter
+
+    from varve.operators import models
+
+    r = random.Random(4)
+    texts = ["", "a", "a" * 3000, "x y " * 700, "é\u0085ß İ 😀", *(" ".join(f"w{r.randint(0, 900)}" for _ in range(r.choice((1, 300)))) for _ in range(40))]
+    df = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").repartition(2)
+    stored = models.blocks(df, ["en"], "lang", "text")
+    found = [(tuple(codes[counts > 0]), tuple(counts[counts > 0])) for _, some in models._opened(stored.toArrow().to_batches()) for codes, counts in some]
+    terms = [tuple(map(tuple, models._codes(t))) for t in texts]
+    assert Counter(found) == Counter(terms)
+    assert sum(len(x.gaps) + len(x.counts) for x in stored.collect()) < 2.5 * sum(len(c) for c, _ in terms)
+
+
+def test_lexical_weights_against_numpy(spark):
+    """The same descent over a plain matrix, with terms cut one by one, gives the same weights."""
+    import zlib
+
+    import numpy as np
+
+    from varve.operators import models
+
+    rows = [(" ".join(f"{['der', 'the', 'le'][i % 3]}{(i * k) % 7} w{i % 5}" for k in range(i % 9)) + "z" * (i % 2 * 400), ["de", "en", "fr"][i % 3]) for i in range(60)]
+    size = 2 * models.WORDS + len(models.LENGTHS) * models.RUNS
+    counts = np.zeros((len(rows), size))
+    for n, (text, _) in zip(counts, rows):
+        words = text.lower().split()
+        for term in words:
+            n[zlib.crc32(term.encode()) % models.WORDS] += 1
+        for a, b in zip(words, words[1:]):
+            n[models.WORDS + zlib.crc32(f"{a} {b}".encode()) % models.WORDS] += 1
+        for at, length in enumerate(models.LENGTHS):
+            for i in range(len(text) - length + 1):
+                code = 0
+                for c in text.lower()[i : i + length]:
+                    code = (code * 0x9E3779B97F4A7C15 + ord(c) + 1) % (1 << 64)
+                n[2 * models.WORDS + at * models.RUNS + (code >> 40) % models.RUNS] += 1
+    seen = (counts > 0).sum(axis=0)
+    x = counts * np.where(seen >= 2, np.log((len(rows) + 1) / (seen + 1)), 0.0)
+    x = np.hstack([x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300), np.ones((len(rows), 1))])
+    sign = np.where(np.array([["de", "en", "fr"].index(l) for _, l in rows])[:, None] == np.arange(3), 1.0, -1.0)
+
+    def loss(w):
+        short = np.maximum(0.0, 1 - sign * (x @ w))
+        return ((short**2).sum() + 0.5 * (w**2).sum()) / len(rows), (w - 2 * x.T @ (sign * short)) / len(rows)
+
+    model = models.lexical(spark.createDataFrame(rows, "text string, lang string").repartition(3), "lang")
+    assert model.labels == ["de", "en", "fr"]
+    assert model.weights == pytest.approx(models._descend(loss, np.zeros((size + 1, 3))), abs=1e-6)
+
+
 def test_folds_deal_each_class_in_turn(spark):
     import hashlib
 

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.feature import IDF, Normalizer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varve.operators import evidence
@@ -26,19 +28,25 @@ WORDS, RUNS, LENGTHS = 1 << 12, 12_500, (3, 4, 5, 6)
 
 def _codes(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Dimensions and counts of the words, word pairs and character runs of a lower-cased text."""
-    words = text.lower().split()
-    found = [np.array([zlib.crc32(w.encode()) % WORDS for w in words], dtype=np.int64)]
-    found.append(np.array([zlib.crc32(f"{a} {b}".encode()) % WORDS + WORDS for a, b in zip(words, words[1:])], dtype=np.int64))
-    points = np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    for at, n in enumerate(LENGTHS):
-        if len(points) >= n:
-            code = np.zeros(len(points) - n + 1, dtype=np.uint64)
-            for k in range(n):
-                code = code * np.uint64(0x9E3779B97F4A7C15) + points[k : len(points) - n + 1 + k] + np.uint64(1)
-            found.append((code >> np.uint64(40)).astype(np.int64) % RUNS + 2 * WORDS + at * RUNS)
-    n = np.bincount(np.concatenate(found), minlength=1)
-    at = np.flatnonzero(n)
-    return at, n[at]
+    text = text.lower()
+    words = text.split()
+    words = " ".join(words).encode().split(b" ") if words else []
+    points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+    done, pairs = len(words), max(len(words) - 1, 0)
+    found = np.empty(done + pairs + sum(max(len(points) - n + 1, 0) for n in LENGTHS), dtype=np.uint16)  # all dimensions fit
+    sums = list(map(zlib.crc32, words))
+    found[:done] = np.array(sums, dtype=np.uint32) % WORDS
+    found[done : done + pairs] = np.fromiter(map(zlib.crc32, [b" " + w for w in words[1:]], sums), np.uint32, pairs) % WORDS + WORDS  # a sum goes on over the next word
+    done, code = done + pairs, points
+    for n in range(2, max(LENGTHS) + 1):  # the code of a run goes on from that of the run without its last character
+        code = code[:-1] * np.uint64(0x9E3779B97F4A7C15) + points[n - 1 :]
+        if n in LENGTHS:
+            high = (code >> np.uint64(40)).astype(np.uint32)
+            found[done : done + len(high)] = high - high // np.uint32(RUNS) * np.uint32(RUNS) + np.uint32(2 * WORDS + LENGTHS.index(n) * RUNS)
+            done += len(high)
+    found.sort()
+    last = np.append(np.flatnonzero(found[1:] != found[:-1]), len(found) - 1)[: len(found)]
+    return found[last].astype(np.int64), np.diff(last, prepend=-1)
 
 
 def coded(df: DataFrame, column: str = "text") -> DataFrame:
@@ -70,7 +78,9 @@ def vectors(df: DataFrame, column: str = "text") -> DataFrame:
 
 
 #: Entries of a stored block of coded texts and of those added up at once, steps of the descent, and how many of the last ones it remembers.
-BLOCK, AT_ONCE, STEPS, MEMORY = 20_000, 300_000, 15, 8
+BLOCK, AT_ONCE, STEPS, MEMORY = 80_000, 300_000, 15, 8
+#: Bytes of blocks or texts handed to a worker at once.
+BATCH_BYTES = 8 << 20
 #: Parquet's writer and reader hold a row group, so these are small, too.
 GROUP = {"parquet.block.size": str(16 << 20), "compression": "zstd"}
 
@@ -90,16 +100,32 @@ class Lexical:
         return (x @ self.weights[at] / (np.sqrt(x @ x) or 1.0)) + self.weights[-1]
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """A bounded number of bytes is handed to a worker at once; what the session says is put back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def blocks(df: DataFrame, labels: list[str], label: str, column: str) -> DataFrame:
-    """A written table of blocks (labels, sizes, gaps between codes, counts): texts cut into terms once, a bounded number of terms a row."""
+    """A written table of blocks (labels, sizes, gaps between codes, counts): texts cut into terms once, a bounded number of terms a row.
+
+    Gaps and counts are single bytes: a wider gap is filled with terms of
+    count 0, and larger counts stand aside, with their places, in `large`.
+    """
     ship(df.sparkSession)
     place = {name: i for i, name in enumerate(labels)}
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, entries = [], 0
-        for frame in frames:
-            for name, text in zip(frame["_label"], frame["_text"]):
-                block.append((place[name], *_codes(text)))
+        for batch in batches:
+            for name, text in zip(*batch.columns):
+                block.append((place[name.as_py()], *_codes(text.as_py())))
                 entries += len(block[-1][1])
                 if entries >= BLOCK:
                     yield packed(block)
@@ -107,29 +133,53 @@ def blocks(df: DataFrame, labels: list[str], label: str, column: str) -> DataFra
         if block:
             yield packed(block)
 
-    def packed(block: list) -> pd.DataFrame:
+    def packed(block: list) -> pa.RecordBatch:
         names, codes, counts = zip(*block)
-        columns = {"labels": np.array(names, np.int32), "sizes": np.array([len(c) for c in codes], np.int32), "gaps": np.concatenate([np.diff(c, prepend=0) for c in codes]).astype(np.uint16), "counts": np.concatenate(counts).astype(np.int32)}
-        return pd.DataFrame({k: [v.tobytes()] for k, v in columns.items()})
+        sizes, gaps, counts = np.array([len(c) for c in codes]), np.concatenate([np.diff(c, prepend=0) for c in codes]), np.concatenate(counts)
+        filled = np.maximum(gaps - 1, 0) // 255
+        if filled.any():
+            at = np.cumsum(filled + 1) - 1
+            steps, seen = np.full(at[-1] + 1, 255), np.zeros(at[-1] + 1, np.int64)
+            steps[at], seen[at] = gaps - 255 * filled, counts
+            sizes = sizes + np.bincount(np.repeat(np.arange(len(sizes)), sizes), filled, len(sizes)).astype(np.int64)
+            gaps, counts = steps, seen
+        large = np.flatnonzero(counts > 255)
+        columns = {"labels": np.array(names, np.int32), "sizes": sizes.astype(np.int32), "gaps": gaps.astype(np.uint8), "counts": np.minimum(counts, 255).astype(np.uint8), "large": np.stack([large, counts[large]]).astype(np.int32)}
+        return pa.record_batch({k: [v.tobytes()] for k, v in columns.items()})
 
     rows = df.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("_label"), F.coalesce(F.col(column), F.lit("")).alias("_text"))
-    return written(rows.mapInPandas(cut, "labels binary, sizes binary, gaps binary, counts binary"), "blocks", **GROUP)
-
-
-def _opened(part: Iterator[Row]) -> Iterator[list[np.ndarray]]:
-    """Labels, sizes, codes and counts of some blocks at once."""
-    some, entries = [], 0
-    for row in part:
-        truth, sizes, gaps, counts = (np.frombuffer(x, kind) for x, kind in zip(row, (np.int32, np.int32, np.uint16, np.int32)))
-        past = np.cumsum(gaps, dtype=np.int64)
-        before = np.concatenate([[0], past])[np.cumsum(sizes) - sizes]
-        some.append([truth, sizes, past - np.repeat(before, sizes), counts])
-        entries += len(some[-1][2])
-        if entries >= AT_ONCE:
-            yield [np.concatenate(x) for x in zip(*some)]
-            some, entries = [], 0
-    if some:
-        yield [np.concatenate(x) for x in zip(*some)]
+    return written(rows.mapInArrow(cut, "labels binary, sizes binary, gaps binary, counts binary, large binary"), "blocks", **GROUP)
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Labels, and codes and counts of each text, of some blocks at once."""
+    truth, texts, entries = [], [], 0
+    for batch in batches:
+        for row in zip(*batch.columns):
+            names, sizes, gaps, counts, large = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, (np.int32, np.int32, np.uint8, np.uint8, np.int32)))
+            if len(large):
+                at, n = large.reshape(2, -1)
+                counts = counts.astype(np.int32)
+                counts[at] = n
+            truth.append(names)
+            end = 0
+            for size in sizes.tolist():
+                start, end = end, end + size
+                texts.append((np.cumsum(gaps[start:end], dtype=np.int64), counts[start:end]))
+            entries += end
+            if entries >= AT_ONCE:
+                yield np.concatenate(truth), texts
+                truth, texts, entries = [], [], 0
+    if texts:
+        yield np.concatenate(truth), texts
+
+
+def _summed(rows: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray], cores: int) -> np.ndarray:
+    """The sum of an array that `part` makes of each partition: one for each core, not for each file, is sent; of many cores they are added up on the way."""
+    found = rows.coalesce(cores).mapInArrow(lambda batches: iter([pa.record_batch({"part": [part(batches).tobytes()]})]), "part binary")
+    if cores > 32:
+        return found.rdd.map(lambda r: np.frombuffer(r[0])).treeReduce(np.add)
+    return sum(np.frombuffer(r[0]) for r in found.collect())
 
 
 def lexical(train: DataFrame, label: str, column: str = "text") -> Lexical:
@@ -137,50 +187,58 @@ def lexical(train: DataFrame, label: str, column: str = "text") -> Lexical:
 
     Each step is one Spark pass over the blocks that adds up loss and slope
     of all labels at once; only sums of the model's size reach the driver,
-    which takes the next step (L-BFGS).
+    which takes the next step (L-BFGS). A text meets the weights of all
+    labels by one product, and a label's slope reads only texts within its margin.
     """
     spark, size = train.sparkSession, 2 * WORDS + len(LENGTHS) * RUNS
     n = {r[0]: r[1] for r in train.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string")).count().collect()}  # a number a label
     names, total = sorted(n), sum(n.values())
     share = np.array([total / len(n) / n[name] for name in names])
-    # a sum for each core, not for each file, is sent; of many cores they are added up on the way
     cores = spark.sparkContext.defaultParallelism
-    rows = blocks(train, names, label, column).rdd.coalesce(cores)
-    summed = lambda parts: parts.reduce(add) if cores <= 32 else parts.treeReduce(add)
-    add = lambda a, b: tuple(x + y for x, y in zip(a, b))
 
-    def seen(part: Iterator[Row]) -> Iterator[tuple]:
-        yield (sum((np.bincount(codes, minlength=size) for _, _, codes, _ in _opened(part)), np.zeros(size)),)
-
-    found = summed(rows.mapPartitions(seen))[0]
-    idf = np.where(found >= 2, np.log((total + 1) / (found + 1)), 0.0)
+    def seen(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        found = np.zeros(size)
+        for _, texts in _opened(batches):
+            found += np.bincount(np.concatenate([codes[counts > 0] for codes, counts in texts]), minlength=size)
+        return found
 
     def loss(weights: np.ndarray) -> tuple[float, np.ndarray]:
-        now = spark.sparkContext.broadcast((idf, weights))
+        now = spark.sparkContext.broadcast((idf, np.ascontiguousarray(weights)))  # a text's rows lie side by side
 
-        def slope(part: Iterator[Row]) -> Iterator[tuple]:
+        def slope(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
             idf, weights = now.value
-            lost, out = 0.0, np.zeros_like(weights)
-            for truth, sizes, codes, counts in _opened(part):
-                at = np.repeat(np.arange(len(sizes)), sizes)
-                x = counts * idf[codes]
-                x /= np.sqrt(np.bincount(at, x * x, len(sizes)))[at] + 1e-300
+            lost, out = 0.0, np.zeros(weights.T.shape)
+            for truth, texts in _opened(batches):
+                vectors, lengths, margins = [], np.ones(len(texts)), np.empty((len(texts), len(names)))
+                for i, (codes, counts) in enumerate(texts):
+                    x = idf.take(codes)
+                    x *= counts
+                    lengths[i] = np.sqrt(x @ x) or 1.0
+                    margins[i] = x @ weights.take(codes, axis=0)
+                    vectors.append(x)
+                sign = np.where(truth[:, None] == np.arange(len(names)), 1.0, -1.0)
+                short = np.maximum(0.0, 1 - sign * (margins / lengths[:, None] + weights[-1]))
+                lost += share[truth] @ (short**2).sum(axis=1)
+                push = -2 * share[truth][:, None] * sign * short
+                out[:, -1] += push.sum(axis=0)
+                push /= lengths[:, None]
                 for k in range(len(names)):
-                    sign = np.where(truth == k, 1.0, -1.0)
-                    short = np.maximum(0.0, 1 - sign * (np.bincount(at, x * weights[codes, k], len(sizes)) + weights[-1, k]))
-                    lost += share[truth] @ short**2
-                    push = -2 * share[truth] * sign * short
-                    some = short[at] > 0
-                    out[:-1, k] += np.bincount(codes[some], x[some] * push[at[some]], size)
-                    out[-1, k] += push.sum()
-            yield lost, out
-
-        lost, out = summed(rows.mapPartitions(slope))
+                    some = np.flatnonzero(push[:, k])
+                    if len(some):
+                        out[k, :-1] += np.bincount(np.concatenate([texts[i][0] for i in some]), np.concatenate([vectors[i] * push[i, k] for i in some]), size)
+            return np.append(out, lost)
+
+        found = _summed(rows, slope, cores)
         now.unpersist()
+        out, lost = found[:-1].reshape(len(names), size + 1).T, found[-1]
         return lost / total + 0.5 * float((weights**2).sum()) / total, out / total + weights / total
 
-    # noise of the order of sums must not decide between labels
-    return Lexical(names, idf, np.round(_descend(loss, np.zeros((size + 1, len(names)))), 9))
+    with _small_batches(spark):
+        rows = blocks(train, names, label, column)
+        found = _summed(rows, seen, cores)
+        idf = np.where(found >= 2, np.log((total + 1) / (found + 1)), 0.0)
+        # noise of the order of sums must not decide between labels
+        return Lexical(names, idf, np.round(_descend(loss, np.zeros((size + 1, len(names)))), 9))
 
 
 def _descend(loss: Callable, at: np.ndarray) -> np.ndarray:
