@@ -296,6 +296,31 @@ def test_propagation_pairs_only_targets_that_the_first_sources_leave(spark, monk
     assert len(asked) == 1 and 0 < asked[0] < 150
 
 
+def test_blocks_of_targets_and_sources_give_the_first_pairs_only(spark, monkeypatch):
+    """No row for each pair: of a block of sources a target gets the first one it doesn't refuse; odd vectors meet none."""
+    import numpy as np
+
+    from varve.operators import labels
+
+    r = np.random.default_rng(8)
+    v = r.normal(size=(700, 8))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    guess = lambda i: [None, "c1", "c2"][i % 3]
+    targets = [(f"t{i}", v[i].tolist(), guess(i), 0.9) for i in range(400)] + [("null", None, None, 0.9), ("hole", [None, *v[1, 1:].tolist()], None, 0.9), ("short", v[2, :5].tolist(), None, 0.9)]
+    sources = [(i, v[i].tolist(), f"c{i % 3}", 0.5) for i in range(400, 700)] + [(1, None, "c0", 0.5), (2, [None, *v[1, 1:].tolist()], "c0", 0.5)]
+    targets = spark.createDataFrame(targets, "item string, vector array<double>, guess string, guess_confidence double")
+    sources = spark.createDataFrame(sources, "place long, vector array<double>, code string, confidence double")
+    monkeypatch.setattr(labels, "CELL_ROWS", 30)
+    monkeypatch.setattr(labels, "SIDE", 25)
+    similar = {(f"t{i}", j) for i in range(400) for j in range(400, 700) if v[i] @ v[j] >= 0.5}
+    assert {(x.item, x.place) for x in labels.candidates(targets, sources, 0.5, 4).collect()} == similar
+    taken = {(t, j) for t, j in similar if guess(int(t[1:])) in (None, f"c{j % 3}")}
+    found = labels.candidates(targets, sources, 0.5, 4, 0.5).collect()
+    assert {x.item: min(y.place for y in found if y.item == x.item) for x in found} == {t: min(j for u, j in taken if u == t) for t, _ in taken}
+    assert {(x.item, x.place) for x in found} <= taken and len(found) == len({(x.item, x.place) for x in found}) < 0.6 * len(taken)
+    assert all(x.sim == pytest.approx(v[int(x.item[1:])] @ v[x.place]) for x in found)
+
+
 @pytest.mark.parametrize(("name", "source", "key", "folds"), [("m1_lexical", "documents", "doc_id", 10), ("m2_forest", "embeddings", "vec_id", 5)])
 def test_models_return_a_row_for_every_item(spark, sf, name, source, key, folds):
     from varve import registry

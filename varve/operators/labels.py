@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from varve.session import ship, written
 
@@ -18,10 +19,12 @@ AFFINITIES = {"PaymentCard": ("0070", "0073", "0075"), "CustomerIdentity": ("008
 #: From these figures a label is passed on, and contested.
 SIMILARITY, PAIR_LEAST, PAIR_BELOW, PAIR_FACTOR, CONTESTED = 0.85, 0.35, 0.50, 0.9, 0.2
 # --- end of fixed values
-#: Vectors that cut sources into cells, and sources of a part of a cell.
+#: Vectors that cut sources into cells, and sources of a block.
 PIVOTS, CELL_ROWS = 64, 1_000
-#: The first sources by place, which every target meets at once, and targets that meet them side by side.
+#: The first sources by place, which every target meets at once, and targets that meet sources by one product.
 FIRST, SIDE = 1_000, 1_000
+#: Parquet's reader holds a row group, and a block is one row.
+GROUP = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "4"}
 
 
 def refine_elements(codes: DataFrame, known: DataFrame) -> DataFrame:
@@ -45,32 +48,106 @@ def _angle(cosine: Column) -> Column:
     return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
 
 
-def candidates(targets: DataFrame, sources: DataFrame, similarity: float = SIMILARITY, pivots: int = PIVOTS) -> DataFrame:
-    """(item, place, code, confidence, guess, guess_confidence, sim): pairs that the pivots can't rule out.
+def candidates(targets: DataFrame, sources: DataFrame, similarity: float = SIMILARITY, pivots: int = PIVOTS, floor: float | None = None) -> DataFrame:
+    """(item, place, code, confidence, guess, guess_confidence, sim): similar pairs; with `floor` only the first of each block of sources that a target doesn't refuse.
 
     `pivots` sources cut the others into cells by their nearest one; a cell
     knows its widest angle. A target meets a cell only if its angle to the
     pivot is at most that and the angle of `similarity` together, as angles
-    keep the triangle inequality. So no similar pair is missed, and pairs meet
-    by an equal cell. Large cells are cut into parts by a hash of the place.
+    keep the triangle inequality. So no similar pair is missed. Both sides are
+    packed into blocks by cell, large cells by a hash too, and a block of
+    targets meets all sources of a block by one product.
     """
-    places = F.xxhash64("place", "code")
+    spark = targets.sparkSession
+    ship(spark)
     centres = sources.select("vector").distinct().withColumn("_hash", F.xxhash64("vector")).orderBy("_hash", "vector").limit(pivots)
-    centres = centres.agg(F.collect_list("vector").alias("_centres"))  # a bounded number of vectors
-    to_centres = F.transform("_centres", lambda c: F.aggregate(F.zip_with("vector", c, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v))
-    near = sources.crossJoin(F.broadcast(centres)).withColumn("_cos", to_centres).withColumn("_cell", F.array_position("_cos", F.array_max("_cos")).cast("int")).withColumn("_far", _angle(F.array_max("_cos"))).drop("_cos", "_centres")
-    near = written(near, "cells")
+    cosines = _cosines([r.vector for r in centres.select("vector").collect()])  # a bounded number of vectors
+    nearest = F.array_position("_cos", F.array_max("_cos")).cast("int")
+    near = sources.withColumn("_cos", cosines).withColumn("_cell", nearest).withColumn("_far", _angle(F.array_max("_cos"))).drop("_cos")
+    near = written(near.where("_cell IS NOT NULL"), "cells")
     cells = written(near.groupBy("_cell").agg(F.max("_far").alias("_far"), F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("_parts")), "radii")
-    radii = cells.agg(F.map_from_entries(F.collect_list(F.struct("_cell", F.struct("_far", "_parts")))).alias("_radii"))  # no more than pivots
-    asked = targets.crossJoin(F.broadcast(centres)).crossJoin(F.broadcast(radii)).withColumn("_cos", to_centres)
     reach = math.acos(similarity) + 1e-9
-    met = F.filter(F.map_entries("_radii"), lambda e: _angle(F.element_at("_cos", e["key"])) <= e["value"]["_far"] + reach)
-    asked = asked.select("item", "vector", "guess", "guess_confidence", F.explode(met).alias("_met")).select("item", F.col("vector").alias("_own"), "guess", "guess_confidence", F.col("_met.key").alias("_cell"), F.explode(F.sequence(F.lit(0), F.col("_met.value._parts") - 1)).alias("_part"))
-    dealt = near.join(cells.select("_cell", "_parts"), "_cell").withColumn("_part", F.pmod(places, F.col("_parts")).cast("int"))
-    # few bytes make many pairs, so their tasks aren't joined by size
-    tasks = 2 * targets.sparkSession.sparkContext.defaultParallelism
-    asked = asked.repartition(tasks, "_cell", "_part")
-    return asked.join(dealt.select("_cell", "_part", "place", "vector", "code", "confidence"), ["_cell", "_part"]).withColumn("sim", _dot("_own", "vector"))
+    met = [F.when(_angle(F.element_at("_cos", r._cell)) <= r._far + reach, F.lit(r._cell)) for r in cells.collect()]  # no more than pivots
+    asked = targets.withColumn("_cos", cosines).withColumn("_cell", nearest).withColumn("_met", F.array_compact(F.array(*met)).cast("array<int>"))
+    asked = written(asked.select("item", "guess", "guess_confidence", "vector", "_cell", "_met").where(F.size("_met") > 0), "asked")
+    parts = asked.groupBy("_cell").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("_parts"))
+    asked = _dealt(asked, parts, ["item", "vector"]).agg(F.collect_list(F.struct("item", "guess", "guess_confidence", F.col("vector").cast("array<double>"))).alias("_targets"), F.array_distinct(F.flatten(F.collect_set("_met"))).alias("_met"))
+    blocks = _dealt(near, cells.select("_cell", "_parts"), ["place", "code"]).agg(F.sort_array(F.collect_list(F.struct("place", "code", "confidence", F.col("vector").cast("array<double>")))).alias("_sources"))
+    asked, blocks = written(asked.select("_targets", "_met"), "targets", **GROUP), written(blocks.select("_cell", "_sources"), "sources", **GROUP)
+    types = {**{f.name: f.dataType for f in (*targets.schema, *sources.schema)}, "sim": DoubleType()}
+    schema = StructType([StructField(n, types[n]) for n in ("item", "place", "code", "confidence", "guess", "guess_confidence", "sim")])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some, others in zip(*batch.columns):
+                (item, guess, sure, own), (place, code, confidence, wide) = some.values.flatten(), others.values.flatten()
+                own, wide = (v.flatten().to_numpy().reshape(len(v), -1) for v in (own, wide))
+                good = _similar(own, wide, similarity)
+                if floor is not None:
+                    good &= ~_refused(guess.to_pylist(), sure.cast("double").to_numpy(zero_copy_only=False), code.to_pylist(), floor)
+                    a = np.flatnonzero(good.any(axis=1))
+                    b = good[a].argmax(axis=1)
+                else:
+                    a, b = np.nonzero(good)
+                x, y = pa.array(a), pa.array(b)
+                yield pa.record_batch([item.take(x), place.take(y), code.take(y), confidence.take(y), guess.take(x), sure.take(x), pa.array(_sums(own[a], wide[b]))], schema.names)
+
+    return asked.join(blocks, F.array_contains("_met", F.col("_cell"))).select("_targets", "_sources").mapInArrow(match, schema)
+
+
+def _cosines(centres: list) -> Column:
+    """Products of `vector` and each centre, null where one of them has a null or they differ in length."""
+    whole = [v if v is not None and None not in v else [] for v in centres]
+
+    @F.pandas_udf("array<double>")
+    def products(vectors: pd.Series) -> pd.Series:
+        out = [None] * len(vectors)
+        for width in {len(v) for v in whole if v}:
+            fits = [len(v) == width for v in whole]
+            at = [i for i, v in enumerate(vectors) if v is not None and len(v) == width]
+            found = np.array([vectors[i] for i in at], dtype=float).reshape(-1, width) @ np.array([v for v, f in zip(whole, fits) if f], dtype=float).T
+            for i, some in zip(at, found):
+                cosines = iter(some)
+                out[i] = some if all(fits) else [next(cosines) if f else None for f in fits]
+        return pd.Series(out, dtype=object)
+
+    return products(_whole("vector"))
+
+
+def _whole(name: str) -> Column:
+    own = F.col(name).cast("array<double>")
+    return F.when(~F.exists(own, lambda x: x.isNull()), own)
+
+
+def _dealt(rows: DataFrame, parts: DataFrame, names: list[str]) -> GroupedData:
+    """Rows of a cell in its parts, by a hash of the named columns; few bytes make many pairs, so tasks aren't joined by size."""
+    part = F.pmod(F.xxhash64(*names), F.col("_parts")).cast("int")
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.join(F.broadcast(parts), "_cell").withColumn("_part", part).repartition(tasks, "_cell", "_part").groupBy("_cell", "_part")
+
+
+def _sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products row by row, added up in the order of the dimensions, as `_dot` does."""
+    out = np.zeros(len(a))
+    for x, y in zip(a.T, b.T):
+        out += x * y
+    return out
+
+
+def _similar(own: np.ndarray, wide: np.ndarray, similarity: float) -> np.ndarray:
+    """Which rows of the one are similar to which of the other: by a product; what is next to the bound is decided as `_dot` decides."""
+    sims = own @ wide.T
+    a, b = np.nonzero(~(np.abs(sims - similarity) > 1e-9))
+    sims[a, b] = _sums(own[a], wide[b])
+    return ~(sims < similarity)
+
+
+def _refused(guesses: list, sure: np.ndarray, codes: list, floor: float) -> np.ndarray:
+    """Which targets refuse which codes: those with another guess of more than `floor`."""
+    place: dict = {}
+    wanted = np.array([-1 if g is None else place.setdefault(g, len(place)) for g in guesses], dtype=int)
+    named = np.array([-2 if c is None else place.setdefault(c, len(place)) for c in codes], dtype=int)
+    return (wanted[:, None] != named) & ((wanted >= 0) & (sure > floor))[:, None]
 
 
 def propagate(targets: DataFrame, sources: DataFrame, floor: float = 0.5, similarity: float = SIMILARITY, pivots: int = PIVOTS) -> DataFrame:
@@ -91,8 +168,7 @@ def propagate(targets: DataFrame, sources: DataFrame, floor: float = 0.5, simila
     found = sure.select("item", F.struct("place", "code", (_dot("vector", "_own") * F.col("confidence")).alias("confidence")).alias("best"))
     rest = met.where("_at < 0").drop("_at")
     if len(first) == FIRST and not rest.isEmpty():
-        both = candidates(rest, sources, similarity, pivots)
-        both = both.where((F.col("sim") >= similarity) & ~F.coalesce((F.col("guess") != F.col("code")) & (F.col("guess_confidence") > floor), F.lit(False)))
+        both = candidates(rest, sources, similarity, pivots, floor)
         found = found.unionByName(both.select("item", F.struct("place", "code", (F.col("sim") * F.col("confidence")).alias("confidence")).alias("best")))
     return found.groupBy("item").agg(F.min("best").alias("best")).select("item", "best.code", "best.confidence")
 
@@ -107,21 +183,13 @@ def _first_similar(spark: SparkSession, vectors: list, codes: list, floor: float
     whole = [v is not None and None not in v for v in vectors]
     width = max((len(v) for v, w in zip(vectors, whole) if w), default=0)
     fits = np.array([w and len(v) == width for v, w in zip(vectors, whole)], dtype=bool)
-    sent = spark.sparkContext.broadcast((np.array([v if f else [0.0] * width for v, f in zip(vectors, fits)], dtype=float).reshape(len(vectors), width), fits, np.array(codes, dtype=object)))
+    sent = spark.sparkContext.broadcast((np.array([v if f else [0.0] * width for v, f in zip(vectors, fits)], dtype=float).reshape(len(vectors), width), fits, codes))
 
     def met(own: list, guesses: list, sure: np.ndarray) -> np.ndarray:
         wide, fits, codes = sent.value
         here = np.array([v is not None and len(v) == wide.shape[1] for v in own], dtype=bool)
         own = np.array([v if h else np.zeros(wide.shape[1]) for v, h in zip(own, here)], dtype=float).reshape(len(own), wide.shape[1])
-        sims = own @ wide.T
-        a, b = np.nonzero(~(np.abs(sims - similarity) > 1e-9))
-        again = np.zeros(len(a))
-        for x, y in zip(own[a].T, wide[b].T):
-            again += x * y
-        sims[a, b] = again
-        refused = np.array([[g is not None and g != c for c in codes] for g in set(guesses)], dtype=bool).reshape(-1, len(codes))
-        refused = refused[[list(set(guesses)).index(g) for g in guesses]] & (sure > floor)[:, None]
-        good = ~(sims < similarity) & here[:, None] & fits & ~refused
+        good = _similar(own, wide, similarity) & here[:, None] & fits & ~_refused(guesses, sure, codes, floor)
         return np.where(good.any(axis=1), good.argmax(axis=1), -1) if len(codes) else np.full(len(own), -1)
 
     @F.pandas_udf("long")
@@ -130,8 +198,7 @@ def _first_similar(spark: SparkSession, vectors: list, codes: list, floor: float
         parts = [met(list(own[i : i + SIDE]), list(guess[i : i + SIDE]), sure[i : i + SIDE]) for i in range(0, len(own), SIDE)]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0, int))
 
-    own = F.col("vector").cast("array<double>")
-    return place(F.when(~F.exists(own, lambda x: x.isNull()), own), F.col("guess"), F.col("guess_confidence").cast("double"))
+    return place(_whole("vector"), F.col("guess"), F.col("guess_confidence").cast("double"))
 
 
 def paired(columns: DataFrame) -> DataFrame:
