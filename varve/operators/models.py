@@ -29,14 +29,14 @@ WORDS, RUNS, LENGTHS = 1 << 12, 12_500, (3, 4, 5, 6)
 def _codes(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Dimensions and counts of the words, word pairs and character runs of a lower-cased text."""
     text = text.lower()
-    words = text.split()
-    words = " ".join(words).encode().split(b" ") if words else []
+    joined = " ".join(text.split()).encode()
+    words, after = joined.split(b" ") if joined else [], joined.replace(b" ", b"\n ").split(b"\n")[1:]  # no word has a line's end
     points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
     done, pairs = len(words), max(len(words) - 1, 0)
     found = np.empty(done + pairs + sum(max(len(points) - n + 1, 0) for n in LENGTHS), dtype=np.uint16)  # all dimensions fit
     sums = list(map(zlib.crc32, words))
     found[:done] = np.array(sums, dtype=np.uint32) % WORDS
-    found[done : done + pairs] = np.fromiter(map(zlib.crc32, [b" " + w for w in words[1:]], sums), np.uint32, pairs) % WORDS + WORDS  # a sum goes on over the next word
+    found[done : done + pairs] = np.fromiter(map(zlib.crc32, after, sums), np.uint32, pairs) % WORDS + WORDS  # a sum goes on over the next word
     done, code = done + pairs, points
     for n in range(2, max(LENGTHS) + 1):  # the code of a run goes on from that of the run without its last character
         code = code[:-1] * np.uint64(0x9E3779B97F4A7C15) + points[n - 1 :]
@@ -82,7 +82,7 @@ BLOCK, AT_ONCE, STEPS, MEMORY = 80_000, 300_000, 15, 8
 #: Bytes of blocks or texts handed to a worker at once.
 BATCH_BYTES = 8 << 20
 #: Parquet's writer and reader hold a row group, so these are small, too.
-GROUP = {"parquet.block.size": str(16 << 20), "compression": "zstd"}
+GROUP = {"parquet.block.size": str(16 << 20), "parquet.enable.dictionary": "false", "compression": "none"}
 
 
 @dataclass(frozen=True)
@@ -91,13 +91,13 @@ class Lexical:
 
     labels: list[str]
     idf: np.ndarray
-    weights: np.ndarray  # dimensions, then the intercept, by label
+    weights: np.ndarray  # dimensions, then the intercept, by label; a dimension's lie side by side
     curve: tuple[np.ndarray, np.ndarray] | None = None
 
     def margins(self, text: str) -> np.ndarray:
         at, n = _codes(text)
-        x = n * self.idf[at]
-        return (x @ self.weights[at] / (np.sqrt(x @ x) or 1.0)) + self.weights[-1]
+        x = n * self.idf.take(at)
+        return (x @ self.weights.take(at, axis=0) / (np.sqrt(x @ x) or 1.0)) + self.weights[-1]
 
 
 @contextlib.contextmanager
@@ -117,6 +117,7 @@ def blocks(df: DataFrame, labels: list[str], label: str, column: str) -> DataFra
 
     Gaps and counts are single bytes: a wider gap is filled with terms of
     count 0, and larger counts stand aside, with their places, in `large`.
+    Both are compressed here, so that only what is stored passes the JVM.
     """
     ship(df.sparkSession)
     place = {name: i for i, name in enumerate(labels)}
@@ -145,7 +146,7 @@ def blocks(df: DataFrame, labels: list[str], label: str, column: str) -> DataFra
             gaps, counts = steps, seen
         large = np.flatnonzero(counts > 255)
         columns = {"labels": np.array(names, np.int32), "sizes": sizes.astype(np.int32), "gaps": gaps.astype(np.uint8), "counts": np.minimum(counts, 255).astype(np.uint8), "large": np.stack([large, counts[large]]).astype(np.int32)}
-        return pa.record_batch({k: [v.tobytes()] for k, v in columns.items()})
+        return pa.record_batch({k: [pa.compress(v.tobytes(), "zstd", asbytes=True) if k in ("gaps", "counts") else v.tobytes()] for k, v in columns.items()})
 
     rows = df.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("_label"), F.coalesce(F.col(column), F.lit("")).alias("_text"))
     return written(rows.mapInArrow(cut, "labels binary, sizes binary, gaps binary, counts binary, large binary"), "blocks", **GROUP)
@@ -156,7 +157,9 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, lis
     truth, texts, entries = [], [], 0
     for batch in batches:
         for row in zip(*batch.columns):
-            names, sizes, gaps, counts, large = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, (np.int32, np.int32, np.uint8, np.uint8, np.int32)))
+            names, sizes, gaps, counts, large = (x.as_buffer() for x in row)
+            names, sizes, large = (np.frombuffer(x, np.int32) for x in (names, sizes, large))
+            gaps, counts = (np.frombuffer(pa.decompress(x, int(sizes.sum()), "zstd"), np.uint8) for x in (gaps, counts))
             if len(large):
                 at, n = large.reshape(2, -1)
                 counts = counts.astype(np.int32)
@@ -238,7 +241,7 @@ def lexical(train: DataFrame, label: str, column: str = "text") -> Lexical:
         found = _summed(rows, seen, cores)
         idf = np.where(found >= 2, np.log((total + 1) / (found + 1)), 0.0)
         # noise of the order of sums must not decide between labels
-        return Lexical(names, idf, np.round(_descend(loss, np.zeros((size + 1, len(names)))), 9))
+        return Lexical(names, idf, np.ascontiguousarray(np.round(_descend(loss, np.zeros((size + 1, len(names)))), 9)))
 
 
 def _descend(loss: Callable, at: np.ndarray) -> np.ndarray:
